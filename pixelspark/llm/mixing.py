@@ -45,10 +45,10 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float]
         spark = docs.sparkSession
         given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()] or [(None, 0.0)], "given string, w double")
         sizes = sizes.join(given, F.col("mix_source").cast("string").eqNullSafe(F.col("given"))).select("mix_source", "n", "w")
-    totals = docs.agg(F.count("*").alias("all_n"))
-    sums = sizes.agg(F.sum("w").alias("all_w"))
-    rates = sizes.join(sums).join(totals)  # one row each
-    return rates.select("mix_source", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * epochs / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
+    sizes = written(sizes, "mix-sizes")  # one row per source
+    all_n = docs.count()
+    all_w = sizes.agg(F.sum("w")).first()[0]
+    return sizes.select("mix_source", (F.col("w") / F.lit(all_w) * F.lit(all_n) * epochs / F.col("n") if all_w else F.lit(0.0)).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:

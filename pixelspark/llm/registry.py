@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelspark.session import table
 
-from . import mixing, pii, quality, toxicity, warc
+from . import embed_dedup, mixing, ngram_join, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +82,47 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query(
+    "op3_ngram_jaccard",
+    """
+    with recursive w as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+        from documents
+    ),
+    s as (
+        select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+            when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh
+        from w
+    ),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    o as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+    l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+    e as (select a, b from l union all select b, a from l),
+    r(doc_id, other) as (select a, b from e union select r.doc_id, e.b from r join e on r.other = e.a)
+    select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) as component_id
+    from documents d left join n using (doc_id) left join (select doc_id, min(other) as least_id from r group by doc_id) m using (doc_id)
+    """,
+)
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_embedding_dedup",
+    """
+    with recursive v as (
+        select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+        where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+    r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+    c as (select a, min(b) as least_id from r group by a),
+    n as (select a, count(*) as n from l group by a)
+    select vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, least(vec_id, coalesce(c.least_id, vec_id)) as component_id, vec_id <= coalesce(c.least_id, vec_id) as kept
+    from embeddings d left join n on n.a = d.vec_id left join c on c.a = d.vec_id
+    """,
+)
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
