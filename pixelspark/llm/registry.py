@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelspark.session import table
 
-from . import embed_dedup, mixing, ngram_join, pii, quality, toxicity, warc
+from . import embed_dedup, mixing, ngram_join, pii, quality, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece_count.count_tokens(table(spark, sf_dir, "documents"))
