@@ -21,5 +21,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, te
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("label_key").cast("string")), F.lit(1 << 30))
     chosen = known.where(bucket < int((1 << 30) * min(1.0, max_rows / max(n, 1))))
     chosen = chosen.orderBy(bucket, "label_key", "y").limit(max_rows)
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["label_key"]).where(F.col(text).isNotNull()).select("label_key", F.col(text).alias("t"), "y").toArrow()
+    texts = docs.select(F.col(key).alias("text_key"), F.col(text).cast("string").alias("t")).where("t is not null")
+    rows = texts.join(F.broadcast(chosen), F.col("text_key") == F.col("label_key")).select("label_key", "t", "y").toArrow()
     return sorted(zip(rows["label_key"].to_pylist(), rows["t"].to_pylist(), rows["y"].to_pylist()))

@@ -283,5 +283,6 @@ def _redactor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every found span of the text replaced by its kind; all columns and rows stay, a null text stays null."""
-    renamed = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    return renamed.mapInArrow(_redactor, renamed.schema).withColumnRenamed("text", text)
+    names = ["text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)]  # clashing column names are safe
+    renamed = docs.toDF(*names)
+    return renamed.mapInArrow(_redactor, renamed.schema).toDF(*docs.columns)

@@ -117,13 +117,13 @@ def fit(rows: list[tuple], epochs: int = 8, seed: int = 3, batch: int = 32, rate
     return net
 
 
-def _scorer(shared):
+def _scorer(shared, carried: tuple[str, ...] = ("key",)):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch, raw, at in slices(batches, "text"):
             chunks, ends = chunks_of(raw, at)
             z = combine(pooled(chunks, net), ends, net).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*carried, "score"])
 
     return score
 
@@ -133,3 +133,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, label, key, text, max_train_rows, seed)))
     scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_scorer(shared), f"key {docs.schema[key].dataType.simpleString()}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, max_train_rows: int = 2000, seed: int = 5) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, unchanged: scored and filtered where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, label, key, text, max_train_rows, seed)))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clashing column names are safe
+    given = docs.toDF(*names)
+    scored = given.withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
+    schema = ", ".join([*(f"{n} {given.schema[n].dataType.simpleString()}" for n in names), "score double"])
+    return scored.mapInArrow(_scorer(shared, tuple(names)), schema).where(F.col("score") >= threshold).select(*names).toDF(*docs.columns)

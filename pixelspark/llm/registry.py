@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelspark.session import table
 
-from . import embed_dedup, mixing, ngram_join, pii, quality, toxicity, warc, wordpiece_count
+from . import embed_dedup, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,3 +132,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op1_piece_sampling")
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(piece_sampling.META), F.lit(" "))))
+    encoded = piece_sampling.encode_samples(docs, carry=("text_hash",))
+    decoded = piece_sampling.decode_ids(encoded)
+    return decoded.select("doc_id", "sample_no", "n_pieces", "log_prob", "perturbed", "inclusion", F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))

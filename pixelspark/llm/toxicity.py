@@ -97,7 +97,7 @@ def fit(rows: list[tuple], smoothing: float = 0.5, min_docs: int = 3, min_z: flo
     return table, b
 
 
-def _scorer(shared):
+def _scorer(shared, carried: tuple[str, ...] = ("key",)):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
         useful = table != 0
@@ -114,7 +114,7 @@ def _scorer(shared):
                 owner = np.searchsorted(ends, np.concatenate(spots), "right") - 1
                 pair = np.unique((owner.astype(np.int64) << BITS) | np.concatenate(places).astype(np.int64))
                 z += np.bincount(pair >> BITS, table[pair & ((1 << BITS) - 1)], len(z))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*carried, "score"])
 
     return score
 
