@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.session import table
 
-from . import embed_dedup, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
+from . import embed_dedup, image_copies, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,3 +140,12 @@ def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_sampling.encode_samples(docs, carry=("text_hash",))
     decoded = piece_sampling.decode_ids(encoded)
     return decoded.select("doc_id", "sample_no", "n_pieces", "log_prob", "perturbed", "inclusion", F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+
+
+@query("op8_image_copies")
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of the images of every hundredth vector, searched among the images of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    images = image_copies.frames_of_vectors(vectors)
+    queries = image_copies.frames_of_vectors(vectors.where("vec_id % 100 = 0"), edit_step=100)
+    return image_copies.copies(queries, images).select(F.col("query").alias("query_id"), F.col("image").alias("vec_id"), "votes")
