@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 DRAW = stream64(71, 8)
 SLICE_BYTES = 1 << 20
-TABLE_BITS = 21
+TABLE_BITS = 20
 CHAR_BYTES = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 8 + [1] * 8)
 
 
@@ -71,6 +71,9 @@ def read_model(path: str) -> dict[str, np.ndarray]:
     for size in range(1, int(lengths.max()) + 1):
         known[spelling(flat, begins[lengths >= size], np.full(int((lengths >= size).sum()), size)) >> U64(64 - TABLE_BITS)] |= 1
     known[keys >> U64(64 - TABLE_BITS)] |= 2
+    if not (np.bincount((keys >> U64(64 - TABLE_BITS)).astype(np.int64)).max() <= 4):
+        raise ValueError("too many pieces share a table place")
+    first = np.searchsorted(keys[order] >> U64(64 - TABLE_BITS), np.arange(1 << TABLE_BITS)).astype(np.int32)
     cut = np.ones(256, bool)
     cut[flat] = False
     cut[128:] = False
@@ -79,7 +82,7 @@ def read_model(path: str) -> dict[str, np.ndarray]:
         raise ValueError("pieces with inner blanks are not supported")
     usual = scores[plain]
     all_lengths = np.array([len(x) for x in data])
-    return {"keys": keys[order], "ids": np.array(plain)[order], "scores": scores, "unknown": np.array(usual[usual > -1e8].min() - 10.0), "longest": np.array(lengths.max()), "known": known, "cut": cut, "byte_ids": byte_ids,
+    return {"keys": keys[order], "ids": np.array(plain)[order], "scores": scores, "unknown": np.array(usual[usual > -1e8].min() - 10.0), "longest": np.array(lengths.max()), "known": known, "first": first, "cut": cut, "byte_ids": byte_ids,
             "bytes": np.frombuffer(b"".join(data), np.uint8), "byte_ends": np.cumsum(all_lengths), "byte_counts": all_lengths}
 
 
@@ -103,8 +106,15 @@ class Lattice:
                 keys = (total[at_char + size] - begin) * turn
                 known = model["known"][keys >> U64(64 - TABLE_BITS)]
                 near = np.flatnonzero(known & 2)
-                spot = np.minimum(np.searchsorted(model["keys"], keys[near]), len(model["keys"]) - 1)
-                hit = model["keys"][spot] == keys[near]
+                mine = keys[near]
+                spot = model["first"][mine >> U64(64 - TABLE_BITS)]
+                hit = model["keys"][spot] == mine
+                for _ in range(3):  # a table place holds four pieces at most
+                    miss = np.flatnonzero(~hit)
+                    if not len(miss):
+                        break
+                    spot[miss] = np.minimum(spot[miss] + 1, len(model["keys"]) - 1)
+                    hit[miss] = model["keys"][spot[miss]] == mine[miss]
                 starts.append(at_char[near[hit]])
                 sizes.append(size)
                 pieces.append(model["ids"][spot[hit]])
@@ -159,6 +169,20 @@ class Lattice:
             run = np.cumsum(self.p)
             self.upto = run - np.repeat(run[first] - self.p[first], count)
             self.upto[first + count - 1] = np.inf  # the last edge takes what rounding leaves
+            with np.errstate(divide="ignore"):
+                self.log_rest = np.log1p(-self.p)  # of the edge's siblings
+            place = np.repeat(first, count)
+            many = np.repeat(count, count)
+            self.log_rest[many == 1] = -np.inf
+            near_one = np.flatnonzero((self.p > 1 - 1e-6) & (many > 1))  # there 1 - p cancels: add up the siblings
+            total = np.full(len(near_one), -np.inf)
+            for r in range(1, int(many[near_one].max()) if len(near_one) else 0):
+                e = near_one
+                at = place[e] + (e - place[e] + r) % many[e]
+                total = np.where(r < many[e], np.logaddexp(total, self.log_p[at]), total)
+            self.log_rest[near_one] = total
+        else:
+            self.log_rest = np.zeros(0)
 
     def walk(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from node to stop for many stretches at once: (edges, their count for each stretch).
@@ -235,7 +259,7 @@ def sample_texts(raw: np.ndarray, at: np.ndarray, seeds: np.ndarray, model: dict
     edges, steps = lattice.walk(begin, end, seeds[text_of], shift)
     where = np.repeat(np.arange(len(starts)), steps)
     offsets = np.concatenate([[0], np.cumsum(steps)])[in_text]
-    paths.append(_settle(lattice, edges, where, offsets, np.zeros(n, np.int64), np.zeros(n), root, seeds, shift, [None] * n, range(n)))
+    paths.append(_settle(lattice, edges, where, offsets, np.zeros(n, np.int64), None, root, seeds, shift, [None] * n, range(n)))
     for sample in range(1, k):
         new: list[dict | None] = [None] * n
         picks = []
@@ -249,19 +273,22 @@ def sample_texts(raw: np.ndarray, at: np.ndarray, seeds: np.ndarray, model: dict
         if not picks:
             break
         own = mix64(seeds + np.full(n, sample, U64) * DRAW[0])
-        todo_node, todo_at, prefix = [], [], []
+        todo_node, todo_at, prefix, rest_log = [], [], [], []
         for d, by, best in picks:
             j = by["spot"]
             e, s = by["edges"][j], by["where"][j]
             node = lattice.start[e]
             out = (by["out"] if j == by["branch"] else ()) + (e,)
             options = np.arange(lattice.first[node], lattice.first[node] + lattice.count[node])
-            weights = lattice.p[options].copy()
+            left = lattice.log_p[options].copy()
             for o in out:
-                weights[options == o] = 0
+                left[options == o] = -np.inf
+            weights = np.exp(left - left.max())
             run = np.cumsum(weights)
             u = uniform(own[d : d + 1], np.array([node + shift[s]]), 3)[0]
             pick = int(min(np.searchsorted(run, u * run[-1], "right"), np.flatnonzero(weights)[-1]))
+            left[pick] = -np.inf
+            rest_log.append(np.logaddexp.reduce(left))
             by["rest"][j] = -np.inf
             _refresh(by)
             todo_node.append(np.concatenate([[lattice.end[options[pick]]], begin[s + 1 : in_text[d + 1]]]))
@@ -277,7 +304,7 @@ def sample_texts(raw: np.ndarray, at: np.ndarray, seeds: np.ndarray, model: dict
             flat_where += [by["where"][: j + 1], where[upto[i] : upto[i + 1]]]
             sizes.append(j + 1 + upto[i + 1] - upto[i])
         who = [x[0] for x in prefix]
-        made = _settle(lattice, np.concatenate(flat_edges).astype(np.int64), np.concatenate(flat_where), np.concatenate([[0], np.cumsum(sizes)]), np.array([x[2] for x in prefix]), np.array([lattice.p[list(x[5])].sum() for x in prefix]), np.array([x[4] for x in prefix]), own[who], shift, [x[5] for x in prefix], who)
+        made = _settle(lattice, np.concatenate(flat_edges).astype(np.int64), np.concatenate(flat_where), np.concatenate([[0], np.cumsum(sizes)]), np.array([x[2] for x in prefix]), np.array(rest_log), np.array([x[4] for x in prefix]), own[who], shift, [x[5] for x in prefix], who)
         for d, path in zip(who, made):
             new[d] = path
         paths.append(new)
@@ -292,25 +319,22 @@ def sample_texts(raw: np.ndarray, at: np.ndarray, seeds: np.ndarray, model: dict
     return rows, *_ids(lattice, np.concatenate(taken), np.cumsum([len(x) for x in taken]), flat, model)
 
 
-def _settle(lattice, edges, where, offsets, branch, gone, values, seeds, shift, outs, who) -> list[dict]:
+def _settle(lattice, edges, where, offsets, branch, rest_log, values, seeds, shift, outs, who) -> list[dict]:
     """Queue entries of new paths (flat over texts): at each edge the value of the rest of its siblings, from the branch on."""
     counts = np.diff(offsets)
     owner = np.repeat(np.arange(len(counts)), counts)
     log_p = lattice.log_p[edges]
     run = np.concatenate([[0.0], np.cumsum(log_p)])
     before = run[:-1] - run[offsets[:-1]][owner]
-    mass = 1.0 - lattice.p[edges]
-    at_branch = np.flatnonzero(counts > 0)
-    spot = offsets[:-1][at_branch] + branch[at_branch]
-    mass[spot] -= gone[at_branch]
+    log_rest = lattice.log_rest[edges]
+    if rest_log is not None:
+        log_rest[offsets[:-1] + branch] = rest_log
     nodes = lattice.start[edges]
     rank = np.arange(len(edges)) - offsets[:-1][owner]
-    outs_at = np.ones(len(edges), np.int64)
-    outs_at[spot] += np.array([len(outs[i] or ()) for i in at_branch], np.int64)
-    open_ = np.flatnonzero((lattice.count[nodes] > outs_at) & (rank >= branch[owner])) if len(edges) else np.zeros(0, np.int64)
+    open_ = np.flatnonzero((log_rest > -np.inf) & (rank >= branch[owner]))
     who_open = owner[open_]
     rest = np.full(len(edges), -np.inf)
-    location = before[open_] + np.log(np.maximum(mass[open_], 1e-300))
+    location = before[open_] + log_rest[open_]
     rest[open_] = below(location, values[who_open], uniform(seeds[who_open], nodes[open_] + shift[where[open_]], 1))
     out = []
     for i in range(len(counts)):
