@@ -16,9 +16,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """
     head = F.substring("content", 1, 8)
     kind = F.when(head == F.lit(bytes.fromhex("89504E470D0A1A0A")), "png").when(F.substring(head, 1, 2) == F.lit(bytes.fromhex("FFD8")), "jpeg")
-    sniffed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("origin"), kind.alias("kind"))
-    decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return sniffed.join(decoded, "origin", "left").select("origin", "kind", "width", "height", F.col("nChannels").alias("n_channels"), "data")
+    same = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the two readers write the scheme's slashes differently
+    sniffed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("origin"), kind.alias("kind"), same("path").alias("place"))
+    decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").withColumn("place", same("origin")).drop("origin")
+    return sniffed.join(decoded, "place", "left").select("origin", "kind", "width", "height", F.col("nChannels").alias("n_channels"), "data")
 
 
 def byte_at(data: Column, i: Column) -> Column:
