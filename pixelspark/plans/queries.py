@@ -323,4 +323,13 @@ def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.publish(rows, ["ts_us", "stream", "stream_id"], ["found", "largest", "x", "y"], "%N/tracked")
 
 
-query("flagship_track_objects")(track_objects)
+SQL_TRACK = f"""q as ({select_sql(sql_hsv(*C))}), m as (select frame_id, y, x, y * 16 + x as p from q where c1 >= 40 and c2 >= 60),
+    reach(frame_id, p, q) as (select frame_id, p, p from m union
+        select r.frame_id, r.p, b.p from reach r join m a on a.frame_id = r.frame_id and a.p = r.q join m b on b.frame_id = a.frame_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1),
+    label as (select frame_id, p, min(q) as l from reach group by frame_id, p),
+    blobs as (select frame_id, min(x) as min_x, min(y) as min_y, count(*) as pixels from label join m using (frame_id, p) group by frame_id, l having count(*) >= 4),
+    f as (select frame_id, count(*) as found, max(pixels) as largest, arg_max(min_x, (pixels, min_y, min_x)) as at_x, arg_max(min_y, (pixels, min_y, min_x)) as at_y from blobs group by frame_id),
+    w as (select frame_id, coalesce(found, 0) as found, largest, at_x, at_y from (select distinct frame_id from px_rgb) left join f using (frame_id))
+    select '/objects/tracked/' || channel as topic, frame_id as ts_us, 'int' as type, cast(val as varchar) as value
+    from w, lateral (select * from (values ('found', found), ('largest', largest), ('x', at_x), ('y', at_y)) t(channel, val)) u where val is not null"""
+query("flagship_track_objects", cte("px_rgb", recursive=True).rstrip() + ", " + SQL_TRACK)(track_objects)
