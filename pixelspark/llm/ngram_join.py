@@ -38,8 +38,10 @@ from pixelspark.session import written
 from ._graph import components
 from ._text import LOWER, U64, mix64, slices, span_hashes, stream64, words
 
-SKETCH_BITS = 20
-SKETCH_ROWS = 64
+SKETCH_BITS = 23
+SKETCH_ROWS = 128
+ROW_GROUPS = (1 << SKETCH_BITS) // SKETCH_ROWS  # 65,536: a group of a row is a 16-bit number
+ROUNDS = 4
 SMALL_BLOCK = 16
 LEAF = 32
 TREE_DIMS = 64
@@ -87,13 +89,14 @@ def fingerprints(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def n_groups(n: int) -> int:
-    """Groups of the count vector of a set of n tokens: enough for unrelated sets to fail the bound; powers of two fold into each other."""
-    return int(min(max(TREE_DIMS, 1 << max(n // 4 - 1, 0).bit_length()), 8192))
+    """Groups of the count vector of a set of n tokens: so many that few unshared tokens meet; powers of two fold into each other."""
+    return int(min(max(TREE_DIMS, 1 << max(n - 1, 0).bit_length()), 1 << 16))
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
     g = n_groups(len(tokens))
-    return np.bincount((tokens & U64(g - 1)).astype(np.int64), minlength=g).astype("<u2" if len(tokens) < 65536 else "<u4").tobytes()
+    counts = np.bincount((tokens & U64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -101,7 +104,7 @@ def fold(vector: np.ndarray, groups: int) -> np.ndarray:
 
 
 def decode_vector(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if n < 65536 else "<u4").astype(np.int64)
+    return np.frombuffer(data, "<u1" if len(data) == n_groups(n) else "<u4").astype(np.int32)
 
 
 def enough(overlap, n, m, percent: int):
@@ -115,40 +118,68 @@ def _set_rows(width: int):
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        held, size = [], 0
         for batch, raw, at in slices(batches, "text"):
             tokens, ends = shingle_sets(raw, at, width)
-            sketch += np.bincount((tokens >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            held.append((tokens >> U64(64 - SKETCH_BITS)).astype(np.uint32))
+            size += len(tokens)
+            if size > 4_000_000:
+                sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                held, size = [], 0
             vectors = [count_vector(tokens[ends[i] : ends[i + 1]]) for i in range(len(at) - 1)]
             n = np.diff(ends)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), batch.column("key"), pa.array(n), pa.array(fingerprints(tokens, ends)), pa.array(vectors, pa.binary())], names=names)
+        if held:
+            sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sketch.any():
-            parts = sketch.reshape(SKETCH_ROWS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([range(SKETCH_ROWS), [None] * SKETCH_ROWS, [0] * SKETCH_ROWS, [0] * SKETCH_ROWS, [p.astype("<i4" if p.max() < 1 << 31 else "<i8").tobytes() for p in parts]], types)], names=names)
+            parts = [pack_counts(p) for p in sketch.reshape(SKETCH_ROWS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([range(SKETCH_ROWS), [None] * SKETCH_ROWS, [0] * SKETCH_ROWS, [0] * SKETCH_ROWS, parts], types)], names=names)
 
     return rows
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = (1 << SKETCH_BITS) // SKETCH_ROWS
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("vector")):
-            raw = data.as_py()
-            total[block] = total.get(block, 0) + np.frombuffer(raw, "<i4" if len(raw) == 4 * size else "<i8").astype(np.int64)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
+def pack_counts(counts: np.ndarray) -> bytes:
+    """The counts above 0 of one row's groups: a width byte, their 16-bit places, the counts."""
+    at = np.flatnonzero(counts)
+    width = 1 if not len(at) or counts.max() < 256 else 4
+    return bytes([width]) + at.astype("<u2").tobytes() + counts[at].astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = data[0]
+    n = (len(data) - 1) // (2 + width)
+    return np.frombuffer(data, "<u2", n, 1), np.frombuffer(data, f"<u{width}", n, 1 + 2 * n)
 
 
-def crowding(sketch: DataFrame) -> np.ndarray:
-    """One byte per group, fixed size: 0 for ordinary groups, then by half powers of two over twice the mean."""
-    parts = sketch.select("block", "vector").repartition(SKETCH_ROWS, "block").mapInArrow(_add_up, "block int, counts binary").collect()
-    counts = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.int64)
-    for row in parts:
-        counts[row["block"]] += np.frombuffer(row["counts"], np.int64)
-    counts = counts.ravel()
-    over = counts / max(counts.mean(), 1.0)
-    return np.where(over > 2, np.minimum(2 * np.log2(np.maximum(over, 1)), 200), 0).astype(np.uint8)
+def _levels(mean: float):
+    """Sums the packed counts of each row of the sketch and gives one byte per group: 0 for ordinary ones, then by half powers of two over twice the mean."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("vector")):
+                at, counts = unpack_counts(data.as_py())
+                if block not in total:
+                    total[block] = np.zeros(ROW_GROUPS, np.int64)
+                total[block][at] += counts
+        if total:
+            levels = []
+            for counts in total.values():
+                over = counts / mean
+                levels.append(np.where(over > 2, np.minimum(2 * np.log2(np.maximum(over, 1)), 200), 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
+
+    return rows
+
+
+def crowding(sketch: DataFrame, n_tokens: int) -> np.ndarray:
+    """One byte per group of tokens, from the counts over all sets; its size is fixed (8 MB)."""
+    mean = max(n_tokens / (1 << SKETCH_BITS), 2.0)
+    out = np.zeros((SKETCH_ROWS, ROW_GROUPS), np.uint8)
+    for row in sketch.select("block", "vector").repartition(SKETCH_ROWS, "block").mapInArrow(_levels(mean), "block int, levels binary").collect():
+        out[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.ravel()
 
 
 def _route(width: int, percent: int, shared, n_buckets: int):
@@ -231,18 +262,34 @@ def _block_table(block, entries, pivots, size) -> pa.Table:
 BLOCK_SCHEMA = "block bigint, set bigint, n bigint, pivot bigint, pivot_n bigint, members bigint"
 
 
-def tree_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members in different parts that the size and count bounds leave, by an R-tree packed over the members."""
+def overlap_bound(v: np.ndarray, w: np.ndarray) -> int:
+    """The sum of coordinate minima at the coarser of both groupings."""
+    groups = min(len(v), len(w))
+    return int(np.minimum(fold(v, groups), fold(w, groups)).sum())
+
+
+def tree_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+    """Pairs of members, with their overlap bound, in different parts that the size and count bounds leave, by an R-tree packed over the members."""
     low = np.stack([fold(v, TREE_DIMS) for v in vectors])
     wide = np.argsort(-low.var(axis=0))[:2]
-    slab = np.lexsort((low[:, wide[0]], n))
-    order = np.concatenate([s[np.lexsort((low[s, wide[1]], low[s, wide[0]]))] for s in np.array_split(slab, max(1, int(np.sqrt(len(n) / LEAF))))])
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+    _, same, size = np.unique(part, return_inverse=True, return_counts=True)
+    own = np.where(size[same] >= LEAF, same, -1)  # a large part has leaves of its own, which need no comparison with each other
+    leaves, pure = [], []
+    for which in np.unique(own):
+        mine = np.flatnonzero(own == which)
+        slab = mine[np.lexsort((low[mine, wide[0]], n[mine]))]
+        order = np.concatenate([s[np.lexsort((low[s, wide[1]], low[s, wide[0]]))] for s in np.array_split(slab, max(1, int(np.sqrt(len(mine) / LEAF))))])
+        cut = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+        leaves += cut
+        pure += [which] * len(cut)
+    pure = np.array(pure)
     top = np.stack([low[x].max(axis=0) for x in leaves])
     least, most = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
     for i, a in enumerate(leaves):
         reach = np.minimum(top[i], top[i:]).sum(axis=1)
         open_ = enough(reach, least[i], least[i:], percent) & (100 * most[i] >= percent * least[i:]) & (100 * most[i:] >= percent * least[i])
+        if pure[i] >= 0:
+            open_ &= pure[i:] != pure[i]
         for j in np.flatnonzero(open_) + i:
             b = leaves[j]
             bound = np.minimum(low[a][:, None], low[b][None]).sum(axis=2)
@@ -251,27 +298,49 @@ def tree_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, perce
                 good &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
             for x, y in zip(*np.nonzero(good)):
                 p, q = a[x], b[y]
-                groups = min(len(vectors[p]), len(vectors[q]))
-                if enough(int(np.minimum(fold(vectors[p], groups), fold(vectors[q], groups)).sum()), n[p], n[q], percent):
-                    yield p, q
+                bound_pq = overlap_bound(vectors[p], vectors[q])
+                if enough(bound_pq, n[p], n[q], percent):
+                    yield p, q, bound_pq
 
 
-def _candidates(percent: int, star: bool):
-    """Block rows -> pairs (a, b). star: large blocks give only the pairs with their pivot."""
+def near_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, percent: int, reach: int = 16) -> Iterator[tuple[int, int, int]]:
+    """For each member at most one pair with another part: the greatest bound among its neighbours in the order the tree is packed in."""
+    low = np.stack([fold(v, TREE_DIMS) for v in vectors])
+    order = np.lexsort((low[:, low.var(axis=0).argmax()], n))
+    score, partner = np.full(len(n), -1.0), np.full(len(n), -1)
+    for d in range(1, min(reach, len(order) - 1) + 1):
+        a, b = order[:-d], order[d:]
+        bound = np.minimum(low[a], low[b]).sum(axis=1)
+        good = (part[a] != part[b]) & enough(bound, n[a], n[b], percent)
+        now = np.where(good, bound / (n[a] + n[b] - bound), -1.0)
+        for x, y in ((a, b), (b, a)):
+            better = now > score[x]
+            score[x[better]], partner[x[better]] = now[better], y[better]
+    for x in np.flatnonzero(partner >= 0):
+        y = partner[x]
+        bound = overlap_bound(vectors[x], vectors[y])
+        if enough(bound, n[x], n[y], percent):
+            yield x, y, bound
+
+
+def _candidates(percent: int, how: str):
+    """Block rows -> pairs (a, b) that the bounds leave.
+
+    star: large blocks give only the pairs with their pivot. near: for each member one pair with another part. all: every pair between parts.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
         sets, n = table.column("set").to_numpy(), table.column("n").to_numpy()
         part = table.column("part").to_numpy()
         vectors = [decode_vector(v.as_py(), int(k)) for v, k in zip(table.column("vector"), n)]
         found: list[tuple[int, int]] = []
-        if star and len(sets) > SMALL_BLOCK:
+        if how == "star" and len(sets) > SMALL_BLOCK:
             p = int(sets.argmin())
             for q in range(len(sets)):
-                groups = min(len(vectors[p]), len(vectors[q]))
-                if q != p and enough(int(np.minimum(fold(vectors[p], groups), fold(vectors[q], groups)).sum()), n[p], n[q], percent):
+                if q != p and enough(overlap_bound(vectors[p], vectors[q]), n[p], n[q], percent):
                     found.append((p, q))
         elif len(sets) > 1:
-            found = list(tree_pairs(n, vectors, part, percent))
+            found = [(p, q) for p, q, _ in (near_pairs if how == "near" else tree_pairs)(n, vectors, part, percent)]
         a, b = (sets[np.array([f[k] for f in found], np.int64)] for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -319,25 +388,32 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = points.where("block = -1")
     real = rows.where("n > 0")
     sets = written(real.groupBy("set").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("vector").alias("vector")), "sets")
-    entries = sets.agg(F.coalesce(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast(crowding(points.where("block >= 0")))
+    n_tokens, entries = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(crowding(points.where("block >= 0"), int(n_tokens)))
     n_buckets = max(spark.sparkContext.defaultParallelism, -(-int(entries) // BUCKET_ENTRIES))
     routed = docs.mapInArrow(_route(width, percent, shared, n_buckets), "bucket bigint, entries binary")
     blocks = written(routed.groupBy("bucket").applyInArrow(_blocks, BLOCK_SCHEMA).dropDuplicates(["block", "set"]), "blocks")
 
     vectors = sets.select("set", "vector")
-    first = blocks.join(vectors, "set").withColumn("part", F.col("set")).groupBy("block").applyInArrow(_candidates(percent, True), "a bigint, b bigint")
+    first = blocks.join(vectors, "set").withColumn("part", F.col("set")).groupBy("block").applyInArrow(_candidates(percent, "star"), "a bigint, b bigint")
     links = written(verified(first, sets, docs, width, percent), "links")
     linked = written(components(links), "components")
 
-    # large blocks whose members are not yet in one component: compare across components
-    split = blocks.where(F.col("members") > SMALL_BLOCK).join(linked, blocks["set"] == linked["node"], "left").select("block", "set", "n", F.coalesce("component", "set").alias("part"))
-    open_blocks = split.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block")
-    again = split.join(open_blocks, "block").join(vectors, "set").groupBy("block").applyInArrow(_candidates(percent, False), "a bigint, b bigint")
-    again = written(again.distinct(), "again")
-    if not again.isEmpty():
-        more = verified(again, sets, docs, width, percent)
-        linked = written(components(links.union(more)), "components")
+    # large blocks whose members are not yet in one component: first a pair for each member, while that links any, then all that are left
+    how, n_round = "near", 0
+    while True:
+        split = blocks.where(F.col("members") > SMALL_BLOCK).join(linked, blocks["set"] == linked["node"], "left").select("block", "set", "n", F.coalesce("component", "set").alias("part"))
+        open_blocks = split.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block")
+        again = written(split.join(open_blocks, "block").join(vectors, "set").groupBy("block").applyInArrow(_candidates(percent, how), "a bigint, b bigint").distinct(), "again")
+        more = None if again.isEmpty() else written(verified(again, sets, docs, width, percent), "more")
+        linking = more is not None and not more.isEmpty()
+        if linking:
+            links = written(links.union(more), "links")
+            linked = written(components(links), "components")
+        if more is None or how == "all":
+            break
+        n_round += 1
+        how = "near" if linking and n_round < ROUNDS else "all"
 
     classes = sets.join(linked, sets["set"] == linked["node"], "left").select("set", "first_key", F.coalesce("component", "set").alias("class"))
     least = classes.groupBy("class").agg(F.min("first_key").alias("component_id"))
