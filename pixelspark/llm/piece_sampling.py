@@ -148,15 +148,20 @@ class Lattice:
         far = int(left.max()) if len(left) else 0
         by_left = np.argsort(left.astype(np.uint16) if far < 1 << 16 else left, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(left, minlength=far + 1)[1:])]).astype(np.int64)
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
+        value_of, end_of, start_of = score[by_left], self.end[by_left], self.start[by_left]
+        heads = np.flatnonzero(np.concatenate([[True], start_of[1:] != start_of[:-1]])) if len(start_of) else start_of
+        fans = np.diff(np.append(heads, len(start_of)))
+        at_heads = np.searchsorted(heads, bounds)
+        for k in range(far):  # nodes by their distance from the end: all edges lead to nodes already summed
+            lo, hi, h, i = bounds[k], bounds[k + 1], at_heads[k], at_heads[k + 1]
             if lo == hi:
                 continue
-            e = by_left[lo:hi]
-            value, s = score[e] + beta[self.end[e]], self.start[e]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            value = value_of[lo:hi] + beta[end_of[lo:hi]]
+            first, count = heads[h:i] - lo, fans[h:i]
             top = np.maximum.reduceat(value, first)
-            part = np.exp(value - np.repeat(top, np.diff(np.append(first, len(s)))))
-            beta[s[first]] = top + np.log(np.add.reduceat(part, first))
+            value -= np.repeat(top, count)
+            np.exp(value, out=value)
+            beta[start_of[heads[h:i]]] = top + np.log(np.add.reduceat(value, first))
         self.log_p = np.minimum(score + beta[self.end] - beta[self.start], 0.0)
         self.p = np.exp(self.log_p)
         self.first = np.zeros(n + len(lengths) + 1, np.int64)
@@ -174,12 +179,15 @@ class Lattice:
             place = np.repeat(first, count)
             many = np.repeat(count, count)
             self.log_rest[many == 1] = -np.inf
-            near_one = np.flatnonzero((self.p > 1 - 1e-6) & (many > 1))  # there 1 - p cancels: add up the siblings
-            total = np.full(len(near_one), -np.inf)
-            for r in range(1, int(many[near_one].max()) if len(near_one) else 0):
-                e = near_one
-                at = place[e] + (e - place[e] + r) % many[e]
-                total = np.where(r < many[e], np.logaddexp(total, self.log_p[at]), total)
+            near_one = np.flatnonzero((self.p > 1 - 1e-8) & (many > 1))  # there 1 - p cancels: add up the siblings
+            total = self.log_p[place[near_one] + (near_one - place[near_one] + 1) % many[near_one]]
+            more = np.flatnonzero(many[near_one] > 2)
+            r = 2
+            while len(more):
+                e = near_one[more]
+                total[more] = np.logaddexp(total[more], self.log_p[place[e] + (e - place[e] + r) % many[e]])
+                r += 1
+                more = more[many[e] > r]
             self.log_rest[near_one] = total
         else:
             self.log_rest = np.zeros(0)
@@ -402,7 +410,7 @@ def decode_bytes(ids: np.ndarray, ends: np.ndarray, model: dict) -> list[bytes]:
     return [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(total[:-1], total[1:])]
 
 
-def _decoder(shared):
+def _decoder(shared, keep_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
@@ -413,16 +421,17 @@ def _decoder(shared):
                 batch = whole.slice(start, stop - start)
                 texts = decode_bytes(batch.column("ids").flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes[start:stop]), model)
                 columns = [n for n in batch.schema.names if n != "ids"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in columns], batch.column("ids"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*columns, "ids", "decoded"])
+                kept = [*columns, "ids"] if keep_ids else columns
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*kept, "decoded"])
                 start = stop
 
     return rows
 
 
-def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded (with a column ids) and the text that each row's ids stand for, as `decoded`. Null ids decode as none."""
+def decode_ids(encoded: DataFrame, model: str = MODEL, keep_ids: bool = True) -> DataFrame:
+    """encoded (with a column ids, which stays if wanted) and the text that each row's ids stand for, as `decoded`. Null ids decode as none."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model))
     rest = [c for c in encoded.columns if c not in ("ids", "decoded")]
     given = encoded.select(*rest, F.coalesce(F.col("ids"), F.array().cast("array<int>")).alias("ids"))
-    schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in rest), "ids array<int>, decoded string"])
-    return given.mapInArrow(_decoder(shared), schema)
+    schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in rest), *(["ids array<int>"] if keep_ids else []), "decoded string"])
+    return given.mapInArrow(_decoder(shared, keep_ids), schema)

@@ -137,9 +137,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_piece_sampling")
 def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(piece_sampling.META), F.lit(" "))))
-    encoded = piece_sampling.encode_samples(docs, carry=("text_hash",))
-    decoded = piece_sampling.decode_ids(encoded)
-    return decoded.select("doc_id", "sample_no", "n_pieces", "log_prob", "perturbed", "inclusion", F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+    encoded = piece_sampling.encode_samples(docs, carry=("text_hash",)).withColumn("ids_hash", F.xxhash64("ids"))
+    decoded = piece_sampling.decode_ids(encoded, keep_ids=False)
+    return decoded.select("doc_id", "sample_no", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 
 
 @query("op8_image_copies")
