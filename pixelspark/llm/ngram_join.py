@@ -41,7 +41,7 @@ from ._text import LOWER, U64, mix64, slices, span_hashes, stream64, words
 SKETCH_BITS = 23
 SKETCH_ROWS = 128
 ROW_GROUPS = (1 << SKETCH_BITS) // SKETCH_ROWS  # 65,536: a group of a row is a 16-bit number
-ROUNDS = 4
+ROUNDS = 1
 SMALL_BLOCK = 16
 LEAF = 32
 TREE_DIMS = 64
