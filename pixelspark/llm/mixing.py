@@ -2,7 +2,9 @@
 
 Every document is copied k times, k being Poisson distributed with its source's mean repetition rate
 weight * target_rows / rows of the source. k inverts the cumulative distribution at a uniform number hashed from the
-row's key and a seed, so a lost task repeats the same copies. The copies are then shuffled globally.
+row's key and a seed, so a lost task repeats the same copies. The distribution starts at exp(-rate), which a double holds
+only to a rate of about 708: above DRAW_RATE, k is the sum of equal independent draws of a rate up to DRAW_RATE, each at
+its own hashed number. The copies are then shuffled globally.
 
 Defined results: a null source is a source of its own; a null key hashes as the empty text; sources with weight zero or
 absent from a given weight table give no rows; repeated keys get the same count each; an empty table gives no rows.
@@ -17,15 +19,17 @@ from pyspark.sql import functions as F
 
 from pixelspark.session import written
 
+DRAW_RATE = 700
 
-def hash_uniform(seed: int, *parts: Column) -> Column:
+
+def hash_uniform(seed: int | Column, *parts: Column) -> Column:
     """A number in (0, 1): 52 bits of the MD5 of the parts, plus one half."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    key = F.md5(F.concat_ws(":", seed if isinstance(seed, Column) else F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(k <= 0), P(k <= 1), ... as far as a double tells them from 1; empty for a rate of 0."""
+    """P(k <= 0), P(k <= 1), ... as far as a double tells them from 1; empty for a rate of 0. Rates up to DRAW_RATE only."""
     top = F.ceil(rate + 12 * F.sqrt(rate) + 16).cast("int")
     step = F.aggregate(
         F.sequence(F.lit(1), top),
@@ -36,6 +40,19 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, step).otherwise(F.array().cast("array<double>"))
 
 
+def poisson_count(seed: int, key: Column, cdf: Column, draws: Column) -> Column:
+    """The sum of `draws` Poisson counts with this distribution; the first draw hashes the seed and key alone."""
+
+    def below(u: Column) -> Column:
+        return F.size(F.filter(cdf, lambda c: c < u)).cast("long")
+
+    def more(s: Column, i: Column) -> Column:
+        return s + below(hash_uniform(F.concat(F.lit(f"{seed}+"), i.cast("string")), key))
+
+    rest = F.aggregate(F.sequence(F.lit(2).cast("long"), draws), F.lit(0).cast("long"), more)
+    return below(F.col("mix_u")) + F.when(draws > 1, rest).otherwise(F.lit(0).cast("long"))
+
+
 def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
     """(source, rate): mean copies of each document. Without weights, a source's weight is its row count to a power."""
     sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n"))
@@ -54,11 +71,12 @@ def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float]
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """docs replicated to the target weights, in a global pseudo-random order (range partitions of shuffle_key, sorted inside)."""
     docs = docs.drop("copy_no", "n_copies", "shuffle_key")
-    rates = source_rates(docs, source, weights, temperature, epochs).where("rate > 0").select("mix_source", poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    rates = source_rates(docs, source, weights, temperature, epochs).where("rate > 0").withColumn("mix_draws", F.ceil(F.col("rate") / DRAW_RATE))
+    rates = rates.select("mix_source", "mix_draws", poisson_cdf(F.col("rate") / F.col("mix_draws")).alias("mix_cdf"))
     rates = written(rates, "mix-rates")  # a written table: the planner broadcasts it only if it is small
     u = hash_uniform(seed, F.col(key))
     counted = docs.join(rates, docs[source].eqNullSafe(rates["mix_source"])).withColumn("mix_u", u)
-    counted = counted.withColumn("n_copies", F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u"))).cast("long")).where("n_copies > 0").drop("mix_cdf", "mix_u", "mix_source")
+    counted = counted.withColumn("n_copies", poisson_count(seed, F.col(key), F.col("mix_cdf"), F.col("mix_draws"))).where("n_copies > 0").drop("mix_cdf", "mix_draws", "mix_u", "mix_source")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
     return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")

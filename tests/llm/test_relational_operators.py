@@ -235,6 +235,40 @@ def test_mixing_defined_cases(spark):
     assert mixing.mix_sources(docs, weights={}).count() == 0
 
 
+def poisson_below(rate, top):
+    k = np.arange(top)
+    return np.cumsum(np.exp(k * math.log(rate) - rate - np.array([math.lgamma(x + 1) for x in k])))
+
+
+@pytest.mark.parametrize("rate", [700, 1000, 5000])
+def test_mixing_large_rates_match_exact_quantiles(spark, rate):
+    n = 400 if rate < 5000 else 100
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    out = mixing.mix_sources(docs, weights={"a": 1.0}, epochs=float(rate)).groupBy("doc_id").agg(F.max("copy_no").alias("k"), F.count("*").alias("n"), F.max("n_copies").alias("c")).collect()
+    assert len(out) == n and all(r["k"] == r["n"] == r["c"] for r in out)
+
+    # every count is the sum of exact quantiles at the hashed numbers
+    draws = -(-rate // 700)
+    below = poisson_below(rate / draws, 1400)
+
+    def u(i, key):
+        return (int(hashlib.md5(f"7+{i}:{key}".encode() if i > 1 else f"7:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    assert {r["doc_id"]: r["n"] for r in out} == {d: sum(int(np.searchsorted(below, u(i, d))) for i in range(1, draws + 1)) for d in range(n)}
+
+    # and the counts follow the Poisson distribution of the whole rate (Kolmogorov's bound at 0.1%)
+    whole = poisson_below(rate, 2 * rate)
+    counts = np.sort([r["n"] for r in out])
+    ranks = np.searchsorted(counts, np.arange(len(whole)), side="right") / n
+    assert np.abs(ranks - whole).max() < 1.95 / math.sqrt(n)
+
+
+def test_mixing_one_row_beside_a_large_source(spark):
+    docs = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
+    rate = 1_000_001 / (1 + 1000)
+    assert abs(mixing.mix_sources(docs).where("source is null").count() - rate) < 6 * math.sqrt(rate)
+
+
 def test_mixing_is_native(spark, sf):
     plan = registry.QUERIES["op10_poisson_mixing"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
