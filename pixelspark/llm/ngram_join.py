@@ -403,14 +403,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     how, n_round = "near", 0
     while True:
         split = blocks.where(F.col("members") > SMALL_BLOCK).join(linked, blocks["set"] == linked["node"], "left").select("block", "set", "n", F.coalesce("component", "set").alias("part"))
-        open_blocks = split.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block")
+        open_blocks = written(split.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block"), "open")
+        if open_blocks.isEmpty():
+            break
         again = written(split.join(open_blocks, "block").join(vectors, "set").groupBy("block").applyInArrow(_candidates(percent, how), "a bigint, b bigint").distinct(), "again")
         more = None if again.isEmpty() else written(verified(again, sets, docs, width, percent), "more")
         linking = more is not None and not more.isEmpty()
         if linking:
             links = written(links.union(more), "links")
             linked = written(components(links), "components")
-        if more is None or how == "all":
+        if how == "all":  # only this round compares every pair: an empty near round does not end the search
             break
         n_round += 1
         how = "near" if linking and n_round < ROUNDS else "all"

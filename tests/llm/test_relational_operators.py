@@ -91,6 +91,30 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def one_far_pair():
+    """A block of 42 sets that meet at one word only; the smallest and the largest are the only similar pair, too far apart for a near round."""
+
+    def hashes(ws):
+        text = " ".join(ws).encode()
+        return [int(h) for h in ngram_join.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)[0]]
+
+    passage = sorted((f"p{i}" for i in range(85)), key=lambda w: hashes([w])[0])
+    texts = [passage, passage + [f"b{i}" for i in range(28)]]
+    for j in range(40):
+        gone = {(17 * j + j // 5 + i) % 84 for i in range(17)}
+        texts.append([passage[0]] + [w for i, w in enumerate(passage[1:]) if i not in gone] + [f"o{j}x{i}" for i in range(22)])
+    return [(i + 100, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_ngram_join_links_a_pair_far_apart_in_a_block(spark):
+    rows = one_far_pair()
+    sets = {i: set(t.split()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links == [(100, 101)]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == union_find(sets, links)
+
+
 def test_tree_pairs_keeps_every_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
