@@ -114,8 +114,8 @@ def enough(overlap, n, m, percent: int):
 
 def _set_rows(width: int):
     """Per text its set's size, fingerprint and count vector; per task, at its end, the token counts by group."""
-    names = ["block", "key", "n", "set", "vector"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["block", "key", "text_id", "n", "set", "vector"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -129,12 +129,12 @@ def _set_rows(width: int):
                 held, size = [], 0
             vectors = [count_vector(tokens[ends[i] : ends[i + 1]]) for i in range(len(at) - 1)]
             n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), batch.column("key"), pa.array(n), pa.array(fingerprints(tokens, ends)), pa.array(vectors, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), batch.column("key"), batch.column("text_id"), pa.array(n), pa.array(fingerprints(tokens, ends)), pa.array(vectors, pa.binary())], names=names)
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if sketch.any():
             parts = [pack_counts(p) for p in sketch.reshape(SKETCH_ROWS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([range(SKETCH_ROWS), [None] * SKETCH_ROWS, [0] * SKETCH_ROWS, [0] * SKETCH_ROWS, parts], types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([range(SKETCH_ROWS), [None] * SKETCH_ROWS, [None] * SKETCH_ROWS, [0] * SKETCH_ROWS, [0] * SKETCH_ROWS, parts], types)], names=names)
 
     return rows
 
@@ -369,11 +369,12 @@ def _verify(width: int, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose texts are similar enough, as edges (u, v). Only texts in some pair are moved."""
+    """The pairs (a, b) of sets whose texts are similar enough, as edges (u, v). Only texts in some pair are moved, found by the hash of
+    the whole text, as keys may be null or stand on several texts."""
     pairs = written(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    needed = written(sets.select("set", "first_key").join(needed, "set"), "needed")
-    texts = docs.select("key", "text").join(needed, docs["key"] == needed["first_key"]).groupBy("set").agg(F.min("text").alias("text"))
+    needed = written(sets.select("set", F.col("first_text").alias("text_id")).join(needed, "set"), "needed")
+    texts = docs.select("text_id", "text").join(needed, "text_id").groupBy("set").agg(F.min("text").alias("text"))
     texts = written(texts, "texts")
     a = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
@@ -383,11 +384,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, per
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) of every row: links are pairs of texts with 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    points = written(docs.mapInArrow(_set_rows(width), "block int, key bigint, n bigint, set bigint, vector binary"), "points")
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
+    points = written(docs.mapInArrow(_set_rows(width), "block int, key bigint, text_id bigint, n bigint, set bigint, vector binary"), "points")
     rows = points.where("block = -1")
     real = rows.where("n > 0")
-    sets = written(real.groupBy("set").agg(F.min("key").alias("first_key"), F.first("n").alias("n"), F.first("vector").alias("vector")), "sets")
+    sets = written(real.groupBy("set").agg(F.min("key").alias("first_key"), F.min("text_id").alias("first_text"), F.first("n").alias("n"), F.first("vector").alias("vector")), "sets")
     n_tokens, entries = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(crowding(points.where("block >= 0"), int(n_tokens)))
     n_buckets = max(spark.sparkContext.defaultParallelism, -(-int(entries) // BUCKET_ENTRIES))

@@ -141,6 +141,15 @@ def test_ngram_join_defined_cases(spark):
     assert sorted((r[0] or 0, r[1], r[2]) for r in ngram_join.similar_documents(repeats).collect()) == [(0, 2, 5), (5, 2, 5), (5, 2, 5), (9, 5 - 4, 9)]
 
 
+def test_ngram_join_links_null_and_repeated_keys(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([f"{c}{i}" for i in range(3)] + [f"{c}{w}" for w in base]) for c in "ab"]
+    other = [" ".join([f"{c}{i}" for i in range(9, 12)] + [f"{c}{w}" for w in base]) for c in "ab"]
+    rows = [(7, near[0]), (None, other[0]), (20, near[1]), (20, "z y x w v u"), (20, "an unrelated text of some more words"), (30, other[1]), (5, "z y x w v u")]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 59, 7), (5, 2, 5), (7, 59, 7), (20, 2, 5), (20, 3, 20), (20, 59, 20), (30, 59, 20)]
+
+
 # op7
 
 
