@@ -4,6 +4,8 @@ A record is a sequence of rows (record_id, chunk_no, ...): no step after the pag
 payload. A payload longer than one chunk becomes a segmented record (WARC-Segment-Number, `continuation` records), so
 that an archive file is a plain sequence of small WARC records which any reader can stream. Every chunk carries the
 SHA-256 of the payload up to and including it; the reader updates one digest per record and compares it chunk by chunk.
+The chunks of a record that runs on in another file are digested in a second pass, sorted. Digests and sizes of the result
+are the reader's own, those of a revisit its response's; a record that is damaged, or refers to none, fails the reading.
 Spark's own text writer and binary reader do the input and output, so the archives can be in any store Spark reaches.
 
 Defined results: a null payload is the empty payload; a null url is written as `urn:record:<id>`; a row without id has
@@ -137,14 +139,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if chunk == 0:
                     running, owner = hashlib.sha256(), (record, 0)
                 kind = fields[b"WARC-Type"].decode()
+                digest = None
                 if owner == (record, chunk):  # the chunk before it stands in this file: one digest runs on
                     running.update(payload)
-                    intact = running.hexdigest() == fields[b"X-Running-Digest"][7:].decode()
+                    digest = running.hexdigest()
+                    intact = digest == fields[b"X-Running-Digest"][7:].decode()
                     owner = (record, chunk + 1)
-                else:  # a file began inside the record: the chunk's own digest holds
+                else:  # a file began inside the record: the chunk's own digest holds, the record's is left to digest_split
                     intact = hashlib.sha256(payload).hexdigest() == fields[b"WARC-Block-Digest"][7:].decode()
                 refers = int(fields[b"WARC-Refers-To"][len("<urn:record:") : -1].rsplit(b":", 1)[0]) if kind == "revisit" else None
-                digest = fields.get(b"WARC-Payload-Digest", b"sha256:")[7:].decode() if kind == "revisit" else fields[b"X-Running-Digest"][7:].decode()
+                if kind == "revisit":  # the digest of the payload it refers to, compared in read_pages
+                    digest = fields.get(b"WARC-Payload-Digest", b"sha256:")[7:].decode()
                 last = kind == "revisit" or b"WARC-Payload-Digest" in fields
                 rows.append((record, chunk, len(payload), digest, last, kind, refers, intact, payload))
                 held += len(payload)
@@ -197,18 +202,65 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(_parse, READ_SCHEMA)
 
 
+def _digest_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted chunks -> the digest of each record, null where a chunk is missing or stands there in two versions."""
+    owner, expected, running, ended = None, 0, hashlib.sha256(), False
+    for batch in batches:
+        ids, digests = [], []
+        for record, chunk, last, payload in zip(*(batch.column(i) for i in range(4))):
+            if record.as_py() != owner:
+                if owner is not None:
+                    ids.append(owner)
+                    digests.append(running.hexdigest() if expected >= 0 and ended else None)
+                owner, expected, running, ended = record.as_py(), 0, hashlib.sha256(), False
+            expected = expected + 1 if chunk.as_py() == expected and not ended else -1
+            running.update(payload.as_buffer())
+            ended = last.as_py()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string())], names=["split_id", "split_digest"])
+    if owner is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([running.hexdigest() if expected >= 0 and ended else None], pa.string())], names=["split_id", "split_digest"])
+
+
+def digest_split(chunks: DataFrame, split: DataFrame) -> DataFrame:
+    """(split_id, split_digest) of the records `split` (record_id), whose chunks stand in several files; one chunk at a time."""
+    parts = chunks.join(split, "record_id", "left_semi").select("record_id", "chunk_no", "last", "payload").distinct()
+    return parts.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(_digest_sorted, "split_id bigint, split_digest string")
+
+
 def summarise(chunks: DataFrame) -> DataFrame:
     """One row per record from its chunks: no chunk needs another one in memory."""
-    copies = F.count_if(F.col("chunk_no") == 0)
     return chunks.groupBy("record_id").agg(
-        copies.alias("n_copies"),
+        F.count_if(F.col("chunk_no") == 0).alias("n_copies"),
         F.expr("sum(chunk_bytes) div count_if(chunk_no = 0)").alias("stored_bytes"),
         F.max(F.when(F.col("last"), F.col("running_digest"))).alias("payload_digest"),
         F.max("refers_to").alias("refers_to"),
         F.when(F.max("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.bool_and("intact").alias("intact"),
-        F.count("*").alias("n_chunks"),
-    ).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).drop("copy")
+        F.bool_or(F.col("running_digest").isNull()).alias("split"),
+    )
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One row per page from the archives alone: size, digest, type and reference."""
+    chunks = read_archives(spark, path)
+    records = written(summarise(chunks.drop("payload")), "warc-records")
+    split = records.where("split").select("record_id")
+    if not split.isEmpty():
+        digests = written(digest_split(chunks, split), "warc-split")
+        records = records.join(digests, records["record_id"] == digests["split_id"], "left").withColumn("payload_digest", F.when(F.col("split"), F.col("split_digest")).otherwise(F.col("payload_digest")))
+        records = written(records.drop("split_id", "split_digest"), "warc-digested")
+    of = records.where("record_type = 'response'").join(records.select(F.col("refers_to").alias("record_id")), "record_id", "left_semi")
+    of = written(of.select(F.col("record_id").alias("of_id"), F.col("stored_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest")), "warc-referred")
+    revisit = F.col("record_type") == "revisit"
+    whole = F.col("intact") & F.col("payload_digest").isNotNull() & (~revisit | F.coalesce(F.col("of_digest") == F.col("payload_digest"), F.lit(False)))
+    damaged = F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id").cast("string")))
+    pages = records.join(of, records["refers_to"] == of["of_id"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n_copies", F.lit(1)))))
+    return pages.select(
+        F.col("record_id").alias("page_id"),
+        F.when(revisit, F.col("of_bytes")).otherwise(F.col("stored_bytes")).alias("payload_bytes"),
+        F.when(F.coalesce(whole, F.lit(False)), F.when(revisit, F.col("of_digest")).otherwise(F.col("payload_digest"))).otherwise(damaged).alias("payload_digest"),
+        "record_type", "refers_to",
+    )
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 100, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -217,11 +269,4 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, min_revisit_by
     path = path or f"{shared_dir(spark)}-warc"
     plan = written(record_plan(pages, "page_id", "html", min_revisit_bytes), "warc-plan")
     write_archives(record_chunks(pages, plan, chunk_bytes=chunk_bytes), path)
-    records = summarise(read_archives(spark, path))
-    sizes = plan.where("refers_to is not null").select(F.col("record_id").alias("revisit_id"), F.col("payload_bytes").alias("revisit_bytes")).distinct()
-    sizes = written(sizes, "warc-revisit-sizes")
-    return records.join(sizes, records["record_id"] == sizes["revisit_id"], "left").select(
-        F.col("record_id").alias("page_id"),
-        F.coalesce("revisit_bytes", "stored_bytes").alias("payload_bytes"),
-        "payload_digest", "record_type", "refers_to",
-    )
+    return read_pages(spark, path)

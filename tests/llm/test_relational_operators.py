@@ -1,5 +1,6 @@
 """op3, op7, op8, op9, op10 and the pipeline against SQL or brute force, plus the defined cases."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -239,6 +240,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert long[3]["running_digest"] == hashlib.sha256(("é" * 2000).encode()).hexdigest()
 
 
+def test_warc_reader_digests_what_it_reads(spark, tmp_path):
+    texts = {1: "long text " * 900, 2: "other", 3: "long text " * 900, 4: "z" * 2500}
+    pages = spark.createDataFrame([(i, "u", t) for i, t in texts.items()], "page_id bigint, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(warc.record_chunks(pages, warc.record_plan(pages, "page_id", "html", 100), chunk_bytes=1000), path, records_per_file=4)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read_pages(spark, path).collect()}
+    assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest(), "revisit" if i == 3 else "response") for i, t in texts.items()}
+    assert warc.read_archives(spark, path).where("running_digest is null").count() > 0  # a record runs on in other files
+    for f in (tmp_path / "w").glob("*.gz"):
+        data = gzip.decompress(f.read_bytes())
+        if b"zzz" in data:
+            f.write_bytes(gzip.compress(data.replace(b"zzz", b"zzy", 1)))
+            (tmp_path / "w" / f".{f.name}.crc").unlink(missing_ok=True)
+            break
+    with pytest.raises(Exception, match="damaged record 4"):
+        warc.read_pages(spark, path).collect()
+
+
 def test_warc_of_nothing(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
