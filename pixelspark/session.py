@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset and the session is local, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='pixelspark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pixelspark-{uuid.uuid4().hex}"
@@ -42,3 +44,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes written steps that nothing reads any more."""
+    for step in steps:
+        jvm = step.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in step.inputFiles()}:
+            if "/pixelspark-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(step.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
