@@ -3,25 +3,27 @@
 The set of a text is its distinct word shingles (64-bit hashes). Tokens are hashed into groups; a set is the point of its
 group counts. Two sets with Jaccard similarity of at least t overlap in t/(1+t) of their summed sizes, and the overlap
 is at most the sum over groups of the smaller count: this bound, for pairs of points and for pairs of tree nodes (by
-their upper corners), prunes; what survives is verified on the texts.
+their upper corners), prunes a descent of the tree against itself; what survives is verified on the whole sets.
 
-How the tree is spread over a cluster:
-* equal sets are one point (a set fingerprint); groups of exact copies of any size cost one point;
-* the first level routes by single coordinates of the finest grouping (one group per token): two sets that are similar
-  enough share one of the n - ceil(t n) + 1 first tokens of each in any fixed order, so a set is sent only to those. The
-  order puts tokens of crowded groups last, from counts over all sets in a table of fixed size, so that a passage or line
-  that many documents share routes only the sets made of little else;
-* routing entries travel packed and are met in buckets; the sets that meet at a token are a block, and equal blocks count once;
-* in a block, an R-tree packed by size and the widest coordinates holds the members' count vectors, and node pairs are
-  pruned by their corners. Large blocks first link their members to one pivot; only members still in different components
-  are then compared with each other, so that a family of near copies costs links in proportion to its size.
+Most points cannot have a partner at all, so three exact tests stand before the tree:
+* support: with partners of at least t n tokens, a set of n must find n // 4 of its first n - ceil(t n) + n // 4 tokens in some
+  other set. Tokens travel as six bytes (hash inside a bucket, place of the set in its batch) and only counts come back;
+* full support: sets left are read again, and at least ceil(t n) of all their tokens must stand in another one of them;
+* routing by single coordinates of the finest grouping (one group per token), rarest first by counts over all sets left: a pair
+  meets at its first common token, at places i and j at most, and can share no more than n - i and m - j tokens. A set is
+  sent to its n - ceil(t n) + 1 rarest tokens, each with the size of the largest partner its place there allows.
 
-Nothing is dropped or capped: the result has exactly the components of all links.
+At every token each set is first tried with one pivot; then only tokens where sets of different components could still be
+partners are open. Their sets are cut into tiles of bounded size; every pair of tiles is joined by a tree, verified there, and
+gives the edges of a spanning forest, so no step holds or makes all pairs of a group.
+
+Nothing is dropped or capped: the result has exactly the components of all links. Sets are told apart by 128-bit
+fingerprints; in the verification a token is its 64-bit hash.
 
 Defined results: a null, empty or blank text has an empty set, size 0, and is its own component; fewer words than a
-shingle make one shingle of the whole sequence; exact copies link; repeated rows of an id share its component; an empty
-table gives no rows. Only key and text are read, so extra columns cannot clash. Null keys keep their row, with the
-component of their set's smallest key.
+shingle make one shingle of the whole sequence; exact copies link; rows that repeat an id are rows of their own, each with
+the component of its text; an empty table gives no rows. Only key and text are read, so extra columns cannot clash. Null keys
+keep their row, with the component of their set's smallest key, and link others as any row does.
 """
 
 from __future__ import annotations
@@ -30,24 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelspark.session import written
+from pixelspark.session import discard, written
 
 from ._graph import components
 from ._text import LOWER, U64, mix64, slices, span_hashes, stream64, words
 
-SKETCH_BITS = 23
-SKETCH_ROWS = 128
-ROW_GROUPS = (1 << SKETCH_BITS) // SKETCH_ROWS  # 65,536: a group of a row is a 16-bit number
-ROUNDS = 1
-SMALL_BLOCK = 16
-LEAF = 32
-TREE_DIMS = 64
-BUCKET_ENTRIES = 400_000
+BATCH_TOKENS, BATCH_SETS, BATCH_ROWS = 1_000_000, 60_000, 200_000
+BUCKET_TOKENS = 2_000_000
+SHARD_TOKENS = 250_000
+TILE_SETS, TILE_TOKENS = 256, 1_000_000
+TREE_DIMS, FANOUT = 64, 8
 CODES = stream64(29, 64)
-FOUND_ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("n", "<i4")])
+SUPPORT = np.dtype([("hash", "<u4"), ("place", "<u2")])
+SHARED = 0xFFFF  # the place of a token that several sets of its batch hold
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,343 +84,456 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def fingerprints(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash per set, whatever the order of its tokens."""
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(tokens ^ CODES[40]))])
-    return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64) * CODES[41]).view(np.int64)
+    """Two 64-bit hashes per set, whatever the order of its tokens: (n, 2)."""
+    sums = []
+    for k in (40, 42):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(tokens ^ CODES[k]))])
+        sums.append(mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U64) * CODES[k + 1]))
+    return np.stack(sums, axis=1).view(np.int64)
+
 
+def enough(overlap, n, m, percent: int):
+    """overlap / (n + m - overlap) >= percent / 100, in integers."""
+    return (100 + percent) * overlap >= percent * (n + m)
 
-def n_groups(n: int) -> int:
-    """Groups of the count vector of a set of n tokens: so many that few unshared tokens meet; powers of two fold into each other."""
-    return int(min(max(TREE_DIMS, 1 << max(n - 1, 0).bit_length()), 1 << 16))
 
+def loose(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of n tokens a partner may lack: n - ceil(percent n / 100)."""
+    return n - (percent * n + 99) // 100
 
-def count_vector(tokens: np.ndarray) -> bytes:
-    g = n_groups(len(tokens))
-    counts = np.bincount((tokens & U64(g - 1)).astype(np.int64), minlength=g)
-    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
 
+def by_bucket(tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bucket, bucket of each run, run starts, run ends). A token's bucket and its hash there are independent bits."""
+    bucket = (tokens & U64(0xFFFFF)) % U64(n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return order, bucket[edge].astype(np.int64), edge, np.append(edge[1:], len(bucket)).astype(np.int64)
 
-def fold(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector.reshape(-1, groups).sum(axis=0)
 
+def hash_in_bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> U64(20)).astype("<u4")
 
-def decode_vector(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u1" if len(data) == n_groups(n) else "<u4").astype(np.int32)
 
+# support
 
-def enough(overlap, n, m, percent: int):
-    """overlap / (n + m - overlap) >= percent / 100, in integers."""
-    return (100 + percent) * overlap >= percent * (n + m)
+ROUTED = "bucket bigint, batch bigint, kind int, data binary"
+ENTRIES, COUNTS, ROWS = range(3)
 
 
-def _set_rows(width: int):
-    """Per text its set's size, fingerprint and count vector; per task, at its end, the token counts by group."""
-    names = ["block", "key", "text_id", "n", "set", "vector"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def pack_rows(arrays: list[np.ndarray]) -> bytes:
+    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+ROW_TYPES = ("<i8", "<u1", "<i8", "<i8", "<u4", "<i8", "<i8", "<i8")  # key, key is valid, text id twice, place of the set; per set fingerprint twice, size
+
+
+def unpack_rows(data: bytes) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(data, "<i8", len(ROW_TYPES)), 8 * len(ROW_TYPES), []
+    for n, kind in zip(sizes, ROW_TYPES):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += int(n) * np.dtype(kind).itemsize
+    return out
+
+
+def _route_support(width: int, percent: int, n_buckets: int):
+    """Texts in batches: per batch and bucket the first tokens of its distinct sets, and one row (bucket < 0) of the batch's keys, texts and sets."""
+
+    def flush(rows: list, sets: list[np.ndarray], sizes: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        marks, n = np.array(sets, np.int64).reshape(-1, 2), np.array(sizes, np.int64)
+        with np.errstate(over="ignore"):
+            batch = int(mix64((marks[:, 0].view(U64) * (np.arange(len(n), dtype=U64) * CODES[44] + CODES[45])).sum(keepdims=True) + U64(len(rows[0])))[0].astype(np.int64)) if len(n) else 0
+        table = pack_rows([*[np.concatenate(c).astype(t) for c, t in zip(rows, ROW_TYPES)], np.ascontiguousarray(marks[:, 0]), np.ascontiguousarray(marks[:, 1]), n])
+        out = [(-1 - (batch & 0xFFFFFFFF), ROWS, table)]
+        if sum(map(len, tokens)):
+            token, place = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            order = np.argsort(token, kind="stable")
+            token, place = token[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            many = np.diff(np.append(first, len(token))) > 1
+            shared = np.repeat(many, np.diff(np.append(first, len(token))))
+            known = np.bincount(place[shared], minlength=len(n))
+            known_at = np.flatnonzero(known)
+            if len(known_at):  # sets of one batch support each other here and now; others learn it from one entry per token
+                out.append((-1 - (batch & 0xFFFFFFFF), COUNTS, known_at.astype("<u2").tobytes() + known[known_at].astype("<u4").tobytes()))
+            entries = np.empty(len(first), SUPPORT)
+            entries["hash"], entries["place"] = hash_in_bucket(token[first]), np.where(many, SHARED, place[first])
+            order, bucket, start, end = by_bucket(token[first], n_buckets)
+            entries = entries[order]
+            out += [(int(b), ENTRIES, entries[i:j].tobytes()) for b, i, j in zip(bucket, start, end)]
+        columns = pa.array([x[0] for x in out], pa.int64()), pa.array([batch] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())
+        return pa.RecordBatch.from_arrays(list(columns), names=["bucket", "batch", "kind", "data"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        held, size = [], 0
+        seen: dict[tuple[int, int], int] = {}
+        held, sets, sizes, chosen, size, n_rows = [[] for _ in range(5)], [], [], [], 0, 0
         for batch, raw, at in slices(batches, "text"):
             tokens, ends = shingle_sets(raw, at, width)
-            held.append((tokens >> U64(64 - SKETCH_BITS)).astype(np.uint32))
-            size += len(tokens)
-            if size > 4_000_000:
-                sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                held, size = [], 0
-            vectors = [count_vector(tokens[ends[i] : ends[i + 1]]) for i in range(len(at) - 1)]
-            n = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), -1, np.int32)), batch.column("key"), batch.column("text_id"), pa.array(n), pa.array(fingerprints(tokens, ends)), pa.array(vectors, pa.binary())], names=names)
-        if held:
-            sketch += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        if sketch.any():
-            parts = [pack_counts(p) for p in sketch.reshape(SKETCH_ROWS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([range(SKETCH_ROWS), [None] * SKETCH_ROWS, [None] * SKETCH_ROWS, [0] * SKETCH_ROWS, [0] * SKETCH_ROWS, parts], types)], names=names)
+            marks, n = fingerprints(tokens, ends), np.diff(ends)
+            for i in range(len(n)):
+                mark = (int(marks[i, 0]), int(marks[i, 1]))
+                place = seen.get(mark)
+                if place is None:
+                    place = seen[mark] = len(sets)
+                    sets.append(mark)
+                    sizes.append(int(n[i]))
+                    take = min(n[i], loose(n[i], percent) + max(1, n[i] // 4))
+                    chosen.append(tokens[ends[i] : ends[i] + take])
+                    size += take
+                held[4].append(np.array([place]))
+            key = batch.column("key")
+            held[0].append(key.fill_null(0).to_numpy())
+            held[1].append(key.is_valid().to_numpy(zero_copy_only=False))
+            held[2].append(batch.column("text_a").to_numpy())
+            held[3].append(batch.column("text_b").to_numpy())
+            n_rows += len(n)
+            if size > BATCH_TOKENS or len(sets) > BATCH_SETS - 10_000 or n_rows > BATCH_ROWS:
+                yield flush(held, sets, sizes, chosen)
+                seen, held, sets, sizes, chosen, size, n_rows = {}, [[] for _ in range(5)], [], [], [], 0, 0
+        if n_rows:
+            yield flush(held, sets, sizes, chosen)
+
+    return rows
+
+
+def _support(table: pa.Table) -> pa.Table:
+    """A bucket's entries -> per batch how many tokens of each set another set holds too. Rows of batches pass."""
+    buckets, batches = table.column("bucket").to_numpy(), table.column("batch").to_numpy()
+    if buckets[0] < 0:
+        return table.select(["batch", "kind", "data"])
+    parts = [np.frombuffer(x.as_buffer(), SUPPORT) for x in table.column("data")]
+    entries, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    order = np.argsort(entries["hash"], kind="stable")
+    hashes, place, of = entries["hash"][order], entries["place"][order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    size = np.diff(np.append(first, len(hashes)))
+    held = (np.repeat(size, size) > 1) & (place != SHARED)
+    out_batch, out_data = [], []
+    pairs, counts = np.unique(of[held] * (1 << 16) + place[held], return_counts=True)
+    of, place = pairs >> 16, pairs & 0xFFFF
+    for k in np.unique(of):
+        mine = slice(np.searchsorted(of, k), np.searchsorted(of, k, "right"))
+        out_batch.append(batches[k])
+        out_data.append(place[mine].astype("<u2").tobytes() + counts[mine].astype("<u4").tobytes())
+    return pa.table({"batch": pa.array(out_batch, pa.int64()), "kind": pa.array([COUNTS] * len(out_batch), pa.int32()), "data": pa.array(out_data, pa.binary())})
+
+
+SUPPORTED = "key bigint, text_a bigint, text_b bigint, set_a bigint, set_b bigint, n bigint, supported boolean"
+
+
+def _gather(percent: int):
+    """A batch's rows and the counts that came back -> its documents, each with its set and whether the set has support."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        held: dict[int, list[bytes]] = {COUNTS: [], ROWS: []}
+        for kind, x in zip(table.column("kind").to_pylist(), table.column("data")):
+            held[kind].append(x.as_py())
+        if not held[ROWS]:
+            raise RuntimeError("a batch of texts came in two versions: its input is not deterministic")
+        out = []
+        for rows in map(unpack_rows, held[ROWS]):  # several, if batches hold the same sets
+            key, valid, text_a, text_b, place, set_a, set_b, n = rows
+            found = np.zeros(len(n), np.int64)
+            for data in held[COUNTS]:
+                k = len(data) // 6
+                np.add.at(found, np.frombuffer(data, "<u2", k), np.frombuffer(data, "<u4", k, 2 * k))
+            good = (found >= np.maximum(1, (percent * n + 99) // 100 // 4)) & (n > 0)
+            out.append(pa.table({
+                "key": pa.array(key, mask=valid == 0), "text_a": pa.array(text_a), "text_b": pa.array(text_b),
+                "set_a": pa.array(set_a[place]), "set_b": pa.array(set_b[place]), "n": pa.array(n[place]), "supported": pa.array(good[place]),
+            }))
+        return pa.concat_tables(out)
 
     return rows
 
 
-def pack_counts(counts: np.ndarray) -> bytes:
-    """The counts above 0 of one row's groups: a width byte, their 16-bit places, the counts."""
-    at = np.flatnonzero(counts)
-    width = 1 if not len(at) or counts.max() < 256 else 4
-    return bytes([width]) + at.astype("<u2").tobytes() + counts[at].astype(f"<u{width}").tobytes()
+# full support and routing
+
 
+def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal texts of a batch once, so that no text comes from a task as often as it stands in the table."""
+    for batch in batches:
+        ids = np.stack([batch.column(c).to_numpy() for c in ("text_a", "text_b")], axis=1)
+        _, first = np.unique(ids, axis=0, return_index=True)
+        yield batch.take(pa.array(np.sort(first)))
 
-def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = data[0]
-    n = (len(data) - 1) // (2 + width)
-    return np.frombuffer(data, "<u2", n, 1), np.frombuffer(data, f"<u{width}", n, 1 + 2 * n)
 
+SHARD = "shard bigint, sets binary, sizes binary, tokens binary"
 
-def _levels(mean: float):
-    """Sums the packed counts of each row of the sketch and gives one byte per group: 0 for ordinary ones, then by half powers of two over twice the mean."""
+
+def _shards(width: int):
+    """Texts -> rows of several sets: their fingerprints, sizes and sorted tokens, numbered by task and place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("vector")):
-                at, counts = unpack_counts(data.as_py())
-                if block not in total:
-                    total[block] = np.zeros(ROW_GROUPS, np.int64)
-                total[block][at] += counts
-        if total:
-            levels = []
-            for counts in total.values():
-                over = counts / mean
-                levels.append(np.where(over > 2, np.minimum(2 * np.log2(np.maximum(over, 1)), 200), 0).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def row() -> pa.RecordBatch:
+            sets, sizes, tokens = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (sets, sizes, tokens)]], names=["shard", "sets", "sizes", "tokens"])
+
+        for _, raw, at in slices(batches, "text", SHARD_TOKENS * 4):
+            tokens, ends = shingle_sets(raw, at, width)
+            held.append((fingerprints(tokens, ends), np.diff(ends), tokens))
+            size += len(tokens)
+            if size > SHARD_TOKENS:
+                yield row()
+                number, held, size = number + 1, [], 0
+        if held:
+            yield row()
 
     return rows
 
 
-def crowding(sketch: DataFrame, n_tokens: int) -> np.ndarray:
-    """One byte per group of tokens, from the counts over all sets; its size is fixed (8 MB)."""
-    mean = max(n_tokens / (1 << SKETCH_BITS), 2.0)
-    out = np.zeros((SKETCH_ROWS, ROW_GROUPS), np.uint8)
-    for row in sketch.select("block", "vector").repartition(SKETCH_ROWS, "block").mapInArrow(_levels(mean), "block int, levels binary").collect():
-        out[row["block"]] = np.frombuffer(row["levels"], np.uint8)
-    return out.ravel()
+def _route_counts(n_buckets: int):
+    """Per shard and bucket the distinct tokens and in how many of the shard's sets each stands."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("tokens")):
+                tokens, counts = np.unique(np.frombuffer(data.as_buffer(), U64), return_counts=True)
+                order, bucket, start, end = by_bucket(tokens, n_buckets)
+                hashes, counts = hash_in_bucket(tokens[order]), np.minimum(counts[order], 0xFFFF).astype("<u2")
+                packed = [hashes[i:j].tobytes() + counts[i:j].tobytes() for i, j in zip(start, end)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([shard] * len(packed), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "shard", "data"])
 
-def _route(width: int, percent: int, shared, n_buckets: int):
-    """Routing entries (token, set, n) of each distinct set of a task, packed by bucket."""
+    return rows
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        entries = np.concatenate(held)
-        bucket = (entries["token"] >> U64(20)) % U64(n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        entries, bucket = entries[order], bucket[order]
-        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        ends = np.append(edge[1:], len(entries))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int64)), pa.array([entries[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary())], names=["bucket", "entries"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = shared.value
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        size = 0
-        for _, raw, at in slices(batches, "text"):
-            tokens, ends = shingle_sets(raw, at, width)
-            sets, n = fingerprints(tokens, ends), np.diff(ends)
-            fresh = np.zeros(len(n), bool)
-            for i in np.flatnonzero(n > 0):
-                if sets[i] not in seen:
-                    seen.add(sets[i])
-                    fresh[i] = True
+def _levels(table: pa.Table) -> pa.Table:
+    """A bucket's tokens -> for each shard a byte per token, in its order: 0 for tokens of one set, else by eighths of powers of two."""
+    hashes, counts = [], []
+    for x in table.column("data"):
+        data = x.as_buffer()
+        k = len(data) // 6
+        hashes.append(np.frombuffer(data, "<u4", k))
+        counts.append(np.frombuffer(data, "<u2", k, 4 * k))
+    _, group = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(group, np.concatenate(counts))
+    level = np.minimum(np.rint(8 * np.log2(total)), 255).astype(np.uint8)[group]
+    ends = np.cumsum([len(h) for h in hashes])
+    levels = [level[e - len(h) : e].tobytes() for h, e in zip(hashes, ends)]
+    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "levels": pa.array(levels, pa.binary())})
+
+
+KEPT = "node bigint, set_a bigint, set_b bigint, n bigint, tokens binary, routes array<struct<token:bigint,reach:bigint>>"
+
+
+def _routes(percent: int, n_buckets: int):
+    """A shard and the levels of its tokens -> its sets with full support, each with its rarest tokens and the largest partner it may meet there."""
+
+    def rows(shards: pa.Table, levels: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(7)]
+        for shard, sets, sizes, data in zip(*(shards.column(c) for c in ("shard", "sets", "sizes", "tokens"))):
+            sets, n, tokens = np.frombuffer(sets.as_buffer(), "<i8").reshape(-1, 2), np.frombuffer(sizes.as_buffer(), "<i8"), np.frombuffer(data.as_buffer(), U64)
+            distinct, group = np.unique(tokens, return_inverse=True)
+            order, bucket, start, end = by_bucket(distinct, n_buckets)
+            level = np.zeros(len(distinct), np.uint8)
+            answer = dict(zip(levels.column("bucket").to_pylist(), levels.column("levels")))
+            for b, i, j in zip(bucket, start, end):
+                level[order[i:j]] = np.frombuffer(answer[int(b)].as_buffer(), np.uint8)
+            level = level[group]
+            begin = np.concatenate([[0], np.cumsum(n)])
             owner = np.repeat(np.arange(len(n)), n)
-            keep = fresh[owner]
-            tokens, owner = tokens[keep], owner[keep]
-            if not len(tokens):
-                continue
-            level = crowded[(tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.argsort(owner * 256 + level, kind="stable")  # tokens are sorted inside a set: order is (level, token)
-            tokens, owner = tokens[order], owner[order]
-            first = np.searchsorted(owner, np.arange(len(n)))
-            rank = np.arange(len(tokens)) - first[owner]
-            need = n - (percent * n + 99) // 100 + 1
-            keep = rank < need[owner]
-            entries = np.empty(int(keep.sum()), FOUND_ENTRY)
-            entries["token"], entries["set"], entries["n"] = tokens[keep], sets[owner[keep]], n[owner[keep]]
-            held.append(entries)
-            size += len(entries)
-            if size > 400_000:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+            full = np.bincount(owner[level > 0], minlength=len(n)) >= n - loose(n, percent)
+            for i in np.flatnonzero(full):
+                own, at = tokens[begin[i] : begin[i + 1]], level[begin[i] : begin[i + 1]]
+                first = np.argsort(at, kind="stable")[: loose(n[i], percent) + 1]  # tokens are sorted: the order is (level, token)
+                rank = np.flatnonzero(at[first] > 0)
+                reach = ((100 + percent) * (n[i] - rank) - percent * n[i]) // percent
+                for column, value in zip(out, ((shard.as_py() << 20) + i, sets[i, 0], sets[i, 1], n[i], own.tobytes(), own[first[rank]].view(np.int64), reach)):
+                    column.append(value)
+        lengths = np.concatenate([[0], np.cumsum([len(x) for x in out[5]])]).astype(np.int32)
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out[5:]]
+        routes = pa.ListArray.from_arrays(pa.array(lengths), pa.StructArray.from_arrays(flat, ["token", "reach"]))
+        return pa.table([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary()), routes], names=["node", "set_a", "set_b", "n", "tokens", "routes"])
 
     return rows
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """The tokens of a bucket at which several sets meet, equal member lists once."""
-    entries = np.concatenate([np.frombuffer(x.as_buffer(), FOUND_ENTRY) for x in table.column("entries")])
-    entries = entries[np.lexsort((entries["set"], entries["token"]))]
-    new = np.ones(len(entries), bool)
-    new[1:] = (entries["token"][1:] != entries["token"][:-1]) | (entries["set"][1:] != entries["set"][:-1])
-    entries = entries[new]
-    first = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]]))
-    size = np.diff(np.append(first, len(entries)))
-    many = np.repeat(size > 1, size)
-    entries, size = entries[many], size[size > 1]
-    if not len(entries):
-        return _block_table(np.zeros(0, np.int64), entries, entries, np.zeros(0, np.int64))
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(entries["set"].view(U64) if entries["set"].flags.c_contiguous else entries["set"].astype(np.int64).view(U64)))])
-    block = mix64(total[first + size] - total[first] + size.astype(U64)).view(np.int64)
-    _, once = np.unique(block, return_index=True)
-    pick = np.zeros(len(size), bool)
-    pick[once] = True
-    rows = np.repeat(pick, size)
-    return _block_table(np.repeat(block, size)[rows], entries[rows], entries[np.repeat(first, size)[rows]], np.repeat(size, size)[rows])
-
-
-def _block_table(block, entries, pivots, size) -> pa.Table:
-    return pa.table({"block": pa.array(block), "set": pa.array(entries["set"].astype(np.int64)), "n": pa.array(entries["n"].astype(np.int64)), "pivot": pa.array(pivots["set"].astype(np.int64)), "pivot_n": pa.array(pivots["n"].astype(np.int64)), "members": pa.array(size.astype(np.int64))})
-
-
-BLOCK_SCHEMA = "block bigint, set bigint, n bigint, pivot bigint, pivot_n bigint, members bigint"
-
-
-def overlap_bound(v: np.ndarray, w: np.ndarray) -> int:
-    """The sum of coordinate minima at the coarser of both groupings."""
-    groups = min(len(v), len(w))
-    return int(np.minimum(fold(v, groups), fold(w, groups)).sum())
-
-
-def tree_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
-    """Pairs of members, with their overlap bound, in different parts that the size and count bounds leave, by an R-tree packed over the members."""
-    low = np.stack([fold(v, TREE_DIMS) for v in vectors])
-    wide = np.argsort(-low.var(axis=0))[:2]
-    _, same, size = np.unique(part, return_inverse=True, return_counts=True)
-    own = np.where(size[same] >= LEAF, same, -1)  # a large part has leaves of its own, which need no comparison with each other
-    leaves, pure = [], []
-    for which in np.unique(own):
-        mine = np.flatnonzero(own == which)
-        slab = mine[np.lexsort((low[mine, wide[0]], n[mine]))]
-        order = np.concatenate([s[np.lexsort((low[s, wide[1]], low[s, wide[0]]))] for s in np.array_split(slab, max(1, int(np.sqrt(len(mine) / LEAF))))])
-        cut = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-        leaves += cut
-        pure += [which] * len(cut)
-    pure = np.array(pure)
-    top = np.stack([low[x].max(axis=0) for x in leaves])
-    least, most = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    for i, a in enumerate(leaves):
-        reach = np.minimum(top[i], top[i:]).sum(axis=1)
-        open_ = enough(reach, least[i], least[i:], percent) & (100 * most[i] >= percent * least[i:]) & (100 * most[i:] >= percent * least[i])
-        if pure[i] >= 0:
-            open_ &= pure[i:] != pure[i]
-        for j in np.flatnonzero(open_) + i:
-            b = leaves[j]
-            bound = np.minimum(low[a][:, None], low[b][None]).sum(axis=2)
-            good = enough(bound, n[a][:, None], n[b][None], percent) & (part[a][:, None] != part[b][None])
-            if i == j:
-                good &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
-            for x, y in zip(*np.nonzero(good)):
-                p, q = a[x], b[y]
-                bound_pq = overlap_bound(vectors[p], vectors[q])
-                if enough(bound_pq, n[p], n[q], percent):
-                    yield p, q, bound_pq
-
-
-def near_pairs(n: np.ndarray, vectors: list[np.ndarray], part: np.ndarray, percent: int, reach: int = 16) -> Iterator[tuple[int, int, int]]:
-    """For each member at most one pair with another part: the greatest bound among its neighbours in the order the tree is packed in."""
-    low = np.stack([fold(v, TREE_DIMS) for v in vectors])
-    order = np.lexsort((low[:, low.var(axis=0).argmax()], n))
-    score, partner = np.full(len(n), -1.0), np.full(len(n), -1)
-    for d in range(1, min(reach, len(order) - 1) + 1):
-        a, b = order[:-d], order[d:]
-        bound = np.minimum(low[a], low[b]).sum(axis=1)
-        good = (part[a] != part[b]) & enough(bound, n[a], n[b], percent)
-        now = np.where(good, bound / (n[a] + n[b] - bound), -1.0)
-        for x, y in ((a, b), (b, a)):
-            better = now > score[x]
-            score[x[better]], partner[x[better]] = now[better], y[better]
-    for x in np.flatnonzero(partner >= 0):
-        y = partner[x]
-        bound = overlap_bound(vectors[x], vectors[y])
-        if enough(bound, n[x], n[y], percent):
-            yield x, y, bound
-
-
-def _candidates(percent: int, how: str):
-    """Block rows -> pairs (a, b) that the bounds leave.
-
-    star: large blocks give only the pairs with their pivot. near: for each member one pair with another part. all: every pair between parts.
+# the tree
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def count_vector(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """How many tokens fall into each group, the groups being a power of two."""
+    return np.bincount((tokens & U64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of coordinate minima in four groups or more to a token."""
+    groups = 1 << max(6, int(4 * min(len(x), len(y)) - 1).bit_length())
+    return int(np.minimum(count_vector(x, groups), count_vector(y, groups)).sum())
+
+
+class CountTree:
+    """An R-tree over count vectors, packed bottom up: nodes of FANOUT children, in the order of size and of the widest coordinates.
+
+    Level 0 holds the points; each level above has the upper corners, and the least and largest sizes and reaches, of its children.
     """
 
-    def pairs(table: pa.Table) -> pa.Table:
-        sets, n = table.column("set").to_numpy(), table.column("n").to_numpy()
-        part = table.column("part").to_numpy()
-        vectors = [decode_vector(v.as_py(), int(k)) for v, k in zip(table.column("vector"), n)]
-        found: list[tuple[int, int]] = []
-        if how == "star" and len(sets) > SMALL_BLOCK:
-            p = int(sets.argmin())
-            for q in range(len(sets)):
-                if q != p and enough(overlap_bound(vectors[p], vectors[q]), n[p], n[q], percent):
-                    found.append((p, q))
-        elif len(sets) > 1:
-            found = [(p, q) for p, q, _ in (near_pairs if how == "near" else tree_pairs)(n, vectors, part, percent)]
-        a, b = (sets[np.array([f[k] for f in found], np.int64)] for k in (0, 1))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return pairs
-
-
-def _verify(width: int, percent: int):
+    def __init__(self, n: np.ndarray, reach: np.ndarray, vectors: np.ndarray):
+        wide = np.argsort(-vectors.var(axis=0))[:2] if len(n) else [0, 0]
+        slabs = np.array_split(np.lexsort((vectors[:, wide[0]], n)), max(1, int(np.sqrt(len(n) / FANOUT))))
+        self.order = np.concatenate([s[np.lexsort((vectors[s, wide[1]], vectors[s, wide[0]]))] for s in slabs])
+        self.levels = [(vectors[self.order], n[self.order], n[self.order], reach[self.order])]
+        while len(self.levels[-1][0]) > 1:
+            top, least, most, far = self.levels[-1]
+            cut = np.arange(0, len(top), FANOUT)
+            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.maximum.reduceat(far, cut)))
+
+
+def tree_pairs(a: CountTree, b: CountTree, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of points (place in a, place in b) that the bounds leave, by descending both trees at once."""
+    depth = max(len(a.levels), len(b.levels)) - 1
+    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while depth >= 0:
+        la, lb = min(depth, len(a.levels) - 1), min(depth, len(b.levels) - 1)
+        top_a, least_a, most_a, far_a = a.levels[la]
+        top_b, least_b, most_b, far_b = b.levels[lb]
+        keep = (least_a[x] <= far_b[y]) & (least_b[y] <= far_a[x])
+        x, y = x[keep], y[keep]
+        good = np.zeros(len(x), bool)
+        for i in range(0, len(x), 4096):  # bounded memory, however many pairs are open
+            s = slice(i, i + 4096)
+            good[s] = enough(np.minimum(top_a[x[s]], top_b[y[s]]).sum(axis=1), least_a[x[s]], least_b[y[s]], percent)
+        x, y = x[good], y[good]
+        if depth == 0:
+            break
+        x, y = _children(x, y, la, lb, min(depth - 1, len(a.levels) - 1), min(depth - 1, len(b.levels) - 1), len(a.levels[max(la - 1, 0)][0]), len(b.levels[max(lb - 1, 0)][0]))
+        depth -= 1
+    yield from zip(a.order[x].tolist(), b.order[y].tolist())
+
+
+def _children(x, y, la: int, lb: int, to_a: int, to_b: int, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    fan_a, fan_b = (FANOUT if la > to_a else 1), (FANOUT if lb > to_b else 1)
+    i, j = np.divmod(np.arange(fan_a * fan_b), fan_b)
+    x, y = (x[:, None] * fan_a + i).ravel(), (y[:, None] * fan_b + j).ravel()
+    there = (x < n_a) & (y < n_b)
+    return x[there], y[there]
+
+
+def _tile(percent: int):
+    """The sets of two tiles of a token -> edges between components, verified, a spanning forest at most."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        node, part, n, reach, side = (table.column(c).to_numpy() for c in ("node", "part", "n", "reach", "side"))
+        tokens = [np.frombuffer(x.as_buffer(), U64) for x in table.column("tokens")]
+        vectors = np.stack([count_vector(t, TREE_DIMS) for t in tokens])
+        up: dict[int, int] = {}
+
+        def root(p: int) -> int:
+            while p in up:
+                p = up[p]
+            return p
+
+        first, second = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        trees = [CountTree(n[s], reach[s], vectors[s]) for s in (first, second)]
+        u, v = [], []
+        for i, j in tree_pairs(*trees, percent):
+            p, q = first[i], second[j]
+            if node[p] == node[q] or (a := root(int(part[p]))) == (b := root(int(part[q]))):
+                continue
+            if enough(overlap_bound(tokens[p], tokens[q]), n[p], n[q], percent) and enough(overlap(tokens[p], tokens[q]), n[p], n[q], percent):
+                up[a] = b
+                u.append(node[p])
+                v.append(node[q])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows
+
+
+def _verify(percent: int):
+    """Pairs with both sets -> edges: the bound first, then the sets."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, at in slices(batches, "text_a"):
-            left, left_at = shingle_sets(raw, at, width)
-            a, b, done = [], [], 0
-            for part, raw_b, at_b in slices(iter([batch]), "text_b"):
-                right, right_at = shingle_sets(raw_b, at_b, width)
-                for i in range(part.num_rows):
-                    x, y = left[left_at[done + i] : left_at[done + i + 1]], right[right_at[i] : right_at[i + 1]]
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    overlap = int((both[1:] == both[:-1]).sum())
-                    if enough(overlap, len(x), len(y), percent):
-                        a.append(part.column("a")[i].as_py())
-                        b.append(part.column("b")[i].as_py())
-                done += part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+                good.append(enough(overlap_bound(x, y), len(x), len(y), percent) and enough(overlap(x, y), len(x), len(y), percent))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose texts are similar enough, as edges (u, v). Only texts in some pair are moved, found by the hash of
-    the whole text, as keys may be null or stand on several texts."""
-    pairs = written(pairs.distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    needed = written(sets.select("set", F.col("first_text").alias("text_id")).join(needed, "set"), "needed")
-    texts = docs.select("text_id", "text").join(needed, "text_id").groupBy("set").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
-    a = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "u bigint, v bigint")
+def open_entries(entries: DataFrame, linked: DataFrame) -> DataFrame:
+    """(token, node, n, reach, part) of the entries that may have a partner of another component at their token.
+
+    A token's extremes over components, and without the component that holds them, tell for each entry whether the others have a
+    set small enough for its reach and a reach large enough for its size; groupings are partial sums, so no group is gathered.
+    """
+    parts = entries.join(linked.hint("merge"), entries["node"] == linked["node"], "left").select("token", entries["node"], "n", "reach", F.coalesce("component", entries["node"]).alias("part"))
+    parts = written(parts, "parts")
+    spread = parts.groupBy("token", "part").agg(F.min("n").alias("least"), F.max("reach").alias("far"))
+    tops = spread.groupBy("token").agg(F.min(F.struct("least", "part")).alias("low"), F.max(F.struct("far", "part")).alias("high"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token", "low", "high")
+    others = spread.join(tops, "token").groupBy("token").agg(
+        F.first("low").alias("low"), F.first("high").alias("high"),
+        F.min(F.when(F.col("part") != F.col("low.part"), F.col("least"))).alias("low_other"), F.max(F.when(F.col("part") != F.col("high.part"), F.col("far"))).alias("high_other"),
+    )
+    smallest = F.when(F.col("part") != F.col("low.part"), F.col("low.least")).otherwise(F.col("low_other"))
+    farthest = F.when(F.col("part") != F.col("high.part"), F.col("high.far")).otherwise(F.col("high_other"))
+    return parts.join(others, "token").where((smallest <= F.col("reach")) & (farthest >= F.col("n"))).select("token", "node", "n", "reach", "part")
+
+
+def tiles(entries: DataFrame) -> DataFrame:
+    """Each token's entries in pairs of tiles (token, tile_a, tile_b), of about TILE_SETS sets and TILE_TOKENS tokens a tile."""
+    size = entries.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("long").alias("n_tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("n_tiles"))
+    cut = entries.join(size, "token").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1)))
+    return cut.withColumn("tile_a", F.least("side", "other")).withColumn("tile_b", F.greatest("side", "other")).drop("other", "n_tiles")
+
+
+def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(key, text_a, text_b, n, component) of every row: its id, the hashes of its text, the size of its set and its component's least id."""
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.select("key", "text", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"))
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n_buckets = min(1 << 20, max(parallel, int(size) // 14 // BUCKET_TOKENS))
+    routed = docs.mapInArrow(_route_support(width, percent, n_buckets), ROUTED)
+    answers = routed.groupBy("bucket").applyInArrow(_support, "batch bigint, kind int, data binary")
+    rows = written(answers.groupBy("batch").applyInArrow(_gather(percent), SUPPORTED), "rows")
+
+    chosen = rows.where("supported").groupBy("set_a", "set_b").agg(F.min(F.struct("text_a", "text_b")).alias("t")).select("t.text_a", "t.text_b")
+    texts = docs.select("text_a", "text_b", "text").mapInArrow(_first_texts, "text_a bigint, text_b bigint, text string")
+    texts = texts.join(chosen.hint("shuffle_hash"), ["text_a", "text_b"]).dropDuplicates(["text_a", "text_b"])
+    shards = written(texts.select("text").mapInArrow(_shards(width), SHARD), "shards")
+    n_tokens = shards.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n")).first()["n"] // 8
+    n_buckets = min(1 << 20, max(parallel, int(n_tokens) // BUCKET_TOKENS))
+    levels = shards.select("shard", "tokens").mapInArrow(_route_counts(n_buckets), "bucket bigint, shard bigint, data binary").groupBy("bucket").applyInArrow(_levels, "shard bigint, bucket bigint, levels binary")
+    kept = written(shards.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(_routes(percent, n_buckets), KEPT), "kept")
+    discard(shards)
+
+    entries = kept.select("node", "n", F.explode("routes").alias("r")).select("node", "n", "r.token", "r.reach")
+    pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", F.col("p.node").alias("u"), F.col("p.n").alias("pivot_n"))
+    fits = (F.col("node") != F.col("u")) & (100 * F.col("n") >= percent * F.col("pivot_n")) & (100 * F.col("pivot_n") >= percent * F.col("n"))
+    pairs = written(entries.join(pivots, "token").where(fits).select("u", F.col("node").alias("v")).distinct(), "pairs")
+    left, right = kept.select(F.col("node").alias("u"), F.col("tokens").alias("tokens_a")), kept.select(F.col("node").alias("v"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tokens_a", "tokens_b")
+    links = written(both.mapInArrow(_verify(percent), "u bigint, v bigint"), "links")
+    linked = written(components(links), "components")
+
+    left_open = written(open_entries(entries, linked), "open")
+    met = tiles(left_open).join(kept.select("node", "tokens").hint("merge"), "node")
+    more = written(met.groupBy("token", "tile_a", "tile_b").applyInArrow(_tile(percent), "u bigint, v bigint"), "more")
+    linked = written(components(links.union(more)), "linked")
+
+    classes = kept.select("node", "set_a", "set_b").join(linked, "node").select("set_a", "set_b", "component")
+    of_set = rows.where("n > 0").groupBy("set_a", "set_b").agg(F.min("key").alias("least"))
+    of_class = written(of_set.join(classes, ["set_a", "set_b"], "left"), "classes")
+    least = of_class.where("component is not null").groupBy("component").agg(F.min("least").alias("class_least"))
+    of_class = written(of_class.join(least, "component", "left").select("set_a", "set_b", F.coalesce("class_least", "least").alias("component")), "by-set")
+    discard(kept, pairs, links, more, left_open)
+    out = rows.join(of_class.hint("merge"), ["set_a", "set_b"], "left")
+    return out.select("key", "text_a", "text_b", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component"))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id) of every row: links are pairs of texts with 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
-    points = written(docs.mapInArrow(_set_rows(width), "block int, key bigint, text_id bigint, n bigint, set bigint, vector binary"), "points")
-    rows = points.where("block = -1")
-    real = rows.where("n > 0")
-    sets = written(real.groupBy("set").agg(F.min("key").alias("first_key"), F.min("text_id").alias("first_text"), F.first("n").alias("n"), F.first("vector").alias("vector")), "sets")
-    n_tokens, entries = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1")), F.lit(0))).first()
-    shared = spark.sparkContext.broadcast(crowding(points.where("block >= 0"), int(n_tokens)))
-    n_buckets = max(spark.sparkContext.defaultParallelism, -(-int(entries) // BUCKET_ENTRIES))
-    routed = docs.mapInArrow(_route(width, percent, shared, n_buckets), "bucket bigint, entries binary")
-    blocks = written(routed.groupBy("bucket").applyInArrow(_blocks, BLOCK_SCHEMA).dropDuplicates(["block", "set"]), "blocks")
-
-    vectors = sets.select("set", "vector")
-    first = blocks.join(vectors, "set").withColumn("part", F.col("set")).groupBy("block").applyInArrow(_candidates(percent, "star"), "a bigint, b bigint")
-    links = written(verified(first, sets, docs, width, percent), "links")
-    linked = written(components(links), "components")
-
-    # large blocks whose members are not yet in one component: first a pair for each member, while that links any, then all that are left
-    how, n_round = "near", 0
-    while True:
-        split = blocks.where(F.col("members") > SMALL_BLOCK).join(linked, blocks["set"] == linked["node"], "left").select("block", "set", "n", F.coalesce("component", "set").alias("part"))
-        open_blocks = written(split.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block"), "open")
-        if open_blocks.isEmpty():
-            break
-        again = written(split.join(open_blocks, "block").join(vectors, "set").groupBy("block").applyInArrow(_candidates(percent, how), "a bigint, b bigint").distinct(), "again")
-        more = None if again.isEmpty() else written(verified(again, sets, docs, width, percent), "more")
-        linking = more is not None and not more.isEmpty()
-        if linking:
-            links = written(links.union(more), "links")
-            linked = written(components(links), "components")
-        if how == "all":  # only this round compares every pair: an empty near round does not end the search
-            break
-        n_round += 1
-        how = "near" if linking and n_round < ROUNDS else "all"
-
-    classes = sets.join(linked, sets["set"] == linked["node"], "left").select("set", "first_key", F.coalesce("component", "set").alias("class"))
-    least = classes.groupBy("class").agg(F.min("first_key").alias("component_id"))
-    by_set = written(classes.join(least, "class").select(F.col("set").alias("of_set"), "component_id"), "classes")
-    out = rows.join(by_set, (rows["set"] == by_set["of_set"]) & (rows["n"] > 0), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    found = similar_texts(docs, key, text, width, percent)
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -116,7 +116,7 @@ def test_ngram_join_links_a_pair_far_apart_in_a_block(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == union_find(sets, links)
 
 
-def test_tree_pairs_keeps_every_similar_pair():
+def tree_cases():
     rng = np.random.default_rng(5)
     sets = []
     for _ in range(12):
@@ -127,10 +127,33 @@ def test_tree_pairs_keeps_every_similar_pair():
             other[hit] = rng.integers(0, 1 << 62, hit.sum()).astype(np.uint64)
             sets.append(np.unique(other))
     n = np.array([len(s) for s in sets])
-    vectors = [ngram_join.decode_vector(ngram_join.count_vector(s), len(s)) for s in sets]
-    got = {tuple(sorted(p[:2])) for p in ngram_join.tree_pairs(n, vectors, np.arange(len(sets)), 75)}
     true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 175 * len(np.intersect1d(sets[a], sets[b])) >= 75 * (n[a] + n[b])}
+    return sets, n, true
+
+
+def test_tree_pairs_keeps_every_similar_pair():
+    sets, n, true = tree_cases()
+    vectors = np.stack([ngram_join.count_vector(s, ngram_join.TREE_DIMS) for s in sets])
+    whole = ngram_join.CountTree(n, 2 * n, vectors)
+    assert len(whole.levels) > 2
+    got = {(a, b) for a, b in ngram_join.tree_pairs(whole, whole, 75) if a < b}
     assert true and true <= got and len(got) < len(sets) ** 2 / 6
+    # trees of different depth
+    few = np.arange(0, len(sets), 31)
+    got = set(ngram_join.tree_pairs(ngram_join.CountTree(n[few], 2 * n[few], vectors[few]), whole, 75))
+    assert {(i, b) for i, f in enumerate(few) for b in range(len(sets)) if (min(f, b), max(f, b)) in true or f == b} <= got
+    assert all(ngram_join.overlap_bound(sets[a], sets[b]) >= ngram_join.overlap(sets[a], sets[b]) for a, b in got)
+
+
+def test_ngram_join_cuts_large_blocks_into_tiles(spark, monkeypatch):
+    """Many chains around one passage: every token is open after the pivots, and its sets fill many tiles."""
+    rows = near_copies()
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 5)
+    monkeypatch.setattr(ngram_join, "open_entries", lambda entries, linked: entries.withColumn("part", F.col("node")).select("token", "node", "n", "reach", "part"))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == union_find(sets, links)
 
 
 def test_ngram_join_defined_cases(spark):
