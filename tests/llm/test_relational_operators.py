@@ -215,6 +215,27 @@ def test_near_duplicates_defined_cases(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_tiny_and_huge_vectors(spark):
+    eye = np.eye(3)
+    rows = [(i, [float(c) * s for c in eye[i % 3]], 0) for i, s in enumerate([1e-200] * 3 + [1e200] * 3 + [5e-324] * 3)]
+    got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()))
+    assert got == [(i, 2, i % 3, i < 3) for i in range(9)]
+
+
+def test_near_duplicates_counts_each_pair_once_over_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 24))
+    x = (base[rng.integers(0, 3, 150)] + rng.normal(size=(150, 24)) * 0.14).astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (y @ y.T >= 0.98) & ~np.eye(150, dtype=bool)
+    monkeypatch.setattr(embed_dedup, "TILE_POINTS", 7)
+    monkeypatch.setattr(embed_dedup, "BUCKET_ROWS", 50)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, scale=6.0).collect()}
+    want = union_find(range(150), np.argwhere(true))
+    assert 150 < true.sum() < 150 * 50 and got == {i: (int(true[i].sum()), want[i]) for i in range(150)}
+
+
 # op8
 
 
