@@ -128,8 +128,8 @@ def url_at(text: str, start: int) -> int:
     return end
 
 
-def run_at(text: str, start: int, allowed: frozenset) -> int:
-    n, end = len(text), start
+def run_at(text: str, start: int, allowed: frozenset, most: int | None = None) -> int:
+    n, end = len(text) if most is None else min(len(text), start + most), start
     while end < n and text[end] in allowed:
         end += 1
     return end
@@ -216,7 +216,7 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, int]]:
                 done[5] = span[1]
                 found.append((5, *span))
         elif kind == "access_key":
-            end = run_at(text, start, WORD)
+            end = run_at(text, start, WORD, 21)  # one more than a key has: cues in a long word cost no walk to its end
             if end - start == 20 and start >= done[6] and (start == 0 or text[start - 1] not in WORD):
                 done[6] = end
                 found.append((6, start, end))

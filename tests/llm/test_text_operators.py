@@ -78,6 +78,25 @@ def test_pii_extra_spans_and_redaction(spark):
     assert "a@b.co" not in got[1]["text"] and got[1]["text"].startswith("mail <EMAIL> go <URL>.")
 
 
+@pytest.mark.parametrize("part", ["AKIA", "iban", "IBAN a", "token", "token=", "http://", "mailto:,", "a@", "a@b.", "+1", "1.", "1 ", "+1(", "password :", "x.", "@", "secret='"])
+def test_pii_is_linear_in_hostile_texts(part):
+    import time
+
+    automaton = pii.build_automaton()
+
+    def took(n):
+        text = part * (n // len(part))
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.find_spans(text, automaton)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    took(1000)
+    assert took(160_000) < 40 * took(20_000) + 0.2  # a square law gives 64 times 8 times as much
+
+
 # op4
 
 
