@@ -40,8 +40,8 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, step).otherwise(F.array().cast("array<double>"))
 
 
-def poisson_count(seed: int, key: Column, cdf: Column, draws: Column) -> Column:
-    """The sum of `draws` Poisson counts with this distribution; the first draw hashes the seed and key alone."""
+def poisson_count(seed: int, key: Column, cdf: Column, draws: Column, u: Column) -> Column:
+    """The sum of `draws` Poisson counts with this distribution; the first draw, at u, hashes the seed and key alone."""
 
     def below(u: Column) -> Column:
         return F.size(F.filter(cdf, lambda c: c < u)).cast("long")
@@ -50,33 +50,40 @@ def poisson_count(seed: int, key: Column, cdf: Column, draws: Column) -> Column:
         return s + below(hash_uniform(F.concat(F.lit(f"{seed}+"), i.cast("string")), key))
 
     rest = F.aggregate(F.sequence(F.lit(2).cast("long"), draws), F.lit(0).cast("long"), more)
-    return below(F.col("mix_u")) + F.when(draws > 1, rest).otherwise(F.lit(0).cast("long"))
+    return below(u) + F.when(draws > 1, rest).otherwise(F.lit(0).cast("long"))
 
 
 def source_rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, temperature: float, epochs: float) -> DataFrame:
-    """(source, rate): mean copies of each document. Without weights, a source's weight is its row count to a power."""
-    sizes = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n"))
+    """(mix_source, rate): mean copies of each document. Without weights, a source's weight is its row count to a power."""
+    sizes = written(docs.groupBy(F.col(source).alias("mix_source")).agg(F.count("*").alias("n")), "mix-sizes")  # one row per source
+    all_n = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
         sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
-        spark = docs.sparkSession
-        given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()] or [(None, 0.0)], "given string, w double")
+        given = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()] or [(None, 0.0)], "given string, w double")
         sizes = sizes.join(given, F.col("mix_source").cast("string").eqNullSafe(F.col("given"))).select("mix_source", "n", "w")
-    sizes = written(sizes, "mix-sizes")  # one row per source
-    all_n = docs.count()
     all_w = sizes.agg(F.sum("w")).first()[0]
     return sizes.select("mix_source", (F.col("w") / F.lit(all_w) * F.lit(all_n) * epochs / F.col("n") if all_w else F.lit(0.0)).alias("rate"))
 
 
+def shuffled(copies: DataFrame, order: str) -> DataFrame:
+    """Range partitions of a hexadecimal hash, sorted inside. The hash is even, so its leading digits give the partition and no sample of the rows is taken first."""
+    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * n
+    return copies.repartitionById(n, F.shiftrightunsigned(place, 32).cast("int")).sortWithinPartitions(order)
+
+
 def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """docs replicated to the target weights, in a global pseudo-random order (range partitions of shuffle_key, sorted inside)."""
     docs = docs.drop("copy_no", "n_copies", "shuffle_key")
-    rates = source_rates(docs, source, weights, temperature, epochs).where("rate > 0").withColumn("mix_draws", F.ceil(F.col("rate") / DRAW_RATE))
-    rates = rates.select("mix_source", "mix_draws", poisson_cdf(F.col("rate") / F.col("mix_draws")).alias("mix_cdf"))
+    names = docs.columns
+    given = docs.toDF(*[f"c{i}" for i in range(len(names))])  # columns of any name are carried along
+    key, source = (F.col(f"c{names.index(c)}") for c in (key, source))
+    rates = source_rates(given.select(source.alias("source")), "source", weights, temperature, epochs).where("rate > 0").withColumn("draws", F.ceil(F.col("rate") / DRAW_RATE))
+    rates = rates.select("mix_source", "draws", poisson_cdf(F.col("rate") / F.col("draws")).alias("cdf"))
     rates = written(rates, "mix-rates")  # a written table: the planner broadcasts it only if it is small
-    u = hash_uniform(seed, F.col(key))
-    counted = docs.join(rates, docs[source].eqNullSafe(rates["mix_source"])).withColumn("mix_u", u)
-    counted = counted.withColumn("n_copies", poisson_count(seed, F.col(key), F.col("mix_cdf"), F.col("mix_draws"))).where("n_copies > 0").drop("mix_cdf", "mix_draws", "mix_u", "mix_source")
+    counted = given.join(rates, source.eqNullSafe(rates["mix_source"])).withColumn("u", hash_uniform(seed, key))
+    counted = counted.withColumn("n_copies", poisson_count(seed, key, F.col("cdf"), F.col("draws"), F.col("u"))).where("n_copies > 0").drop("cdf", "draws", "u", "mix_source")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
-    return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(key.cast("string"), F.lit("")), F.col("copy_no").cast("string"))))
+    return shuffled(copies, "shuffle_key").toDF(*names, "n_copies", "copy_no", "shuffle_key")

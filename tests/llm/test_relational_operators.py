@@ -329,6 +329,11 @@ def test_mixing_defined_cases(spark):
     assert {r["source"] for r in out.select("source").distinct().collect()} <= {"a"}
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     assert mixing.mix_sources(docs, weights={}).count() == 0
+    names = ["mix_cdf", "mix_source", "mix_u", "mix_draws", "c0", "cdf", "u", "draws", "Rate"]
+    clashing = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = mixing.mix_sources(clashing, weights={"a": 1.0}, epochs=3.0)
+    assert out.columns == [*clashing.columns, "n_copies", "copy_no", "shuffle_key"] and out.count() > 0
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(range(len(names)))}
 
 
 def poisson_below(rate, top):
