@@ -265,7 +265,7 @@ def test_image_copies_defined_cases(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     text = "päge " * 50
-    rows = [(1, "u", text), (2, None, text), (3, "u", "short"), (4, "u", "short"), (5, "u\r\nx: y", None), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 40), (7, "u", "é" * 100_000), (8, "u", "z" * 99), (9, "u", "z" * 99), (10, "u", "q" * 100), (11, "u", "q" * 100), (12, "u", "same"), (12, "u", "same"), (None, "u", "no id")]
+    rows = [(1, "u", text), (2, None, text), (3, "u", "short"), (4, "u", "short"), (5, "u\r\nx: y", None), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 40), (7, "u", "é" * 100_000), (8, "u", "z" * 99), (9, "u", "z" * 99), (10, "u", "q" * 100), (11, "u", "q" * 100), (12, "u", "same"), (12, "u", "same"), (None, "u", "no id"), (13, "u", "y" * 10), (13, "u", "y" * 3000), (14, "v", "y" * 3000), (13, "u", "v" * 120)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, record_id string")
     got = sorted(map(tuple, warc.archive_round_trip(pages.drop("record_id"), f"file://{tmp_path}/w", chunk_bytes=1000).collect()))
     first = {}
@@ -278,7 +278,7 @@ def test_warc_round_trip(spark, tmp_path):
             want.append((i, len(body), d, "response" if of == i else "revisit", None if of == i else of))
     assert got == sorted(want)
     chunks = warc.read_archives(spark, f"file://{tmp_path}/w")
-    assert chunks.where("not intact").count() == 0 and chunks.agg(F.max("chunk_bytes")).first()[0] == 1000
+    assert chunks.where("not intact").count() == 0 and chunks.agg(F.max("payload_bytes")).first()[0] == 1000
     long = chunks.where("record_id = 7").orderBy("chunk_no").collect()
     assert len(long) == 200 and b"".join(r["payload"] for r in long).decode() == "é" * 100_000
     assert long[3]["running_digest"] == hashlib.sha256(("é" * 2000).encode()).hexdigest()
@@ -302,6 +302,29 @@ def test_warc_reader_digests_what_it_reads(spark, tmp_path):
         warc.read_pages(spark, path).collect()
 
 
+def test_warc_reader_refuses_cut_and_missing_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} text " * 300) for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
+    warc.archive_round_trip(pages, f"file://{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("*.gz")
+    whole = file.read_bytes()
+    plain = gzip.decompress(whole)
+    assert plain.count(b"\r\nWARC-Date: ") == 20 and plain.count(b"\r\nContent-Type: application/http; msgtype=response\r\n") == 20
+    (tmp_path / "w" / f".{file.name}.crc").unlink(missing_ok=True)
+    unfinished = gzip.zlib.compressobj(9, gzip.zlib.DEFLATED, 31)
+    at_edge = unfinished.compress(plain[: plain.index(b"WARC/1.1", 5000)]) + unfinished.flush(gzip.zlib.Z_SYNC_FLUSH)
+    for data in (whole[: len(whole) // 2], at_edge):
+        file.write_bytes(data)
+        with pytest.raises(Exception, match="cut short"):
+            warc.read_pages(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_warc_revisits_have_a_profile(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "z" * 200) for i in range(3)], "page_id bigint, url string, html string").coalesce(1)
+    warc.archive_round_trip(pages, f"file://{tmp_path}/w")
+    plain = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    assert plain.count(f"\r\nWARC-Profile: {warc.REVISIT_PROFILE}\r\n".encode()) == 2 and plain.count(b"\r\nWARC-Refers-To: <urn:record:0:") == 2
+
+
 def test_warc_of_nothing(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
