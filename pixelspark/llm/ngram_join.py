@@ -537,3 +537,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) of every row: links are pairs of texts with 100 * intersection >= percent * union."""
     found = similar_texts(docs, key, text, width, percent)
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs but those linked, directly or not, with a row of a smaller id. Rows without id or words stay, as do equal rows of one id."""
+    gone = similar_texts(docs, key, text, width, percent).where("key <> component").select("key", "text_a", "text_b").distinct()
+    names = docs.columns
+    given = docs.toDF(*[f"c{i}" for i in range(len(names))])  # clashing column names are safe
+    words = F.col(f"c{names.index(text)}").cast("string")
+    given = given.withColumns({"key": F.col(f"c{names.index(key)}").cast("long"), "text_a": F.xxhash64(words), "text_b": F.xxhash64(F.lit(1), words)})
+    return given.join(gone.hint("shuffle_hash"), ["key", "text_a", "text_b"], "left_anti").drop("key", "text_a", "text_b").toDF(*names)

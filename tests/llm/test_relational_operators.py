@@ -171,6 +171,9 @@ def test_ngram_join_links_null_and_repeated_keys(spark):
     other = [" ".join([f"{c}{i}" for i in range(9, 12)] + [f"{c}{w}" for w in base]) for c in "ab"]
     rows = [(7, near[0]), (None, other[0]), (20, near[1]), (20, "z y x w v u"), (20, "an unrelated text of some more words"), (30, other[1]), (5, "z y x w v u")]
     got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = ngram_join.first_of_each(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, key string, text_a int"))
+    assert kept.columns == ["doc_id", "text", "key", "text_a"]
+    assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in kept.collect()) == [(0, other[0][:4]), (5, "z y "), (7, near[0][:4]), (20, near[1][:4]), (20, "an u")]
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 59, 7), (5, 2, 5), (7, 59, 7), (20, 2, 5), (20, 3, 20), (20, 59, 20), (30, 59, 20)]
 
 
