@@ -144,8 +144,8 @@ def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_image_copies")
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of the images of every hundredth vector, searched among the images of all vectors."""
+    """Edited copies of the images of every hundredth vector, searched among the images of all vectors: how many hold a copy, and the best."""
     vectors = table(spark, sf_dir, "embeddings")
     images = image_copies.frames_of_vectors(vectors)
     queries = image_copies.frames_of_vectors(vectors.where("vec_id % 100 = 0"), edit_step=100)
-    return image_copies.copies(queries, images).select(F.col("query").alias("query_id"), F.col("image").alias("vec_id"), "votes")
+    return image_copies.copy_counts(queries, images).select(F.col("query").alias("query_id"), "n_copies", F.col("best_image").alias("vec_id"), "votes")
