@@ -211,6 +211,66 @@ def test_classifiers_hold_out(spark, name, label, least):
     assert sum(r["predicted"] == r[label] for r in held) / len(held) >= least
 
 
+SCORED = [None, "", "a", "Häßlich ÀB 日本 😀 xyz", "short", "plain words here, some of them TWICE twice", "x" * 300, "once upon a time " * 40, "é" * 500]
+
+
+def scored(spark, scorer, model):
+    shared = spark.sparkContext.broadcast(model)
+    docs = spark.createDataFrame(list(enumerate(SCORED)), "key bigint, text string").coalesce(1)
+    return {r["key"]: r["score"] for r in docs.mapInArrow(scorer(shared), "key bigint, score double").collect()}
+
+
+def test_toxicity_scores_equal_plain_ratios(spark):
+    """n-grams, their document rates and ratios, and the linear score, with dictionaries; only the fitted coefficients are the model's."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["nice", "kind", "bad", "awful", "the", "of", "word", "häßlich"]
+    rows = [(i, " ".join(rng.choice(vocabulary[:6] if i % 2 else vocabulary[2:], 12)), i % 2) for i in range(80)]
+    table, bias = toxicity.fit(rows, rounds=1)
+
+    def grams(text):
+        text = (text or "").lower()
+        return {text[i : i + n] for n in toxicity.SIZES for i in range(len(text) - n + 1)}
+
+    def place(gram):  # where one n-gram alone is hashed to
+        points = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
+        return int(list(toxicity.gram_ids(points, np.array([0, len(points)])))[toxicity.SIZES.index(len(gram))][0])
+
+    y = [r[2] for r in rows]
+    holds = [grams(r[1]) for r in rows]
+    for gram in set().union(*holds):
+        p, q = (sum(gram in h for h, t in zip(holds, y) if t == k) for k in (1, 0))
+        ratio = math.log((p + 0.5) / (sum(y) + 1)) - math.log((q + 0.5) / (len(y) - sum(y) + 1))
+        sure = p + q >= 3 and abs(ratio) >= 2 * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+        assert (table[place(gram)] != 0) == sure and (not sure or np.sign(table[place(gram)]) == np.sign(ratio))  # after one step a weight has its ratio's sign
+    table, bias = toxicity.fit(rows)
+    weights = {i: float(table[i]) for i in np.flatnonzero(table)}
+    for key, score in scored(spark, toxicity._scorer, (table, bias)).items():
+        z = bias + sum(weights.get(i, 0.0) for i in {place(g) for g in grams(SCORED[key])})
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_quality_scores_equal_plain_convolution(spark):
+    """Every window of every chunk in turn, one filter at a time."""
+    rng = np.random.default_rng(7)
+    net = {"embed": rng.normal(size=(256, quality.DIM)), "filters": rng.normal(size=(quality.WIDTH * quality.DIM, quality.FILTERS)) * 0.2, "shift": rng.normal(size=quality.FILTERS), "out": rng.normal(size=2 * quality.FILTERS) * 0.1, "bias": rng.normal(size=1)}
+    net = {k: v.astype(np.float32) for k, v in net.items()}
+    for key, score in scored(spark, quality._scorer, net).items():
+        raw = (SCORED[key] or "").encode()
+        pools, start = [], 0
+        while True:
+            chunk = raw[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = np.full(quality.FILTERS, -np.inf)
+            for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                window = np.concatenate([net["embed"][b] for b in chunk[i : i + quality.WIDTH]])
+                best = np.maximum(best, [float(window @ net["filters"][:, f]) for f in range(quality.FILTERS)])
+            pools.append(np.maximum(best + net["shift"], 0))
+            start += quality.STEP
+            if start + quality.WIDTH - quality.STRIDE >= len(raw):
+                break
+        z = float(np.concatenate([np.max(pools, axis=0), np.mean(pools, axis=0)]) @ net["out"] + net["bias"][0])
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-4
+
+
 @pytest.mark.parametrize("f,label", [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
 def test_classifier_defined_cases(spark, f, label):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (99, 1)], f"doc_id bigint, {label} int")
