@@ -105,7 +105,8 @@ def blob_filter_min(boxes: DataFrame, width: int = 0, height: int = 0, area: int
     return blob_fields(boxes).where((F.col("width") >= width) & (F.col("height") >= height) & (F.col("area") >= area) & (F.col("filled") >= fill)).select(boxes.columns)
 
 
-def largest(boxes: DataFrame, k: int) -> DataFrame:
-    """The k blobs of most pixels of each frame; ties by place."""
+def largest(boxes: DataFrame, k: int | None) -> DataFrame:
+    """The k blobs of most pixels of each frame, or all, with their rank; ties by place."""
     w = Window.partitionBy("frame_id").orderBy(F.desc("pixels"), "min_y", "min_x", "max_y", "max_x")
-    return boxes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = boxes.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

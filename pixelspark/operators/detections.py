@@ -33,11 +33,6 @@ def found(frames: DataFrame, dets: DataFrame, key: str) -> DataFrame:
     return frames.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("found"))
 
 
-def as_vec(dets: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, vec): each frame's rows as one ordered array of structs."""
-    return dets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("vec"))
-
-
 def pose_parameters(dets: DataFrame, cameras: DataFrame, unit: str = "m") -> DataFrame:
     """dets joined to their camera: centre, focal length tan(fov / 2) * cx with fov in radians (as the pose solver takes it) and tag size.
 

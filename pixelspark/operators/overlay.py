@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pixels import PLACE, channel_columns
+from .pixels import PLACE, channel_columns, color_space
 
 
 def line_points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -46,8 +46,10 @@ def rasterize_detections(detections: DataFrame) -> DataFrame:
     return rasterize_lines(detection_edges(detections))
 
 
-def draw_points(canvas: DataFrame, points: DataFrame, color: list[int]) -> DataFrame:
-    """canvas with the pixels of points (frame_id, y, x, seq) in a colour of the canvas's format."""
+def draw_points(canvas: DataFrame, points: DataFrame, color: list[int], source: str | None = None, target: str | None = None) -> DataFrame:
+    """canvas, converted from its format to that of the colour where both are named, with the pixels of points (frame_id, y, x, ...) in the colour."""
+    if source and target:
+        canvas = color_space(canvas, source, target)
     have = channel_columns(canvas)
     hit = points.select(*PLACE).distinct().withColumn("hit", F.lit(True))
     return canvas.join(hit, PLACE, "left").select(*PLACE, *[F.when(F.col("hit"), F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in zip(have, color)])

@@ -99,19 +99,24 @@ def foreground(px: DataFrame) -> DataFrame:
 # resampling
 
 
-def frame_sizes(px: DataFrame) -> DataFrame:
-    return px.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-
-
-def resize(px: DataFrame, width: int, height: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Nearest neighbour: target (x, y) takes the source at (x * W div width, y * H div height)."""
-    grid = (
-        (sizes if sizes is not None else frame_sizes(px))
-        .select("frame_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ty"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("tx"))
-        .select("frame_id", "ty", "tx", idiv(F.col("tx") * F.col("width"), width).alias("x"), idiv(F.col("ty") * F.col("height"), height).alias("y"))
-    )
-    return grid.join(px, PLACE).select("frame_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *channel_columns(px))
+def resize(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Nearest neighbour: target (x, y) takes the source at (x * W div width, y * H div height).
+
+    Turned round, a source pixel gives the targets from ceil(x * width / W) to before ceil((x + 1) * width / W): no join, and
+    one partitioning by frame for its size.
+    """
+    frame = Window.partitionBy("frame_id")
+    sized = px.withColumn("_w", F.max("x").over(frame) + 1).withColumn("_h", F.max("y").over(frame) + 1)
+    up = lambda c, to, size: idiv(c * to + size - 1, size)
+    for c, to, size in (("y", height, "_h"), ("x", width, "_w")):
+        low, high = up(F.col(c), to, F.col(size)), up(F.col(c) + 1, to, F.col(size)) - 1
+        sized = sized.where(low <= high).withColumn(c, F.explode(F.sequence(low, high)))
+    return sized.select("frame_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *channel_columns(px))
+
+
+def resize_yuyv(yuyv: DataFrame, width: int, height: int) -> DataFrame:
+    """As resize, in pixels; the width is rounded up to an even one."""
+    return pack_yuyv(resize(unpack_yuyv(yuyv), width + width % 2, height))
 
 
 def crop(px: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:

@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelspark.functions.geometry import from_euler
 from pixelspark.session import table
 
 
-def px_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8x8 luma frames from the 64 floats of embeddings."""
-    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id as frame_id", "posexplode(embedding) as (pos, v)")
+def px_luma(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
+    """8x8 luma frames from the 64 floats of embeddings; by_frame deals the packed frames out before they become pixels."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id as frame_id", "embedding")
+    e = (e.repartition("frame_id") if by_frame else e).selectExpr("frame_id", "posexplode(embedding) as (pos, v)")
     return e.selectExpr("frame_id", "cast(pos div 8 as int) as y", "cast(pos % 8 as int) as x", "cast(least(255, greatest(0, floor((cast(v as double) + 0.5) * 255))) as int) as c0")
 
 
-def px_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px_luma(spark, sf_dir).where("c0 >= 160")
+def px_mask(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
+    return px_luma(spark, sf_dir, by_frame).where("c0 >= 160")
+
+
+RGB_OF_EVENT = ["cast(cast(round(value * 100) as bigint) % 256 as int) as c0", "cast((user_id * 7) % 256 as int) as c1", "cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2"]
 
 
 def px_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16x16 RGB frames of 256 consecutive events; the last partial frame is left out."""
+    """16x16 RGB frames of 256 consecutive events; the last one is filled up with black pixels."""
     events = table(spark, sf_dir, "events")
-    whole = events.count() // 256
-    return events.where(f"event_id div 256 < {whole}").selectExpr(
-        "event_id div 256 as frame_id", "cast((event_id % 256) div 16 as int) as y", "cast(event_id % 16 as int) as x",
-        "cast(cast(round(value * 100) as bigint) % 256 as int) as c0", "cast((user_id * 7) % 256 as int) as c1", "cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2",
-    )
+    rest = events.agg(F.max("event_id").alias("m")).where("m % 256 < 255").select(F.explode(F.expr("sequence(m + 1, m div 256 * 256 + 255)")).alias("event_id"))
+    filled = events.selectExpr("event_id", *RGB_OF_EVENT).unionByName(rest.selectExpr("event_id", "0 as c0", "0 as c1", "0 as c2"))
+    return filled.selectExpr("event_id div 256 as frame_id", "cast((event_id % 256) div 16 as int) as y", "cast(event_id % 16 as int) as x", "c0", "c1", "c2")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,14 +50,13 @@ def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as frame_id", "encode(text, 'UTF-8') as b")
-    return docs.selectExpr("frame_id", "16 as width", "cast(length(b) div 16 as int) as height", "substring(b, 1, 16 * (length(b) div 16)) as data")
+    """Texts as luma frames of 16 columns; the last row is filled up with zeros."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as frame_id", "encode(text, 'UTF-8') as b").selectExpr("*", "cast((length(b) + 15) div 16 as int) as height")
+    return docs.selectExpr("frame_id", "16 as width", "height", "rpad(b, 16 * height, x'00') as data")
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translation: the first three floats of a vector; rotation: of the next three as roll, pitch and yaw."""
-    from pyspark.sql import functions as F
-
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id as pose_id", "transform(embedding, v -> cast(v as double)) as e")
     angles = [F.element_at("e", i) for i in (4, 5, 6)]
     return e.select("pose_id", F.slice("e", 1, 3).alias("translation"), from_euler(*angles).alias("rotation"), F.slice("e", 4, 3).alias("angles"))
@@ -70,11 +72,13 @@ def cameras(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 CTE = {
     "px_luma": "px_luma as (select vec_id as frame_id, cast((i - 1) // 8 as int) as y, cast((i - 1) % 8 as int) as x, cast(least(255, greatest(0, floor((cast(embedding[i] as double) + 0.5) * 255))) as int) as c0 from embeddings, range(1, 65) t(i))",
     "px_mask": "px_mask as (select * from px_luma where c0 >= 160)",
-    "px_rgb": "px_rgb as (select event_id // 256 as frame_id, cast((event_id % 256) // 16 as int) as y, cast(event_id % 16 as int) as x, cast(cast(round(value * 100) as bigint) % 256 as int) as c0, cast((user_id * 7) % 256 as int) as c1, cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2 from events where event_id // 256 < (select count(*) // 256 from events))",
+    "px_rgb": """filled as (select event_id, cast(cast(round(value * 100) as bigint) % 256 as int) as c0, cast((user_id * 7) % 256 as int) as c1, cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2 from events
+        union all select unnest(range(m + 1, m // 256 * 256 + 256)), 0, 0, 0 from (select max(event_id) as m from events)),
+    px_rgb as (select event_id // 256 as frame_id, cast((event_id % 256) // 16 as int) as y, cast(event_id % 16 as int) as x, c0, c1, c2 from filled)""",
     "ticks": "ticks as (select event_id, concat('cam-', cast(user_id % 8 as varchar)) as stream, epoch_us(ts) as ts_us from events)",
     "topics": "topics as (select concat('/', event_type, '/', cast(user_id % 4 as varchar)) as topic, epoch_us(ts) as ts_us, case when event_id % 11 = 0 then 'int' else 'double' end as type, value from events)",
     "dets": f"dets as ({DETS_SQL})",
-    "text_frames": "text_frames as (select doc_id as frame_id, 16 as width, cast(octet_length(encode(text)) // 16 as int) as height, upper(substr(hex(encode(text)), 1, 32 * (octet_length(encode(text)) // 16))) as data_hex from documents)",
+    "text_frames": "text_frames as (select doc_id as frame_id, 16 as width, cast((octet_length(encode(text)) + 15) // 16 as int) as height, rpad(hex(encode(text)), cast(32 * ((octet_length(encode(text)) + 15) // 16) as int), '0') as data_hex from documents)",
     "cameras": "cameras as (select * from (values " + ", ".join(f"('{s}', {'cast(null as double)' if f is None else f'cast({f!r} as double)'}, {w}, {h}, cast({m!r} as double))" for s, f, w, h, m in CAMERAS) + ") t(stream, fov, width, height, max_fps))",
     "poses": """poses as (select vec_id as pose_id, [t[1], t[2], t[3]] as translation, t[4:6] as angles,
         [cos(t[5]) * cos(t[6]), -cos(t[5]) * sin(t[6]), sin(t[5]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelspark.functions.color import idiv
 from pixelspark.operators import blobs as bl
 from pixelspark.operators import overlay, pixels, topics
-from pixelspark.session import table
+from pixelspark.session import shared_dir, table
 from pixelspark.sources import frames as fr
 
 from . import fixtures as fx
@@ -76,6 +76,15 @@ C = ("c0", "c1", "c2")
 # sources and sinks
 
 
+@query("s1_read_images", cte("px_rgb") + "select * from px_rgb")
+def s1(spark, sf):
+    """Frames written as PNG files, a folder each, and read back as images."""
+    path = f"{shared_dir(spark)}-images"
+    fr.write_png(fx.px_rgb(spark, sf), path)
+    images = fr.read_images(spark, path).where("kind = 'png'")
+    return fr.image_pixels(images, F.regexp_extract("origin", "frame_id=([0-9]+)", 1).cast("bigint"))
+
+
 @query("s2_unpack_frames", cte("text_frames") + """select frame_id, cast(list_sum(list_transform(range(0, length(data_hex) // 2), lambda i: cast('0x' || substr(data_hex, cast(2 * i + 1 as bigint), 2) as int))) as bigint) as total, cast(length(data_hex) // 2 as bigint) as n
     from text_frames where length(data_hex) > 0""")
 def s2(spark, sf):
@@ -180,9 +189,13 @@ query("f4_foreground", cte("px_rgb") + "select * from px_rgb where greatest(c0,
 query("g1_resize", cte("px_rgb") + "select f.frame_id, cast(ty as int) as y, cast(tx as int) as x, c0, c1, c2 from (select distinct frame_id from px_rgb) f, range(0, 7) a(ty), range(0, 10) b(tx), px_rgb p where p.frame_id = f.frame_id and p.x = tx * 16 // 10 and p.y = ty * 16 // 7")(
     lambda s, d: pixels.resize(fx.px_rgb(s, d), 10, 7)
 )
+SQL_RESIZED = """small as (select f.frame_id, ty as y, tx as x, c0, c1, c2 from (select distinct frame_id from pair) f, range(0, 7) a(ty), range(0, 10) b(tx), pair p where p.frame_id = f.frame_id and p.x = tx * 16 // 10 and p.y = ty * 16 // 7)"""
+query("g1_resize_yuyv", cte("px_rgb", more=f"{SQL_PAIRS}, {SQL_RESIZED}") + "select a.frame_id, cast(a.y as int) as y, cast(a.x // 2 as int) as x, a.c0, cast((a.c1 + b.c1) // 2 as int) as c1, b.c0 as c2, cast((a.c2 + b.c2) // 2 as int) as c3 from small a join small b on a.frame_id = b.frame_id and a.y = b.y and a.x + 1 = b.x where a.x % 2 = 0")(
+    lambda s, d: pixels.resize_yuyv(pixels.color_space(fx.px_rgb(s, d), "rgb", "yuyv"), 9, 7)
+)
 query("g2_crop", cte("px_rgb") + "select * from px_rgb where x >= 3 and x < 9 and y >= 2 and y < 20")(lambda s, d: pixels.crop(fx.px_rgb(s, d), 3, 2, 9, 20))
 
-SQL_LINES = """lines as (select l_orderkey as frame_id, l_linenumber as seq, cast(l_quantity as int) as x0, cast(l_partkey % 40 as int) - 5 as y0, cast(l_suppkey % 50 as int) as x1, cast(l_partkey % 37 as int) as y1 from lineitem where l_linenumber <= 2)"""
+SQL_LINES = """lines as (select l_orderkey as frame_id, l_linenumber as seq, cast(l_quantity as int) as x0, cast(l_partkey % 40 as int) - 5 as y0, cast(l_suppkey % 50 as int) as x1, cast(l_partkey % 37 as int) as y1 from lineitem)"""
 SQL_BRESENHAM = """b(frame_id, seq, x1, y1, dx, dy, sx, sy, x, y, e, left_n) as (
     select frame_id, seq, x1, y1, abs(x1 - x0), -abs(y1 - y0), case when x0 < x1 then 1 else -1 end, case when y0 < y1 then 1 else -1 end, x0, y0, abs(x1 - x0) - abs(y1 - y0), greatest(abs(x1 - x0), abs(y1 - y0)) from {src}
     union all
@@ -190,7 +203,7 @@ SQL_BRESENHAM = """b(frame_id, seq, x1, y1, dx, dy, sx, sy, x, y, e, left_n) as
 
 
 def lines(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber <= 2").selectExpr("l_orderkey as frame_id", "l_linenumber as seq", "cast(l_quantity as int) as x0", "cast(l_partkey % 40 as int) - 5 as y0", "cast(l_suppkey % 50 as int) as x1", "cast(l_partkey % 37 as int) as y1")
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey as frame_id", "l_linenumber as seq", "cast(l_quantity as int) as x0", "cast(l_partkey % 40 as int) - 5 as y0", "cast(l_suppkey % 50 as int) as x1", "cast(l_partkey % 37 as int) as y1")
 
 
 query("g3_rasterize_lines", f"with recursive {SQL_LINES}, {SQL_BRESENHAM.format(src='lines')} select frame_id, seq, cast(y as int) as y, cast(x as int) as x from b where left_n > 0 and x >= 0 and y >= 0")(lambda s, d: overlay.rasterize_lines(lines(s, d)))
@@ -202,14 +215,14 @@ def corner_dets(spark, sf):
     return fx.dets(spark, sf).selectExpr("run as frame_id", "seq", "id", "hamming", "cx", "cy", f"{CORNERS} as corners")
 
 
-SQL_EDGES = """k as (select run as frame_id, seq * 4 as seq4, [cx, cy, cx + id, cy + 1, cx + id + 2, cy + 20.7, cx - 3.2, cy + 15] as c from dets where seq = 0),
+SQL_EDGES = """k as (select run as frame_id, seq * 4 as seq4, [cx, cy, cx + id, cy + 1, cx + id + 2, cy + 20.7, cx - 3.2, cy + 15] as c from dets),
     edges as (select frame_id, seq4 + i as seq, cast(trunc(c[2*i+1]) as int) as x0, cast(trunc(c[2*i+2]) as int) as y0, cast(trunc(c[2*((i+1)%4)+1]) as int) as x1, cast(trunc(c[2*((i+1)%4)+2]) as int) as y1 from k, range(0, 4) t(i))"""
 
 
-@query("g4_rasterize_detections", cte("dets", more=f"{SQL_EDGES}, {SQL_BRESENHAM.format(src='edges')}", recursive=True) + "select frame_id, cast(seq % 4 as int) as edge, count(*) as n, cast(sum(y) as bigint) as sum_y, cast(sum(x) as bigint) as sum_x from b where left_n > 0 and x >= 0 and y >= 0 group by frame_id, seq % 4")
+@query("g4_rasterize_detections", cte("dets", more=f"{SQL_EDGES}, {SQL_BRESENHAM.format(src='edges')}", recursive=True) + "select frame_id, cast(seq // 4 as int) as seq, cast(seq % 4 as int) as edge, count(*) as n, cast(sum(y) as bigint) as sum_y, cast(sum(x) as bigint) as sum_x from b where left_n > 0 and x >= 0 and y >= 0 group by frame_id, seq")
 def g4(spark, sf):
-    drawn = overlay.rasterize_detections(corner_dets(spark, sf).where("seq = 0").select("frame_id", "corners"))
-    return drawn.groupBy("frame_id", "edge").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+    drawn = overlay.rasterize_detections(corner_dets(spark, sf).select("frame_id", "seq", "corners"))
+    return drawn.groupBy("frame_id", "seq", "edge").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
 
 
 # windows
@@ -225,7 +238,7 @@ def sql_two_lines(height: int, width: int, source: str, columns: list[str], f: s
 
 
 MEAN = "cast(sum({c}) over w // count({c}) over w as int)"
-query("w1_box_blur", cte("px_luma", more=sql_two_lines(3, 5, "px_luma", ["c0"], MEAN)) + "select * from h")(lambda s, d: pixels.box_blur(pixels.by_frame(fx.px_luma(s, d)), 5, 3))
+query("w1_box_blur", cte("px_luma", more=sql_two_lines(3, 5, "px_luma", ["c0"], MEAN)) + "select * from h")(lambda s, d: pixels.box_blur(fx.px_luma(s, d, by_frame=True), 5, 3))
 query("w1_box_blur_rgb", cte("px_rgb", more=sql_two_lines(3, 3, "px_rgb", list(C), MEAN)) + "select * from h")(lambda s, d: pixels.box_blur(pixels.by_frame(fx.px_rgb(s, d)), 3, 3))
 
 
@@ -238,7 +251,7 @@ def sql_gaussian(along: str, size: int, sigma: float, name: str, source: str) ->
     return f"{name} as (select frame_id, y, x, cast(({total}) // ({norm}) as int) as c0 from {source} window w as (partition by frame_id, {across} order by {along}))"
 
 
-query("w2_gaussian_blur", cte("px_luma", more=sql_gaussian("y", 5, 1.2, "v", "px_luma") + ", " + sql_gaussian("x", 3, 1.2, "h", "v")) + "select * from h")(lambda s, d: pixels.gaussian_blur(pixels.by_frame(fx.px_luma(s, d)), 1.2, 3, 5))
+query("w2_gaussian_blur", cte("px_luma", more=sql_gaussian("y", 5, 1.2, "v", "px_luma") + ", " + sql_gaussian("x", 3, 1.2, "h", "v")) + "select * from h")(lambda s, d: pixels.gaussian_blur(fx.px_luma(s, d, by_frame=True), 1.2, 3, 5))
 
 
 def sql_percentile(size: int, index: int) -> str:
@@ -247,12 +260,12 @@ def sql_percentile(size: int, index: int) -> str:
         from px_luma a join px_luma b on a.frame_id = b.frame_id and b.y between a.y - {half} and a.y + {half} and b.x between a.x - {half} and a.x + {half} group by a.frame_id, a.y, a.x"""
 
 
-query("w3_percentile", cte("px_luma") + sql_percentile(3, 2))(lambda s, d: pixels.percentile_filter(pixels.by_frame(fx.px_luma(s, d)), 3, 3, 2))
-query("w4_median", cte("px_luma") + sql_percentile(3, 4))(lambda s, d: pixels.median_filter(pixels.by_frame(fx.px_luma(s, d)), 3, 3))
-query("w5_erode", cte("px_luma", more=sql_two_lines(3, 3, "px_luma", ["c0"], "min({c}) over w")) + "select * from h")(lambda s, d: pixels.erode(pixels.by_frame(fx.px_luma(s, d)), 3, 3))
-query("w5_dilate", cte("px_luma", more=sql_two_lines(5, 3, "px_luma", ["c0"], "max({c}) over w")) + "select * from h")(lambda s, d: pixels.dilate(pixels.by_frame(fx.px_luma(s, d)), 3, 5))
+query("w3_percentile", cte("px_luma") + sql_percentile(3, 2))(lambda s, d: pixels.percentile_filter(fx.px_luma(s, d, by_frame=True), 3, 3, 2))
+query("w4_median", cte("px_luma") + sql_percentile(3, 4))(lambda s, d: pixels.median_filter(fx.px_luma(s, d, by_frame=True), 3, 3))
+query("w5_erode", cte("px_luma", more=sql_two_lines(3, 3, "px_luma", ["c0"], "min({c}) over w")) + "select * from h")(lambda s, d: pixels.erode(fx.px_luma(s, d, by_frame=True), 3, 3))
+query("w5_dilate", cte("px_luma", more=sql_two_lines(5, 3, "px_luma", ["c0"], "max({c}) over w")) + "select * from h")(lambda s, d: pixels.dilate(fx.px_luma(s, d, by_frame=True), 3, 5))
 SQL_RUNS = "runs as (select frame_id, y, cast(min(x) as int) as x0, cast(max(x) + 1 as int) as x1 from (select frame_id, y, x, x - row_number() over (partition by frame_id, y order by x) as g from px_mask) group by frame_id, y, g)"
-query("w6_runs", cte("px_mask", more=SQL_RUNS) + "select * from runs")(lambda s, d: bl.runs(pixels.by_frame(fx.px_mask(s, d))))
+query("w6_runs", cte("px_mask", more=SQL_RUNS) + "select * from runs")(lambda s, d: bl.runs(fx.px_mask(s, d, by_frame=True)))
 
 # blobs
 
@@ -268,16 +281,16 @@ def sql_blobs(tail: str, more: str = "") -> str:
 
 
 def mask_blobs(spark, sf):
-    return bl.blobs(pixels.by_frame(fx.px_mask(spark, sf)))
+    return bl.blobs(fx.px_mask(spark, sf, by_frame=True))
 
 
 query("j5_touching_runs", cte("px_mask", more=SQL_RUNS) + "select a.frame_id, a.y, a.x0, a.x1, b.x0 as u0, b.x1 as u1 from runs a join runs b on a.frame_id = b.frame_id and a.y = b.y + 1 and a.x0 <= b.x1 and b.x0 <= a.x1")(
-    lambda s, d: (lambda r: r.join(r.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1")), ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1"))(bl.runs(pixels.by_frame(fx.px_mask(s, d))))
+    lambda s, d: (lambda r: r.join(r.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1")), ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1"))(bl.runs(fx.px_mask(s, d, by_frame=True)))
 )
 query("a8_blobs", sql_blobs("select * from blobs"))(mask_blobs)
-query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.iterative_blobs(bl.runs(pixels.by_frame(fx.px_mask(s, d)))))
+query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.iterative_blobs(bl.runs(fx.px_mask(s, d, by_frame=True))))
 query("a7_box_union", sql_blobs("select frame_id, min(min_x) as min_x, max(max_x) as max_x, min(min_y) as min_y, max(max_y) as max_y, cast(sum(pixels) as bigint) as pixels from blobs group by frame_id"))(
-    lambda s, d: bl.boxes_of(bl.runs(pixels.by_frame(fx.px_mask(s, d))).withColumn("label", F.lit(0)))
+    lambda s, d: bl.boxes_of(bl.runs(fx.px_mask(s, d, by_frame=True)).withColumn("label", F.lit(0)))
 )
 query("p18_blob_fields", sql_blobs("select *, max_x - min_x as width, max_y - min_y as height, cast((max_x - min_x) * (max_y - min_y) as bigint) as area, pixels / ((max_x - min_x) * (max_y - min_y)) as filled from blobs"))(lambda s, d: bl.blob_fields(mask_blobs(s, d)))
 query("f5_blob_filter", sql_blobs("select * from blobs where max_x - min_x between 2 and 7 and pixels >= 3 and (max_y - min_y) / (max_x - min_x) between 0.5 and 2.0 and pixels / ((max_x - min_x) * (max_y - min_y)) >= 0.4"))(
@@ -302,20 +315,45 @@ def j3(spark, sf):
     return overlay.draw_points(px, overlay.rasterize_lines(element), [255, 0, 10])
 
 
-@query("j4_draw_boxes", sql_blobs("""select p.frame_id, p.y, p.x, cast(case when k.fill is null then p.c0 when k.border then 200 else trunc(p.c0 * (1 - k.fill) + 200 * k.fill) end as int) as c0 from px_luma p left join k on k.frame_id = p.frame_id and k.x = p.x and k.y = p.y""",
-    """, big as (select * from blobs qualify row_number() over (partition by frame_id order by pixels desc, min_y, min_x, max_y, max_x) = 1),
-    k as (select p.frame_id, p.y, p.x, pixels / ((max_x - min_x) * (max_y - min_y)) as fill, p.x = min_x or p.x = max_x - 1 or p.y = min_y or p.y = max_y as border from px_luma p join big b on p.frame_id = b.frame_id and p.x >= min_x and p.x < max_x and p.y between min_y and max_y)"""))
+@query("j3_draw_on_converted_canvas", cte("px_rgb", more=f"lines as (select frame_id, 0 as seq, 1 as x0, 2 as y0, 14 as x1, cast(frame_id % 16 as int) as y1 from (select distinct frame_id from px_rgb)), {SQL_BRESENHAM.format(src='lines')}, d as (select distinct frame_id, x, y from b where left_n > 0), q as ({select_sql(sql_hsv(*C))})", recursive=True)
+    + "select p.frame_id, p.y, p.x, case when d.x is null then c0 else 20 end as c0, case when d.x is null then c1 else 200 end as c1, case when d.x is null then c2 else 250 end as c2 from q p left join d on d.frame_id = p.frame_id and d.x = p.x and d.y = p.y")
+def j3_converted(spark, sf):
+    px = fx.px_rgb(spark, sf)
+    element = px.select("frame_id").distinct().selectExpr("frame_id", "0 as seq", "1 as x0", "2 as y0", "14 as x1", "cast(frame_id % 16 as int) as y1")
+    return overlay.draw_points(px, overlay.rasterize_lines(element), [20, 200, 250], "rgb", "hsv")
+
+
+SQL_ELEMENTS = """lines as (select frame_id, cast(i as int) as seq, cast(i * 3 as int) as x0, 2 as y0, cast((frame_id + 5 * i) % 16 as int) as x1, 15 as y1 from (select distinct frame_id from px_rgb), range(0, 4) t(i))"""
+
+
+@query("j3_draw_colored_points", cte("px_rgb", more=f"{SQL_ELEMENTS}, {SQL_BRESENHAM.format(src='lines')}, d as (select frame_id, x, y, max(seq) as seq from b where left_n > 0 group by all)", recursive=True)
+    + "select p.frame_id, p.y, p.x, coalesce(seq * 60, c0) as c0, coalesce(255 - seq * 60, c1) as c1, case when d.x is null then c2 else 7 end as c2 from px_rgb p left join d on d.frame_id = p.frame_id and d.x = p.x and d.y = p.y")
+def j3_colored(spark, sf):
+    """Four lines a frame that cross, each in a colour of its own: the last one wins."""
+    px = fx.px_rgb(spark, sf)
+    elements = px.select("frame_id").distinct().selectExpr("frame_id", "explode(sequence(0, 3)) as seq").selectExpr("frame_id", "seq", "seq * 3 as x0", "2 as y0", "cast((frame_id + 5 * seq) % 16 as int) as x1", "15 as y1")
+    points = overlay.rasterize_lines(elements).withColumn("color", F.expr("array(seq * 60, 255 - seq * 60, 7)"))
+    return overlay.draw_colored_points(px, points)
+
+
+@query("j4_draw_boxes", sql_blobs("""select p.frame_id, p.y, p.x, coalesce(c, p.c0) as c0 from px_luma p left join (select frame_id, y, x, arg_max(c, i) as c from fold group by all) r on r.frame_id = p.frame_id and r.y = p.y and r.x = p.x""",
+    """, ranked as (select *, row_number() over (partition by frame_id order by pixels desc, min_y, min_x, max_y, max_x) as seq from blobs),
+    k as (select p.frame_id, p.y, p.x, c0, row_number() over (partition by p.frame_id, p.y, p.x order by seq) as i, 40 + 25 * (seq % 8) as color, pixels / ((max_x - min_x) * (max_y - min_y)) as fill, p.x = min_x or p.x = max_x - 1 or p.y = min_y or p.y = max_y as border
+        from px_luma p join ranked b on p.frame_id = b.frame_id and p.x >= min_x and p.x < max_x and p.y between min_y and max_y),
+    fold(frame_id, y, x, i, c) as (select frame_id, y, x, 0, c0 from k where i = 1 union all
+        select k.frame_id, k.y, k.x, k.i, cast(case when border or fill >= 1 then color else trunc(c * (1 - fill) + color * fill) end as int) from fold f join k on k.frame_id = f.frame_id and k.y = f.y and k.x = f.x and k.i = f.i + 1)"""))
 def j4(spark, sf):
-    boxes = bl.blob_fields(bl.largest(mask_blobs(spark, sf), 1)).selectExpr("frame_id", "0 as seq", "min_x", "max_x", "min_y", "max_y", "filled as fill", "array(200) as color")
-    return overlay.draw_boxes(fx.px_luma(spark, sf), boxes)
+    """All blobs' boxes, which overlap, drawn from the largest down, each in a colour of its rank."""
+    ranked = bl.blob_fields(bl.largest(mask_blobs(spark, sf), None))
+    return overlay.draw_boxes(fx.px_luma(spark, sf), ranked.selectExpr("frame_id", "rank as seq", "min_x", "max_x", "min_y", "max_y", "filled as fill", "array(40 + 25 * (rank % 8)) as color"))
 
 
 # flagship
 
 
-def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coloured objects of each frame as topic rows: found count and the largest object's place and size."""
-    px = pixels.by_frame(fx.px_rgb(spark, sf_dir))
+def tracked(px: DataFrame) -> DataFrame:
+    """Coloured objects of each whole frame of px as topic rows: found count and the largest object's place and size."""
+    px = pixels.by_frame(px)
     mask = pixels.color_filter(px, "rgb", "hsv", [0, 40, 60], [255, 255, 255])
     boxes = bl.blob_filter(bl.blobs(mask), pixels=(4, None))
     per_frame = boxes.groupBy("frame_id").agg(F.count("*").alias("found"), F.max("pixels").alias("largest"), F.max_by(F.struct("min_x", "min_y"), F.struct("pixels", "min_y", "min_x")).alias("at"))
@@ -323,6 +361,10 @@ def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.publish(rows, ["ts_us", "stream", "stream_id"], ["found", "largest", "x", "y"], "%N/tracked")
 
 
+def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracked(fx.px_rgb(spark, sf_dir))
+
+
 SQL_TRACK = f"""q as ({select_sql(sql_hsv(*C))}), m as (select frame_id, y, x, y * 16 + x as p from q where c1 >= 40 and c2 >= 60),
     reach(frame_id, p, q) as (select frame_id, p, p from m union
         select r.frame_id, r.p, b.p from reach r join m a on a.frame_id = r.frame_id and a.p = r.q join m b on b.frame_id = a.frame_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1),

@@ -22,8 +22,45 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return sniffed.join(decoded, "place", "left").select("origin", "kind", "width", "height", F.col("nChannels").alias("n_channels"), "data")
 
 
+def _hex(n: Column, digits: int) -> Column:
+    return F.lpad(F.hex(n), digits, "0")
+
+
+def _chunk(kind: str, body: Column) -> Column:
+    """A PNG chunk in hexadecimal digits: length, type, body, checksum."""
+    named = F.concat(F.lit(kind.encode().hex().upper()), body)
+    return F.concat(_hex(F.length(body) / 2, 8), named, _hex(F.crc32(F.unhex(named)), 8))
+
+
+def png_frames(rgb: DataFrame) -> DataFrame:
+    """(frame_id, png): each whole rgb frame as an uncompressed PNG file. The checksum of its bytes comes from sums over its pixels."""
+    total = F.col("c0") + F.col("c1") + F.col("c2")
+    placed = F.col("c0") + 2 * F.col("c1") + 3 * F.col("c2") + 3 * F.col("x") * total  # by place after the row's filter byte
+    code = F.concat(F.when(F.col("x") == 0, "00").otherwise(""), *[_hex(c, 2) for c in ("c0", "c1", "c2")])
+    rows = rgb.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", code.alias("code")))), lambda s: s["code"]), "").alias("raw"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sum(total).alias("s"), F.sum(F.col("y") * total).alias("sy"), F.sum(placed).alias("sx"))
+    n = F.length("raw") / 2
+    rows = rows.withColumn("n", n.cast("long")).withColumn("last", F.expr("cast((n - 1) div 65535 as int)"))
+    # The deflate format's stored blocks (at most 65,535 bytes) and its checksum's modulus, the PNG signature and header.
+    swapped = lambda v: F.concat(F.substring(_hex(v, 4), 3, 2), F.substring(_hex(v, 4), 1, 2))
+
+    def block(k: Column) -> Column:
+        part = F.substr("raw", k * 131070 + 1, F.lit(131070))
+        size = (F.length(part) / 2).cast("int")
+        return F.concat(F.when(k == F.col("last"), "01").otherwise("00"), swapped(size), swapped(65535 - size), part)
+
+    sums = _hex((F.col("n") + F.col("n") * F.col("s") - (1 + 3 * F.col("w")) * F.col("sy") - F.col("sx")) % 65521, 4), _hex((1 + F.col("s")) % 65521, 4)
+    body = F.concat(F.lit("7801"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), block), ""), *sums)
+    head = F.concat(_hex(F.col("w"), 8), _hex(F.col("h"), 8), F.lit("0802000000"))
+    return rows.select("frame_id", F.unhex(F.concat(F.lit("89504E470D0A1A0A"), _chunk("IHDR", head), _chunk("IDAT", body), _chunk("IEND", F.lit("")))).alias("png"))
+
+
+def write_png(rgb: DataFrame, path: str) -> None:
+    """A folder frame_id=<id> with one PNG file for each frame."""
+    png_frames(rgb).select("frame_id", F.col("png").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("frame_id").text(path)
+
+
 def byte_at(data: Column, i: Column) -> Column:
-    return F.conv(F.hex(F.substr(data, i + 1, F.lit(1))), 16, 10).cast("int")
+    return F.ascii(F.decode(F.substr(data, i + 1, F.lit(1)), "ISO-8859-1"))
 
 
 def image_pixels(images: DataFrame, frame_id: Column) -> DataFrame:
