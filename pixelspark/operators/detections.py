@@ -11,8 +11,33 @@ from pixelspark.functions import geometry as g
 TAG_SIZES = {"in": 6.5, "m": 0.1651, "cm": 16.51}
 
 
+def fields(column: str, names: list[str]) -> list:
+    """The first elements of an array column under names of their own."""
+    return [F.element_at(column, i + 1).alias(n) for i, n in enumerate(names)]
+
+
+def vector_fields(df: DataFrame, keys: list[str], vec: str | None = None, quat: str | None = None, line: str | None = None, values: str | None = None, text: str | None = None) -> DataFrame:
+    """keys, and of each named column its parts: x, y, z of a vector; qx .. qw of a quaternion; x0, y0, x1, y1 of a line; v0 .. v11 of a tuple,
+    null beyond its end, and its length; the length of a text in bytes."""
+    out = [F.col(k) for k in keys]
+    for column, names in ((vec, ["x", "y", "z"]), (quat, ["qx", "qy", "qz", "qw"]), (line, ["x0", "y0", "x1", "y1"])):
+        out += fields(column, names) if column else []
+    if values:
+        out += [*[F.get(values, F.lit(i)).alias(f"v{i}") for i in range(12)], F.size(values).alias("len")]
+    if text:
+        out.append(F.octet_length(text).alias("text_len"))
+    return df.select(*out)
+
+
+def inner(df: DataFrame, keys: list[str], held: str) -> DataFrame:
+    """keys and the fields of the struct that a shared value holds."""
+    return df.select(*keys, f"{held}.*")
+
+
 def detection_fields(dets: DataFrame) -> DataFrame:
-    """cx, cy and p0x .. p3y from center (2 doubles) and corners (8 doubles)."""
+    """cx, cy and p0x .. p3y from center (2 doubles) and corners (8 doubles), and h0 .. h8 of a homography (9 doubles) where there is one."""
+    if "homography" in dets.columns:
+        dets = dets.select("*", *fields("homography", [f"h{i}" for i in range(9)]))
     out = dets.withColumn("cx", F.element_at("center", 1)).withColumn("cy", F.element_at("center", 2))
     for i in range(4):
         out = out.withColumn(f"p{i}x", F.element_at("corners", 2 * i + 1)).withColumn(f"p{i}y", F.element_at("corners", 2 * i + 2))
@@ -60,9 +85,9 @@ def match_detections(expected: DataFrame, got: DataFrame, tolerance: float = 1.0
 
 
 def pose_features(poses: DataFrame) -> DataFrame:
-    """Quaternion, Euler angles, determinant and scale of each pose (pose_id, translation, rotation)."""
+    """Quaternion, Euler angles, determinant and scale of each pose (pose_id, translation, rotation), and its error where it has one."""
     r = F.col("rotation")
-    return poses.select("pose_id", g.to_quat(r).alias("quat"), g.to_euler(r).alias("euler"), g.det(r).alias("det"), g.scale(r).alias("scale"), g.length(F.col("translation")).alias("distance"))
+    return poses.select("pose_id", *[c for c in ("error",) if c in poses.columns], g.to_quat(r).alias("quat"), g.to_euler(r).alias("euler"), g.det(r).alias("det"), g.scale(r).alias("scale"), g.length(F.col("translation")).alias("distance"))
 
 
 def transform_points(points: DataFrame, poses: DataFrame) -> DataFrame:

@@ -1,53 +1,143 @@
-"""Frame rates and throttling over ticks (stream, ts_us)."""
+"""Frame rates and throttling over ticks (stream, ts_us).
+
+A stream may hold most ticks of a table, so nothing here orders a whole stream in one task: ticks are dealt out by stream and
+time bucket, a bucket sees the ticks of the bucket before it where a window reaches back, and what crosses buckets is one
+small row per bucket.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET_US = 3_600_000_000
+CHUNK_GAPS = 256
+
 
-def _ordered(stream: str = "stream"):
-    return Window.partitionBy(stream).orderBy("ts_us")
+def _bucketed(ticks: DataFrame, bucket_us: int, halo: bool = False) -> DataFrame:
+    """ticks with their time bucket; with halo each one also stands, marked, in the bucket after its own."""
+    own = F.expr(f"cast(floor(ts_us / {bucket_us}) as bigint)")
+    if not halo:
+        return ticks.withColumn("_bucket", own)
+    return ticks.withColumn("_halo", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_bucket", own + F.col("_halo").cast("int"))
 
 
-def intervals(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(_ordered()))
+def intervals(ticks: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+    """gap_us: the time since the stream's tick before; null at its first. A bucket's first tick looks to the last of the bucket before that has any."""
+    cut = _bucketed(ticks, bucket_us)
+    ends = cut.groupBy("stream", "_bucket").agg(F.max("ts_us").alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("stream").orderBy("_bucket"))).select("stream", "_bucket", "_before")  # a row per bucket
+    w = Window.partitionBy("stream", "_bucket").orderBy("ts_us")
+    joined = cut.join(before, ["stream", "_bucket"]).withColumn("gap_us", F.col("ts_us") - F.coalesce(F.lag("ts_us").over(w), F.col("_before")))
+    return joined.select(*ticks.columns, "gap_us")
 
 
 def rolling_fps(ticks: DataFrame, window_us: int = 10_000_000) -> DataFrame:
     """fps at each tick: ticks in (ts - window, ts] inclusive of the edge, over the elapsed time up to the window; null at a stream's first tick."""
-    near = _ordered().rangeBetween(-window_us, 0)
-    first = F.min("ts_us").over(Window.partitionBy("stream").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, 0))
-    elapsed = F.least(F.lit(window_us), F.col("ts_us") - first)
-    return ticks.withColumn("fps", F.count("*").over(near) / F.nullif(elapsed, F.lit(0)) * 1e6)
+    cut = _bucketed(ticks, window_us, halo=True)
+    near = Window.partitionBy("stream", "_bucket").orderBy("ts_us").rangeBetween(-window_us, 0)
+    counted = cut.withColumn("_n", F.count("*").over(near)).where("not _halo")
+    first = ticks.groupBy("stream").agg(F.min("ts_us").alias("_first"))  # a row per stream
+    elapsed = F.least(F.lit(window_us), F.col("ts_us") - F.col("_first"))
+    return counted.join(first, "stream").withColumn("fps", F.col("_n") / F.nullif(elapsed, F.lit(0)) * 1e6).select(*ticks.columns, "fps")
 
 
 def fps_extremes(ticks: DataFrame, window_us: int = 10_000_000) -> DataFrame:
-    """fps_min and fps_max: one over the longest and the shortest gap between ticks inside the window; 0 for under two ticks or a zero gap."""
-    seen = ticks.withColumn("_t", F.sort_array(F.collect_list("ts_us").over(_ordered().rangeBetween(-window_us, 0))))
-    gaps = F.zip_with(F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))), lambda b, a: b - a)
-    rate = lambda gap: F.when(gap > 0, 1e6 / gap).otherwise(F.lit(0.0))
-    return seen.withColumn("_g", gaps).withColumn("fps_min", F.coalesce(rate(F.array_max("_g")), F.lit(0.0))).withColumn("fps_max", F.coalesce(rate(F.array_min("_g")), F.lit(0.0))).drop("_t", "_g")
+    """fps_min and fps_max: one over the longest and the shortest gap between ticks inside the window; 0 for under two ticks or a zero gap.
+
+    A gap stands at the tick it begins at: those that begin inside the window, before its last time, end inside it too.
+    """
+    w = Window.partitionBy("stream", "_bucket").orderBy("ts_us")
+    inside, peers = w.rangeBetween(-window_us, -1), w.rangeBetween(0, 0)
+    cut = _bucketed(ticks, window_us, halo=True).withColumn("_gap", F.lead("ts_us").over(w) - F.col("ts_us"))
+    tie = F.when(F.count("*").over(peers) > 1, F.lit(0))
+    seen = cut.withColumn("_longest", F.coalesce(F.max("_gap").over(inside), tie)).withColumn("_shortest", F.coalesce(tie, F.min("_gap").over(inside))).where("not _halo")
+    rate = lambda gap: F.coalesce(F.when(gap > 0, 1e6 / gap), F.lit(0.0))
+    return seen.select(*ticks.columns, rate(F.col("_longest")).alias("fps_min"), rate(F.col("_shortest")).alias("fps_max"))
 
 
 def fps_pretty(low: Column, high: Column, fps: Column) -> Column:
     return F.format_string("%.2f/%.2f/%.2f FPS", low, high, fps)
 
 
+def following(t: np.ndarray, min_gap_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted times the place of the next one a gap later (len(t) for none), and of the last one that steps of these lead to."""
+    after = np.searchsorted(t, t + min_gap_us)
+    last = np.where(after < len(t), after, np.arange(len(t)))
+    while (further := last[last]).tolist() != last.tolist():  # each round squares the steps taken
+        last = further
+    return after, last
+
+
+def _entries(chunk_us: int, min_gap_us: int):
+    """A chunk's times -> those at which a throttled stream can enter it, and the last time it keeps in the chunk from there."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        t = np.unique(table.column("ts_us").to_numpy())
+        start = table.column("chunk")[0].as_py() * chunk_us
+        _, last = following(t, min_gap_us)
+        n = min(len(t), int(np.searchsorted(t, start + min_gap_us)) + 1)  # the last kept time lies before the chunk, so a gap later is within its first gap
+        return pa.table({"stream": table.column("stream").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "entries": pa.array([t[:n]], pa.list_(pa.int64())), "ends": pa.array([t[last[:n]]], pa.list_(pa.int64()))})
+
+    return rows
+
+
+def _walk(min_gap_us: int):
+    """Chunks in order of stream and time -> where each is entered: one time per stream is carried on."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for stream, chunk, entries, ends in zip(*(batch.column(c).to_pylist() for c in ("stream", "chunk", "entries", "ends"))):
+                if stream != now:
+                    now, last = stream, None
+                k = 0 if last is None else int(np.searchsorted(entries, last + min_gap_us))
+                if k < len(entries):
+                    last = ends[k]
+                    out.append((stream, chunk, entries[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["stream", "chunk", "entry"])
+
+    return rows
+
+
+def _kept(min_gap_us: int):
+    """A chunk's times and its entry -> the times kept."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        t = np.unique(table.column("ts_us").to_numpy())
+        after, _ = following(t, min_gap_us)
+        k, kept = int(np.searchsorted(t, table.column("entry")[0].as_py())), []
+        while k < len(t):
+            kept.append(t[k])
+            k = after[k]
+        return pa.table({"stream": pa.array(table.column("stream").slice(0, 1).to_pylist() * len(kept), pa.string()), "ts_us": pa.array(kept, pa.int64())})
+
+    return rows
+
+
 def throttle(ticks: DataFrame, min_gap_us: int) -> DataFrame:
-    """The ticks that a greedy minimum gap keeps: the first of a stream, then each at least min_gap_us after the last kept.
+    """The ticks that a greedy minimum gap keeps: the first of a stream, then each at least min_gap_us after the last kept; of ticks at one time the least row.
 
-    A tick at least min_gap_us after its predecessor is kept whatever came before, so streams split there into segments, and
-    only a segment is folded in order.
+    Streams are cut into chunks of CHUNK_GAPS gaps. A chunk is a map from the time it is entered at to the last time it keeps;
+    the maps, one row per chunk, are composed in order, and then every chunk is filtered by itself.
     """
-    w = _ordered()
-    gap = F.col("ts_us") - F.lag("ts_us").over(w)
-    parts = ticks.withColumn("_new", (gap.isNull() | (gap >= min_gap_us)).cast("bigint")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = [c for c in ticks.columns if c != "stream"]
-    grouped = parts.groupBy("stream", "_part").agg(F.array_sort(F.collect_list(F.struct("ts_us", *[c for c in rest if c != "ts_us"]))).alias("t"))
-    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.slice("t", 1, 0).alias("kept"))
-    keep = F.aggregate("t", empty, lambda s, r: F.when(s["last"].isNull() | (r["ts_us"] - s["last"] >= min_gap_us), F.struct(r["ts_us"].alias("last"), F.concat(s["kept"], F.array(r)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return grouped.select("stream", F.explode(keep).alias("r")).select("stream", "r.*").select(*ticks.columns)
+    if min_gap_us <= 0:
+        return ticks
+    chunk_us = CHUNK_GAPS * min_gap_us
+    times = ticks.select(F.col("stream").cast("string").alias("stream"), "ts_us", F.expr(f"cast(floor(ts_us / {chunk_us}) as bigint)").alias("chunk"))
+    maps = times.groupBy("stream", "chunk").applyInArrow(_entries(chunk_us, min_gap_us), "stream string, chunk bigint, entries array<bigint>, ends array<bigint>")
+    entered = maps.repartition("stream").sortWithinPartitions("stream", "chunk").mapInArrow(_walk(min_gap_us), "stream string, chunk bigint, entry bigint")
+    kept = times.join(entered, ["stream", "chunk"]).groupBy("stream", "chunk").applyInArrow(_kept(min_gap_us), "stream string, ts_us bigint")
+    rest = [c for c in ticks.columns if c not in ("stream", "ts_us")]
+    found = ticks.join(kept, ["stream", "ts_us"])
+    if not rest:
+        return found.distinct().select(ticks.columns)
+    return found.groupBy("stream", "ts_us").agg(F.min(F.struct(*rest)).alias("r")).select("stream", "ts_us", "r.*").select(ticks.columns)
 
 
 def stream_stats(ticks: DataFrame) -> DataFrame:
@@ -56,14 +146,14 @@ def stream_stats(ticks: DataFrame) -> DataFrame:
 
 
 def latest_per_key(images: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key; of rows at one time the greatest by the other columns."""
     rest = [c for c in images.columns if c not in keys]
-    return images.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    return images.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
 
 
 def keep_newest(frames: DataFrame, k: int) -> DataFrame:
-    """The k newest rows of each stream: what an overloaded run takes of a batch."""
-    w = Window.partitionBy("stream").orderBy(F.desc("ts_us"))
+    """The k newest rows of each stream: what an overloaded run takes of a batch; of rows at one time the greatest by the other columns."""
+    w = Window.partitionBy("stream").orderBy(F.desc("ts_us"), *[F.desc(c) for c in frames.columns if c not in ("stream", "ts_us")])
     return frames.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 

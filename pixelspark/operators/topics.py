@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,32 @@ def format_topic(prefix: Column, channel: Column, stream_id: Column, name: Colum
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
-def format_path(template: Column, ts: Column, stream_id: Column, name: Column) -> Column:
-    """%Y %m %d %H %M %S of ts, %i the id in 16 hex digits, %N the name, %% a percent sign."""
-    out = F.replace(template, F.lit("%%"), F.lit("\x00"))
-    for code, pattern in (("%Y", "yyyy"), ("%m", "MM"), ("%d", "dd"), ("%H", "HH"), ("%M", "mm"), ("%S", "ss")):
-        out = F.replace(out, F.lit(code), F.date_format(ts, pattern))
-    out = F.replace(F.replace(out, F.lit("%i"), id_text(stream_id)), F.lit("%N"), name)
-    return F.replace(out, F.lit("\x00"), F.lit("%"))
+#: Strftime codes that are one date pattern.
+PATTERNS = {
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%j": "DDD", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%p": "a", "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE",
+    "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%X": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy", "%x": "MM/dd/yy", "%v": "d-MMM-yyyy", "%r": "hh:mm:ss a", "%c": "EEE MMM d HH:mm:ss yyyy", "%z": "xx", "%Z": "xxx",
+}
+
+
+def strftime_codes(ts: Column) -> dict[str, Column]:
+    """The value of each code at ts, in the session's time zone."""
+    weekday = F.dayofweek(ts)
+    spaced = lambda pattern: F.lpad(F.date_format(ts, pattern), 2, " ")
+    more = {
+        "%C": F.lpad(F.floor(F.year(ts) / 100).cast("string"), 2, "0"), "%e": spaced("d"), "%k": spaced("H"), "%l": spaced("h"), "%P": F.lower(F.date_format(ts, "a")),
+        "%u": ((weekday + 5) % 7 + 1).cast("string"), "%w": (weekday - 1).cast("string"), "%V": F.lpad(F.weekofyear(ts).cast("string"), 2, "0"), "%G": F.extract(F.lit("YEAROFWEEK"), ts).cast("string"),
+        "%f": F.concat(F.date_format(ts, "SSSSSS"), F.lit("000")), "%s": F.unix_seconds(ts).cast("string"), "%n": F.lit("\n"), "%t": F.lit("\t"),
+    }
+    return {code: F.date_format(ts, pattern) for code, pattern in PATTERNS.items()} | more
+
+
+def format_path(template: str, ts: Column, stream_id: Column, name: Column) -> Column:
+    """The strftime codes of ts, %i the id in 16 hex digits, %N the name, %% a percent sign. Other codes raise an error."""
+    values = strftime_codes(ts) | {"%i": id_text(stream_id), "%N": name, "%%": F.lit("%")}
+    parts = re.findall(r"%.?|[^%]+", template, re.DOTALL)
+    if unknown := [p for p in parts if p[0] == "%" and p not in values]:
+        raise ValueError(f"unknown code {unknown[0]}")
+    return F.concat(*[values[p] if p[0] == "%" else F.lit(p) for p in parts]) if parts else F.lit("")
 
 
 def stream_id(name: Column) -> Column:
@@ -68,8 +89,8 @@ def sticky_types(messages: DataFrame) -> DataFrame:
 
 
 def homogeneous_arrays(values: DataFrame, slot: list[str], order: str) -> DataFrame:
-    """(slot, type, values): a slot keeps the type of its first element; elements of other types are left out."""
-    first = values.groupBy(*slot).agg(F.min_by("type", order).alias("first_type"))
+    """(slot, type, values): a slot keeps the type of its first element, of several at one place the least; elements of other types are left out."""
+    first = values.groupBy(*slot).agg(F.min_by("type", F.struct(order, "type")).alias("first_type"))
     kept = values.join(first, slot).where("type = first_type")
     return kept.groupBy(*slot).agg(F.first("type").alias("type"), F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "value"))), lambda s: s["value"]).alias("values"))
 

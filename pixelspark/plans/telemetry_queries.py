@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pixelspark.streaming import streams as st
 
 from . import fixtures as fx
 from .fixtures import cte
-from .queries import ORACLE_SQL, QUERIES, corner_dets, query
+from .queries import ORACLE_SQL, QUERIES, corner_dets, query, tracked
 
 HOURS6 = 6 * 3600 * 1_000_000
 
@@ -163,7 +164,10 @@ query("p23_format_topic", "select event_id, '/' || event_type || '%/cam-' || (us
     lambda s, d: table(s, d, "events").select("event_id", tp.format_topic(F.concat("event_type", F.lit("%%/%N-%i/")), F.lit("/v"), F.col("user_id") % 8, F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string"))).alias("topic"))
 )
 query("p24_format_path", "select event_id, 'cam-' || (user_id % 8) || '/' || strftime(ts, '%Y-%m-%d') || '/' || strftime(ts, '%H%M%S') || '_' || lpad(lower(to_hex(event_id)), 16, '0') || '%.mp4' as path from events")(
-    lambda s, d: table(s, d, "events").select("event_id", tp.format_path(F.lit("%N/%Y-%m-%d/%H%M%S_%i%%.mp4"), F.col("ts").cast("timestamp"), F.col("event_id"), F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string"))).alias("path"))
+    lambda s, d: table(s, d, "events").select("event_id", tp.format_path("%N/%Y-%m-%d/%H%M%S_%i%%.mp4", F.col("ts").cast("timestamp"), F.col("event_id"), F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string"))).alias("path"))
+)
+query("p24_format_path_codes", """select event_id, strftime(ts, '%y-%j_%B.%b.%A.%a') || '_' || strftime(ts, '%I%p') || '/' || strftime(ts, '%Y-%m-%d_%H:%M:%S') || '/' || lpad(cast(day(ts) as varchar), 2, ' ') || '.' || strftime(ts, '%u%w') || '_' || strftime(ts, '%V') || '_' || lower(strftime(ts, '%p')) || '_' || (epoch_us(ts) // 1000000) as path from events""")(
+    lambda s, d: table(s, d, "events").select("event_id", tp.format_path("%y-%j_%B.%b.%A.%a_%I%p/%F_%T/%e.%u%w_%V_%P_%s", F.col("ts").cast("timestamp"), F.col("event_id"), F.lit("")).alias("path"))
 )
 query("p25_stream_id", cte("ticks") + "select stream, count(*) as n, 16 as digits, count(distinct stream) as names from ticks group by stream")(
     lambda s, d: fx.ticks(s, d).withColumn("id", tp.stream_id(F.col("stream"))).groupBy("id").agg(F.first("stream").alias("stream"), F.count("*").alias("n"), F.max(F.length(tp.id_text(F.col("id")))).alias("digits"), F.count_distinct("stream").alias("names")).drop("id")
@@ -231,12 +235,24 @@ SQL_ADJ = [f"(m[{a}]*m[{b}]-m[{c}]*m[{e}])" for a, b, c, e in ((5, 9, 6, 8), (3,
 query("m7_invert_poses", cte("poses", more=SQL_INV) + "select pose_id, " + ", ".join(f"round({a} / d, 9) + 0.0 as rotation_{i}" for i, a in enumerate(SQL_ADJ)) + ", " + ", ".join(f"round(-(({SQL_ADJ[3*i]}*translation[1] + {SQL_ADJ[3*i+1]}*translation[2] + {SQL_ADJ[3*i+2]}*translation[3]) / d), 9) + 0.0 as translation_{i}" for i in range(3)) + " from c")(
     lambda s, d: dt.invert_poses(fx.poses(s, d)).select("pose_id", *[(F.round(F.element_at(n, i + 1), 9) + 0.0).alias(f"{n}_{i}") for n, k in (("rotation", 9), ("translation", 3)) for i in range(k)])
 )
-query("p19_detection_fields", cte("dets") + "select run as frame_id, seq, id, hamming, round(cx, 6) as cx, round(cy, 6) as cy, round(cx + id, 6) as p1x, round(cy + 20.7, 6) as p2y, round(cx - 3.2, 6) as p3x from dets")(
-    lambda s, d: dt.detection_fields(corner_dets(s, d).withColumn("center", F.array("cx", "cy")).drop("cx", "cy")).select("frame_id", "seq", "id", "hamming", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "p1x", "p2y", "p3x")])
+P19 = {"cx": "cx", "cy": "cy", "p0x": "cx", "p0y": "cy", "p1x": "cx + id", "p1y": "cy + 1", "p2x": "cx + id + 2", "p2y": "cy + 20.7", "p3x": "cx - 3.2", "p3y": "cy + 15"} | {f"h{i}": f"cx + {i} * cy" for i in range(9)}
+query("p19_detection_fields", cte("dets") + "select run as frame_id, seq, id, hamming, " + ", ".join(f"round({e}, 6) as {c}" for c, e in P19.items()) + " from dets")(
+    lambda s, d: dt.detection_fields(corner_dets(s, d).withColumn("center", F.array("cx", "cy")).withColumn("homography", F.expr("transform(sequence(0, 8), i -> cx + i * cy)")).drop("cx", "cy")).select("frame_id", "seq", "id", "hamming", *[F.round(c, 6).alias(c) for c in P19])
 )
 query("p20_pose_fields", cte("poses") + "select pose_id, " + ", ".join(f"round(translation[{i+1}], 9) as translation_{i}, round(angles[{i+1}], 9) as euler_{i}" for i in range(3)) + ", round(sqrt(list_dot_product(translation, translation)), 9) as distance, 1.0 as det from poses")(
     lambda s, d: dt.pose_features(fx.poses(s, d)).join(fx.poses(s, d).select("pose_id", "translation"), "pose_id").select("pose_id", *rounded("translation", 3), *rounded("euler", 3), F.round("distance", 9).alias("distance"), F.round("det", 9).alias("det"))
 )
+@query("p20_vector_fields", cte("poses") + """select pose_id, round(translation[1], 9) as x, round(translation[2], 9) as y, round(translation[3], 9) as z, round(angles[1], 9) as qx, round(angles[2], 9) as qy, round(angles[3], 9) as qz, 1.0 as qw,
+    round(translation[1], 9) as x0, round(angles[1], 9) as y0, round(translation[2], 9) as x1, round(angles[2], 9) as y1, """ + ", ".join(f"round(rotation[{i+1}], 9) as v{i}" for i in range(9)) + """, cast(null as double) as v9, cast(null as double) as v10, cast(null as double) as v11, 9 as len,
+    octet_length(encode('pose ' || pose_id || ' é')) as text_len, round(angles[3], 9) as err, pose_id * 2 as twice from poses""")
+def p20_vectors(spark, sf):
+    """Parts of vectors, quaternions, lines, tuples and texts, of a shared value, and a pose's error."""
+    p = fx.poses(spark, sf).selectExpr("*", "array_append(angles, 1.0D) as quat", "array(translation[0], angles[0], translation[1], angles[1]) as line", "concat('pose ', pose_id, ' é') as name", "angles[2] as error", "named_struct('twice', pose_id * 2) as held")
+    parts = dt.vector_fields(p, ["pose_id"], "translation", "quat", "line", "rotation", "name")
+    whole = parts.join(dt.pose_features(p).select("pose_id", F.col("error").alias("err")), "pose_id").join(dt.inner(p, ["pose_id"], "held"), "pose_id")
+    return whole.select(*[F.round(c, 9).alias(c) if k == "double" else c for c, k in whole.dtypes])
+
+
 query("p21_pose_parameters", cte("ticks", "cameras") + "select event_id, stream, width / 2 as center_x, height / 2 as center_y, round(tan(fov / 2) * width / 2, 6) as focal, 0.1651 as tag_size from ticks join cameras using (stream) where fov is not null")(
     lambda s, d: dt.pose_parameters(fx.ticks(s, d), fx.cameras(s, d)).select("event_id", "stream", "center_x", "center_y", F.round("focal", 6).alias("focal"), "tag_size")
 )
@@ -264,19 +280,11 @@ query("t7_suppress_repeats", "select distinct event_type as component, cast(user
 )
 
 
-@query("t1_tracked_stream", cte("px_rgb") + "select frame_id, count(*) as found_pixels from px_rgb where c0 between 40 and 200 and c1 between 0 and 180 and c2 between 20 and 255 group by frame_id")
+@query("t1_tracked_stream", ORACLE_SQL["flagship_track_objects"])
 def t1(spark, sf):
-    """The colour filter of the flagship over a stream of events, gathered per frame in each micro-batch."""
-    from pixelspark.operators import pixels
-
-    whole = table(spark, sf, "events").count() // 256
-    px = st.replay(table(spark, sf, "events"), "event_id").where(f"event_id div 256 < {whole}").selectExpr(
-        "event_id div 256 as frame_id", "cast((event_id % 256) div 16 as int) as y", "cast(event_id % 16 as int) as x",
-        "cast(cast(round(value * 100) as bigint) % 256 as int) as c0", "cast((user_id * 7) % 256 as int) as c1", "cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2",
-    )
-    mask = pixels.color_filter(px, "rgb", "rgb", [40, 0, 20], [200, 180, 255]).where("c0 > 0").select("frame_id", "y", "x")
-    parts = st.drain(mask)
-    return parts.groupBy("frame_id").agg(F.count("*").alias("found_pixels"))
+    """The flagship over a stream of frames: colour filter, blobs, their filter and the topics of each micro-batch, which holds whole frames."""
+    frames = st.replay(fx.px_rgb(spark, sf), "frame_id")
+    return st.drain_batches(frames, tracked, "topic string, ts_us bigint, type string, value string")
 
 
 # user components
@@ -291,8 +299,10 @@ def x1(spark, sf):
 @query("x2_multiple_output", "select event_id, cast(i as int) as copy from events, range(0, 3) t(i) where i < event_id % 4")
 def x2(spark, sf):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(e, k) for e in batch.column("event_id").to_pylist() for k in range(min(e % 4, 3))]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["event_id", "copy"])
+        ids = batch.column("event_id").to_numpy()
+        copies = np.minimum(ids % 4, 3)
+        first = np.repeat(np.cumsum(copies) - copies, copies)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, copies)), pa.array((np.arange(len(first)) - first).astype(np.int32))], names=["event_id", "copy"])
 
     return udf.multiple_output(table(spark, sf, "events").select("event_id"), run, "event_id bigint, copy int")
 
