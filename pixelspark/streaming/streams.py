@@ -1,7 +1,10 @@
-"""Structured Streaming twins. Event time is ts_us; a watermark bounds state wherever a stream keeps any."""
+"""Structured Streaming twins. Event time is ts_us; timers on the watermark drop what state no later row can need."""
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,17 +23,19 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def replay(events: DataFrame, order: str, parts: int = 4) -> DataFrame:
-    """events as a stream of that many files in the order of a number column, so that state crosses micro-batches."""
+    """events as a stream of that many slices in the order of a number column, so that state crosses micro-batches.
+
+    A slice is one folder of files, written side by side and read in one trigger; each trigger takes as many files as a slice has.
+    """
     spark = events.sparkSession
     path = f"{shared_dir(spark)}-replay"
-    low, high = events.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        events.coalesce(1).write.parquet(path)
-    else:
-        step = (high - low) // parts + 1
-        for k in range(parts):
-            events.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
-    return event_stream(spark, f"{path}/", events.schema)
+    low, high = events.agg(F.min(order), F.max(order)).first()  # two numbers
+    files = min(spark.sparkContext.defaultParallelism, 8)
+    step = ((high - low) // parts + 1) if low is not None else 1
+    for k in range(parts if low is not None else 1):
+        part = events.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)) if low is not None else events
+        part.repartition(files).sortWithinPartitions(order).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/")
 
 
 def tick_stream(events: DataFrame) -> DataFrame:
@@ -56,51 +61,83 @@ def drain_batches(stream: DataFrame, each: Callable[[DataFrame], DataFrame], sch
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
+def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    """The rows of a key's micro-batch, in order of the columns."""
+    rows = [pdf[columns].sort_values(columns) for pdf in parts]
+    return heapq.merge(*(pdf.itertuples(index=False, name=None) for pdf in rows))
+
+
 def rolling_fps_stream(ticks: DataFrame, window_us: int, delay: str) -> DataFrame:
-    """(event_id, stream, ts_us, fps) per tick. State per stream: the ticks of one window and the first tick; batches arrive in event order."""
+    """(event_id, stream, ts_us, fps) per tick, in event order inside a micro-batch.
+
+    State per stream: its first tick, the last one and the ticks of one window, which a timer on event time drops once the watermark is a
+    window past the last tick. A tick that comes after later ones of an earlier micro-batch counts those of the window before it that
+    are still held; the rates given for later ticks stand.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, seen = state.get if state.exists else (None, [])
-        seen = list(seen)
-        for pdf in [pd.concat(list(parts))]:
-            pdf = pdf.sort_values(["ts_us", "event_id"])
-            out = []
-            for event_id, now in zip(pdf["event_id"], pdf["ts_us"]):
-                first = int(now) if first is None else first
-                seen = [t for t in seen if now - t <= window_us] + [int(now)]
-                elapsed = min(window_us, int(now) - first)
-                out.append((int(event_id), key[0], int(now), len(seen) / elapsed * 1e6 if elapsed else None))
-            state.update((first, seen))
-            yield pd.DataFrame(out, columns=["event_id", "stream", "ts_us", "fps"])
-
-    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint, fps double", "first bigint, seen array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        first, last, held = state.get if state.exists else (None, None, [])
+        if state.hasTimedOut:
+            state.update((first, last, []))
+            return
+        seen, out = deque(held), []
+        for now, event_id in _in_order(parts, ["ts_us", "event_id"]):
+            now = int(now)
+            if first is None or now < first:
+                first = now
+            if last is None or now >= last:
+                while seen and seen[0] < now - window_us:
+                    seen.popleft()
+                seen.append(now)
+                n, last = len(seen), now
+            else:  # a late tick
+                insort(seen, now)
+                n = bisect_right(seen, now) - bisect_left(seen, now - window_us)
+            elapsed = min(window_us, now - first)
+            out.append((int(event_id), key[0], now, n / elapsed * 1e6 if elapsed else None))
+        state.update((first, last, list(seen)))
+        state.setTimeoutTimestamp(max((last + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["event_id", "stream", "ts_us", "fps"])
+
+    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint, fps double", "first bigint, last bigint, seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_stream(ticks: DataFrame, min_gap_us: int, delay: str) -> DataFrame:
-    """Ticks kept by a greedy minimum gap. State per stream: the time of the last kept tick."""
+    """Ticks kept by a greedy minimum gap, in order of arrival of micro-batches and of event time inside them.
+
+    State per stream: the time of the last kept tick. A timer drops it once the watermark is a gap past it, as every tick still to come is then kept anyway.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(parts)).sort_values(["ts_us", "event_id"])
-        kept = []
-        for event_id, now in zip(pdf["event_id"], pdf["ts_us"]):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, kept = state.get[0] if state.exists else None, []
+        for now, event_id in _in_order(parts, ["ts_us", "event_id"]):
             if last is None or now - last >= min_gap_us:
                 last = int(now)
                 kept.append((int(event_id), key[0], last))
         state.update((last,))
+        state.setTimeoutTimestamp(max(-(-(last + min_gap_us) // 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(kept, columns=["event_id", "stream", "ts_us"])
 
-    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sticky_type_stream(messages: DataFrame) -> DataFrame:
-    """(topic, ts_us, type, value) of the type a topic was first seen with. State per topic: that type."""
+    """(topic, ts_us, type, value) of the type a topic was first seen with.
+
+    State per topic: that type, one word. It is kept for as long as the stream runs, as a type once announced holds for good.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values(["ts_us", "type"])
-        first = state.get[0] if state.exists else str(pdf["type"].iloc[0])
+        first, frames = (state.get[0] if state.exists else None), parts
+        if first is None:  # the first micro-batch of a topic is read whole, to find its earliest message
+            frames = list(parts)
+            first = min((t, k) for pdf in frames for t, k in zip(pdf["ts_us"], pdf["type"]))[1]
         state.update((first,))
-        yield pdf.loc[pdf["type"] == first, ["topic", "ts_us", "type", "value"]]
+        for pdf in frames:
+            yield pdf.loc[pdf["type"] == first, ["topic", "ts_us", "type", "value"]]
 
     return messages.groupBy("topic").applyInPandasWithState(step, "topic string, ts_us bigint, type string, value double", "type string", "append", GroupStateTimeout.NoTimeout)
 

@@ -10,6 +10,7 @@ from pixelspark.operators import branching as br
 from pixelspark.operators import detections as dt
 from pixelspark.operators import telemetry as te
 from pixelspark.operators import topics as tp
+from pixelspark.streaming import streams as st
 
 NESTED = [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
 
@@ -96,6 +97,70 @@ def test_throttle_is_the_sequential_rule(spark):
     assert got == sorted(kept)
 
 
+@pytest.mark.parametrize("gap,span", [(3, 5_000), (10, 400), (700, 300_000)])
+def test_throttle_over_many_chunks(spark, gap, span, monkeypatch):
+    """Dense and sparse streams whose whole history is one run without a pause, cut into small chunks."""
+    import random
+
+    monkeypatch.setattr(te, "CHUNK_GAPS", 4)
+    rng = random.Random(gap)
+    rows = [(i, f"s{i % 3}", rng.randint(-span, span)) for i in range(3000)]
+    got = {r["event_id"] for r in te.throttle(spark.createDataFrame(rows, "event_id bigint, stream string, ts_us bigint"), gap).collect()}
+    kept, last = set(), {}
+    for i, s, t in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if s not in last or t - last[s] >= gap:
+            last[s] = t
+            kept.add(i)
+    assert got == kept
+
+
+def test_windows_over_buckets(spark):
+    """Rates, extremes and gaps against plain lists, with ties, long silences and negative times."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 2}", rng.choice([-5000, 0, 90_000]) + rng.randint(0, 600)) for i in range(500)]
+    ticks, window = spark.createDataFrame(rows, "event_id bigint, stream string, ts_us bigint"), 100
+    fps = {r["event_id"]: r["fps"] for r in te.rolling_fps(ticks, window).collect()}
+    ends = {r["event_id"]: (r["fps_min"], r["fps_max"]) for r in te.fps_extremes(ticks, window).collect()}
+    gaps = sorted((r["stream"], r["ts_us"], r["gap_us"] if r["gap_us"] is not None else -1) for r in te.intervals(ticks, 50).collect())
+    want_gaps = []
+    for s in ("s0", "s1"):
+        t = sorted(r[2] for r in rows if r[1] == s)
+        want_gaps += [(s, b, b - a) for a, b in zip(t, t[1:])] + [(s, t[0], -1)]
+        for i, _, now in (r for r in rows if r[1] == s):
+            near = [x for x in t if now - window <= x <= now]
+            elapsed = min(window, now - t[0])
+            assert fps[i] == (pytest.approx(len(near) / elapsed * 1e6) if elapsed else None)
+            between = [b - a for a, b in zip(near, near[1:])]
+            rate = lambda g: 1e6 / g if g else 0.0
+            assert ends[i] == pytest.approx((rate(max(between)), rate(min(between))) if between else (0.0, 0.0))
+    assert gaps == sorted(want_gaps)
+
+
+def test_sinks_work_batch_by_batch(spark):
+    """The latest image of each key, and the newest frames of each stream, of every drained batch, not of the whole stream."""
+    rows = [(i, f"s{i % 2}", "c", 1000 + i // 2) for i in range(40)]
+    kind = "event_id bigint, stream string, component string, ts_us bigint"
+    frames = spark.createDataFrame(rows, kind)
+    got = st.drain_batches(st.replay(frames, "event_id"), lambda df: te.latest_per_key(df, ["stream", "component"], "ts_us").select("stream", "component", "event_id", "ts_us"), "stream string, component string, event_id bigint, ts_us bigint")
+    assert sorted(r["event_id"] for r in got.collect()) == [8, 9, 18, 19, 28, 29, 38, 39]
+    got = st.drain_batches(st.replay(frames, "event_id"), lambda df: te.keep_newest(df.select("event_id", "stream", "ts_us"), 2), "event_id bigint, stream string, ts_us bigint")
+    assert sorted(r["event_id"] for r in got.collect()) == [i for b in range(4) for i in range(10 * b + 6, 10 * b + 10)]
+
+
+def test_streams_with_late_ticks_and_silences(spark):
+    """A stream that falls silent for longer than its state is held, and ticks out of order inside a batch."""
+    times = [5, 3, 9, 12, 41, 40, 905, 900, 902, 2000, 2003, 2001]
+    rows = [(i, "s", t * 1_000_000) for i, t in enumerate(times)]
+    ticks = spark.createDataFrame(rows, "event_id bigint, stream string, ts_us bigint").withColumn("event_time", F.timestamp_micros("ts_us"))
+    batch = {r["event_id"]: r["fps"] for r in te.rolling_fps(ticks.drop("event_time"), 10_000_000).collect()}
+    stream = {r["event_id"]: r["fps"] for r in st.drain(st.rolling_fps_stream(st.replay(ticks, "event_id"), 10_000_000, "5 seconds")).collect()}
+    assert stream == {i: pytest.approx(v) if v is not None else None for i, v in batch.items()}
+    kept = sorted(r["event_id"] for r in st.drain(st.throttle_stream(st.replay(ticks, "event_id"), 3_000_000, "5 seconds")).collect())
+    assert kept == sorted(r["event_id"] for r in te.throttle(ticks.drop("event_time"), 3_000_000).collect())
+
+
 def test_topic_names(spark):
     f = lambda p, c: one(spark, tp.format_topic(F.lit(p), F.lit(c), F.lit(7), F.lit("cam")))
     assert f("%N/fps", "min") == "/cam/fps/min"
