@@ -25,16 +25,21 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 def replay(events: DataFrame, order: str, parts: int = 4) -> DataFrame:
     """events as a stream of that many slices in the order of a number column, so that state crosses micro-batches.
 
-    A slice is one folder of files, written side by side and read in one trigger; each trigger takes as many files as a slice has.
+    A slice is written side by side into the same number of files, a small one's number being made up by empty files, and is read in one trigger.
     """
     spark = events.sparkSession
     path = f"{shared_dir(spark)}-replay"
     low, high = events.agg(F.min(order), F.max(order)).first()  # two numbers
+    if low is None:
+        slices = [events]
+    else:
+        step = (high - low) // parts + 1
+        slices = [events.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)) for k in range(parts)]
     files = min(spark.sparkContext.defaultParallelism, 8)
-    step = ((high - low) // parts + 1) if low is not None else 1
-    for k in range(parts if low is not None else 1):
-        part = events.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)) if low is not None else events
-        part.repartition(files).sortWithinPartitions(order).write.mode("append").parquet(path)
+    for k, part in enumerate(slices):
+        part.repartition(files).write.mode("append").parquet(path)
+        for _ in range(len(spark.read.schema(events.schema).parquet(path).inputFiles()), (k + 1) * files):
+            spark.createDataFrame([], events.schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/")
 
 
