@@ -57,8 +57,9 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> list[Column]:
     c = F.shiftright(v * s, 8)
     x = idiv(c * (43 - F.abs(h % 85 - 43)), 43)
     m = v - c
-    of = lambda names: [{"c": c + m, "x": x + m, "m": m}[n] for n in names]
-    sectors = [of("cxm"), of("xcm"), of("mcx"), of("mxc"), of("xmc"), of("cmx")]
+    top, mid, low = c + m, x + m, m
+    # Red, green and blue in each of the six hue sectors.
+    sectors = [[top, mid, low], [mid, top, low], [low, top, mid], [low, mid, top], [mid, low, top], [top, low, mid]]
     out = []
     for k in range(3):
         e = F.when(s == 0, v)

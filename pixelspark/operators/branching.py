@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelspark.session import written
+
 
 def assign_runs(df: DataFrame, order: list[str], stream: str | None = None) -> DataFrame:
-    """run_id [run] numbered from 0 in order; per stream where one is given, which is what scales."""
-    w = (Window.partitionBy(stream) if stream else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("run_id", F.array((F.row_number().over(w) - 1).cast("bigint")))
+    """run_id [run] numbered from 0 in order, per stream where one is given.
+
+    Rows are sorted in range partitions, written once so that the ranges stand still; a row's number is its place in its
+    partition plus the rows before that: of its stream, or of all. No task holds more than a partition.
+    """
+    keys = ([stream] if stream else []) + order
+    placed = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "runs")
+    group = [stream] if stream else []
+    sizes = placed.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_part").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_at")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = placed.join(starts, same).withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)))
+    return joined.select(*df.columns, F.array((F.col("_start") + F.col("_place") - 1).cast("bigint")).alias("run_id"))
 
 
 def prefix(depth: int, run_id: str = "run_id") -> Column:

@@ -148,9 +148,13 @@ def box_blur(px: DataFrame, width: int, height: int) -> DataFrame:
     return px
 
 
+#: Fixed value: the scale of the integer Gaussian weights.
+GAUSSIAN_SCALE = 26145.082
+
+
 def gaussian_weights(sigma: float, size: int) -> list[int]:
     """Integer weights for offsets -size//2 .. size//2."""
-    return [int(math.exp(-d * d / (2 * sigma * sigma)) * 26145.082 / sigma) for d in range(-(size // 2), size // 2 + 1)]
+    return [int(math.exp(-d * d / (2 * sigma * sigma)) * GAUSSIAN_SCALE / sigma) for d in range(-(size // 2), size // 2 + 1)]
 
 
 def gaussian_blur(px: DataFrame, sigma: float, width: int, height: int) -> DataFrame:

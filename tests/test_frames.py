@@ -12,6 +12,7 @@ from pixelspark.operators import pixels
 from pixelspark.plans import fixtures as fx
 from pixelspark.sources import frames as fr
 
+# Masks and the boxes (min_x, max_x, min_y, max_y, pixels) of their blobs.
 MASKS = {
     "1x1": ("1", [(0, 1, 0, 1, 1)]),
     "2x2": ("11/11", [(0, 2, 0, 2, 4)]),

@@ -27,6 +27,16 @@ def test_nested_gather(spark):
     assert br.select_first(nested(spark), "x", 1).first()["value"] == 1
 
 
+def test_runs_are_numbered_over_partitions(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 37) % 1000 as at", "concat('s', id % 3) as stream").repartition(5)
+    assert sorted((r["at"], r["run_id"][0]) for r in br.assign_runs(df, ["at"]).collect()) == [(i, i) for i in range(1000)]
+    got = br.assign_runs(df, ["at"], "stream").collect()
+    for s in ("s0", "s1", "s2"):
+        mine = sorted((r["at"], r["run_id"][0]) for r in got if r["stream"] == s)
+        assert [n for _, n in mine] == list(range(len(mine)))
+    assert br.assign_runs(df.limit(0), ["at"]).count() == 0
+
+
 def test_empty_groups_survive_a_reference(spark):
     ref = spark.createDataFrame([([0, i],) for i in range(4)], "run_id array<bigint>")
     got = {tuple(r["run_id"]): r["values"] for r in br.collect_by_reference(ref, nested(spark), "x", 2).collect()}
