@@ -252,6 +252,23 @@ def test_image_copies_find_edits(spark):
     assert all(x[a] @ x[b] >= 0.8 * np.linalg.norm(x[a]) * np.linalg.norm(x[b]) for a, b in found)
 
 
+def consensus(match, least_votes, seed_tolerance):
+    """(query, image, votes) of matched corners, with DataFrame functions: votes in overlapping bins, counted by place."""
+    match = match.select(*[F.col(c).cast("double").alias(c) if k == "float" else F.col(c) for c, k in match.dtypes])
+    turn = F.col("i_angle") - F.col("q_angle")
+    ratio = F.col("i_scale") / F.col("q_scale")
+    c, s = F.cos(turn) * ratio, F.sin(turn) * ratio
+    step = turn / (3.141592653589793 / 8)
+    turns = F.array(F.pmod(F.floor(step), F.lit(16)) * 2, F.pmod(F.floor(step + 0.5), F.lit(16)) * 2 - 1)
+    shift_x, shift_y = F.col("i_x") - (c * F.col("q_x") - s * F.col("q_y")), F.col("i_y") - (s * F.col("q_x") + c * F.col("q_y"))
+    size = F.lit(4 * seed_tolerance)
+    votes = match.select(F.col("q_image").alias("query"), F.col("i_image").alias("image"), "q_x", "q_y", F.round(F.log2(ratio) * 2).alias("zoom"), turns.alias("turns"), shift_x.alias("sx"), shift_y.alias("sy"))
+    both = lambda v: F.array(F.floor(v / size), F.floor(v / size + 0.5) + 0.5)
+    votes = votes.withColumn("turn", F.explode("turns")).withColumn("bx", F.explode(both(F.col("sx")))).withColumn("by", F.explode(both(F.col("sy"))))
+    counted = votes.groupBy("query", "image", "zoom", "turn", "bx", "by").agg(F.count_distinct(F.round("q_x"), F.round("q_y")).alias("votes"))
+    return counted.groupBy("query", "image").agg(F.max("votes").alias("votes")).where(F.col("votes") >= least_votes)
+
+
 def test_image_tables_against_all_descriptor_pairs(spark):
     """Recall over all copies, those of near images included, against comparing every descriptor with every other."""
     rng = np.random.default_rng(6)
@@ -262,7 +279,7 @@ def test_image_tables_against_all_descriptor_pairs(spark):
     queries = image_copies.frames_of_vectors(vectors.where("vec_id % 10 = 0"), edit_step=10)
     index, probe = image_copies.descriptors(images).cache(), image_copies.descriptors(queries).cache()
     every = image_copies.close(image_copies.sided(probe, "q").crossJoin(image_copies.sided(index, "i")), 24)
-    want = {(r["query"], r["image"]) for r in image_copies.consensus(every, 4, 3.0).collect()}
+    want = {(r["query"], r["image"]) for r in consensus(every, 4, 3.0).collect()}
     got = {(r["query"], r["image"]) for r in image_copies.copies(queries, images).collect()}
     assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
     counts = {r["query"]: (r["n_copies"], r["best_image"]) for r in image_copies.copy_counts(queries, images.union(images.withColumn("image", F.col("image") + 1000))).collect()}
