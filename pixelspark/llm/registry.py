@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.session import table
 
-from . import embed_dedup, image_copies, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
+from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,3 +149,27 @@ def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = image_copies.frames_of_vectors(vectors)
     queries = image_copies.frames_of_vectors(vectors.where("vec_id % 100 = 0"), edit_step=100)
     return image_copies.copy_counts(queries, images).select(F.col("query").alias("query_id"), "n_copies", F.col("best_image").alias("vec_id"), "votes")
+
+
+SQL_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    with t as (select doc_id, unnest({SQL_TERMS}) as term from documents),
+    n as (select doc_id, count(*) as n from t group by doc_id),
+    s as (select count(*) as all_docs, cast(sum(n) as bigint) as all_terms from n),
+    f as (select doc_id, term, count(*) as tf from t group by doc_id, term),
+    d as (select term, count(*) as df from f group by term),
+    q as (select distinct item_id, term from (select item_id, unnest({SQL_TERMS}) as term from benchmark where item_id is not null)),
+    r as (
+        select item_id, doc_id, sum(cast(floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_terms)))) as score
+        from q join f using (term) join d using (term) join n using (doc_id), s group by item_id, doc_id
+    )
+    select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score
+    from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 10
+    """,
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
