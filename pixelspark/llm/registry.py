@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.session import table
 
-from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, quality, toxicity, warc, wordpiece_count
+from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, quality, repetition, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,3 +173,30 @@ SQL_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 )
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_repetition_rules",
+    r"""
+    with w as (select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    p as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from w),
+    lines as (select doc_id, unnest(string_split(text, chr(10))) as line from w),
+    l as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+    g as (select doc_id, i, array_to_string(ws[i:i+7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+    twice as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+    c as (select distinct doc_id, unnest(range(i, i + 8)) as i from twice),
+    r as (select doc_id, count(*) as n_repeat_words, sum(length(word)) as covered_chars from c join p using (doc_id, i) group by doc_id),
+    h as (select distinct doc_id from (select doc_id, md5(array_to_string(ws[i:i+50], ' ')) as g from (select doc_id, ws, unnest(range(1, len(ws) - 49)) as i from w)) group by doc_id, g having count(*) > 1),
+    m as (
+        select w.doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+            coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(covered_chars, 0) as covered_chars, h.doc_id is not null as long_repeat
+        from w left join l using (doc_id) left join r using (doc_id) left join h using (doc_id)
+    ),
+    b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+    select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+        cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not long_repeat and 100 * covered_chars <= 30 * word_chars as kept, cast(covered_chars as bigint) as covered_chars
+    from b
+    """,
+)
+def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("n_repeats", "longest_repeat", "spans")
