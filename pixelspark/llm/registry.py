@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.session import table
 
-from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, quality, repetition, toxicity, warc, wordpiece_count
+from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, prefix_trie, quality, repetition, toxicity, warc, wordpiece_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,3 +200,37 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("n_repeats", "longest_repeat", "spans")
+
+
+#: CRC-32 of the decimal digits of c, bit by bit.
+SQL_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(c as varchar), ''), lambda s: cast(ascii(s) as bigint))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [cast(-1 as bigint) for i in range(8)]), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    with t as (
+        select conv_id as c, md5(octet_length(encode(r)) || ':' || r || x) as code, length(x) as n_chars, row_number() over (partition by conv_id order by turn nulls first, md5(octet_length(encode(r)) || ':' || r || x)) as pos
+        from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null)
+    ),
+    h as (select c, {SQL_CRC} % 6 as h from (select distinct c from t)),
+    k as (select h.c, h, count(t.c) as k from h left join t on t.c = h.c - h.c % 100 and pos <= h group by h.c, h),
+    own as (
+        select k.c, pos as d, code, n_chars from k join t on t.c = k.c - k.c % 100 and pos <= h
+        union all select k.c, pos - h + k, code, n_chars from k join t on t.c = k.c and pos > h
+    ),
+    p as (select c, d, n_chars, string_agg(code, '' order by d) over (partition by c order by d) as path from own union all select c, 0, 0, '' from k),
+    e as (select c, max(d) as d from p group by c),
+    n as (select path, d, min(c) as conv_id, count(*) as n_convs, any_value(n_chars) as n_chars from p group by path, d),
+    f as (select left(path, cast(32 * d - 32 as bigint)) as path, count(*) as n_children from n where d > 0 group by all),
+    s as (select n.*, coalesce(n_children, 0) as n_children from n left join f using (path)),
+    r as (select left(path, cast(32 * i as bigint)) as path, sum((n_convs - 1) * n_chars) as saved_tokens, count(*) filter (n_children = 0) as n_leaves from (select *, unnest(range(0, d + 1)) as i from s) group by all),
+    z as (select path, string_agg(cast(c as varchar), ',' order by c) as ids from e join p using (c, d) group by path)
+    select s.conv_id, cast(s.d as bigint) as depth, u.conv_id as parent_conv_id, cast(s.n_convs as bigint) as n_convs, cast(s.n_children as bigint) as n_children,
+        cast(r.n_leaves as bigint) as n_leaves, cast(r.saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+    from s left join s u on s.d > 0 and u.d = s.d - 1 and u.path = left(s.path, cast(32 * s.d - 32 as bigint)) join r on r.path = s.path left join z on z.path = s.path
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
