@@ -1,20 +1,26 @@
 """Connected components (8-connectivity) of foreground pixels, as boxes.
 
-Rows of pixels become runs [x0, x1) by gaps and islands; runs of neighbouring rows touch when a.x0 <= b.x1 and
-b.x0 <= a.x1. Two plans give the same boxes: `fold`, one shuffle and one ordered fold per frame, for frames with a bounded
-number of runs; and `iterative`, min-label hooking with pointer jumping over the run graph, for frames of any size.
+Frames are cut into strips of rows, which tasks label by themselves: the pixels of many strips at a time become runs [x0, x1), runs of
+neighbouring rows touch when a.x0 <= b.x1 and b.x0 <= a.x1, and union-find over arrays joins them. A component leaves its strip
+as one row: its box, its size, and its runs on the strip's first and last rows, by which it may go on in the next strips. The
+second step is small: a frame's components meet, those of neighbouring strips touch by these border runs, and boxes are united.
+One plan serves frames of any size: a task of the first step holds strips, one of the second the border runs of a frame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from pixelspark.session import written
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .pixels import foreground
 
-FOLD_RUNS = 2000
+STRIP_ROWS = 256
+ROWS_AT_ONCE = 1 << 17
 
 
 def runs(px: DataFrame) -> DataFrame:
@@ -24,51 +30,139 @@ def runs(px: DataFrame) -> DataFrame:
     return islands.groupBy("frame_id", "y", "island").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("island")
 
 
-def fold_blobs(found: DataFrame) -> DataFrame:
-    """Boxes of runs by one ordered fold per frame: open components keep their box, size and runs of the last two rows."""
-    shape = "struct<a:int,b:int,c:int,d:int,n:bigint,last:array<struct<y:int,x0:int,x1:int>>>"
-    empty = F.array().cast(f"array<{shape}>")
-
-    def step(state: Column, r: Column) -> Column:
-        touches = lambda k: F.exists(k["last"], lambda q: (q["y"] == r["y"] - 1) & (q["x0"] <= r["x1"]) & (r["x0"] <= q["x1"]))
-        merged = F.filter(state, touches)
-        others = F.filter(state, lambda k: ~touches(k))
-        own = F.struct(r["x0"].alias("a"), r["x1"].alias("b"), r["y"].alias("c"), (r["y"] + 1).alias("d"), (r["x1"] - r["x0"]).cast("bigint").alias("n"), F.array(F.struct(r["y"].alias("y"), r["x0"].alias("x0"), r["x1"].alias("x1"))).alias("last"))
-        join = F.aggregate(
-            merged,
-            own,
-            lambda s, k: F.struct(
-                F.least(s["a"], k["a"]).alias("a"), F.greatest(s["b"], k["b"]).alias("b"), F.least(s["c"], k["c"]).alias("c"), F.greatest(s["d"], k["d"]).alias("d"), (s["n"] + k["n"]).alias("n"),
-                F.filter(F.concat(s["last"], k["last"]), lambda q: q["y"] >= r["y"] - 1).alias("last"),
-            ),
-        )
-        return F.concat(others, F.array(join))
-
-    ordered = found.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")))).alias("r"))
-    boxes = ordered.select("frame_id", F.explode(F.aggregate("r", empty, step)).alias("k"))
-    return boxes.select("frame_id", F.col("k.a").alias("min_x"), F.col("k.b").alias("max_x"), F.col("k.c").alias("min_y"), F.col("k.d").alias("max_y"), F.col("k.n").alias("pixels"))
-
-
-def iterative_blobs(found: DataFrame) -> DataFrame:
-    """Boxes of runs by labels: each round hooks a run to its least neighbour's label and jumps to that label's label. Labels never cross frames."""
-    key = F.struct("y", "x0")
-    base = written(found.select("frame_id", "y", "x0", "x1", key.alias("run")), "runs")
-    up = base.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("other"))
-    touch = base.join(up, ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1").select("frame_id", "run", "other")
-    edges = written(touch.union(touch.select("frame_id", F.col("other").alias("run"), F.col("run").alias("other"))), "touching")
-    labels = written(base.select("frame_id", "run", F.col("run").alias("label")), "labels")
-    state = None
-    while True:
-        near = edges.join(labels.select("frame_id", F.col("run").alias("other"), F.col("label").alias("theirs")), ["frame_id", "other"])
-        least = near.groupBy("frame_id", "run").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(least, ["frame_id", "run"], "left").select("frame_id", "run", F.least("label", "theirs").alias("label"))
-        hooked = written(hooked, "hooked")
-        jump = hooked.select("frame_id", F.col("run").alias("label"), F.col("label").alias("above"))
-        labels = written(hooked.join(jump, ["frame_id", "label"], "left").select("frame_id", "run", F.coalesce("above", "label").alias("label")), "labels")
-        before, state = state, labels.agg(F.sum(F.xxhash64("frame_id", "run", "label").cast("decimal(20,0)"))).first()[0]
-        if before == state:
-            break
-    return boxes_of(base.join(labels, ["frame_id", "run"]))
+def _same_as_before(*columns: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """For each row but the first: whether it equals the row before in all columns."""
+    out = np.ones(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        out &= pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches sorted by keys, regrouped into tables of about ROWS_AT_ONCE rows that hold all rows of their keys."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= ROWS_AT_ONCE:
+            table = pa.concat_tables(held).combine_chunks()
+            ends = np.flatnonzero(~_same_as_before(*[table.column(k).combine_chunks() for k in keys]))
+            if len(ends):
+                yield table.slice(0, int(ends[-1]) + 1).combine_chunks()
+                held = [table.slice(int(ends[-1]) + 1)]
+            else:
+                held = [table]
+    if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
+        yield table
+
+
+def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of n nodes; a and b are the ends of edges."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+    return root
+
+
+def touching(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, under: np.ndarray, u0: np.ndarray, u1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (i, j) where run i touches run j, of row under[j], seen from the row below. Runs are sorted by row and x; rows are numbers from 0."""
+    span = int(max(x1.max(initial=0), u1.max(initial=0))) + 2
+    first = np.searchsorted(row * span + x1, under * span + u0, "left")
+    last = np.searchsorted(row * span + x0, under * span + u1, "right")
+    many = np.maximum(last - first, 0)
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(first, many) + offset, np.repeat(np.arange(len(many)), many)
+
+
+def _united(root: np.ndarray, box: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of boxes (rows min_x, max_x, min_y, max_y) and sizes by node: the roots, each node's place among them, their united boxes, their summed sizes."""
+    roots, place = np.unique(root, return_inverse=True)
+    out = np.stack([np.full(len(roots), np.iinfo(np.int64).max), np.zeros(len(roots), np.int64)] * 2)
+    for i, f in enumerate((np.minimum, np.maximum) * 2):
+        f.at(out[i], place, box[i])
+    total = np.zeros(len(roots), np.int64)
+    np.add.at(total, place, size)
+    return roots, place, out, total
+
+
+def _run_lists(place: np.ndarray, chosen: np.ndarray, x0: np.ndarray, x1: np.ndarray, n: int) -> pa.ListArray:
+    """Lists, one for each of n components, of its chosen runs."""
+    order = chosen[np.argsort(place[chosen], kind="stable")]
+    edges = np.searchsorted(place[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(x0[order].astype(np.int32)), pa.array(x1[order].astype(np.int32))], ["x0", "x1"]))
+
+
+BOX = ("min_x", "max_x", "min_y", "max_y")
+
+
+def _label_strips(strip_rows: int):
+    """Pixels of whole strips, sorted -> components, with their runs on the first and last row of the strip."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["frame_id", "strip"]):
+            frame, strip, y, x = (t.column(c).combine_chunks() for c in ("frame_id", "strip", "y", "x"))
+            same = _same_as_before(frame, strip)
+            y, x, strip = y.to_numpy().astype(np.int64), x.to_numpy().astype(np.int64), strip.to_numpy()
+            new_row = np.append(True, ~same | (y[1:] != y[:-1]))
+            starts = np.append(True, new_row[1:] | (x[1:] > x[:-1] + 1))
+            at = np.flatnonzero(starts)
+            x0, x1 = x[at], x[np.append(at[1:], len(x)) - 1] + 1
+            size = x1 - x0
+            row = (np.cumsum(new_row) - 1)[at]
+            lead = np.flatnonzero(new_row)
+            above = np.append(False, same[lead[1:] - 1] & (y[lead[1:]] == y[lead[:-1]] + 1))  # the row before is the one above
+            below = np.flatnonzero(above[row])
+            i, j = touching(row, x0, x1, row[below] - 1, x0[below], x1[below])
+            roots, place, box, total = _united(union_find(len(at), i, below[j]), np.stack([x0, x1, y[at], y[at] + 1]), size)
+            inside = y[at] - strip[at] * strip_rows
+            lists = [_run_lists(place, np.flatnonzero(inside == edge), x0, x1, len(roots)) for edge in (0, strip_rows - 1)]
+            yield pa.RecordBatch.from_arrays([frame.take(pa.array(at[roots])), pa.array(strip[at[roots]]), *[pa.array(v.astype(np.int32)) for v in box], pa.array(total), *lists], names=["frame_id", "strip", *BOX, "pixels", "top", "bottom"])
+
+    return rows
+
+
+def _merge_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of whole frames, sorted by frame and strip -> united boxes."""
+    for t in whole_groups(batches, ["frame_id"]):
+        frame, strip = t.column("frame_id").combine_chunks(), t.column("strip").to_numpy()
+        same = _same_as_before(frame)
+        group = np.append(0, np.cumsum(~same | (strip[1:] != strip[:-1])))  # strips, numbered
+        lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        follows = np.append(False, same[lead[1:] - 1] & (strip[lead[1:]] == strip[lead[:-1]] + 1))
+
+        def border(name: str, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+            lists = t.column(name).combine_chunks()  # noqa: B023
+            node = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            a, b = (flat.field(k).to_numpy().astype(np.int64) for k in ("x0", "x1"))
+            keep = chosen[node]
+            node, a, b = node[keep], a[keep], b[keep]
+            order = np.lexsort((a, group[node]))  # noqa: B023
+            return node[order], a[order], b[order]
+
+        low, l0, l1 = border("bottom", np.append(follows[1:], False)[group])
+        high, h0, h1 = border("top", follows[group])
+        i, j = touching(group[low], l0, l1, group[high] - 1, h0, h1)
+        box = np.stack([t.column(c).to_numpy().astype(np.int64) for c in BOX])
+        roots, _, box, total = _united(union_find(t.num_rows, low[i], high[j]), box, t.column("pixels").to_numpy())
+        yield pa.RecordBatch.from_arrays([frame.take(pa.array(roots)), *[pa.array(v.astype(np.int32)) for v in box], pa.array(total)], names=["frame_id", *BOX, "pixels"])
+
+
+def blobs(px: DataFrame, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """(frame_id, min_x, max_x, min_y, max_y, pixels) of every component."""
+    kind = px.schema["frame_id"].dataType.simpleString()
+    boxes = ", ".join(f"{c} int" for c in BOX) + ", pixels bigint"
+    edge = "array<struct<x0:int,x1:int>>"
+    found = foreground(px).select("frame_id", F.expr(f"cast(floor(y / {strip_rows}) as int)").alias("strip"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    parts = found.repartition("frame_id", "strip").sortWithinPartitions("frame_id", "strip", "y", "x").mapInArrow(_label_strips(strip_rows), f"frame_id {kind}, strip int, {boxes}, top {edge}, bottom {edge}")
+    return parts.repartition("frame_id").sortWithinPartitions("frame_id", "strip").mapInArrow(_merge_strips, f"frame_id {kind}, {boxes}")
 
 
 def boxes_of(labelled: DataFrame) -> DataFrame:
@@ -76,15 +170,6 @@ def boxes_of(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("frame_id", "label").agg(F.min("x0").alias("min_x"), F.max("x1").alias("max_x"), F.min("y").alias("min_y"), (F.max("y") + 1).alias("max_y"), F.sum(F.col("x1") - F.col("x0")).cast("bigint").alias("pixels")).drop("label")
 
 
-def blobs(px: DataFrame, max_fold_runs: int = FOLD_RUNS) -> DataFrame:
-    """(frame_id, min_x, max_x, min_y, max_y, pixels) of every component. Frames with more than max_fold_runs runs take the iterative plan."""
-    found = runs(px)
-    counted = written(found.withColumn("n_runs", F.count("*").over(Window.partitionBy("frame_id"))), "runs")
-    small = fold_blobs(counted.where(F.col("n_runs") <= max_fold_runs).drop("n_runs"))
-    large = counted.where(F.col("n_runs") > max_fold_runs).drop("n_runs")
-    return small if large.isEmpty() else small.unionByName(iterative_blobs(large))
-
-
 def blob_fields(boxes: DataFrame) -> DataFrame:
     """width, height, area and filled share of each box."""
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")

@@ -20,6 +20,18 @@ def px_mask(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFra
     return px_luma(spark, sf_dir, by_frame).where("c0 >= 160")
 
 
+CAMERA_WIDTH, CAMERA_HEIGHT = 446, 295
+
+
+def px_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera-size luma frames of all lineitem rows: a row is 8 pixels of one value, and a frame the rows of one hash value, about 446 x 295 pixels."""
+    lines = table(spark, sf_dir, "lineitem")
+    n_frames = max(1, -(-lines.count() * 8 // (CAMERA_WIDTH * CAMERA_HEIGHT)))
+    rows = lines.selectExpr(f"pmod(xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey), {n_frames}) as frame_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(pmod(l_partkey * 7 + l_suppkey * 13 + l_orderkey, 256) as int) as c0")
+    placed = rows.selectExpr("frame_id", "c0", "row_number() over (partition by frame_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 as place")
+    return placed.selectExpr("frame_id", "c0", "explode(sequence(8 * place, 8 * place + 7)) as i").selectExpr("frame_id", f"cast(i div {CAMERA_WIDTH} as int) as y", f"cast(i % {CAMERA_WIDTH} as int) as x", "c0")
+
+
 RGB_OF_EVENT = ["cast(cast(round(value * 100) as bigint) % 256 as int) as c0", "cast((user_id * 7) % 256 as int) as c1", "cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2"]
 
 

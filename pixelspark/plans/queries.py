@@ -281,14 +281,15 @@ def sql_blobs(tail: str, more: str = "") -> str:
 
 
 def mask_blobs(spark, sf):
-    return bl.blobs(fx.px_mask(spark, sf, by_frame=True))
+    return bl.blobs(fx.px_mask(spark, sf))
 
 
 query("j5_touching_runs", cte("px_mask", more=SQL_RUNS) + "select a.frame_id, a.y, a.x0, a.x1, b.x0 as u0, b.x1 as u1 from runs a join runs b on a.frame_id = b.frame_id and a.y = b.y + 1 and a.x0 <= b.x1 and b.x0 <= a.x1")(
     lambda s, d: (lambda r: r.join(r.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1")), ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1"))(bl.runs(fx.px_mask(s, d, by_frame=True)))
 )
 query("a8_blobs", sql_blobs("select * from blobs"))(mask_blobs)
-query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.iterative_blobs(bl.runs(fx.px_mask(s, d, by_frame=True))))
+query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.blobs(fx.px_mask(s, d), strip_rows=2))
+query("a8_blobs_camera")(lambda s, d: bl.blobs(fx.px_camera(s, d).where("c0 >= 212")))
 query("a7_box_union", sql_blobs("select frame_id, min(min_x) as min_x, max(max_x) as max_x, min(min_y) as min_y, max(max_y) as max_y, cast(sum(pixels) as bigint) as pixels from blobs group by frame_id"))(
     lambda s, d: bl.boxes_of(bl.runs(fx.px_mask(s, d, by_frame=True)).withColumn("label", F.lit(0)))
 )

@@ -3,6 +3,8 @@
 import struct
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,18 +33,61 @@ def masks(spark):
     return spark.createDataFrame(rows, "frame_id bigint, y int, x int, c0 int")
 
 
-@pytest.mark.parametrize("plan", [bl.fold_blobs, bl.iterative_blobs])
-def test_blob_goldens(spark, plan):
+@pytest.mark.parametrize("strip_rows", [1, 2, bl.STRIP_ROWS])
+def test_blob_goldens(spark, strip_rows):
     got = {}
-    for r in plan(bl.runs(masks(spark))).collect():
+    for r in bl.blobs(masks(spark), strip_rows).collect():
         got.setdefault(r["frame_id"], []).append(tuple(r[c] for c in ("min_x", "max_x", "min_y", "max_y", "pixels")))
     for k, (name, (_, expected)) in enumerate(MASKS.items()):
         assert sorted(got[k]) == sorted(expected), name
 
 
-def test_blobs_route_large_frames(spark):
-    small, large = (sorted(map(tuple, bl.blobs(masks(spark), n).collect())) for n in (2000, 1))
-    assert small == large
+def flood(mask):
+    """Boxes of a mask's components, pixel by pixel."""
+    seen, out = set(), []
+    for y, x in zip(*np.nonzero(mask)):
+        if (y, x) in seen:
+            continue
+        todo, part = [(y, x)], []
+        seen.add((y, x))
+        while todo:
+            a, b = todo.pop()
+            part.append((a, b))
+            for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
+                for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
+                    if mask[c, d] and (c, d) not in seen:
+                        seen.add((c, d))
+                        todo.append((c, d))
+        ys, xs = zip(*part)
+        out.append((min(xs), max(xs) + 1, min(ys), max(ys) + 1, len(part)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("strip_rows", [3, 7, 64])
+def test_blobs_equal_a_flood_fill(spark, monkeypatch, strip_rows):
+    """Frames of several densities, a spiral whose arms cross all strips, and frames without foreground; in Spark, and in tables of few rows at a time."""
+    rng = np.random.default_rng(strip_rows)
+    frames = [(rng.random((23, 31)) < p).astype(int) for p in (0.0, 0.1, 0.35, 0.45, 0.6, 1.0)]
+    spiral = np.zeros((25, 25), int)
+    y, x, dy, dx = 0, 0, 0, 1
+    for length in [24, 24, 24, 22, 22, 20, 20, 18, 18, 16, 16, 14, 14, 12, 12, 10, 10, 8, 8]:
+        for _ in range(length):
+            spiral[y, x] = 1
+            y, x = y + dy, x + dx
+        dy, dx = dx, -dy
+    frames.append(spiral)
+    rows = [(k, int(y), int(x), 9) for k, f in enumerate(frames) for y, x in zip(*np.nonzero(f))]
+    px = spark.createDataFrame(rows, "frame_id bigint, y int, x int, c0 int").orderBy("x", "y")
+    got = {}
+    for r in bl.blobs(px, strip_rows).collect():
+        got.setdefault(r["frame_id"], []).append(tuple(r)[1:])
+    want = {k: flood(f) for k, f in enumerate(frames) if f.any()}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want[6]) == 1
+    monkeypatch.setattr(bl, "ROWS_AT_ONCE", 40)
+    rows = pa.table(dict(zip(("frame_id", "strip", "y", "x"), zip(*sorted((k, y // strip_rows, y, x) for k, y, x, _ in rows)))))
+    parts = pa.Table.from_batches(bl._label_strips(strip_rows)(iter(rows.to_batches(7)))).sort_by([("frame_id", "ascending"), ("strip", "ascending")])
+    merged = pa.Table.from_batches(bl._merge_strips(iter(parts.to_batches(7)))).to_pylist()
+    assert sorted(tuple(r.values()) for r in merged) == sorted((k, *box) for k, boxes in want.items() for box in boxes)
 
 
 def test_blob_pixels_sum_to_mask(spark, sf):
