@@ -109,13 +109,23 @@ def trie_nodes(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 STATE = ("conv", "depth", "parent", "top_conv", "top_depth", "whole", "rest", "leaves", "saved", "sum_leaves", "sum_saved")
 TOP = ["top_conv", "top_depth"]
+SALTS = 16
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("conv", "depth"), F.lit(SALTS).cast("bigint"))
+
+
+def _salted(of_components: DataFrame) -> DataFrame:
+    """A row of each component for every salt: the nodes of one component are many tasks' work."""
+    return of_components.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
 
 def _round(state: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One centroid of every component leaves: (nodes that remain, centroids with their totals, the written step both read)."""
     found = state.where("2 * rest >= whole").groupBy(*TOP).agg(F.min(F.struct("rest", "conv", "depth")).alias("c"))
     found = found.select(*TOP, F.col("c.conv").alias("c_conv"), F.col("c.depth").alias("c_depth"), F.col("c.rest").alias("c_rest"))
-    joined = state.join(found, TOP)
+    joined = state.withColumn("salt", _salt()).join(_salted(found), [*TOP, "salt"])
     level = joined.where("depth <= c_depth").withColumn("under", F.lit(False)).withColumn("u", F.lit(None).cast("bigint"))
     at = places.select("conv", F.col("depth").alias("at"), F.col("node").alias("u"), F.col("parent").alias("u_parent"))
     lower = joined.where("depth > c_depth").withColumn("at", F.col("c_depth") + 1).join(at, ["conv", "at"])
@@ -124,10 +134,10 @@ def _round(state: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, D
     totals = seen.where("under or is_c").groupBy(*TOP).agg(F.sum("leaves").alias("t_leaves"), F.sum("saved").alias("t_saved"))
     wholes = seen.where("under").groupBy("u", F.col("c_depth").alias("u_depth")).agg(F.max("rest").alias("u_whole"))
     on_path = 2 * F.col("rest") >= F.col("whole")
-    stay = seen.where("not under").join(totals, TOP)
+    stay = seen.where("not under").join(_salted(totals), [*TOP, "salt"])
     add = lambda s: F.col(f"sum_{s}") + F.when(on_path, F.col(f"t_{s}")).otherwise(0)
     stay = stay.select("is_c", "conv", "depth", "parent", *TOP, (F.col("whole") - F.col("c_rest")).alias("whole"), (F.col("rest") - F.when(on_path, F.col("c_rest")).otherwise(0)).alias("rest"), "leaves", "saved", add("leaves").alias("sum_leaves"), add("saved").alias("sum_saved"))
-    gone = seen.where("under").withColumn("u_depth", F.col("c_depth")).join(wholes, ["u", "u_depth"])
+    gone = seen.where("under").withColumn("u_depth", F.col("c_depth")).join(_salted(wholes), ["u", "u_depth", "salt"])
     gone = gone.select("conv", "depth", "parent", F.col("u").alias("top_conv"), (F.col("u_depth") + 1).alias("top_depth"), F.col("u_whole").alias("whole"), "rest", "leaves", "saved", "sum_leaves", "sum_saved")
     return stay.where("not is_c").drop("is_c").unionByName(gone), stay.where("is_c").select("conv", "depth", "sum_leaves", "sum_saved"), seen
 
