@@ -13,14 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import in_order, same_as_before, whole_groups
 from .pixels import foreground
 
 STRIP_ROWS = 256
-ROWS_AT_ONCE = 1 << 17
 
 
 def runs(px: DataFrame) -> DataFrame:
@@ -30,31 +29,6 @@ def runs(px: DataFrame) -> DataFrame:
     return islands.groupBy("frame_id", "y", "island").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("island")
 
 
-def _same_as_before(*columns: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """For each row but the first: whether it equals the row before in all columns."""
-    out = np.ones(max(0, len(columns[0]) - 1), dtype=bool)
-    for c in columns:
-        out &= pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False).astype(bool)
-    return out
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Batches sorted by keys, regrouped into tables of about ROWS_AT_ONCE rows that hold all rows of their keys."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        if sum(t.num_rows for t in held) >= ROWS_AT_ONCE:
-            table = pa.concat_tables(held).combine_chunks()
-            ends = np.flatnonzero(~_same_as_before(*[table.column(k).combine_chunks() for k in keys]))
-            if len(ends):
-                yield table.slice(0, int(ends[-1]) + 1).combine_chunks()
-                held = [table.slice(int(ends[-1]) + 1)]
-            else:
-                held = [table]
-    if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
-        yield table
-
-
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node of the component of each of n nodes; a and b are the ends of edges."""
     root = np.arange(n)
@@ -108,7 +82,7 @@ def _label_strips(strip_rows: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["frame_id", "strip"]):
             frame, strip, y, x = (t.column(c).combine_chunks() for c in ("frame_id", "strip", "y", "x"))
-            same = _same_as_before(frame, strip)
+            same = same_as_before(frame, strip)
             y, x, strip = y.to_numpy().astype(np.int64), x.to_numpy().astype(np.int64), strip.to_numpy()
             new_row = np.append(True, ~same | (y[1:] != y[:-1]))
             starts = np.append(True, new_row[1:] | (x[1:] > x[:-1] + 1))
@@ -132,7 +106,7 @@ def _merge_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Components of whole frames, sorted by frame and strip -> united boxes."""
     for t in whole_groups(batches, ["frame_id"]):
         frame, strip = t.column("frame_id").combine_chunks(), t.column("strip").to_numpy()
-        same = _same_as_before(frame)
+        same = same_as_before(frame)
         group = np.append(0, np.cumsum(~same | (strip[1:] != strip[:-1])))  # strips, numbered
         lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         follows = np.append(False, same[lead[1:] - 1] & (strip[lead[1:]] == strip[lead[:-1]] + 1))
@@ -161,8 +135,8 @@ def blobs(px: DataFrame, strip_rows: int = STRIP_ROWS) -> DataFrame:
     boxes = ", ".join(f"{c} int" for c in BOX) + ", pixels bigint"
     edge = "array<struct<x0:int,x1:int>>"
     found = foreground(px).select("frame_id", F.expr(f"cast(floor(y / {strip_rows}) as int)").alias("strip"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    parts = found.repartition("frame_id", "strip").sortWithinPartitions("frame_id", "strip", "y", "x").mapInArrow(_label_strips(strip_rows), f"frame_id {kind}, strip int, {boxes}, top {edge}, bottom {edge}")
-    return parts.repartition("frame_id").sortWithinPartitions("frame_id", "strip").mapInArrow(_merge_strips, f"frame_id {kind}, {boxes}")
+    parts = in_order(found, ["frame_id", "strip"], ["y", "x"]).mapInArrow(_label_strips(strip_rows), f"frame_id {kind}, strip int, {boxes}, top {edge}, bottom {edge}")
+    return in_order(parts, ["frame_id"], ["strip"]).mapInArrow(_merge_strips, f"frame_id {kind}, {boxes}")
 
 
 def boxes_of(labelled: DataFrame) -> DataFrame:

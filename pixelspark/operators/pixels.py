@@ -7,12 +7,17 @@ partitions by frame_id first, so the whole chain then needs one exchange.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelspark.functions.color import channels, convert, idiv
 
+from .groups import in_order, same_as_before, whole_groups
+
 PLACE = ["frame_id", "y", "x"]
 
 
@@ -176,18 +181,84 @@ def gaussian_blur(px: DataFrame, sigma: float, width: int, height: int) -> DataF
     return px
 
 
+#: Rows of a strip that is filtered by itself, besides the rows its windows reach into, and pixels filtered at once.
+STRIP_ROWS = 256
+PIXELS_AT_ONCE = 1 << 15
+
+
+def _selected(width: int, height: int, index: int, n_channels: int, pixels_at_once: int):
+    """Pixels of whole strips and of the rows around them -> the chosen value of each window of the strips.
+
+    A column of histograms, one for each row of all strips at hand, slides over them: it gains the histograms of a column's vertical
+    windows, which are differences of running counts, and loses those of the column that leaves. So a pixel costs the same for any window.
+    """
+    dx, dy = width // 2, height // 2
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["frame_id", "strip"], pixels_at_once):
+            y, x, own = (t.column(c).to_numpy() for c in ("y", "x", "own"))
+            same = same_as_before(t.column("frame_id").combine_chunks(), t.column("strip").combine_chunks())
+            new_row = np.append(True, ~same | (y[1:] != y[:-1]))
+            row, lead = np.cumsum(new_row) - 1, np.flatnonzero(new_row)
+            span = int(y.max()) - int(y.min()) + height + 1
+            at_row = np.append(0, np.cumsum(~same)).astype(np.int64)[lead] * span + y[lead] - int(y.min())
+            low, high = np.searchsorted(at_row, at_row - dy), np.searchsorted(at_row, at_row + dy, "right")
+            n_rows, x0 = len(lead), int(x.min())
+            n_cols = int(x.max()) - x0 + 1
+            order = np.argsort(x, kind="stable")
+            edges = np.searchsorted(x[order] - x0, np.arange(n_cols + 1))
+            kind = np.int16 if max(n_rows, width * height) < 1 << 15 else np.int32
+            out = []
+            for c in range(n_channels):
+                value = t.column(f"c{c}").to_numpy()
+                chosen = np.zeros(len(x), np.int32)
+                held: dict[int, list[np.ndarray]] = {}
+                total = [np.zeros((n_rows, bins), kind) for bins in (256, 16)]
+                for k in range(n_cols + dx):
+                    if k < n_cols:
+                        at = order[edges[k] : edges[k + 1]]
+                        held[k] = []
+                        for sums, v in zip(total, (value[at], value[at] >> 4)):
+                            counts = np.zeros((n_rows + 1, sums.shape[1]), kind)
+                            counts[row[at] + 1, v] = 1  # a place holds one pixel
+                            np.cumsum(counts, axis=0, out=counts)
+                            held[k].append(counts[high] - counts[low])
+                            sums += held[k][-1]
+                    for sums, gone in zip(total, held.pop(k - width, ())):
+                        sums -= gone
+                    if k >= dx:
+                        at = order[edges[k - dx] : edges[k - dx + 1]]
+                        line = np.arange(len(at))
+                        below = np.cumsum(total[1][row[at]], axis=1, dtype=np.int64)
+                        rank = index * below[:, -1:] // (width * height)
+                        tens = (below <= rank).sum(axis=1)  # of sixteens
+                        rest = rank - np.where(tens > 0, below[line, tens - 1], 0)[:, None]
+                        ones = np.cumsum(total[0].reshape(n_rows, 16, 16)[row[at], tens], axis=1, dtype=np.int64)
+                        chosen[at] = 16 * tens + (ones <= rest).sum(axis=1)
+                out.append(pa.array(chosen[own]))
+            place = t.select(PLACE).filter(pa.array(own)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in place.columns], *out], names=[*PLACE, *names(n_channels)])
+
+    return rows
+
+
 def percentile_filter(px: DataFrame, width: int, height: int, index: int) -> DataFrame:
     """The index-th smallest value (from 0) of the window per channel; a clipped window of n takes index * n div (width * height).
 
-    Arrays hold one window, so memory is bounded by its size; for the extremes `erode` and `dilate` are cheaper.
+    Values are 0 to 255. Strips of rows, with the rows around them that their windows reach, are filtered by themselves, so that a
+    task holds a strip and not a frame; pixels dealt out by frame are not shuffled again. For the extremes `erode` and `dilate` are cheaper.
     """
     _odd(width, height)
     if width == height == 1:
         return px
-    have = channel_columns(px)
-    rows = px.select(*PLACE, *[F.collect_list(c).over(_line("x", width)).alias(c) for c in have])
-    whole = rows.select(*PLACE, *[F.sort_array(F.flatten(F.collect_list(c).over(_line("y", height)))).alias(c) for c in have])
-    return whole.select(*PLACE, *[F.element_at(c, idiv(index * F.size(c), width * height) + 1).alias(c) for c in have])
+    have, reach = channel_columns(px), height // 2
+    rows = max(STRIP_ROWS, height)
+    strip = lambda shift: F.floor((F.col("y") + shift) / rows)
+    dealt = px.select(*PLACE, *have, F.explode(F.array_distinct(F.array(strip(0), strip(-reach), strip(reach)))).alias("strip"))
+    dealt = dealt.withColumn("own", F.col("strip") == strip(0))
+    kind = px.schema["frame_id"].dataType.simpleString()
+    spread = dealt.select("frame_id", "strip", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "own", *[F.col(c).cast("int").alias(c) for c in have])
+    return in_order(spread, ["frame_id", "strip"], ["y", "x"]).mapInArrow(_selected(width, height, index, len(have), PIXELS_AT_ONCE), f"frame_id {kind}, y int, x int, " + ", ".join(f"{c} int" for c in have))
 
 
 def median_filter(px: DataFrame, width: int, height: int) -> DataFrame:

@@ -262,6 +262,7 @@ def sql_percentile(size: int, index: int) -> str:
 
 query("w3_percentile", cte("px_luma") + sql_percentile(3, 2))(lambda s, d: pixels.percentile_filter(fx.px_luma(s, d, by_frame=True), 3, 3, 2))
 query("w4_median", cte("px_luma") + sql_percentile(3, 4))(lambda s, d: pixels.median_filter(fx.px_luma(s, d, by_frame=True), 3, 3))
+query("w4_median_camera")(lambda s, d: pixels.median_filter(fx.px_camera(s, d), 15, 15))
 query("w5_erode", cte("px_luma", more=sql_two_lines(3, 3, "px_luma", ["c0"], "min({c}) over w")) + "select * from h")(lambda s, d: pixels.erode(fx.px_luma(s, d, by_frame=True), 3, 3))
 query("w5_dilate", cte("px_luma", more=sql_two_lines(5, 3, "px_luma", ["c0"], "max({c}) over w")) + "select * from h")(lambda s, d: pixels.dilate(fx.px_luma(s, d, by_frame=True), 3, 5))
 SQL_RUNS = "runs as (select frame_id, y, cast(min(x) as int) as x0, cast(max(x) + 1 as int) as x1 from (select frame_id, y, x, x - row_number() over (partition by frame_id, y order by x) as g from px_mask) group by frame_id, y, g)"
@@ -281,14 +282,14 @@ def sql_blobs(tail: str, more: str = "") -> str:
 
 
 def mask_blobs(spark, sf):
-    return bl.blobs(fx.px_mask(spark, sf))
+    return bl.blobs(fx.px_mask(spark, sf, by_frame=True))
 
 
 query("j5_touching_runs", cte("px_mask", more=SQL_RUNS) + "select a.frame_id, a.y, a.x0, a.x1, b.x0 as u0, b.x1 as u1 from runs a join runs b on a.frame_id = b.frame_id and a.y = b.y + 1 and a.x0 <= b.x1 and b.x0 <= a.x1")(
     lambda s, d: (lambda r: r.join(r.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1")), ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1"))(bl.runs(fx.px_mask(s, d, by_frame=True)))
 )
 query("a8_blobs", sql_blobs("select * from blobs"))(mask_blobs)
-query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.blobs(fx.px_mask(s, d), strip_rows=2))
+query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.blobs(fx.px_mask(s, d, by_frame=True), strip_rows=2))
 query("a8_blobs_camera")(lambda s, d: bl.blobs(fx.px_camera(s, d).where("c0 >= 212")))
 query("a7_box_union", sql_blobs("select frame_id, min(min_x) as min_x, max(max_x) as max_x, min(min_y) as min_y, max(max_y) as max_y, cast(sum(pixels) as bigint) as pixels from blobs group by frame_id"))(
     lambda s, d: bl.boxes_of(bl.runs(fx.px_mask(s, d, by_frame=True)).withColumn("label", F.lit(0)))

@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelspark.functions import color
 from pixelspark.operators import blobs as bl
-from pixelspark.operators import pixels
+from pixelspark.operators import groups, pixels
 from pixelspark.plans import fixtures as fx
 from pixelspark.sources import frames as fr
 
@@ -83,7 +84,7 @@ def test_blobs_equal_a_flood_fill(spark, monkeypatch, strip_rows):
         got.setdefault(r["frame_id"], []).append(tuple(r)[1:])
     want = {k: flood(f) for k, f in enumerate(frames) if f.any()}
     assert {k: sorted(v) for k, v in got.items()} == want and len(want[6]) == 1
-    monkeypatch.setattr(bl, "ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(bl, "whole_groups", partial(groups.whole_groups, rows_at_once=40))
     rows = pa.table(dict(zip(("frame_id", "strip", "y", "x"), zip(*sorted((k, y // strip_rows, y, x) for k, y, x, _ in rows)))))
     parts = pa.Table.from_batches(bl._label_strips(strip_rows)(iter(rows.to_batches(7)))).sort_by([("frame_id", "ascending"), ("strip", "ascending")])
     merged = pa.Table.from_batches(bl._merge_strips(iter(parts.to_batches(7)))).to_pylist()
@@ -133,6 +134,26 @@ def test_erode_median_dilate_are_ordered(spark, sf):
     assert both.where("lo > mid or mid > hi").count() == 0
 
 
+@pytest.mark.parametrize("width,height,index,strip_rows", [(3, 3, 4, 256), (15, 15, 0, 256), (15, 15, 112, 4), (1, 5, 3, 3), (7, 1, 6, 2), (5, 31, 40, 8)])
+def test_percentile_equals_sorted_windows(spark, monkeypatch, width, height, index, strip_rows):
+    """Clipped windows, windows wider than the frame, strips lower than a window, and pixels that are missing."""
+    monkeypatch.setattr(pixels, "STRIP_ROWS", strip_rows)
+    monkeypatch.setattr(pixels, "PIXELS_AT_ONCE", 30)
+    rng = np.random.default_rng(width)
+    rows = [(f, y, x, int(rng.integers(0, 256)), int(rng.integers(0, 3))) for f, (h, w) in enumerate([(20, 9), (1, 1), (3, 30)]) for y in range(h) for x in range(w) if rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "frame_id bigint, y int, x int, c0 int, c1 int")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in pixels.percentile_filter(px, width, height, index).collect()}
+    assert len(got) == len(rows)
+    for f, y, x, *_ in rows:
+        near = [r for r in rows if r[0] == f and abs(r[1] - y) <= height // 2 and abs(r[2] - x) <= width // 2]
+        assert got[f, y, x] == tuple(sorted(r[c] for r in near)[index * len(near) // (width * height)] for c in (3, 4))
+
+
+def test_percentile_of_dealt_frames_has_one_exchange(spark, sf):
+    plan = pixels.median_filter(fx.px_luma(spark, sf, by_frame=True), 3, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_chain_of_windows_has_one_exchange(spark, sf):
     px = pixels.by_frame(fx.px_luma(spark, sf))
     plan = pixels.erode(pixels.box_blur(px, 3, 3), 3, 3)._jdf.queryExecution().executedPlan().toString()
