@@ -73,15 +73,28 @@ def missing_parameters(streams: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def match_detections(expected: DataFrame, got: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """(image, id, status): expected and got (image, id, corners) pair up where every coordinate differs by less than tolerance."""
-    a = expected.select("image", "id", F.col("corners").alias("a"))
-    b = got.select("image", "id", F.col("corners").alias("b"))
+    """(image, id, status): expected and got (image, id, corners) pair up where every coordinate differs by less than tolerance.
+
+    A grid join: the first point's cell, of the tolerance's size, is a key; an expected detection is asked for in the cells around its
+    own. Only whether a partner exists matters, so it is a semi join on distinct detections, and one aggregation of flags gives the
+    states. An id of an image that is on both sides without a pair is missed and extra.
+    """
+    sides = [df.select("image", "id", F.col("corners").cast("array<double>").alias("corners")).distinct() for df in (expected, got)]
+    cell = lambda i: F.coalesce(F.floor(F.get("corners", F.lit(i)) / tolerance), F.lit(0))
+    around = lambda c: F.sequence(c - 1, c + 1)
+    a = sides[0].withColumn("gx", F.explode(around(cell(0)))).withColumn("gy", F.explode(around(cell(1)))).withColumnRenamed("corners", "a")
+    b = sides[1].select("image", "id", F.col("corners").alias("b"), cell(0).alias("gx"), cell(1).alias("gy"))
     near = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), lambda d: d < tolerance)
-    pairs = a.join(b, ["image", "id"]).where(near)
-    matched = pairs.select("image", "id").distinct().withColumn("status", F.lit("matched"))
-    missed = a.join(pairs, ["image", "id"], "left_anti").select("image", "id").distinct().withColumn("status", F.lit("missed"))
-    extra = b.join(pairs, ["image", "id"], "left_anti").select("image", "id").distinct().withColumn("status", F.lit("extra"))
-    return matched.unionByName(missed).unionByName(extra)
+    keys = ["image", "id", "gx", "gy"]
+    a, b = a.alias("a"), b.alias("b")
+    same = near
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    paired = a.join(b, same, "left_semi").select("image", "id", F.lit(3).alias("flag"))
+    seen = [df.select("image", "id", F.lit(flag).alias("flag")) for df, flag in zip(sides, (1, 2))]
+    flags = paired.unionByName(seen[0]).unionByName(seen[1]).groupBy("image", "id").agg(*[F.bool_or(F.col("flag") == k).alias(n) for k, n in ((3, "matched"), (1, "missed"), (2, "extra"))])
+    states = F.when(F.col("matched"), F.array(F.lit("matched"))).otherwise(F.array_compact(F.array(F.when(F.col("missed"), "missed"), F.when(F.col("extra"), "extra"))))
+    return flags.select("image", "id", F.explode(states).alias("status"))
 
 
 def pose_features(poses: DataFrame) -> DataFrame:

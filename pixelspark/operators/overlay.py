@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelspark.functions.color import idiv
+
+from .groups import in_order, same_as_before, whole_groups
 from .pixels import PLACE, channel_columns, color_space
 
 
 def line_points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """ARRAY<STRUCT<x, y>>: the Bresenham points of a line without its last point."""
-    dx, dy = F.abs(x1 - x0), -F.abs(y1 - y0)
+    """ARRAY<STRUCT<x, y>>: the Bresenham points of a line without its last point, each from its number alone.
+
+    Point i is i steps along the longer side; along the shorter one it is (2 i short + long) div (2 long) steps, where ties go on.
+    """
+    dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
     sx, sy = F.when(x0 < x1, 1).otherwise(-1), F.when(y0 < y1, 1).otherwise(-1)
-    n = F.greatest(dx, -dy)
-    start = F.struct(x0.alias("x"), y0.alias("y"), (dx + dy).alias("e"), F.array().cast("array<struct<x:int,y:int>>").alias("pts"))
+    n = F.greatest(dx, dy)
 
-    def step(s: Column, _: Column) -> Column:
-        right, down = 2 * s["e"] >= dy, 2 * s["e"] <= dx
-        return F.struct(
-            F.when(right, s["x"] + sx).otherwise(s["x"]).alias("x"),
-            F.when(down, s["y"] + sy).otherwise(s["y"]).alias("y"),
-            (s["e"] + F.when(right, dy).otherwise(0) + F.when(down, dx).otherwise(0)).alias("e"),
-            F.concat(s["pts"], F.array(F.struct(s["x"].alias("x"), s["y"].alias("y")))).alias("pts"),
-        )
+    def point(i: Column) -> Column:
+        steps = lambda side: F.when(side == n, i).otherwise(idiv(2 * i.cast("long") * side + n, 2 * n)).cast("int")
+        return F.struct((x0 + sx * steps(dx)).alias("x"), (y0 + sy * steps(dy)).alias("y"))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["pts"])).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), point)).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
 
 
 def rasterize_lines(lines: DataFrame) -> DataFrame:
@@ -62,21 +66,56 @@ def draw_colored_points(canvas: DataFrame, points: DataFrame) -> DataFrame:
     return canvas.join(last, PLACE, "left").select(*PLACE, *[F.coalesce(F.get("color", F.lit(i)), F.col(c)).cast("int").alias(c) for i, c in enumerate(have)])
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of boxes, sorted by frame and y -> the x at which the set of boxes changes, with the layers from there on.
+
+    A row is swept once: a box of the row begins and ends segments (its border columns are segments of their own), and stands in the
+    layers of those it covers only.
+    """
+    for t in whole_groups(batches, ["frame_id", "y"]):
+        row = np.append(0, np.cumsum(~same_as_before(t.column("frame_id").combine_chunks(), t.column("y").combine_chunks())))
+        low, high = (t.column(c).to_numpy().astype(np.int64) for c in ("min_x", "max_x"))
+        least, span = int(low.min()), int(high.max() - low.min()) + 2
+        at = lambda x: row * span + x - least  # noqa: B023, E731
+        cuts = np.unique(np.concatenate([at(low), at(np.minimum(low + 1, high)), at(np.maximum(high - 1, low)), at(high)]))
+        first, last = np.searchsorted(cuts, at(low)), np.searchsorted(cuts, at(high))
+        box = np.repeat(np.arange(len(row)), last - first)
+        cut = np.arange(len(box)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[box]
+        order = np.lexsort((box, t.column("seq").to_numpy()[box], cut))
+        box, cut = box[order], cut[order]
+        x = cuts[cut] % span + least
+        border = t.column("edge").to_numpy(zero_copy_only=False)[box] | (x == low[box]) | (x == high[box] - 1)
+        fill = np.where(border, 1.0, t.column("fill").to_numpy()[box])
+        layer = pa.StructArray.from_arrays([pa.array(fill), t.column("color").combine_chunks().take(pa.array(box))], ["fill", "color"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cut, np.arange(len(cuts) + 1)).astype(np.int32)), layer)
+        lead = pa.array(np.searchsorted(row, cuts // span))
+        yield pa.RecordBatch.from_arrays([t.column("frame_id").combine_chunks().take(lead), t.column("y").combine_chunks().take(lead), pa.array((cuts % span + least).astype(np.int32)), lists], names=["frame_id", "y", "x", "layers"])
+
+
+def box_segments(boxes: DataFrame) -> DataFrame:
+    """(frame_id, y, x, layers): from x on, up to the row's next segment, the layers (fill, color) of boxes in order of seq; none where the last box ends."""
+    kind, color = boxes.schema["frame_id"].dataType.simpleString(), "array<int>"
+    rows = boxes.where("min_x < max_x and min_y <= max_y").select("frame_id", F.explode(F.sequence(F.col("min_y").cast("int"), F.col("max_y").cast("int"))).alias("y"), "seq", F.col("min_x").cast("int").alias("min_x"), F.col("max_x").cast("int").alias("max_x"), F.col("min_y"), F.col("max_y"), F.col("fill").cast("double").alias("fill"), F.col("color").cast(color).alias("color"))
+    rows = rows.select("frame_id", "y", F.col("seq").cast("long").alias("seq"), "min_x", "max_x", ((F.col("y") == F.col("min_y")) | (F.col("y") == F.col("max_y"))).alias("edge"), "fill", "color")
+    return in_order(rows, ["frame_id", "y"], ["seq"]).mapInArrow(_segments, f"frame_id {kind}, y int, x int, layers array<struct<fill:double,color:{color}>>")
+
+
 def draw_boxes(canvas: DataFrame, boxes: DataFrame) -> DataFrame:
     """canvas under boxes (frame_id, seq, min_x, max_x, min_y, max_y, fill, color array), drawn in order of seq.
 
     Borders are opaque; inside, each channel becomes trunc(old * (1 - fill) + new * fill). Row max_y, one below the half-open box,
-    belongs to the border. The join is an equality on the frame with ranges on x and y; blends fold in order per pixel.
+    belongs to the border. Each row of the canvas is swept with the segments of its boxes: a pixel takes the layers of the last
+    segment that begins at or before it, so no pixel meets a box that does not cover it.
     """
     have = channel_columns(canvas)
-    c, b = canvas.alias("c"), boxes.alias("b")
-    inside = (F.col("c.frame_id") == F.col("b.frame_id")) & (F.col("c.x") >= F.col("b.min_x")) & (F.col("c.x") < F.col("b.max_x")) & (F.col("c.y") >= F.col("b.min_y")) & (F.col("c.y") <= F.col("b.max_y"))
-    border = (F.col("c.x") == F.col("b.min_x")) | (F.col("c.x") == F.col("b.max_x") - 1) | (F.col("c.y") == F.col("b.min_y")) | (F.col("c.y") == F.col("b.max_y"))
-    layer = F.struct(F.col("b.seq").alias("seq"), F.when(border, F.lit(1.0)).otherwise(F.col("b.fill")).alias("fill"), F.col("b.color").alias("color"))
-    layers = c.join(b, inside).groupBy(*[F.col(f"c.{k}").alias(k) for k in PLACE]).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
+    none = F.lit(None).cast("array<struct<fill:double,color:array<int>>>")
+    pixels = canvas.select(*[F.col(c).cast("int").alias(c) if c in ("y", "x") else F.col(c) for c in PLACE], *have, F.lit(1).alias("_kind"), none.alias("layers"))
+    marks = box_segments(boxes).select(*PLACE, *[F.lit(None).cast(canvas.schema[c].dataType).alias(c) for c in have], F.lit(0).alias("_kind"), "layers")
+    before = Window.partitionBy("frame_id", "y").orderBy("x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    under = pixels.unionByName(marks).withColumn("layers", F.last("layers", ignorenulls=True).over(before)).where("_kind = 1")
 
     def blended(i: int) -> Column:
         new = lambda l: F.get(l["color"], F.lit(i))  # noqa: E731, E741
         return F.aggregate("layers", F.col(f"c{i}").cast("int"), lambda old, l: F.when(l["fill"] >= 1, new(l)).otherwise((old * (1 - l["fill"]) + new(l) * l["fill"])).cast("int"))  # noqa: E741
 
-    return canvas.join(layers, PLACE, "left").select(*PLACE, *[F.when(F.col("layers").isNull(), F.col(h)).otherwise(blended(i)).alias(h) for i, h in enumerate(have)])
+    return under.select(*PLACE, *[F.when(F.coalesce(F.size("layers"), F.lit(0)) < 1, F.col(h)).otherwise(blended(i)).alias(h) for i, h in enumerate(have)])

@@ -219,10 +219,13 @@ SQL_EDGES = """k as (select run as frame_id, seq * 4 as seq4, [cx, cy, cx + id,
     edges as (select frame_id, seq4 + i as seq, cast(trunc(c[2*i+1]) as int) as x0, cast(trunc(c[2*i+2]) as int) as y0, cast(trunc(c[2*((i+1)%4)+1]) as int) as x1, cast(trunc(c[2*((i+1)%4)+2]) as int) as y1 from k, range(0, 4) t(i))"""
 
 
-@query("g4_rasterize_detections", cte("dets", more=f"{SQL_EDGES}, {SQL_BRESENHAM.format(src='edges')}", recursive=True) + "select frame_id, cast(seq // 4 as int) as seq, cast(seq % 4 as int) as edge, count(*) as n, cast(sum(y) as bigint) as sum_y, cast(sum(x) as bigint) as sum_x from b where left_n > 0 and x >= 0 and y >= 0 group by frame_id, seq")
+@query("g4_rasterize_detections", cte("dets", more=f"{SQL_EDGES}, {SQL_BRESENHAM.format(src='edges')}", recursive=True)
+    + "select frame_id, cast(seq // 4 as int) as seq, cast(seq % 4 as int) as edge, count(*) as n, string_agg(x || ',' || y, ' ' order by x, y) as points from b where left_n > 0 and x >= 0 and y >= 0 group by frame_id, seq")
 def g4(spark, sf):
+    """Every pixel of every edge, as a list of each edge."""
     drawn = overlay.rasterize_detections(corner_dets(spark, sf).select("frame_id", "seq", "corners"))
-    return drawn.groupBy("frame_id", "seq", "edge").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+    points = F.array_sort(F.collect_list(F.struct("x", "y")))
+    return drawn.groupBy("frame_id", "seq", "edge").agg(F.count("*").alias("n"), F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"))
 
 
 # windows
