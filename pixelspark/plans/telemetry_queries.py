@@ -191,12 +191,8 @@ query("a12_latest_topics", cte("topics") + "select topic, max(ts_us) as ts_us, a
 SQL_REGISTRY = "r as (select topic, min(ts_us) as first_us, arg_min(type, (ts_us, type)) as type from topics group by topic), reg as (select topic, cast(row_number() over (order by first_us, topic) - 1 as int) as publish_id, type, first_us from r)"
 query("a13_topic_registry", cte("topics", more=SQL_REGISTRY) + "select * from reg")(lambda s, d: tp.registry(fx.topics(s, d)))
 query("a13_announcements", cte("topics", more=SQL_REGISTRY) + """select topic, '{"name":"' || topic || '","pubuid":' || publish_id || ',"type":"' || type || '"}' as announce from reg""")(lambda s, d: tp.announcements(tp.registry(fx.topics(s, d))))
-query("s11_latest_image", cte("ticks") + "select stream, event_type as component, arg_max(event_id, epoch_us(ts)) as event_id, max(epoch_us(ts)) as ts_us from (select *, concat('cam-', cast(user_id % 8 as varchar)) as stream from events) group by all")(
-    lambda s, d: st.drain_batches(
-        st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA),
-        lambda df: te.latest_per_key(st.tick_stream(df).join(df.select("event_id", F.col("event_type").alias("component")), "event_id").select("stream", "component", "event_id", "ts_us"), ["stream", "component"], "ts_us"),
-        "stream string, component string, event_id bigint, ts_us bigint",
-    )
+query("s11_latest_image", cte("ticks") + "select stream, event_type as component, arg_max(event_id, (epoch_us(ts), event_id)) as event_id, max(epoch_us(ts)) as ts_us from (select *, concat('cam-', cast(user_id % 8 as varchar)) as stream from events) group by all")(
+    lambda s, d: st.drain_latest(st.tick_stream(st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA), "event_type as component").select("stream", "component", "event_id", "ts_us"), ["stream", "component"], "ts_us")
 )
 query("s12_debug", "select distinct event_type as component, cast(user_id % 4 as int) as file, cast(event_id % 5 as int) as line from events")(
     lambda s, d: te.debug_events(table(s, d, "events").selectExpr("event_type as component", "cast(user_id % 4 as int) as file", "cast(event_id % 5 as int) as line", "value")).select("component", "file", "line")
@@ -260,23 +256,30 @@ query("p21_pose_parameters", cte("ticks", "cameras") + "select event_id, stream,
 # streams: each equals its batch twin
 
 
-def ticks_stream(spark, sf) -> DataFrame:
-    return st.tick_stream(st.replay(table(spark, sf, "events"), "event_id"))
+def ticks_stream(spark, sf, *more: str) -> DataFrame:
+    return st.tick_stream(st.replay(st.with_heartbeat(table(spark, sf, "events"), "event_id", "ts", "2 hours"), "event_id"), *more)
 
 
+HOUR = 3_600_000_000
+#: The watermark after all events: the last whole millisecond less the delay of an hour.
+SQL_PASSED = f"(select max(epoch_us(ts)) // 1000 * 1000 - {HOUR} from events)"
 query("t2_fps_stream", ORACLE_SQL["w7_fps"])(lambda s, d: st.drain(st.rolling_fps_stream(ticks_stream(s, d), HOURS6, "1 hour")).select("event_id", "stream", F.round("fps", 12).alias("fps")))
-query("t3_keep_newest", cte("ticks") + "select event_id, stream, ts_us from ticks qualify row_number() over (partition by stream order by ts_us desc) <= 5")(
-    lambda s, d: st.drain_batches(st.tick_stream(st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA)), lambda df: te.keep_newest(df.select("event_id", "stream", "ts_us"), 5), "event_id bigint, stream string, ts_us bigint")
-)
-query("t4_throttle_stream", ORACLE_SQL["w9_throttle"])(lambda s, d: st.drain(st.throttle_stream(ticks_stream(s, d), 3_600_000_000, "1 hour")))
-query("t5_gather_stream", cte("ticks", more="g as (select stream, ts_us // 86400000000 * 86400000000 as start_us, count(*) as n, arg_max(event_id, ts_us) as last_event from ticks group by all)") + "select * from g where start_us + 86400000000 <= (select max(ts_us) // 1000 * 1000 - 3600000000 from ticks)")(
-    lambda s, d: st.drain(st.gather_stream(ticks_stream(s, d), "1 day", "1 hour"))
+query("t3_keep_newest", cte("ticks") + f"""select event_id, stream, ts_us from ticks where (ts_us // 21600000000 + 1) * 21600000000 <= {SQL_PASSED}
+    qualify row_number() over (partition by stream, ts_us // 21600000000 order by ts_us desc, event_id desc) <= 5""")(
+    lambda s, d: st.drain(st.keep_newest_stream(st.tick_stream(st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA)), 5, "6 hours", "1 hour"))
+)
+query("t4_throttle_stream", ORACLE_SQL["w9_throttle"])(lambda s, d: st.drain(st.throttle_stream(ticks_stream(s, d), HOUR, "1 hour")))
+query("t5_gather_stream", cte("ticks", more="g as (select stream, ts_us // 86400000000 * 86400000000 as start_us, count(*) as n, arg_max(event_id, ts_us) as last_event from ticks group by all)") + f"select * from g where start_us + 86400000000 <= {SQL_PASSED}")(
+    lambda s, d: st.drain(st.gather_stream(st.tick_stream(st.replay(table(s, d, "events"), "event_id")), "1 day", "1 hour"))
 )
 query("t6_sticky_stream", ORACLE_SQL["f9_sticky_types"])(
-    lambda s, d: st.drain(st.sticky_type_stream(st.replay(table(s, d, "events"), "event_id").selectExpr("concat('/', event_type, '/', cast(user_id % 4 as string)) as topic", "unix_micros(cast(ts as timestamp)) as ts_us", "case when event_id % 11 = 0 then 'int' else 'double' end as type", "value")))
+    lambda s, d: st.drain(st.sticky_type_stream(ticks_stream(s, d, "concat('/', event_type, '/', cast(user_id % 4 as string)) as topic", "case when event_id % 11 = 0 then 'int' else 'double' end as type", "value"), "1 hour"))
 )
-query("t7_suppress_repeats", "select distinct event_type as component, cast(user_id % 4 as int) as file from events")(
-    lambda s, d: st.drain(st.suppress_repeats(st.replay(table(s, d, "events"), "event_id").selectExpr("event_type as component", "cast(user_id % 4 as int) as file", "cast(ts as timestamp) as event_time"), ["component", "file"], "4000 days").select("component", "file"))
+SQL_REPEATS = f"""o as (select event_id, event_type as component, cast(user_id % 4 as int) as file, epoch_us(ts) as ts_us, row_number() over (partition by event_type, user_id % 4 order by ts, event_id) as r from events),
+    k(component, file, r, last_us, event_id, kept) as (select component, file, r, ts_us, event_id, true from o where r = 1
+        union all select o.component, o.file, o.r, case when o.ts_us - k.last_us >= 6 * {HOUR} then o.ts_us else k.last_us end, o.event_id, o.ts_us - k.last_us >= 6 * {HOUR} from k join o on o.component = k.component and o.file = k.file and o.r = k.r + 1)"""
+query("t7_suppress_repeats", f"with recursive {SQL_REPEATS} select o.event_id, o.component, o.file, o.ts_us from o join k using (event_id) where kept and ts_us <= {SQL_PASSED}")(
+    lambda s, d: st.drain(st.suppress_repeats(st.tick_stream(st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA), "event_type as component", "cast(user_id % 4 as int) as file"), ["component", "file"], 6 * HOUR, "1 hour"))
 )
 
 

@@ -1,19 +1,24 @@
-"""Structured Streaming twins. Event time is ts_us; timers on the watermark drop what state no later row can need."""
+"""Structured Streaming twins. Event time is ts_us; timers on the watermark drop what state no later row can need.
+
+Order of arrival does not matter inside the watermark. Rows wait in state (RocksDB) until the watermark has passed them and are
+then taken in order of event time, so a stream gives the rows of its batch twin up to the watermark whatever the files and
+triggers were; a source that ends sends a heartbeat to give out the rest, as a row of the null key, which gets no result. One rule holds everywhere for late rows: what comes after the watermark has passed it is dropped.
+"""
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left, bisect_right, insort
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pixelspark.session import shared_dir
+from pixelspark.operators.telemetry import latest_per_key
+from pixelspark.session import discard, shared_dir
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -43,17 +48,36 @@ def replay(events: DataFrame, order: str, parts: int = 4) -> DataFrame:
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/")
 
 
-def tick_stream(events: DataFrame) -> DataFrame:
+def with_heartbeat(events: DataFrame, number: str, time: str, after: str) -> DataFrame:
+    """events and one row after the last, of nulls but for its number and time: it moves the watermark past all of them, so that a stream that ends gives out its rest."""
+    last = events.agg(F.max(number).alias(number), F.max(time).alias(time)).where(F.col(number).isNotNull())
+    beat = {number: F.col(number) + 1, time: F.col(time) + F.expr(f"interval {after}")}
+    return events.unionByName(last.select(*[beat.get(c, F.lit(None)).cast(t).alias(c) for c, t in events.dtypes]))
+
+
+def tick_stream(events: DataFrame, *more: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return events.select("event_id", F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string")).alias("stream"), F.unix_micros(ts).alias("ts_us"), ts.alias("event_time"))
+    return events.select("event_id", F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string")).alias("stream"), F.unix_micros(ts).alias("ts_us"), ts.alias("event_time"), *map(F.expr, more))
+
+
+def _started(writer, spark: SparkSession):
+    """Starts a stream with state in RocksDB, runs it over all that is there now, and returns its query."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns the rows of its Parquet sink."""
     spark = stream.sparkSession
     out = f"{shared_dir(spark)}-stream"
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out)
-    q.awaitTermination()
+    _started(stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").format("parquet").option("path", out), spark)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -61,90 +85,199 @@ def drain_batches(stream: DataFrame, each: Callable[[DataFrame], DataFrame], sch
     """Runs a stream by foreachBatch: each turns a micro-batch into the rows kept of it. A batch that is repeated overwrites itself."""
     spark = stream.sparkSession
     out = f"{shared_dir(spark)}-batches"
-    q = stream.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(lambda df, n: each(df).write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
-    q.awaitTermination()
+    _started(stream.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(lambda df, n: each(df).write.mode("overwrite").parquet(f"{out}/batch={n}")), spark)
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
-def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    """The rows of a key's micro-batch, in order of the columns."""
-    rows = [pdf[columns].sort_values(columns) for pdf in parts]
-    return heapq.merge(*(pdf.itertuples(index=False, name=None) for pdf in rows))
+def drain_latest(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key over the whole run, by an upsert sink: version n is version n - 1 with the last rows of batch n.
 
+    Versions are named by batch numbers, so a repeated batch makes its version anew; older ones than the one before go.
+    """
+    spark = stream.sparkSession
+    out, last = f"{shared_dir(spark)}-latest", [-1]
+    version = lambda n: spark.read.schema(stream.schema).parquet(f"{out}/version={n}")
 
-def rolling_fps_stream(ticks: DataFrame, window_us: int, delay: str) -> DataFrame:
-    """(event_id, stream, ts_us, fps) per tick, in event order inside a micro-batch.
+    def upsert(df: DataFrame, n: int) -> None:
+        merged = latest_per_key(df.unionByName(version(n - 1)) if n else df, keys, order).select(stream.columns)
+        merged.write.mode("overwrite").parquet(f"{out}/version={n}")
+        if n > 1:
+            discard(version(n - 2))
+        last[0] = n
 
-    State per stream: its first tick, the last one and the ticks of one window, which a timer on event time drops once the watermark is a
-    window past the last tick. A tick that comes after later ones of an earlier micro-batch counts those of the window before it that
-    are still held; the rates given for later ticks stand.
-    """
+    _started(stream.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(upsert), spark)
+    return version(last[0])
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, held = state.get if state.exists else (None, None, [])
-        if state.hasTimedOut:
-            state.update((first, last, []))
-            return
-        seen, out = deque(held), []
-        for now, event_id in _in_order(parts, ["ts_us", "event_id"]):
-            now = int(now)
-            if first is None or now < first:
-                first = now
-            if last is None or now >= last:
-                while seen and seen[0] < now - window_us:
-                    seen.popleft()
-                seen.append(now)
-                n, last = len(seen), now
-            else:  # a late tick
-                insort(seen, now)
-                n = bisect_right(seen, now) - bisect_left(seen, now - window_us)
-            elapsed = min(window_us, now - first)
-            out.append((int(event_id), key[0], now, n / elapsed * 1e6 if elapsed else None))
-        state.update((first, last, list(seen)))
-        state.setTimeoutTimestamp(max((last + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["event_id", "stream", "ts_us", "fps"])
-
-    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint, fps double", "first bigint, last bigint, seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def throttle_stream(ticks: DataFrame, min_gap_us: int, delay: str) -> DataFrame:
-    """Ticks kept by a greedy minimum gap, in order of arrival of micro-batches and of event time inside them.
-
-    State per stream: the time of the last kept tick. A timer drops it once the watermark is a gap past it, as every tick still to come is then kept anyway.
+
+class InOrder(StatefulProcessor):
+    """Rows of a key, held until the watermark has passed them and then given to `take` in order of (ts_us, the other fields).
+
+    State of a key: the rows that wait, appended batch by batch; one timer, at the first of them; what a subclass holds. `take` gets
+    the ripe rows and returns the rows to give out and the time (us) at which its own state can go, or None; `drop` removes that.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, kept = state.get[0] if state.exists else None, []
-        for now, event_id in _in_order(parts, ["ts_us", "event_id"]):
-            if last is None or now - last >= min_gap_us:
-                last = int(now)
-                kept.append((int(event_id), key[0], last))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(-(-(last + min_gap_us) // 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(kept, columns=["event_id", "stream", "ts_us"])
+    def __init__(self, fields: str, out: list[str]):
+        self.fields, self.out = fields, out
+        self.names = [f.split()[0] for f in fields.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+        self.opened(handle)
+
+    def opened(self, handle: StatefulProcessorHandle) -> None: ...
+
+    def take(self, key: tuple, rows: pd.DataFrame, now_us: int) -> tuple[pd.DataFrame, int | None]:
+        raise NotImplementedError
+
+    def drop(self) -> None: ...
+
+    def _wake(self, at_ms: int | None) -> None:
+        """Exactly one timer, at the given time or none."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and old != at_ms:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if at_ms is not None and old != at_ms:
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
+
+    def _put(self, rows: pd.DataFrame) -> None:
+        self.waiting.appendList(list(rows[self.names].astype(object).where(rows[self.names].notna(), None).itertuples(index=False, name=None)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf) and not all(map(pd.isna, key)):  # rows of the null key only move the watermark
+                self._put(pdf)
+                first = min(int(pdf["ts_us"].min()), first) if first is not None else int(pdf["ts_us"].min())
+        if first is not None:
+            at = -(-first // 1000)
+            self._wake(min(at, self.timer.get()[0]) if self.timer.exists() else at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.names)
+        ripe = held["ts_us"].astype("int64") <= now_us
+        out, until = self.take(key, held[ripe].sort_values(self.names, ignore_index=True), now_us)
+        rest = held[~ripe]
+        self.waiting.clear()
+        if len(rest):
+            self._put(rest)
+            self._wake(-(-int(rest["ts_us"].min()) // 1000))
+        elif until is not None and until > now_us:
+            self._wake(-(-until // 1000))
+        else:
+            self.drop()
+        if len(out):
+            yield out[self.out]
+
+    def close(self) -> None: ...
+
+
+class RollingFps(InOrder):
+    """State: the stream's first tick, one number, and the ticks of one window before the last."""
+
+    def __init__(self, window_us: int):
+        super().__init__("ts_us bigint, event_id bigint", ["event_id", "stream", "ts_us", "fps"])
+        self.window_us = window_us
+
+    def opened(self, handle) -> None:
+        self.first = handle.getValueState("first", "ts_us bigint")
+        self.seen = handle.getListState("seen", "ts_us bigint")
+
+    def take(self, key, rows, now_us):
+        now = rows["ts_us"].to_numpy("int64")
+        if len(now) and not self.first.exists():
+            self.first.update((int(now[0]),))
+        before = np.array([r[0] for r in self.seen.get()] if self.seen.exists() else [], "int64")
+        times = np.concatenate([before, now])
+        n = np.searchsorted(times, now, "right") - np.searchsorted(times, now - self.window_us, "left")
+        elapsed = np.minimum(self.window_us, now - (self.first.get()[0] if self.first.exists() else 0))
+        rate = np.where(elapsed > 0, n / np.maximum(elapsed, 1) * 1e6, np.nan)
+        self.seen.clear()
+        kept = times[times > now_us - self.window_us]
+        if len(kept):
+            self.seen.appendList([(int(t),) for t in kept])
+        out = pd.DataFrame({"event_id": rows["event_id"].astype("int64"), "stream": key[0], "ts_us": now, "fps": pd.Series(rate, dtype="object").where(elapsed > 0, None)})
+        return out, int(kept[-1]) + self.window_us if len(kept) else None
+
+    def drop(self) -> None:
+        self.seen.clear()
+
 
-    return ticks.withWatermark("event_time", delay).groupBy("stream").applyInPandasWithState(step, "event_id bigint, stream string, ts_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+def rolling_fps_stream(ticks: DataFrame, window_us: int, delay: str) -> DataFrame:
+    """(event_id, stream, ts_us, fps) of each tick that the watermark has passed: as the batch twin."""
+    slim = ticks.withWatermark("event_time", delay).select("stream", "ts_us", "event_id", "event_time")
+    return slim.groupBy("stream").transformWithStateInPandas(RollingFps(window_us), "event_id bigint, stream string, ts_us bigint, fps double", "append", "eventTime")
 
 
-def sticky_type_stream(messages: DataFrame) -> DataFrame:
-    """(topic, ts_us, type, value) of the type a topic was first seen with.
+class Throttle(InOrder):
+    """State: the time of the last row kept, until a gap has passed."""
 
-    State per topic: that type, one word. It is kept for as long as the stream runs, as a type once announced holds for good.
-    """
+    def __init__(self, keys: list[str], min_gap_us: int):
+        super().__init__("ts_us bigint, event_id bigint", ["event_id", *keys, "ts_us"])
+        self.keys, self.min_gap_us = keys, min_gap_us
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, frames = (state.get[0] if state.exists else None), parts
-        if first is None:  # the first micro-batch of a topic is read whole, to find its earliest message
-            frames = list(parts)
-            first = min((t, k) for pdf in frames for t, k in zip(pdf["ts_us"], pdf["type"]))[1]
-        state.update((first,))
-        for pdf in frames:
-            yield pdf.loc[pdf["type"] == first, ["topic", "ts_us", "type", "value"]]
+    def opened(self, handle) -> None:
+        self.last = handle.getValueState("last", "ts_us bigint")
 
-    return messages.groupBy("topic").applyInPandasWithState(step, "topic string, ts_us bigint, type string, value double", "type string", "append", GroupStateTimeout.NoTimeout)
+    def take(self, key, rows, now_us):
+        times = rows["ts_us"].to_numpy("int64")
+        last = self.last.get()[0] if self.last.exists() else None
+        kept, at = [], 0 if last is None else int(np.searchsorted(times, last + self.min_gap_us))
+        while at < len(times):  # a step for each row kept
+            kept.append(at)
+            last = int(times[at])
+            at = int(np.searchsorted(times, last + self.min_gap_us))
+        if kept:
+            self.last.update((last,))
+        out = rows.iloc[kept].astype("int64").assign(**dict(zip(self.keys, key)))
+        return out, last + self.min_gap_us if last is not None else None
+
+    def drop(self) -> None:
+        self.last.clear()
+
+
+def throttle_stream(ticks: DataFrame, min_gap_us: int, delay: str, keys: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """(event_id, keys, ts_us) of the rows that a greedy minimum gap keeps of each key, of those that the watermark has passed: as the batch twin."""
+    keys = list(keys)
+    slim = ticks.withWatermark("event_time", delay).select(*keys, "ts_us", "event_id", "event_time")
+    schema = "event_id bigint, " + ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys) + ", ts_us bigint"
+    return slim.groupBy(*keys).transformWithStateInPandas(Throttle(keys, min_gap_us), schema, "append", "eventTime")
+
+
+class StickyType(InOrder):
+    """State: a topic's first type, one word, kept for as long as the stream runs; until it is known, the messages that wait."""
+
+    def __init__(self):
+        super().__init__("ts_us bigint, type string, value double", ["topic", "ts_us", "type", "value"])
+
+    def opened(self, handle) -> None:
+        self.first = handle.getValueState("first", "type string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.first.exists():
+            yield from super().handleInputRows(key, rows, timerValues)
+            return
+        for pdf in rows:
+            yield pdf.loc[pdf["type"] == self.first.get()[0], self.out]
+
+    def take(self, key, rows, now_us):
+        if not len(rows):
+            return rows, None
+        if not self.first.exists():
+            self.first.update((rows["type"][0],))
+        return rows[rows["type"] == self.first.get()[0]].assign(topic=key[0]), None
+
+
+def sticky_type_stream(messages: DataFrame, delay: str) -> DataFrame:
+    """(topic, ts_us, type, value) of the type of a topic's first message, which is known once the watermark has passed that."""
+    slim = messages.withWatermark("event_time", delay).select("topic", "ts_us", "type", "value", "event_time")
+    return slim.groupBy("topic").transformWithStateInPandas(StickyType(), "topic string, ts_us bigint, type string, value double", "append", "eventTime")
 
 
 def gather_stream(ticks: DataFrame, window: str, delay: str) -> DataFrame:
@@ -153,6 +286,16 @@ def gather_stream(ticks: DataFrame, window: str, delay: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), F.max_by("event_id", "ts_us").alias("last_event")).select("stream", F.unix_micros("w.start").alias("start_us"), "n", "last_event")
 
 
-def suppress_repeats(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """One event of each key as long as repeats come within the delay."""
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
+def keep_newest_stream(frames: DataFrame, k: int, slot: str, delay: str) -> DataFrame:
+    """The k newest frames of each stream in every slot of event time: what an overloaded run admits. A slot is given out when the watermark passes its end.
+
+    State of a slot: its ticks (numbers, no images).
+    """
+    grouped = frames.withWatermark("event_time", delay).groupBy("stream", F.window("event_time", slot).alias("w"))
+    newest = F.slice(F.sort_array(F.collect_list(F.struct("ts_us", "event_id")), asc=False), 1, k)
+    return grouped.agg(newest.alias("kept")).select("stream", F.explode("kept").alias("f")).select("f.event_id", "stream", "f.ts_us")
+
+
+def suppress_repeats(events: DataFrame, keys: list[str], repeat_us: int, delay: str) -> DataFrame:
+    """(event_id, keys, ts_us): an event is given out unless one of its key was less than repeat_us before it."""
+    return throttle_stream(events, repeat_us, delay, tuple(keys))

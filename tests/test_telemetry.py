@@ -148,27 +148,96 @@ def test_windows_over_buckets(spark):
     assert gaps == sorted(want_gaps)
 
 
-def test_sinks_work_batch_by_batch(spark):
-    """The latest image of each key, and the newest frames of each stream, of every drained batch, not of the whole stream."""
+def test_newest_rows_of_every_batch(spark):
+    """The newest frames of each stream of every drained batch."""
     rows = [(i, f"s{i % 2}", "c", 1000 + i // 2) for i in range(40)]
-    kind = "event_id bigint, stream string, component string, ts_us bigint"
-    frames = spark.createDataFrame(rows, kind)
-    got = st.drain_batches(st.replay(frames, "event_id"), lambda df: te.latest_per_key(df, ["stream", "component"], "ts_us").select("stream", "component", "event_id", "ts_us"), "stream string, component string, event_id bigint, ts_us bigint")
-    assert sorted(r["event_id"] for r in got.collect()) == [8, 9, 18, 19, 28, 29, 38, 39]
+    frames = spark.createDataFrame(rows, "event_id bigint, stream string, component string, ts_us bigint")
     got = st.drain_batches(st.replay(frames, "event_id"), lambda df: te.keep_newest(df.select("event_id", "stream", "ts_us"), 2), "event_id bigint, stream string, ts_us bigint")
     assert sorted(r["event_id"] for r in got.collect()) == [i for b in range(4) for i in range(10 * b + 6, 10 * b + 10)]
 
 
+def timed(spark, rows):
+    return spark.createDataFrame(rows, "event_id bigint, stream string, ts_us bigint").withColumn("event_time", F.timestamp_micros("ts_us"))
+
+
 def test_streams_with_late_ticks_and_silences(spark):
     """A stream that falls silent for longer than its state is held, and ticks out of order inside a batch."""
     times = [5, 3, 9, 12, 41, 40, 905, 900, 902, 2000, 2003, 2001]
     rows = [(i, "s", t * 1_000_000) for i, t in enumerate(times)]
-    ticks = spark.createDataFrame(rows, "event_id bigint, stream string, ts_us bigint").withColumn("event_time", F.timestamp_micros("ts_us"))
-    batch = {r["event_id"]: r["fps"] for r in te.rolling_fps(ticks.drop("event_time"), 10_000_000).collect()}
+    ticks = timed(spark, [*rows, (len(rows), None, 3_000_000_000)])  # the last one is a heartbeat
+    alone = timed(spark, rows).drop("event_time")
+    batch = {r["event_id"]: r["fps"] for r in te.rolling_fps(alone, 10_000_000).collect()}
     stream = {r["event_id"]: r["fps"] for r in st.drain(st.rolling_fps_stream(st.replay(ticks, "event_id"), 10_000_000, "5 seconds")).collect()}
     assert stream == {i: pytest.approx(v) if v is not None else None for i, v in batch.items()}
     kept = sorted(r["event_id"] for r in st.drain(st.throttle_stream(st.replay(ticks, "event_id"), 3_000_000, "5 seconds")).collect())
-    assert kept == sorted(r["event_id"] for r in te.throttle(ticks.drop("event_time"), 3_000_000).collect())
+    assert kept == sorted(r["event_id"] for r in te.throttle(alone, 3_000_000).collect())
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """State in two partitions: a trigger of a test costs what its state stores cost."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n_files", [1, 4, 16])
+def test_streams_do_not_depend_on_files(spark, few_partitions, n_files):
+    """Arrivals shuffled inside the watermark and dealt over 1, 4 and 16 triggers; every stream equals its batch twin, and its state goes after a silence."""
+    import random
+
+    from pixelspark.session import shared_dir
+
+    rng = random.Random(3)
+    rows = [(i, f"s{rng.randint(0, 2)}", i * 700_000 + rng.randint(-4_000_000, 4_000_000) + 10_000_000) for i in range(400)]
+    rows = [(i, s, t, "c" if i % 3 else "d", "int" if rng.random() < 0.4 else "double", float(i)) for i, s, t in rows]
+    kind = "event_id bigint, stream string, ts_us bigint, component string, type string, value double"
+    path = f"{shared_dir(spark)}-arrivals"
+    step = -(-len(rows) // n_files)
+    beats = [[(len(rows) + k, None, (400 + 40 * k) * 1_000_000, None, None, None)] for k in (0, 1)]
+    for part in [*(rows[k : k + step] for k in range(0, len(rows), step)), *beats]:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
+    events = lambda: st.event_stream(spark, path, kind).withColumn("event_time", F.timestamp_micros("ts_us"))
+    all_rows = spark.createDataFrame(rows, kind)
+    pairs = lambda df, *c: sorted((tuple(r) for r in df.select(*c).collect()), key=str)
+    alone = all_rows.select("event_id", "stream", "ts_us")
+    assert pairs(st.drain(st.rolling_fps_stream(events(), 6_000_000, "10 seconds")).withColumn("fps", F.round("fps", 9)), "event_id", "stream", "fps") == pairs(te.rolling_fps(alone, 6_000_000).withColumn("fps", F.round("fps", 9)), "event_id", "stream", "fps")
+    assert pairs(st.drain(st.throttle_stream(events(), 3_000_000, "10 seconds")), "event_id", "stream", "ts_us") == pairs(te.throttle(alone, 3_000_000), "event_id", "stream", "ts_us")
+    assert spark.streams.active == []
+    topics = lambda df: df.withColumn("topic", F.concat("stream", "component"))
+    assert pairs(st.drain(st.sticky_type_stream(topics(events()), "10 seconds")), "topic", "ts_us", "type", "value") == pairs(tp.sticky_types(topics(all_rows).select("topic", "ts_us", "type", "value")), "topic", "ts_us", "type", "value")
+    want, last = [], {}
+    for i, s, t, c, *_ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if (s, c) not in last or t - last[s, c] >= 5_000_000:
+            last[s, c] = t
+            want.append((i, s, c, t))
+    assert pairs(st.drain(st.suppress_repeats(events(), ["stream", "component"], 5_000_000, "10 seconds")), "event_id", "stream", "component", "ts_us") == sorted(want, key=str)
+    slots = {}
+    for i, s, t, *_ in rows:
+        slots.setdefault((s, t // 20_000_000), []).append((t, i))
+    assert pairs(st.drain(st.keep_newest_stream(events(), 3, "20 seconds", "10 seconds")).where("stream is not null"), "event_id", "stream", "ts_us") == sorted([(i, s, t) for (s, _), v in slots.items() for t, i in sorted(v)[-3:]], key=str)
+    latest = st.drain_latest(events().where("stream is not null").select("stream", "component", "event_id", "ts_us"), ["stream", "component"], "ts_us")
+    assert pairs(latest, *latest.columns) == pairs(te.latest_per_key(all_rows.select("stream", "component", "event_id", "ts_us"), ["stream", "component"], "ts_us"), *latest.columns)
+
+
+def test_state_goes_after_a_silence_and_late_rows_are_dropped(spark, few_partitions):
+    from pixelspark.session import shared_dir
+
+    path, kind = f"{shared_dir(spark)}-silence", "event_id bigint, stream string, ts_us bigint"
+    parts = [[(i, "s", (i + 1) * 1_000_000) for i in range(50)], [(50, None, 1_000_000_000)], [(51, "s", 3_000_000), (52, None, 1_001_000_000)], [(53, None, 1_100_000_000)]]
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
+    ticks = st.event_stream(spark, path, kind).withColumn("event_time", F.timestamp_micros("ts_us"))
+    for stream, most in ((st.throttle_stream(ticks, 2_000_000, "5 seconds"), 0), (st.rolling_fps_stream(ticks, 6_000_000, "5 seconds"), 1)):
+        out = f"{shared_dir(spark)}-out"
+        q = st._started(stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").format("parquet").option("path", out), spark)
+        got = [r["event_id"] for r in spark.read.parquet(out).collect()]
+        assert sorted(got) == (list(range(0, 50, 2)) if most == 0 else list(range(50)))
+        state = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", True).load(f"{out}-state")
+        assert state.count() == 0
+        held = spark.read.format("statestore").option("stateVarName", "last" if most == 0 else "first").load(f"{out}-state")
+        assert held.count() == most and q.lastProgress is not None
 
 
 def test_topic_names(spark):
