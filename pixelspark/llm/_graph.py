@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelspark.session import written
+from pixelspark.session import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,7 +23,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        after = written(small, "edges")
+        discard(edges)
+        edges = after
         before, state = state, _state(edges)
         if before == state:
             break
