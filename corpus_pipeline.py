@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelspark.llm import mixing, ngram_join, pii, piece_sampling, quality
-from pixelspark.session import table, written
+from pixelspark.session import discard, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -45,6 +45,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)  # the stage before has been read for the last time
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
