@@ -11,11 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelspark.session import discard, written
+
+from .groups import in_order
+
 BUCKET_US = 3_600_000_000
 CHUNK_GAPS = 256
+BUCKET_CHUNKS = 256
 
 
 def _bucketed(ticks: DataFrame, bucket_us: int, halo: bool = False) -> DataFrame:
@@ -86,36 +92,83 @@ def _entries(chunk_us: int, min_gap_us: int):
     return rows
 
 
+def _through(last: np.ndarray, maps: list[tuple[np.ndarray, np.ndarray]], min_gap_us: int) -> np.ndarray:
+    """The last times kept after the maps (entries, ends) in order, each from a last time kept before."""
+    for entries, ends in maps:
+        k = np.searchsorted(entries, last + min_gap_us)
+        inside = k < len(entries)
+        last = np.where(inside, ends[np.minimum(k, len(entries) - 1)], last)
+    return last
+
+
+def _maps_of(table: pa.Table, by: str) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    table = table.sort_by(by)
+    return table.column(by).to_pylist(), [(e.values.to_numpy(), f.values.to_numpy()) for e, f in zip(table.column("entries"), table.column("ends"))]
+
+
+def _composed(chunk_us: int, min_gap_us: int):
+    """The maps of a bucket's chunks -> the map of the bucket, from the times at which it can be entered."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        chunks, maps = _maps_of(table, "chunk")
+        entries = maps[0][0]
+        if len(maps) > 1 and entries[-1] < chunks[0] * chunk_us + min_gap_us:  # a stream may be let into the next chunk first
+            entries = np.append(entries, maps[1][0][0])
+        ends = _through(entries - min_gap_us, maps, min_gap_us)
+        return pa.table({"stream": table.column("stream").slice(0, 1), "bucket": table.column("bucket").slice(0, 1), "entries": pa.array([entries], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64()))})
+
+    return rows
+
+
 def _walk(min_gap_us: int):
-    """Chunks in order of stream and time -> where each is entered: one time per stream is carried on."""
+    """Maps of buckets, in order of stream and time -> the last time kept before each bucket (null before a stream's first)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = None, None
         for batch in batches:
-            out: list[tuple] = []
-            for stream, chunk, entries, ends in zip(*(batch.column(c).to_pylist() for c in ("stream", "chunk", "entries", "ends"))):
+            before: list[int | None] = []
+            for stream, entries, ends in zip(batch.column("stream").to_pylist(), batch.column("entries"), batch.column("ends")):
                 if stream != now:
                     now, last = stream, None
+                before.append(last)
+                entries, ends = entries.values.to_numpy(), ends.values.to_numpy()
                 k = 0 if last is None else int(np.searchsorted(entries, last + min_gap_us))
                 if k < len(entries):
-                    last = ends[k]
-                    out.append((stream, chunk, entries[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["stream", "chunk", "entry"])
+                    last = int(ends[k])
+            yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("bucket"), pa.array(before, pa.int64())], names=["stream", "bucket", "before"])
 
     return rows
 
 
-def _kept(min_gap_us: int):
-    """A chunk's times and its entry -> the times kept."""
+def _entered(min_gap_us: int):
+    """The maps of a bucket's chunks and the last time kept before the bucket -> the time at which each chunk is entered."""
 
     def rows(table: pa.Table) -> pa.Table:
-        t = np.unique(table.column("ts_us").to_numpy())
-        after, _ = following(t, min_gap_us)
-        k, kept = int(np.searchsorted(t, table.column("entry")[0].as_py())), []
-        while k < len(t):
-            kept.append(t[k])
-            k = after[k]
-        return pa.table({"stream": pa.array(table.column("stream").slice(0, 1).to_pylist() * len(kept), pa.string()), "ts_us": pa.array(kept, pa.int64())})
+        chunks, maps = _maps_of(table, "chunk")
+        last, out = table.column("before")[0].as_py(), []
+        for chunk, (entries, ends) in zip(chunks, maps):
+            k = 0 if last is None else int(np.searchsorted(entries, last + min_gap_us))
+            if k < len(entries):
+                last = int(ends[k])
+                out.append((chunk, int(entries[k])))
+        stream = pa.array(table.column("stream").slice(0, 1).to_pylist() * len(out), pa.string())
+        return pa.table({"stream": stream, "chunk": pa.array([r[0] for r in out], pa.int64()), "entry": pa.array([r[1] for r in out], pa.int64())})
+
+    return rows
+
+
+def _kept(min_gap_us: int, columns: list[str]):
+    """A chunk's rows and its entry -> the rows kept."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [(c, "ascending") for c in ("ts_us", *[c for c in columns if c not in ("stream", "ts_us")])], null_placement="at_start")
+        table = table.take(order)
+        times = table.column("ts_us").to_numpy()
+        k, kept = int(np.searchsorted(times, table.column("entry")[0].as_py())), []
+        while k < len(times):
+            kept.append(k)
+            k = int(np.searchsorted(times, times[k] + min_gap_us))
+        return table.take(pa.array(kept, pa.int64())).select(columns)
 
     return rows
 
@@ -123,21 +176,24 @@ def _kept(min_gap_us: int):
 def throttle(ticks: DataFrame, min_gap_us: int) -> DataFrame:
     """The ticks that a greedy minimum gap keeps: the first of a stream, then each at least min_gap_us after the last kept; of ticks at one time the least row.
 
-    Streams are cut into chunks of CHUNK_GAPS gaps. A chunk is a map from the time it is entered at to the last time it keeps;
-    the maps, one row per chunk, are composed in order, and then every chunk is filtered by itself.
+    Streams are cut into chunks of CHUNK_GAPS gaps. A chunk is a map from the time it is entered at to the last time it keeps. Maps
+    are composed as a tree: BUCKET_CHUNKS of them to the map of a bucket, buckets side by side; only bucket maps are taken in order
+    of their stream, one number after the other; then every bucket tells where its chunks are entered, and every chunk is filtered
+    by itself, with whole rows. So no task holds a stream, and the one pass in order reads a row for CHUNK_GAPS * BUCKET_CHUNKS gaps.
     """
     if min_gap_us <= 0:
         return ticks
     chunk_us = CHUNK_GAPS * min_gap_us
-    times = ticks.select(F.col("stream").cast("string").alias("stream"), "ts_us", F.expr(f"cast(floor(ts_us / {chunk_us}) as bigint)").alias("chunk"))
-    maps = times.groupBy("stream", "chunk").applyInArrow(_entries(chunk_us, min_gap_us), "stream string, chunk bigint, entries array<bigint>, ends array<bigint>")
-    entered = maps.repartition("stream").sortWithinPartitions("stream", "chunk").mapInArrow(_walk(min_gap_us), "stream string, chunk bigint, entry bigint")
-    kept = times.join(entered, ["stream", "chunk"]).groupBy("stream", "chunk").applyInArrow(_kept(min_gap_us), "stream string, ts_us bigint")
-    rest = [c for c in ticks.columns if c not in ("stream", "ts_us")]
-    found = ticks.join(kept, ["stream", "ts_us"])
-    if not rest:
-        return found.distinct().select(ticks.columns)
-    return found.groupBy("stream", "ts_us").agg(F.min(F.struct(*rest)).alias("r")).select("stream", "ts_us", "r.*").select(ticks.columns)
+    dealt = ticks.withColumn("stream", F.col("stream").cast("string")).withColumn("_chunk", F.expr(f"cast(floor(ts_us / {chunk_us}) as bigint)"))
+    lists = "entries array<bigint>, ends array<bigint>"
+    maps = dealt.select("stream", "ts_us", F.col("_chunk").alias("chunk")).groupBy("stream", "chunk").applyInArrow(_entries(chunk_us, min_gap_us), f"stream string, chunk bigint, {lists}")
+    maps = written(maps.withColumn("bucket", F.expr(f"cast(floor(chunk / {BUCKET_CHUNKS}) as bigint)")), "maps")
+    buckets = maps.groupBy("stream", "bucket").applyInArrow(_composed(chunk_us, min_gap_us), f"stream string, bucket bigint, {lists}")
+    before = in_order(buckets, ["stream"], ["bucket"]).drop("_place").mapInArrow(_walk(min_gap_us), "stream string, bucket bigint, before bigint")
+    entered = written(maps.join(before, ["stream", "bucket"]).groupBy("stream", "bucket").applyInArrow(_entered(min_gap_us), "stream string, chunk bigint, entry bigint"), "entered")
+    discard(maps)
+    chosen = dealt.withColumnRenamed("_chunk", "chunk").join(entered, ["stream", "chunk"]).groupBy("stream", "chunk")
+    return chosen.applyInArrow(_kept(min_gap_us, ticks.columns), ticks.withColumn("stream", F.col("stream").cast("string")).schema)
 
 
 def stream_stats(ticks: DataFrame) -> DataFrame:
