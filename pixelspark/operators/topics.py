@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .branching import assign_runs
+
 #: Topic type of each Spark type, lists with [].
 TOPIC_TYPES = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "double", "string": "string", "binary": "raw"}
 
@@ -17,12 +19,15 @@ def topic_type(spark_type: str) -> str:
     return TOPIC_TYPES[spark_type]
 
 
+def wide_type(kind: str) -> str:
+    """The widest Spark type of the topic type of a Spark type."""
+    base = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint"}
+    return f"array<{wide_type(kind[6:-1])}>" if kind.startswith("array<") else base.get(kind, kind)
+
+
 def widened(df: DataFrame, column: str) -> Column:
     """The column as the widest type of its topic type, as VARIANT."""
-    kind = dict(df.dtypes)[column]
-    base = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint"}
-    wide = f"array<{base.get(kind[6:-1], kind[6:-1])}>" if kind.startswith("array<") else base.get(kind, kind)
-    return F.col(column).cast(wide).cast("variant")
+    return F.col(column).cast(wide_type(dict(df.dtypes)[column])).cast("variant")
 
 
 def format_topic(prefix: Column, channel: Column, stream_id: Column, name: Column) -> Column:
@@ -71,17 +76,44 @@ def id_text(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
-def publish(df: DataFrame, keys: list[str], channels: list[str], prefix: str, remap: dict[str, str] | None = None) -> DataFrame:
-    """Messages (topic, ts_us, type, value) of the channel columns: one row per value that is present; keys hold ts_us, stream and stream_id.
-
-    Values are text of their widened type, so that one table holds all types; `widened` gives VARIANT values.
-    """
-    kinds = dict(df.dtypes)
-    cells = [F.struct(F.lit((remap or {}).get(c, c)).alias("channel"), F.lit(topic_type(kinds[c])).alias("type"), F.col(c).cast("string").alias("value")) for c in channels]
+def _flat(df: DataFrame, column: str) -> tuple[Column, str]:
+    """A channel's value and the Spark type it is published as: structs are lists of their numbers, decimals doubles, times microseconds."""
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if kind.typeName() == "struct":
+        return F.when(value.isNotNull(), F.array(*[F.col(f"{column}.{f.name}").cast("double") for f in kind.fields])), "array<double>"
+    if kind.typeName() == "array" and kind.elementType.typeName() == "struct":
+        parts = [f.name for f in kind.elementType.fields]
+        return F.flatten(F.transform(value, lambda e: F.array(*[e[p].cast("double") for p in parts]))), "array<double>"
+    if kind.typeName() == "array" and kind.elementType.typeName() == "array":
+        return F.flatten(value), kind.elementType.simpleString()
+    if kind.typeName() == "decimal":
+        return value.cast("double"), "double"
+    if kind.typeName().startswith("timestamp"):
+        return F.unix_micros(value.cast("timestamp")), "bigint"
+    return value, kind.simpleString()
+
+
+def _messages(df: DataFrame, keys: list[str], channels: list[str], prefix: str, remap: dict[str, str] | None, typed: bool) -> DataFrame:
+    cells = []
+    for c in channels:
+        value, kind = _flat(df, c)
+        value = value.cast(wide_type(kind)).cast("variant") if typed else value.cast("string")
+        cells.append(F.struct(F.lit((remap or {}).get(c, c)).alias("channel"), F.lit(topic_type(kind)).alias("type"), F.when(F.col(c).isNotNull(), value).alias("value")))
     rows = df.select(*keys, F.explode(F.array(*cells)).alias("m")).where("m.value is not null")
     return rows.select(format_topic(F.lit(prefix), F.col("m.channel"), F.col("stream_id"), F.col("stream")).alias("topic"), "ts_us", F.col("m.type").alias("type"), F.col("m.value").alias("value"))
 
 
+def publish(df: DataFrame, keys: list[str], channels: list[str], prefix: str, remap: dict[str, str] | None = None) -> DataFrame:
+    """Messages (topic, ts_us, type, value) of the channel columns: one row per value that is present; keys hold ts_us, stream and stream_id. Values are text."""
+    return _messages(df, keys, channels, prefix, remap, False)
+
+
+def publish_typed(df: DataFrame, keys: list[str], channels: list[str], prefix: str, remap: dict[str, str] | None = None) -> DataFrame:
+    """As publish, with values of their own type as VARIANT: lists stay lists, vectors, points and matrices become lists of doubles."""
+    return _messages(df, keys, channels, prefix, remap, True)
+
+
 def sticky_types(messages: DataFrame) -> DataFrame:
     """Messages of the type their topic was first announced with: an aggregate per topic and a join, no ordered pass over a topic."""
     first = messages.groupBy("topic").agg(F.min_by("type", F.struct("ts_us", "type")).alias("first_type"))
@@ -100,10 +132,22 @@ def latest(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic").agg(F.max("ts_us").alias("ts_us"), F.max_by("type", F.struct("ts_us", "value")).alias("type"), F.max_by("value", F.struct("ts_us", "value")).alias("value"))
 
 
-def registry(messages: DataFrame) -> DataFrame:
-    """(topic, publish_id, type, first_us): ids are dense in first-seen order; the number of topics is small against messages."""
+REGISTRY_SCHEMA = "topic string, publish_id int, type string, first_us bigint"
+
+
+def registry(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(topic, publish_id, type, first_us) of the topics that are not known yet: ids go on from those given, dense in first-seen order.
+
+    Only new topics are numbered: range partitions of them, each counted, so that no task orders all topics. Ids once given never
+    change; a registry is the rows of all its batches.
+    """
     first = messages.groupBy("topic").agg(F.min("ts_us").alias("first_us"), F.min_by("type", F.struct("ts_us", "type")).alias("type"))
-    return first.withColumn("publish_id", F.row_number().over(Window.orderBy("first_us", "topic")) - 1).select("topic", "publish_id", "type", "first_us")
+    given = 0
+    if known is not None:
+        first = first.join(known.select("topic"), "topic", "left_anti")
+        given = known.count()
+    placed = assign_runs(first, ["first_us", "topic"])
+    return placed.select("topic", (F.get("run_id", F.lit(0)) + given).cast("int").alias("publish_id"), "type", "first_us")
 
 
 def announcements(topics: DataFrame) -> DataFrame:

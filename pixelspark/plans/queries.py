@@ -78,11 +78,11 @@ C = ("c0", "c1", "c2")
 
 @query("s1_read_images", cte("px_rgb") + "select * from px_rgb")
 def s1(spark, sf):
-    """Frames written as PNG files, a folder each, and read back as images."""
+    """Frames written as PNG files, many to a folder, and read back as images."""
     path = f"{shared_dir(spark)}-images"
     fr.write_png(fx.px_rgb(spark, sf), path)
     images = fr.read_images(spark, path).where("kind = 'png'")
-    return fr.image_pixels(images, F.regexp_extract("origin", "frame_id=([0-9]+)", 1).cast("bigint"))
+    return fr.image_pixels(images, F.col("frame_id"))
 
 
 @query("s2_unpack_frames", cte("text_frames") + """select frame_id, cast(list_sum(list_transform(range(0, length(data_hex) // 2), lambda i: cast('0x' || substr(data_hex, cast(2 * i + 1 as bigint), 2) as int))) as bigint) as total, cast(length(data_hex) // 2 as bigint) as n
@@ -123,6 +123,16 @@ def s10(spark, sf):
     return fr.export_frames(fx.px_rgb(spark, sf), "hsv").select("frame_id", "width", "height", "layout", F.hex("data").alias("data_hex"))
 
 
+@query("s10_written_export", cte("px_rgb") + f"""select '3cam-' || (frame_id % 3) as stream, strftime(make_timestamp(frame_id * 600000000), '%Y-%m-%d-%H') as hour, cast((row_number() over (partition by frame_id % 3, frame_id * 600 // 3600 order by frame_id) - 1) // 2 as int) as part, frame_id, data_hex
+    from (select frame_id, string_agg(printf('%02X%02X%02X', c0, c1, c2), '' order by y, x) as data_hex from {SQL_RGB_OF_HSV.format(src='px_rgb')} group by frame_id)""")
+def s10_written(spark, sf):
+    """Frames of three streams, one every ten minutes, written in order as parts of two frames and read back."""
+    path = f"{shared_dir(spark)}-export"
+    frames = fr.export_frames(fx.px_rgb(spark, sf), "hsv").selectExpr("frame_id", "data", "concat('3cam-', frame_id % 3) as stream", "timestamp_seconds(frame_id * 600) as ts")
+    fr.write_export(frames, path, 2)
+    return fr.read_export(spark, path, "frame_id bigint, data binary, ts timestamp").select("stream", "hour", "part", "frame_id", F.hex("data").alias("data_hex"))
+
+
 # colour
 
 query("p1_color_space", cte("px_rgb") + select_sql(sql_ycc(*C)))(lambda s, d: pixels.color_space(fx.px_rgb(s, d), "rgb", "ycc"))

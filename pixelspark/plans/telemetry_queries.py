@@ -160,6 +160,19 @@ def s9(spark, sf):
     return tp.publish(e, ["ts_us", "stream", "stream_id"], ["value", "user_id", "event_type"], "%N/values/", {"value": "amount"})
 
 
+@query("s9_published_stream", """select '/cam-' || (user_id % 8) || '/' || channel as topic, epoch_us(ts) as ts_us, type, num, list, txt from events,
+    lateral (select * from (values ('amount', 'double', events.value, null, null), ('user', 'int', cast(user_id as double), null, null), ('kind', 'string', null, null, event_type), ('ids', 'int[]', null, user_id || ',' || event_id, null),
+        ('point', 'double[]', null, user_id || ',' || (event_id % 7), null), ('line', 'double[]', null, '0,0,' || (user_id % 9) || ',' || (event_id % 5), null)) m(channel, type, num, list, txt)) x""")
+def s9_stream(spark, sf):
+    """Messages with typed values, lists, points and lists of points, published batch by batch and read back."""
+    made = ["unix_micros(cast(ts as timestamp)) as ts_us", "concat('cam-', user_id % 8) as stream", "user_id % 8 as stream_id", "value as amount", "cast(user_id as int) as user", "event_type as kind", "array(user_id, event_id) as ids", "named_struct('x', cast(user_id as double), 'y', cast(event_id % 7 as double)) as point", "array(named_struct('x', 0L, 'y', 0L), named_struct('x', user_id % 9, 'y', event_id % 5)) as line"]
+    channels = ["amount", "user", "kind", "ids", "point", "line"]
+    sent = st.drain_batches(st.replay(table(spark, sf, "events"), "event_id"), lambda df: tp.publish_typed(df.selectExpr(*made), ["ts_us", "stream", "stream_id"], channels, "%N"), "topic string, ts_us bigint, type string, value variant")
+    as_list = F.array_join(F.transform(F.try_variant_get("value", "$", "array<double>"), lambda v: v.cast("bigint").cast("string")), ",")
+    is_list, is_text = F.col("type").endswith("[]"), F.col("type") == "string"
+    return sent.select("topic", "ts_us", "type", F.when(~is_list & ~is_text, F.try_variant_get("value", "$", "double")).alias("num"), F.when(is_list, as_list).alias("list"), F.when(is_text, F.try_variant_get("value", "$", "string")).alias("txt"))
+
+
 query("p23_format_topic", "select event_id, '/' || event_type || '%/cam-' || (user_id % 8) || '-' || (user_id % 8) || '/v' as topic from events")(
     lambda s, d: table(s, d, "events").select("event_id", tp.format_topic(F.concat("event_type", F.lit("%%/%N-%i/")), F.lit("/v"), F.col("user_id") % 8, F.concat(F.lit("cam-"), (F.col("user_id") % 8).cast("string"))).alias("topic"))
 )
@@ -190,6 +203,9 @@ query("f10_homogeneous_arrays", cte("topics", more=SQL_STICKY) + "select topic,
 query("a12_latest_topics", cte("topics") + "select topic, max(ts_us) as ts_us, arg_max(type, (ts_us, value)) as type, arg_max(value, (ts_us, value)) as value from topics group by topic")(lambda s, d: tp.latest(fx.topics(s, d)))
 SQL_REGISTRY = "r as (select topic, min(ts_us) as first_us, arg_min(type, (ts_us, type)) as type from topics group by topic), reg as (select topic, cast(row_number() over (order by first_us, topic) - 1 as int) as publish_id, type, first_us from r)"
 query("a13_topic_registry", cte("topics", more=SQL_REGISTRY) + "select * from reg")(lambda s, d: tp.registry(fx.topics(s, d)))
+query("a13_registry_stream", cte("topics", more=SQL_REGISTRY) + "select * from reg")(
+    lambda s, d: st.drain_appended(st.replay(table(s, d, "events"), "event_id").selectExpr("concat('/', event_type, '/', cast(user_id % 4 as string)) as topic", "unix_micros(cast(ts as timestamp)) as ts_us", "case when event_id % 11 = 0 then 'int' else 'double' end as type"), tp.registry, tp.REGISTRY_SCHEMA)
+)
 query("a13_announcements", cte("topics", more=SQL_REGISTRY) + """select topic, '{"name":"' || topic || '","pubuid":' || publish_id || ',"type":"' || type || '"}' as announce from reg""")(lambda s, d: tp.announcements(tp.registry(fx.topics(s, d))))
 query("s11_latest_image", cte("ticks") + "select stream, event_type as component, arg_max(event_id, (epoch_us(ts), event_id)) as event_id, max(epoch_us(ts)) as ts_us from (select *, concat('cam-', cast(user_id % 8 as varchar)) as stream from events) group by all")(
     lambda s, d: st.drain_latest(st.tick_stream(st.event_stream(s, f"{d}/events.parquet", st.EVENT_SCHEMA), "event_type as component").select("stream", "component", "event_id", "ts_us"), ["stream", "component"], "ts_us")

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelspark.functions.color import CHANNELS, channels
+from pixelspark.operators.branching import assign_runs
 from pixelspark.operators.pixels import PLACE, channel_columns, color_space, names
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, kind, width, height, n_channels, data) of a folder's PNG and JPEG files, known by their first bytes.
+    """(origin, kind, frame_id, width, height, n_channels, data) of a folder's PNG and JPEG files, known by their first bytes; frame_id is what write_png has left.
 
     Spark decodes them to BGR rows; `image_pixels` puts the channels in order. Other files have kind null and no pixels.
     """
     head = F.substring("content", 1, 8)
     kind = F.when(head == F.lit(bytes.fromhex("89504E470D0A1A0A")), "png").when(F.substring(head, 1, 2) == F.lit(bytes.fromhex("FFD8")), "jpeg")
     same = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the two readers write the scheme's slashes differently
-    sniffed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("origin"), kind.alias("kind"), same("path").alias("place"))
+    sniffed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("origin"), kind.alias("kind"), png_frame_id(F.col("content")).alias("frame_id"), same("path").alias("place"))
     decoded = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").withColumn("place", same("origin")).drop("origin")
-    return sniffed.join(decoded, "place", "left").select("origin", "kind", "width", "height", F.col("nChannels").alias("n_channels"), "data")
+    return sniffed.join(decoded, "place", "left").select("origin", "kind", "frame_id", "width", "height", F.col("nChannels").alias("n_channels"), "data")
 
 
 def _hex(n: Column, digits: int) -> Column:
@@ -54,9 +55,17 @@ def png_frames(rgb: DataFrame) -> DataFrame:
     return rows.select("frame_id", F.unhex(F.concat(F.lit("89504E470D0A1A0A"), _chunk("IHDR", head), _chunk("IDAT", body), _chunk("IEND", F.lit("")))).alias("png"))
 
 
-def write_png(rgb: DataFrame, path: str) -> None:
-    """A folder frame_id=<id> with one PNG file for each frame."""
-    png_frames(rgb).select("frame_id", F.col("png").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("frame_id").text(path)
+def write_png(rgb: DataFrame, path: str, frames_per_folder: int = 10_000) -> None:
+    """PNG files, one for each frame, in folders frames=<k> of frames_per_folder ids; a task writes many files. The frame's id is in the file's
+    bytes after the image's end (where decoders do not look), as `frame_id=<id>`; `png_frame_id` reads it."""
+    named = png_frames(rgb).select(F.concat("png", F.concat(F.lit("frame_id="), F.col("frame_id").cast("string")).cast("binary")).cast("string").alias("value"), F.expr(f"frame_id div {frames_per_folder}").alias("frames"))
+    named.repartition("frames", F.pmod(F.xxhash64("value"), F.lit(8))).write.option("maxRecordsPerFile", 1).partitionBy("frames").text(path)
+
+
+def png_frame_id(content: Column) -> Column:
+    """The id that write_png has put after a PNG file's end, or null."""
+    tail = F.decode(F.substring(content, -40, 40), "ISO-8859-1")
+    return F.nullif(F.regexp_extract(tail, "frame_id=(-?[0-9]+)\\s*$", 1), F.lit("")).cast("bigint")
 
 
 def byte_at(data: Column, i: Column) -> Column:
@@ -140,7 +149,27 @@ def export_frames(px: DataFrame, fmt: str) -> DataFrame:
     return pack_frames(color_space(px, fmt, target)).withColumn("layout", F.lit(layout))
 
 
-def write_export(frames: DataFrame, path: str) -> None:
-    """frames (stream, ts, ...) in order inside each stream and hour."""
+MANIFEST_SCHEMA = "stream string, hour string, part int, n_frames bigint, first_ts timestamp, last_ts timestamp"
+
+
+def write_export(frames: DataFrame, path: str, frames_per_file: int = 4096, order: list[str] | None = None) -> DataFrame:
+    """Writes frames (stream, ts, ...) as one ordered sequence of bounded files for each stream and hour, and returns its manifest.
+
+    Frames are numbered inside (stream, hour) by range partitions and their counts, and every frames_per_file of them are a part: a
+    file in the folder stream=/hour=/part=, sorted by time. A busy hour is thus many tasks' work, and parts read in order are the
+    sequence. The manifest (MANIFEST_SCHEMA, a row for each part) is written beside the parts, in the folder _manifest.
+    """
+    spark, order = frames.sparkSession, order or ["ts", *[c for c in ("frame_id",) if c in frames.columns]]
     hours = frames.withColumn("hour", F.date_format("ts", "yyyy-MM-dd-HH"))
-    hours.repartition("stream", "hour").sortWithinPartitions("stream", "hour", "ts").write.partitionBy("stream", "hour").parquet(path)
+    numbered = assign_runs(hours.withColumn("_of", F.struct("stream", "hour")), order, "_of")
+    parts = numbered.withColumn("part", F.expr(f"cast(run_id[0] div {frames_per_file} as int)")).drop("run_id", "_of")
+    parts.repartition("stream", "hour", "part").sortWithinPartitions("stream", "hour", "part", *order).write.partitionBy("stream", "hour", "part").parquet(f"{path}/frames")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema.fields if f.name != "stream")
+    back = spark.read.schema(f"{kinds}, stream string, hour string, part int").parquet(f"{path}/frames")
+    back.groupBy("stream", "hour", "part").agg(F.count("*").alias("n_frames"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in MANIFEST_SCHEMA.split(", ")]).write.parquet(f"{path}/_manifest")
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/_manifest")
+
+
+def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The frames of an export, with their stream, hour and part; schema is that of the other columns."""
+    return spark.read.schema(f"{schema}, stream string, hour string, part int").parquet(f"{path}/frames")

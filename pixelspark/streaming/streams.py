@@ -109,6 +109,22 @@ def drain_latest(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     return version(last[0])
 
 
+def drain_appended(stream: DataFrame, each: Callable[[DataFrame, DataFrame | None], DataFrame], schema: str) -> DataFrame:
+    """Runs a stream into a table that grows: each turns a micro-batch and what the batches before it have added into the rows to add.
+
+    Rows are kept by batch number, so a batch that is repeated sees what it saw and overwrites what it added.
+    """
+    spark = stream.sparkSession
+    out = f"{shared_dir(spark)}-appended"
+
+    def add(df: DataFrame, n: int) -> None:
+        before = spark.read.schema(schema).parquet(*[f"{out}/batch={k}" for k in range(n)]) if n else None
+        each(df, before).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    _started(stream.writeStream.option("checkpointLocation", f"{out}-state").foreachBatch(add), spark)
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key, held until the watermark has passed them and then given to `take` in order of (ts_us, the other fields).
 

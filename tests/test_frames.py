@@ -192,8 +192,28 @@ def test_read_images(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 0, 0, 1, 2, 3), (1, 0, 1, 250, 5, 9)]
 
 
-def test_write_export_partitions(spark, sf, tmp_path):
-    frames = fr.export_frames(fx.px_rgb(spark, sf), "rgb").withColumn("stream", F.lit("cam-0")).withColumn("ts", F.lit("2024-01-01 05:00:00").cast("timestamp"))
-    fr.write_export(frames, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == frames.count() and {r["hour"] for r in back.select("hour").distinct().collect()} == {"2024-01-01-05"}
+def test_export_is_ordered_in_bounded_files(spark, tmp_path):
+    """A busy hour of one stream, equal times, and streams that share the hour: parts in order are the sequence, and the manifest tells of them."""
+    rows = [(i, "cam-0" if i % 5 else "cam-1", 1_704_085_200 + i // 3 * (1 if i < 400 else 30), bytes([i % 256])) for i in range(500)]
+    frames = spark.createDataFrame(rows, "frame_id long, stream string, s long, data binary").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(7)
+    manifest = fr.write_export(frames, str(tmp_path / "out"), 50)
+    back = fr.read_export(spark, str(tmp_path / "out"), "frame_id long, data binary, ts timestamp").withColumn("file", F.input_file_name()).collect()
+    assert len(back) == 500
+    for stream in ("cam-0", "cam-1"):
+        got = sorted((r["hour"], r["part"], r["ts"], r["frame_id"]) for r in back if r["stream"] == stream)
+        assert [g[3] for g in got] == [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[1] == stream]
+    sizes = {}
+    for r in back:
+        sizes.setdefault((r["stream"], r["hour"], r["part"]), set()).add(r["file"])
+    told = {(r["stream"], r["hour"], r["part"]): r for r in manifest.collect()}
+    assert set(told) == set(sizes) and all(len(files) == 1 for files in sizes.values())
+    assert sum(r["n_frames"] for r in told.values()) == 500 and all(r["n_frames"] <= 50 and r["first_ts"] <= r["last_ts"] for r in told.values())
+
+
+def test_png_files_share_folders(spark, tmp_path):
+    px = fr.painted(spark.range(-2, 40).withColumnRenamed("id", "frame_id"), 3, 2, [F.lit(9), F.pmod("frame_id", F.lit(256)), F.lit(255)])
+    fr.write_png(px, str(tmp_path / "png"), 30)
+    assert len([p for p in (tmp_path / "png").iterdir() if p.is_dir()]) == 2
+    images = fr.read_images(spark, str(tmp_path / "png"))
+    again = fr.image_pixels(images, F.col("frame_id"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, px.select(*again.columns).collect()))

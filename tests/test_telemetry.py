@@ -248,6 +248,25 @@ def test_state_goes_after_a_silence_and_late_rows_are_dropped(spark, few_partiti
         assert held.count() == most and q.lastProgress is not None
 
 
+def test_registry_over_batches(spark):
+    """Ids of one batch and of four are the same when topics come in order, and ids once given never change when they do not."""
+    rows = [(f"/t/{(i * 7) % 23 if i % 3 else i % 11}", 1000 + i, "int" if i % 5 else "double") for i in range(200)]
+    kind = "topic string, ts_us long, type string"
+    whole = {r["topic"]: tuple(r) for r in tp.registry(spark.createDataFrame(rows, kind)).collect()}
+    assert sorted(r[1] for r in whole.values()) == list(range(len(whole)))
+    ordered = sorted(whole.values(), key=lambda r: r[1])
+    assert [r[3] for r in ordered] == sorted(r[3] for r in ordered)
+    for parts in ([rows[k : k + 50] for k in range(0, 200, 50)], [rows[100:], rows[:100], rows[:1]]):
+        known = None
+        for part in parts:
+            new = tp.registry(spark.createDataFrame(part, kind), known)
+            known = spark.createDataFrame([*(known.collect() if known else []), *new.collect()], tp.REGISTRY_SCHEMA)
+        got = {r["topic"]: tuple(r) for r in known.collect()}
+        assert sorted(r[1] for r in got.values()) == list(range(len(whole))) and set(got) == set(whole)
+        if parts[0] == rows[:50]:
+            assert got == whole
+
+
 def test_topic_names(spark):
     f = lambda p, c: one(spark, tp.format_topic(F.lit(p), F.lit(c), F.lit(7), F.lit("cam")))
     assert f("%N/fps", "min") == "/cam/fps/min"
