@@ -252,9 +252,9 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_<kind> for each kind, base_sha256, spans, found array of (kind, start, end)) of every whole text."""
+    """(key, n_<kind> of the base kinds, base_sha256, spans, n_<kind> of the others, found array of (kind, start, end)) of every whole text."""
     schema = f"key {docs.schema[key].dataType.simpleString()}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string, found array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_finder, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_finder, schema).select("key", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans", *[f"n_{k}" for k in KINDS[4:]], "found").withColumnRenamed("key", key)
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
