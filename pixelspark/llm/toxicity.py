@@ -63,8 +63,8 @@ def fit(rows: list[tuple], smoothing: float = 0.5, min_docs: int = 3, min_z: flo
     seen = np.zeros(1 << BITS, bool)
     ids: list[np.ndarray] = []
     for _, text, _ in rows:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        found = np.concatenate([np.zeros(0, np.uint32), *gram_ids(points, np.array([0, len(points)]))])
+        points, ends = code_points(*as_bytes(pc.utf8_lower(pa.array([text], pa.large_string()))))  # as the scorer does it
+        found = np.concatenate([np.zeros(0, np.uint32), *gram_ids(points, ends)])
         seen[found] = True
         seen[0] = False
         mine = found[seen[found]]

@@ -310,3 +310,14 @@ def test_sql_can_see_the_same_split(spark):
 
     rows = spark.range(100).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_fit_and_scorer_lower_alike():
+    """Letters that Python and Arrow lower differently give the same n-grams when learnt and when scored."""
+    rows = [(i, "İSTANBUL ẞ ΟΔΟΣ bad" if i % 2 else "plain words only", i % 2) for i in range(80)]
+    table, _ = toxicity.fit(rows)
+    raw = "İSTANBUL ẞ ΟΔΟΣ".encode()
+    lower = toxicity.pc.utf8_lower(toxicity.pa.array(["İSTANBUL ẞ ΟΔΟΣ"], toxicity.pa.large_string()))
+    points, ends = toxicity.code_points(*toxicity.as_bytes(lower))
+    ids = np.concatenate([x[x != 0] for x in toxicity.gram_ids(points, ends)])
+    assert len(raw) and len(ids) and (table[ids] != 0).all()
