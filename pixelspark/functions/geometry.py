@@ -77,15 +77,25 @@ def inverse(m: Column) -> Column:
 
 
 def to_quat(m: Column) -> Column:
-    """Quaternion (x, y, z, w) of a rotation, by the largest of the trace and the diagonal."""
-    m0, m1, m2, m3, m4, m5, m6, m7, m8 = (at(m, i) for i in range(9))
-    s0, s1, s2, s3 = 2 * F.sqrt(m0 + m4 + m8 + 1), 2 * F.sqrt(1 + m0 - m4 - m8), 2 * F.sqrt(1 + m4 - m0 - m8), 2 * F.sqrt(1 + m8 - m0 - m4)
-    return (
-        F.when(m0 + m4 + m8 > 0, F.array((m7 - m5) / s0, (m2 - m6) / s0, (m3 - m1) / s0, s0 / 4))
-        .when((m0 > m4) & (m0 > m8), F.array(s1 / 4, (m1 + m3) / s1, (m2 + m6) / s1, (m7 - m5) / s1))
-        .when(m4 > m8, F.array((m1 + m3) / s2, s2 / 4, (m5 + m7) / s2, (m2 - m6) / s2))
-        .otherwise(F.array((m2 + m6) / s3, (m5 + m7) / s3, s3 / 4, (m3 - m1) / s3))
-    )
+    """Quaternion (x, y, z, w) of a rotation.
+
+    Four times the square of each component is 1 plus or minus the diagonal's elements, and four times the product of two components is the
+    sum or difference of two elements across the diagonal. The largest component, of equal ones the last, is the root of its square, so that
+    no small number divides; the products give the others.
+    """
+    # The diagonal's signs in the squares; row and column of the elements in the products, and the second one's sign.
+    signs = {"x": (1, -1, -1), "y": (-1, 1, -1), "z": (-1, -1, 1), "w": (1, 1, 1)}
+    products = {"xy": (0, 1, 1), "xz": (0, 2, 1), "yz": (1, 2, 1), "wx": (2, 1, -1), "wy": (0, 2, -1), "wz": (1, 0, -1)}
+    cell = lambda r, c: at(m, 3 * r + c)
+    square = {k: F.lit(1.0) + sum(s * cell(i, i) for i, s in enumerate(v)) for k, v in signs.items()}
+    product = {frozenset(k): cell(r, c) + s * cell(c, r) for k, (r, c, s) in products.items()}
+    largest = F.greatest(*square.values())
+
+    def by(k: str) -> Column:
+        root = F.sqrt(square[k])
+        return F.array(*[root / 2 if n == k else product[frozenset((n, k))] / (2 * root) for n in signs])
+
+    return F.when(square["w"] == largest, by("w")).when(square["z"] == largest, by("z")).when(square["y"] == largest, by("y")).otherwise(by("x"))
 
 
 def to_euler(m: Column) -> Column:

@@ -169,3 +169,14 @@ def largest(boxes: DataFrame, k: int | None) -> DataFrame:
     w = Window.partitionBy("frame_id").orderBy(F.desc("pixels"), "min_y", "min_x", "max_y", "max_x")
     ranked = boxes.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def touching_runs(found: DataFrame) -> DataFrame:
+    """Each run with the runs (u0, u1) of the row above that touch it, corners included."""
+    above = found.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
+    return found.join(above, ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1")
+
+
+def as_lists(boxes: DataFrame) -> DataFrame:
+    """(frame_id, vec, n): each frame's boxes as one list, from the top left."""
+    return boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("min_y", "min_x", "max_y", "max_x", "pixels"))).alias("vec")).withColumn("n", F.size("vec").cast("bigint"))

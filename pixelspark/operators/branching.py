@@ -90,3 +90,30 @@ def unpack(df: DataFrame, struct: str, fields: dict[str, str], keep: list[str],
 
 def contains(df: DataFrame, values: str, elem: str) -> DataFrame:
     return df.withColumn("found", F.array_contains(values, F.col(elem)))
+
+
+def gather(df: DataFrame, depth: int, aggregates: list[Column]) -> DataFrame:
+    """(run_id prefix, aggregates): what a gathering component sees of all values below each prefix; depth 1 gathers a whole run, a greater one the nearest branch."""
+    return df.groupBy(prefix(depth).alias("run_id")).agg(*aggregates)
+
+
+def minimal_depth(branches: list[list[str]]) -> int:
+    """The shared depth at which inputs with these branch names (outermost first) meet: one for the run, and one for each leading name they have in common."""
+    common = 1
+    for names in zip(*branches):
+        if len(set(names)) > 1:
+            break
+        common += 1
+    return common
+
+
+def order_by_run(df: DataFrame, depth: int, place: str = "place") -> DataFrame:
+    """Values numbered from 1 in run id order below each prefix."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(prefix(depth)).orderBy("run_id")).cast("bigint"))
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, name: str = "middle") -> DataFrame:
+    """(keys, name): the value at place n div 2 (from 0) of each group's n values in order."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    placed = df.select(*keys, F.col(value).alias(name), F.row_number().over(w).alias("_place"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    return placed.where(F.col("_place") == F.expr("_n div 2 + 1")).drop("_place", "_n")

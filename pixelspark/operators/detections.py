@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelspark.functions import geometry as g
@@ -118,3 +118,14 @@ def invert_poses(poses: DataFrame) -> DataFrame:
     """Inverse rotation and translation; null where the matrix is singular."""
     inv = g.inverse(F.col("rotation"))
     return poses.select("pose_id", inv.alias("rotation"), g.neg(g.mul_vec(inv, F.col("translation"))).alias("translation"))
+
+
+def order_detections(dets: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
+    """Detections numbered from 1 inside keys: by id, then centre, then order of finding."""
+    return dets.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy("id", "cx", "cy", "seq")))
+
+
+def flat_corners(dets: DataFrame, corners: str = "corners") -> DataFrame:
+    """points (arrays of x and y) as one list of coordinates; a list of coordinates stays."""
+    kind = dets.schema[corners].dataType.elementType.typeName()
+    return dets.withColumn(corners, F.flatten(corners)) if kind == "array" else dets

@@ -113,6 +113,17 @@ def s6(spark, sf):
     return fx.ticks(spark, sf).join(fr.camera_dim(cams), "stream").groupBy("stream", "width", "height", "min_gap_us").agg(F.count("*").alias("n"))
 
 
+@query("s6_camera_resize", cte("px_rgb", "cameras") + """select c.stream, p.frame_id, cast(ty as int) as y, cast(tx as int) as x, c0, c1, c2
+    from (select stream, case when stream = 'cam-7' then 16 else 4 + 3 * cast(right(stream, 1) as int) end as w, case when stream = 'cam-7' then 16 else 9 end as h from cameras) c, range(0, 30) a(tx), range(0, 20) b(ty), px_rgb p
+    where c.stream = 'cam-' || (p.frame_id % 8) and tx < w and ty < h and p.x = tx * 16 // w and p.y = ty * 16 // h""")
+def s6_resize(spark, sf):
+    """Frames of eight streams in the sizes their cameras ask for; the last camera keeps its frames' own size."""
+    n = F.substring("stream", -1, 1).cast("int")
+    cams = fx.cameras(spark, sf).where("stream <> 'cam-7'").withColumn("resize_width", 4 + 3 * n).withColumn("resize_height", F.lit(9))
+    px = fx.px_rgb(spark, sf).withColumn("stream", F.concat(F.lit("cam-"), (F.col("frame_id") % 8).cast("string")))
+    return fr.resize_to_camera(px, fr.camera_dim(cams))
+
+
 @query("s7_select_streams", cte("ticks") + "select * from ticks where regexp_matches(stream, '^cam-[0-3]$')")
 def s7(spark, sf):
     return fr.select_streams(fx.ticks(spark, sf), "^cam-[0-3]$")
@@ -178,8 +189,7 @@ def p15(spark, sf):
 
 @query("p17_frame_fields", cte("text_frames") + "select frame_id, width, height, cast(width * height as bigint) as pixels, cast(length(data_hex) // 2 as bigint) as raw_size, 'luma' as format from text_frames")
 def p17(spark, sf):
-    f = fx.text_frames(spark, sf)
-    return f.select("frame_id", "width", "height", (F.col("width") * F.col("height")).cast("bigint").alias("pixels"), F.length("data").cast("bigint").alias("raw_size"), F.lit("luma").alias("format"))
+    return fr.frame_fields(fx.text_frames(spark, sf), "luma")
 
 
 # filters
@@ -299,7 +309,7 @@ def mask_blobs(spark, sf):
 
 
 query("j5_touching_runs", cte("px_mask", more=SQL_RUNS) + "select a.frame_id, a.y, a.x0, a.x1, b.x0 as u0, b.x1 as u1 from runs a join runs b on a.frame_id = b.frame_id and a.y = b.y + 1 and a.x0 <= b.x1 and b.x0 <= a.x1")(
-    lambda s, d: (lambda r: r.join(r.select("frame_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1")), ["frame_id", "y"]).where("x0 <= u1 and u0 <= x1"))(bl.runs(fx.px_mask(s, d, by_frame=True)))
+    lambda s, d: bl.touching_runs(bl.runs(fx.px_mask(s, d, by_frame=True)))
 )
 query("a8_blobs", sql_blobs("select * from blobs"))(mask_blobs)
 query("a8_blobs_iterative", sql_blobs("select * from blobs"))(lambda s, d: bl.blobs(fx.px_mask(s, d, by_frame=True), strip_rows=2))
@@ -316,7 +326,7 @@ query("f6_blob_filter_min", sql_blobs("select * from blobs where max_x - min_x >
 )
 query("o4_largest_blobs", sql_blobs("select *, cast(row_number() over (partition by frame_id order by pixels desc, min_y, min_x, max_y, max_x) as int) as rank from blobs qualify rank <= 2"))(lambda s, d: bl.largest(mask_blobs(s, d), 2))
 query("a10_vec", sql_blobs("select frame_id, string_agg(min_y || ',' || min_x || ',' || pixels, ';' order by min_y, min_x, max_y, max_x) as vec, count(*) as n from blobs group by frame_id"))(
-    lambda s, d: mask_blobs(s, d).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("min_y", "min_x", "max_y", "max_x", "pixels"))).alias("v")).select("frame_id", F.array_join(F.transform("v", lambda b: F.concat_ws(",", b["min_y"].cast("string"), b["min_x"].cast("string"), b["pixels"].cast("string"))), ";").alias("vec"), F.size("v").cast("bigint").alias("n"))
+    lambda s, d: bl.as_lists(mask_blobs(s, d)).select("frame_id", F.array_join(F.transform("vec", lambda b: F.concat_ws(",", b["min_y"].cast("string"), b["min_x"].cast("string"), b["pixels"].cast("string"))), ";").alias("vec"), "n")
 )
 
 # overlays

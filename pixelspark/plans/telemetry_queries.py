@@ -79,10 +79,10 @@ query("a2_collect_vec_sorted", cte("dets", more=SQL_TREE) + "select a, string_ag
 query("a3_select_last", cte("dets", more=SQL_TREE) + "select a, arg_max(v, (b, c)) as v from tree group by a")(lambda s, d: br.select_last(parts_of_orders(s, d), "v", 1).select(F.element_at("run_id", 1).alias("a"), F.col("value").alias("v")))
 query("a4_select_first", cte("dets", more=SQL_TREE) + "select a, b, arg_min(v, c) as v from tree group by a, b")(lambda s, d: br.select_first(parts_of_orders(s, d), "v", 2).select(F.element_at("run_id", 1).alias("a"), F.element_at("run_id", 2).alias("b"), F.col("value").alias("v")))
 query("a5_full_gather", cte("dets", more=SQL_TREE) + "select a, count(*) as n, cast(sum(v) as bigint) as total, count(distinct b) as branches from tree group by a")(
-    lambda s, d: parts_of_orders(s, d).groupBy(F.element_at("run_id", 1).alias("a")).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.count_distinct(F.element_at("run_id", 2)).alias("branches"))
+    lambda s, d: br.gather(parts_of_orders(s, d), 1, [F.count("*").alias("n"), F.sum("v").alias("total"), F.count_distinct(F.element_at("run_id", 2)).alias("branches")]).select(F.element_at("run_id", 1).alias("a"), "n", "total", "branches")
 )
 query("a6_minimal_gather", cte("dets", more=SQL_TREE) + "select a, b, count(*) as n, max(v) as most from tree group by a, b")(
-    lambda s, d: parts_of_orders(s, d).groupBy(br.prefix(2).alias("p")).agg(F.count("*").alias("n"), F.max("v").alias("most")).select(F.element_at("p", 1).alias("a"), F.element_at("p", 2).alias("b"), "n", "most")
+    lambda s, d: br.gather(parts_of_orders(s, d), br.minimal_depth([["order", "detection"], ["order", "line"]]), [F.count("*").alias("n"), F.max("v").alias("most")]).select(F.element_at("run_id", 1).alias("a"), F.element_at("run_id", 2).alias("b"), "n", "most")
 )
 query("a9_found", cte("dets") + "select o_orderkey as run, cast(count(d.run) as bigint) as found from orders left join (select * from dets where hamming = 0) d on d.run = o_orderkey group by o_orderkey")(
     lambda s, d: dt.found(table(s, d, "orders").selectExpr("o_orderkey as run"), fx.dets(s, d).where("hamming = 0"), "run")
@@ -101,7 +101,7 @@ query("c2_nested_fan_out", cte("dets", more=SQL_TREE + ", o as (select distinct
     lambda s, d: br.broadcast_vec(br.broadcast_vec(br.collect_vec(order_lists(s, d), "values", 1, True), "values", "inner"), "inner", "v").select(*[F.element_at("run_id", i + 1).alias(n) for i, n in enumerate("aij")], "v")
 )
 query("c3_flatten_corners", cte("dets") + "select run as frame_id, seq, round(cx, 6) as p0, round(cy + 1, 6) as p3, round(cx - 3.2, 6) as p6, 8 as n from dets")(
-    lambda s, d: corner_dets(s, d).select("frame_id", "seq", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("corners", 2 * i + 1, F.lit(2)))).alias("c")).select("frame_id", "seq", *[F.round(F.element_at("c", i + 1), 6).alias(f"p{i}") for i in (0, 3, 6)], F.size("c").alias("n"))
+    lambda s, d: dt.flat_corners(corner_dets(s, d).withColumn("corners", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("corners", 2 * i + 1, F.lit(2))))).select("frame_id", "seq", *[F.round(F.element_at("corners", i + 1), 6).alias(f"p{i}") for i in (0, 3, 6)], F.size("corners").alias("n"))
 )
 query("c4_concat_lists", cte("dets", more=SQL_TREE) + "select a, string_agg(v, ',' order by b, c) as vals from tree group by a")(
     lambda s, d: tp.concat_lists(order_lists(s, d).select(F.element_at("run_id", 1).alias("a"), F.element_at("run_id", 2).alias("b"), "values"), ["a"], "values", "b").select("a", joined().alias("vals"))
@@ -110,12 +110,12 @@ query("u1_multi_source", cte("ticks") + "select event_id, stream, 0 as source fr
     lambda s, d: (lambda t: br.multi_source([t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0")]).select("event_id", "stream", F.element_at("run_id", 2).cast("int").alias("source")))(fx.ticks(s, d).withColumn("run_id", F.array("event_id")))
 )
 query("o1_order_by_run", cte("dets", more=SQL_TREE) + "select a, b, c, v, row_number() over (partition by a order by b, c) as place from tree")(
-    lambda s, d: parts_of_orders(s, d).withColumn("place", F.expr("cast(row_number() over (partition by run_id[0] order by run_id) as bigint)")).select(*[F.element_at("run_id", i + 1).alias(n) for i, n in enumerate("abc")], "v", "place")
+    lambda s, d: br.order_by_run(parts_of_orders(s, d), 1).select(*[F.element_at("run_id", i + 1).alias(n) for i, n in enumerate("abc")], "v", "place")
 )
 query("o2_order_detections", cte("dets") + "select run, seq, id, cast(row_number() over (partition by run order by id, cx, cy, seq) as int) as place from dets")(
-    lambda s, d: fx.dets(s, d).withColumn("place", F.expr("row_number() over (partition by run order by id, array(cx, cy), seq)")).select("run", "seq", "id", "place")
+    lambda s, d: dt.order_detections(fx.dets(s, d), ["run"]).select("run", "seq", "id", "place")
 )
-query("o3_order_statistic", cte("dets") + "select run, list_sort(list(id))[cast(count(*) // 2 as int) + 1] as middle from dets group by run")(lambda s, d: fx.dets(s, d).groupBy("run").agg(F.sort_array(F.collect_list("id")).alias("v")).select("run", F.element_at("v", F.expr("cast(size(v) div 2 as int) + 1")).alias("middle")))
+query("o3_order_statistic", cte("dets") + "select run, list_sort(list(id))[cast(count(*) // 2 as int) + 1] as middle from dets group by run")(lambda s, d: br.order_statistic(fx.dets(s, d), ["run"], "id"))
 query("f7_tag_filter", cte("dets") + "select run, seq, id, hamming from dets where id in (1, 5, 9) and hamming <= 1")(lambda s, d: dt.tag_filter(fx.dets(s, d), [1, 5, 9], 1).select("run", "seq", "id", "hamming"))
 query("f8_contains", cte("dets", more=SQL_TREE) + "select a, b, bool_or(v = 7) as found from tree group by a, b")(lambda s, d: br.contains(order_lists(s, d).withColumn("elem", F.lit(7).cast("bigint")), "values", "elem").select(F.element_at("run_id", 1).alias("a"), F.element_at("run_id", 2).alias("b"), "found"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelspark.functions.color import CHANNELS, channels
@@ -135,6 +135,26 @@ def camera_dim(cameras: DataFrame) -> DataFrame:
     return cameras.select("stream", "fov", F.coalesce("resize_width", "width").alias("width"), F.coalesce("resize_height", "height").alias("height"), F.when(F.col("max_fps") > 0, F.round(1e6 / F.col("max_fps")).cast("long")).alias("min_gap_us"))
 
 
+def resize_to_camera(px: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Pixels (stream, frame_id, y, x, channels) in the size that their camera's row (camera_dim) names; of streams without a camera as they are.
+
+    Nearest neighbour turned round, as `resize`: a source pixel gives its targets. The camera table has a row for each stream.
+    """
+    frame = Window.partitionBy("stream", "frame_id")
+    known = px.join(cameras.select("stream", F.col("width").alias("_tw"), F.col("height").alias("_th")), "stream", "left")
+    sized = known.withColumn("_w", F.max("x").over(frame) + 1).withColumn("_h", F.max("y").over(frame) + 1).withColumn("_tw", F.coalesce("_tw", "_w")).withColumn("_th", F.coalesce("_th", "_h"))
+    up = lambda c, to, size: F.call_function("div", c * F.col(to) + F.col(size) - 1, F.col(size)).cast("int")
+    for c, to, size in (("y", "_th", "_h"), ("x", "_tw", "_w")):
+        low, high = up(F.col(c), to, size), up(F.col(c) + 1, to, size) - 1
+        sized = sized.where(low <= high).withColumn(c, F.explode(F.sequence(low, high)))
+    return sized.select("stream", *[F.col(c).cast("int").alias(c) if c in ("y", "x") else F.col(c) for c in PLACE], *channel_columns(px))
+
+
+def frame_fields(frames: DataFrame, fmt: str) -> DataFrame:
+    """(frame_id, width, height, pixels, raw_size, format) of packed frames."""
+    return frames.select("frame_id", "width", "height", (F.col("width") * F.col("height")).cast("bigint").alias("pixels"), F.length("data").cast("bigint").alias("raw_size"), F.lit(fmt).alias("format"))
+
+
 def select_streams(df: DataFrame, pattern: str) -> DataFrame:
     return df.where(F.col("stream").rlike(pattern))
 
