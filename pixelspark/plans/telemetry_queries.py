@@ -14,7 +14,8 @@ from pixelspark.operators import branching as br
 from pixelspark.operators import detections as dt
 from pixelspark.operators import telemetry as te
 from pixelspark.operators import topics as tp
-from pixelspark.session import table
+from pixelspark.session import shared_dir, table
+from pixelspark.sources import frames as fr
 from pixelspark.streaming import streams as st
 
 from . import fixtures as fx
@@ -306,6 +307,15 @@ def t1(spark, sf):
     return st.drain_batches(frames, tracked, "topic string, ts_us bigint, type string, value string")
 
 
+@query("t1_image_stream", ORACLE_SQL["flagship_track_objects"])
+def t1_images(spark, sf):
+    """The flagship over a stream of image files: frames written as PNG files arrive some at a time, are decoded and tracked."""
+    path = f"{shared_dir(spark)}-arriving"
+    fr.write_png(fx.px_rgb(spark, sf), path)
+    found = lambda images: tracked(fr.image_pixels(images.where("kind = 'png'"), F.col("frame_id")))
+    return st.drain_images(spark, f"{path}/*", found, "topic string, ts_us bigint, type string, value string", 250)
+
+
 # user components
 
 

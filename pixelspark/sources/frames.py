@@ -10,8 +10,8 @@ from pixelspark.operators.branching import assign_runs
 from pixelspark.operators.pixels import PLACE, channel_columns, color_space, names
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, kind, frame_id, width, height, n_channels, data) of a folder's PNG and JPEG files, known by their first bytes; frame_id is what write_png has left.
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(origin, kind, frame_id, width, height, n_channels, data) of the PNG and JPEG files of a folder or list, known by their first bytes; frame_id is what write_png has left.
 
     Spark decodes them to BGR rows; `image_pixels` puts the channels in order. Other files have kind null and no pixels.
     """

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pixelspark.operators.telemetry import latest_per_key
 from pixelspark.session import discard, shared_dir
+from pixelspark.sources.frames import read_images
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -89,6 +90,18 @@ def drain_batches(stream: DataFrame, each: Callable[[DataFrame], DataFrame], sch
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def drain_images(spark: SparkSession, path: str, each: Callable[[DataFrame], DataFrame], schema: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Runs a stream of image files: each turns the images of a trigger, as read_images gives them, into rows.
+
+    A trigger takes files_per_trigger files at most, whose names, no more, come to the driver; the images are read and decoded by tasks.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return drain_batches(files.select("path"), lambda df: each(read_images(spark, [r["path"] for r in df.collect()])), schema)
+
+
 def drain_latest(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key over the whole run, by an upsert sink: version n is version n - 1 with the last rows of batch n.
 
