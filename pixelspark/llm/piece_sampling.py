@@ -20,6 +20,7 @@ named columns are read; columns to carry are named by the caller.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 DRAW = stream64(71, 8)
 SLICE_BYTES = 1 << 20
+FEW = 8  # stretches that are as well taken one by one
+BLOCK = 1 << 16
 TABLE_BITS = 20
 CHAR_BYTES = np.array([1] * 128 + [0] * 64 + [2] * 32 + [3] * 16 + [4] * 8 + [1] * 8)
 
@@ -152,7 +155,8 @@ class Lattice:
         heads = np.flatnonzero(np.concatenate([[True], start_of[1:] != start_of[:-1]])) if len(start_of) else start_of
         fans = np.diff(np.append(heads, len(start_of)))
         at_heads = np.searchsorted(heads, bounds)
-        for k in range(far):  # nodes by their distance from the end: all edges lead to nodes already summed
+        few = min(far, int(np.partition(lengths, -FEW)[-FEW]) if len(lengths) >= FEW else 0)  # beyond this distance less than FEW stretches go on
+        for k in range(few):  # nodes by their distance from the end: all edges lead to nodes already summed
             lo, hi, h, i = bounds[k], bounds[k + 1], at_heads[k], at_heads[k + 1]
             if lo == hi:
                 continue
@@ -162,6 +166,17 @@ class Lattice:
             value -= np.repeat(top, count)
             np.exp(value, out=value)
             beta[start_of[heads[h:i]]] = top + np.log(np.add.reduceat(value, first))
+        for h in range(int(at_heads[few]) if far else 0, len(heads), BLOCK):  # a few long stretches: node by node, in plain numbers
+            mine = heads[h : h + BLOCK]
+            lo, hi = int(mine[0]), int(mine[-1] + fans[h + len(mine) - 1])
+            values, on, summed = value_of[lo:hi].tolist(), end_of[lo:hi].tolist(), beta.item
+            for node, a, b in zip(start_of[mine].tolist(), (mine - lo).tolist(), (mine - lo + fans[h : h + len(mine)]).tolist()):
+                if b - a == 1:
+                    beta[node] = values[a] + summed(on[a])
+                    continue
+                here = [v + summed(e) for v, e in zip(values[a:b], on[a:b])]
+                high = max(here)
+                beta[node] = high + math.log(sum([math.exp(v - high) for v in here]))
         self.log_p = np.minimum(score + beta[self.end] - beta[self.start], 0.0)
         self.p = np.exp(self.log_p)
         self.first = np.zeros(n + len(lengths) + 1, np.int64)
@@ -200,7 +215,7 @@ class Lattice:
         live, node = np.flatnonzero(node < stop), node.copy()
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         steps = np.zeros(len(node), np.int64)
-        while len(live):
+        while len(live) >= FEW:
             now = node[live]
             u = uniform(seed[live], now + shift[live], 0)
             e = self.first[now]
@@ -212,10 +227,28 @@ class Lattice:
             steps[live] += 1
             node[live] = self.end[e]
             live = live[node[live] < stop[live]]
+        tails = []
+        for who in live.tolist():  # a few long stretches: one after the other, in plain numbers
+            path: list[int] = []
+            now, last = int(node[who]), int(stop[who])
+            first, upto, end = self.first.item, self.upto.item, self.end.item
+            while now < last:
+                base, far = now, min(last, now + BLOCK)
+                draws = uniform(np.broadcast_to(seed[who], far - base), np.arange(base, far) + shift[who], 0).tolist()
+                while now < far:
+                    u, e = draws[now - base], first(now)
+                    while u > upto(e):
+                        e += 1
+                    path.append(e)
+                    now = end(e)
+            tails.append((who, int(steps[who]), path))
+            steps[who] += len(path)
         begin = np.cumsum(steps) - steps
         out = np.empty(int(steps.sum()), np.int64)
         for t, (who, e) in enumerate(taken):
             out[begin[who] + t] = e
+        for who, t, path in tails:
+            out[begin[who] + t : begin[who] + t + len(path)] = path
         return out, steps
 
 

@@ -1,9 +1,11 @@
 """op1, op2, op4, op5, op6 against brute force, plus the defined cases: nulls, empty and long texts, repeats, empty tables, clashing names."""
 
+import base64
 import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -321,3 +323,35 @@ def test_fit_and_scorer_lower_alike():
     points, ends = toxicity.code_points(*toxicity.as_bytes(lower))
     ids = np.concatenate([x[x != 0] for x in toxicity.gram_ids(points, ends)])
     assert len(raw) and len(ids) and (table[ids] != 0).all()
+
+
+def long_text(kind, n):
+    rng = np.random.default_rng(3)
+    if kind == "japanese":
+        return "".join(rng.choice(list("日本語の文章は空白がありませんのでとても長い一続きになるカタカナ"), n // 3))
+    return base64.b64encode(rng.bytes(n * 3 // 4)).decode()
+
+
+@pytest.mark.parametrize("kind", ["japanese", "base64"])
+def test_long_stretches_sample_as_short_ones_do(monkeypatch, kind):
+    """Node by node in plain numbers, in blocks, or all stretches together: the same samples; the scores to rounding."""
+    model = ps.read_model(ps.MODEL)
+    text = f"{long_text(kind, 3000)} some words {long_text(kind, 900)}".encode()
+    raw, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    got = []
+    for few, block in ((1, 1 << 16), (8, 1 << 16), (8, 700)):
+        monkeypatch.setattr(ps, "FEW", few)
+        monkeypatch.setattr(ps, "BLOCK", block)
+        got.append(ps.sample_texts(raw, at, np.array([7], np.uint64), model, 3, 0.4))
+    for rows, ids, offsets in got[1:]:
+        assert ids.tolist() == got[0][1].tolist() and offsets.tolist() == got[0][2].tolist()
+        assert np.allclose([r[2:] for r in rows], [r[2:] for r in got[0][0]], rtol=1e-9, atol=1e-9)
+    assert len({tuple(got[0][1][a:b]) for a, b in zip(got[0][2], got[0][2][1:])}) == 3
+
+
+def test_a_megabyte_without_blanks_takes_seconds():
+    model = ps.read_model(ps.MODEL)
+    text = long_text("base64", 1 << 20).encode()
+    began = time.time()
+    rows, ids, offsets = ps.sample_texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([7], np.uint64), model, 2, 1.0)
+    assert time.time() - began < 30 and len(rows) == 2 and rows[0][2] < 0
