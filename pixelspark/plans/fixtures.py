@@ -32,14 +32,15 @@ def px_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.selectExpr("frame_id", "c0", "explode(sequence(8 * place, 8 * place + 7)) as i").selectExpr("frame_id", f"cast(i div {CAMERA_WIDTH} as int) as y", f"cast(i % {CAMERA_WIDTH} as int) as x", "c0")
 
 
-RGB_OF_EVENT = ["cast(cast(round(value * 100) as bigint) % 256 as int) as c0", "cast((user_id * 7) % 256 as int) as c1", "cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2 as c2"]
+#: Generated, so that filters on colours are not pushed below the expressions and evaluate them again and again.
+RGB_OF_EVENT = "inline(array(named_struct('c0', cast(cast(round(value * 100) as bigint) % 256 as int), 'c1', cast((user_id * 7) % 256 as int), 'c2', cast(regexp_extract(props, '([0-9]+)', 1) as int) * 2)))"
 
 
 def px_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16x16 RGB frames of 256 consecutive events; the last one is filled up with black pixels."""
     events = table(spark, sf_dir, "events")
     rest = events.agg(F.max("event_id").alias("m")).where("m % 256 < 255").select(F.explode(F.expr("sequence(m + 1, m div 256 * 256 + 255)")).alias("event_id"))
-    filled = events.selectExpr("event_id", *RGB_OF_EVENT).unionByName(rest.selectExpr("event_id", "0 as c0", "0 as c1", "0 as c2"))
+    filled = events.selectExpr("event_id", RGB_OF_EVENT).unionByName(rest.selectExpr("event_id", "0 as c0", "0 as c1", "0 as c2"))
     return filled.selectExpr("event_id div 256 as frame_id", "cast((event_id % 256) div 16 as int) as y", "cast(event_id % 16 as int) as x", "c0", "c1", "c2")
 
 

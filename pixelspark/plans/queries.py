@@ -378,7 +378,6 @@ def j4(spark, sf):
 
 def tracked(px: DataFrame) -> DataFrame:
     """Coloured objects of each whole frame of px as topic rows: found count and the largest object's place and size."""
-    px = pixels.by_frame(px)
     mask = pixels.color_filter(px, "rgb", "hsv", [0, 40, 60], [255, 255, 255])
     boxes = bl.blob_filter(bl.blobs(mask), pixels=(4, None))
     per_frame = boxes.groupBy("frame_id").agg(F.count("*").alias("found"), F.max("pixels").alias("largest"), F.max_by(F.struct("min_x", "min_y"), F.struct("pixels", "min_y", "min_x")).alias("at"))
