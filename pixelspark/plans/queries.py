@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pixelspark.functions.color import idiv
 from pixelspark.operators import blobs as bl
 from pixelspark.operators import overlay, pixels, topics
-from pixelspark.session import shared_dir, table
+from pixelspark.session import shared_dir, table, tidy
 from pixelspark.sources import frames as fr
 
 from . import fixtures as fx
@@ -22,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = tidy(f)
         if sql:
             ORACLE_SQL[name] = sql
         return f
