@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelspark.session import table
+from pixelspark.session import table, tidy
 
 from . import embed_dedup, image_copies, lexical_search, mixing, ngram_join, pii, piece_sampling, prefix_trie, quality, repetition, toxicity, warc, wordpiece_count
 
@@ -17,7 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
+        QUERIES[name] = tidy(f)
         if sql:
             ORACLE_SQL[name] = sql
         return f

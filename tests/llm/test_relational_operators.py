@@ -23,7 +23,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = registry.QUERIES[name](spark, sf)
     rel = con.sql(registry.ORACLE_SQL[name])
