@@ -47,8 +47,8 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("max_local", [2, 40, pt.MAX_LOCAL])
-def test_trie_equals_a_plain_one(spark, max_local):
+@pytest.mark.parametrize("max_local", [12, pt.MAX_LOCAL])
+def test_trie_equals_a_plain_one(spark, few_partitions, max_local):
     rng = np.random.default_rng(max_local)
     rows = []
     for c in [*range(0, 40), *range(95, 110), *range(230, 260), -3, -250]:
@@ -59,13 +59,13 @@ def test_trie_equals_a_plain_one(spark, max_local):
     assert rows_of(pt.conversation_trie(frame, max_local=max_local)) == plain_trie(rows)
 
 
-def test_long_and_shared_conversations(spark):
+def test_long_and_shared_conversations(spark, few_partitions):
     """A third of the rows in one conversation, and many equal ones."""
     rows = [(100, i, "user", f"t{i % 3}") for i in range(900)] + [(c, i, "user", f"s{i}") for c in range(300, 600) for i in range(3)] + [(c, 0, "user", "s0") for c in range(601, 640)]
     assert rows_of(pt.conversation_trie(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA), max_local=100)) == plain_trie(rows)
 
 
-def test_one_turn_and_no_turns(spark):
+def test_one_turn_and_no_turns(spark, few_partitions):
     none = spark.createDataFrame([], SCHEMA)
     assert pt.conversation_trie(none).count() == 0 and pt.conversation_trie(none).columns == [c.split()[0] for c in pt.SCHEMA.split(", ")]
     rows = [(c, 0, "user", "x") for c in (1, 2, 5, 77)]  # conversations whose first h turns go and whose hundred is absent have no turn
