@@ -13,9 +13,11 @@ Most points cannot have a partner at all, so three exact tests stand before the
   meets at its first common token, at places i and j at most, and can share no more than n - i and m - j tokens. A set is
   sent to its n - ceil(t n) + 1 rarest tokens, each with the size of the largest partner its place there allows.
 
-At every token each set is first tried with one pivot; then only tokens where sets of different components could still be
-partners are open. Their sets are cut into tiles of bounded size; every pair of tiles is joined by a tree, verified there, and
-gives the edges of a spanning forest, so no step holds or makes all pairs of a group.
+All links come out of trees. At every token one set is the pivot; the sets that meet a pivot, at whatever tokens, are packed into trees of
+bounded size, and the pivot's point descends each of them: corners first, then points, then the sets. After that only tokens
+where sets of different components could still be partners are open. Their sets are cut into tiles of bounded size; every pair of
+tiles is joined by descending their trees at once, verified there, and gives the edges of a spanning forest. So no step holds
+or makes all pairs of a group.
 
 Nothing is dropped or capped: the result has exactly the components of all links. Sets are told apart by 128-bit
 fingerprints; in the verification a token is its 64-bit hash.
@@ -447,16 +449,32 @@ def _tile(percent: int):
     return rows
 
 
-def _verify(percent: int):
-    """Pairs with both sets -> edges: the bound first, then the sets."""
+def star_leaves(stars: DataFrame) -> DataFrame:
+    """(u, leaf, node, side) of stars (u, v, n): the sets v that meet a pivot u, in leaves of about TILE_SETS sets and TILE_TOKENS tokens, side 1; and the pivot in each leaf, side 0."""
+    size = stars.groupBy("u").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_TOKENS)).cast("long").alias("n_leaves"))
+    members = stars.join(size, "u").select("u", F.pmod(F.xxhash64("v"), F.col("n_leaves")).alias("leaf"), F.col("v").alias("node"), F.lit(1).alias("side"))
+    pivots = size.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_leaves") - 1)).alias("leaf"), F.col("u").alias("node"), F.lit(0).alias("side"))
+    return members.unionByName(pivots)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-                good.append(enough(overlap_bound(x, y), len(x), len(y), percent) and enough(overlap(x, y), len(x), len(y), percent))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+def _star(percent: int):
+    """A pivot and the sets of one leaf -> the edges from the pivot that hold: its point descends the leaf's tree, and what is left is verified."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        node, n, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
+        tokens = [np.frombuffer(x.as_buffer(), U64) for x in table.column("tokens")]
+        vectors = np.stack([count_vector(t, TREE_DIMS) for t in tokens])
+        parts = [np.flatnonzero(side == k) for k in (0, 1)]
+        if not all(map(len, parts)):
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        trees = [CountTree(n[k], 100 * n[k] // percent, vectors[k]) for k in parts]
+        u, v = [], []
+        for i, j in tree_pairs(*trees, percent):
+            p, q = parts[0][i], parts[1][j]
+            if enough(overlap_bound(tokens[p], tokens[q]), n[p], n[q], percent) and enough(overlap(tokens[p], tokens[q]), n[p], n[q], percent):
+                u.append(node[p])
+                v.append(node[q])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows
 
@@ -512,10 +530,10 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     entries = kept.select("node", "n", F.explode("routes").alias("r")).select("node", "n", "r.token", "r.reach")
     pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", F.col("p.node").alias("u"), F.col("p.n").alias("pivot_n"))
     fits = (F.col("node") != F.col("u")) & (100 * F.col("n") >= percent * F.col("pivot_n")) & (100 * F.col("pivot_n") >= percent * F.col("n"))
-    pairs = written(entries.join(pivots, "token").where(fits).select("u", F.col("node").alias("v")).distinct(), "pairs")
-    left, right = kept.select(F.col("node").alias("u"), F.col("tokens").alias("tokens_a")), kept.select(F.col("node").alias("v"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "tokens_a", "tokens_b")
-    links = written(both.mapInArrow(_verify(percent), "u bigint, v bigint"), "links")
+    stars = written(entries.join(pivots, "token").where(fits).select("u", F.col("node").alias("v"), "n").distinct(), "stars")
+    sets = kept.select("node", "n", "tokens")
+    met = star_leaves(stars).join(sets.hint("merge"), "node")
+    links = written(met.groupBy("u", "leaf").applyInArrow(_star(percent), "u bigint, v bigint"), "links")
     linked = written(components(links), "components")
 
     left_open = written(open_entries(entries, linked), "open")
@@ -528,7 +546,7 @@ def similar_texts(docs: DataFrame, key: str, text: str, width: int, percent: int
     of_class = written(of_set.join(classes, ["set_a", "set_b"], "left"), "classes")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("least").alias("class_least"))
     of_class = written(of_class.join(least, "component", "left").select("set_a", "set_b", F.coalesce("class_least", "least").alias("component")), "by-set")
-    discard(kept, pairs, links, more, left_open)
+    discard(kept, stars, links, more, left_open)
     out = rows.join(of_class.hint("merge"), ["set_a", "set_b"], "left")
     return out.select("key", "text_a", "text_b", "n", F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component"))
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 import re
 
 import duckdb
@@ -156,6 +157,28 @@ def test_ngram_join_cuts_large_blocks_into_tiles(spark, monkeypatch):
     assert got == union_find(sets, links)
 
 
+def test_all_links_of_the_given_table_come_out_of_trees(spark, sf, tmp_path, monkeypatch):
+    """Every edge is a pair that a descent left: the points and pairs of the given table's trees are counted."""
+    plain, seen = ngram_join._star, str(tmp_path / "seen")
+
+    def counting(percent):
+        inner = plain(percent)
+
+        def rows(table):
+            out = inner(table)
+            with open(f"{seen}-{os.getpid()}", "a") as f:
+                f.write(f"{table.num_rows} {out.num_rows}\n")
+            return out
+
+        return rows
+
+    monkeypatch.setattr(ngram_join, "_star", counting)
+    found = ngram_join.similar_documents(table(spark, sf, "documents"))
+    linked = found.where("doc_id <> component_id").count()
+    counts = [tuple(map(int, line.split())) for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert linked > 0 and sum(c[0] for c in counts) > 0 and sum(c[1] for c in counts) > 0
+
+
 def test_ngram_join_defined_cases(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngram_join.similar_documents(empty).count() == 0
