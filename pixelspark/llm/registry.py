@@ -194,7 +194,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
     b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
     select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-        cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not long_repeat and 100 * covered_chars <= 30 * word_chars as kept, cast(covered_chars as bigint) as covered_chars
+        cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not long_repeat and 100 * covered_chars <= 40 * word_chars as kept, cast(covered_chars as bigint) as covered_chars
     from b
     """,
 )

@@ -33,7 +33,7 @@ from ._text import U64, mix64, slices, span_hashes, words
 MIN_WORDS = 8
 MIN_TEXT_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MAX_COVERED_PERCENT = 30
+MAX_COVERED_PERCENT = 40
 MAX_LONGEST = 50
 IS_SYMBOL = np.zeros(256, dtype=bool)
 IS_SYMBOL[list(b"#*$%&|<>")] = True
