@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,62 @@ def rasterize_detections(detections: DataFrame) -> DataFrame:
     return rasterize_lines(detection_edges(detections))
 
 
+#: Points that `point_lists` holds at once, unless one line has more.
+POINTS_AT_ONCE = 1 << 18
+
+
+def _point_texts(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """How many points of each line lie on the frame, and their text, in order of x and y.
+
+    A line is walked from its smaller x on, so only points of one x may still be out of order: where y falls, they are turned round.
+    """
+    dx, dy = np.abs(x1 - x0), np.abs(y1 - y0)
+    n = np.maximum(dx, dy)
+    line, back = np.repeat(np.arange(len(n)), n), x0 > x1
+    i = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    i = np.where(back[line], n[line] - 1 - i, i)
+    at = lambda start, side, end: start[line] + np.where(start < end, 1, -1)[line] * np.where((side == n)[line], i, (2 * i * side[line] + n[line]) // (2 * n[line]))
+    x, y = at(x0, dx, x1), at(y0, dy, y1)
+    new = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (x[1:] != x[:-1])))[: len(line)]
+    size = np.diff(np.append(new, len(line)))
+    turned = np.repeat(2 * new + size - 1, size) - np.arange(len(line))
+    y = np.where(((y0 < y1) == back)[line], y[turned], y)
+    seen = (x >= 0) & (y >= 0)
+    counts = np.bincount(line[seen], minlength=len(n))
+    texts = pc.binary_join_element_wise(pa.array(x[seen]).cast(pa.string()), pa.array(y[seen]).cast(pa.string()), ",")
+    return counts, pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), texts), " ")
+
+
+def _listed(rest: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x0", "y0", "x1", "y1")]
+            total = np.cumsum(np.maximum(np.abs(ends[2] - ends[0]), np.abs(ends[3] - ends[1])))
+            first = 0
+            while first < len(total):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + POINTS_AT_ONCE, "right")))
+                counts, texts = _point_texts(*[e[first:last] for e in ends])
+                some = pa.array(counts > 0)
+                kept = batch.slice(first, last - first).filter(some)
+                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in rest], pa.array(counts[counts > 0]), texts.filter(some)], names=[*rest, "n", "points"])
+                first = last
+
+    return rows
+
+
+def point_lists(lines: DataFrame) -> DataFrame:
+    """lines as rasterize_lines takes them to one row for each line with pixels: (frame_id, other columns, n, points).
+
+    points lists the n pixels that rasterize_lines gives for the line as "x,y x,y ..", in order of x and y. Made from the line itself,
+    so no pixel becomes a row and nothing is grouped; lines with a null end have none.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    rest = [c for c in lines.columns if c not in ends]
+    whole = lines.select(*rest, *[F.col(c).cast("int").alias(c) for c in ends]).dropna(subset=ends)
+    kinds = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in rest)
+    return whole.mapInArrow(_listed(rest), f"{kinds}, n bigint, points string")
+
+
 def draw_points(canvas: DataFrame, points: DataFrame, color: list[int], source: str | None = None, target: str | None = None) -> DataFrame:
     """canvas, converted from its format to that of the colour where both are named, with the pixels of points (frame_id, y, x, ...) in the colour."""
     if source and target:

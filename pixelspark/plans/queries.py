@@ -243,9 +243,8 @@ SQL_EDGES = """k as (select run as frame_id, seq * 4 as seq4, [cx, cy, cx + id,
     + "select frame_id, cast(seq // 4 as int) as seq, cast(seq % 4 as int) as edge, count(*) as n, string_agg(x || ',' || y, ' ' order by x, y) as points from b where left_n > 0 and x >= 0 and y >= 0 group by frame_id, seq")
 def g4(spark, sf):
     """Every pixel of every edge, as a list of each edge."""
-    drawn = overlay.rasterize_detections(corner_dets(spark, sf).select("frame_id", "seq", "corners"))
-    points = F.array_sort(F.collect_list(F.struct("x", "y")))
-    return drawn.groupBy("frame_id", "seq", "edge").agg(F.count("*").alias("n"), F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("points"))
+    edges = overlay.detection_edges(corner_dets(spark, sf).select("frame_id", "seq", "corners"))
+    return overlay.point_lists(edges)
 
 
 # windows

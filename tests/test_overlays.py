@@ -32,6 +32,19 @@ def test_lines_equal_walked_ones(spark):
     assert got == {i: set(walked(*v)) for i, v in enumerate(lines) if walked(*v)}
 
 
+@pytest.mark.parametrize("at_once", [1, 1 << 18])
+def test_listed_points_are_the_pixels_in_order(spark, at_once, monkeypatch):
+    """Every direction, with places off the frame, lines without points and a null end, in slices of any size; no pixel is grouped."""
+    monkeypatch.setattr(overlay, "POINTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    lines = [tuple(map(int, rng.integers(-6, 14, 4))) for _ in range(300)] + [(3, 3, 3, 3), (-9, -9, -2, -2), (0, 9, 4, 0), (4, 0, 0, 9), (4, 9, 0, 0), (7, 2, 7, -3)]
+    frame = spark.createDataFrame([*((i, *v) for i, v in enumerate(lines)), (-1, 0, 0, None, 5)], "frame_id long, x0 int, y0 int, x1 int, y1 int")
+    listed = overlay.point_lists(frame)
+    want = {i: sorted(p for p in walked(*v) if min(p) >= 0) for i, v in enumerate(lines)}
+    assert {r["frame_id"]: (r["n"], r["points"]) for r in listed.collect()} == {i: (len(p), " ".join(f"{x},{y}" for x, y in p)) for i, p in want.items() if p}
+    assert "Exchange" not in listed._jdf.queryExecution().toString()
+
+
 def test_long_lines_take_linear_time(spark):
     frame = spark.range(400).select(F.col("id").alias("frame_id"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(10_000).alias("x1"), F.lit(3_333).alias("y1"))
     began = time.time()
