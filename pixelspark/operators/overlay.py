@@ -16,27 +16,21 @@ from .groups import in_order, same_as_before, whole_groups
 from .pixels import PLACE, channel_columns, color_space
 
 
-def line_points(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """ARRAY<STRUCT<x, y>>: the Bresenham points of a line without its last point, each from its number alone.
+def rasterize_lines(lines: DataFrame) -> DataFrame:
+    """lines (frame_id, x0, y0, x1, y1, other columns) to pixel rows (frame_id, y, x, other columns); negative places are skipped.
 
-    Point i is i steps along the longer side; along the shorter one it is (2 i short + long) div (2 long) steps, where ties go on.
+    The Bresenham points of a line without its last point, each from its number alone: point i is i steps along the longer side; along
+    the shorter one it is (2 i short + long) div (2 long) steps, where ties go on. Points become rows before they are computed.
     """
-    dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
-    sx, sy = F.when(x0 < x1, 1).otherwise(-1), F.when(y0 < y1, 1).otherwise(-1)
-    n = F.greatest(dx, dy)
-
-    def point(i: Column) -> Column:
-        steps = lambda side: F.when(side == n, i).otherwise(idiv(2 * i.cast("long") * side + n, 2 * n)).cast("int")
-        return F.struct((x0 + sx * steps(dx)).alias("x"), (y0 + sy * steps(dy)).alias("y"))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), point)).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
-
-
-def rasterize_lines(lines: DataFrame) -> DataFrame:
-    """lines (frame_id, x0, y0, x1, y1, other columns) to pixel rows (frame_id, y, x, other columns); negative places are skipped."""
-    rest = [c for c in lines.columns if c not in ("frame_id", "x0", "y0", "x1", "y1")]
-    points = lines.select("frame_id", *rest, F.explode(line_points(*[F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1")])).alias("p"))
-    return points.select("frame_id", F.col("p.y").alias("y"), F.col("p.x").alias("x"), *rest).where("x >= 0 and y >= 0")
+    ends = ["x0", "y0", "x1", "y1"]
+    rest = [c for c in lines.columns if c not in ("frame_id", *ends)]
+    x0, y0, x1, y1 = (F.col(c) for c in ends)
+    dx, dy, n, i = F.abs(x1 - x0), F.abs(y1 - y0), F.col("_n"), F.col("_i")
+    whole = lines.select("frame_id", *rest, *[F.col(c).cast("int").alias(c) for c in ends]).withColumn("_n", F.greatest(dx, dy)).where("_n > 0")
+    numbered = whole.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    steps = lambda side: F.when(side == n, i).otherwise(idiv(2 * i.cast("long") * side + n, 2 * n)).cast("int")
+    along = lambda start, side, end: start + F.when(start < end, 1).otherwise(-1) * steps(side)
+    return numbered.select("frame_id", along(y0, dy, y1).alias("y"), along(x0, dx, x1).alias("x"), *rest).where("x >= 0 and y >= 0")
 
 
 def detection_edges(detections: DataFrame) -> DataFrame:

@@ -52,6 +52,12 @@ def test_long_lines_take_linear_time(spark):
     assert time.time() - began < 60
 
 
+def test_points_are_computed_as_rows(spark):
+    """No list of points is built inside a row by a lambda, which Spark interprets."""
+    plan = overlay.rasterize_lines(spark.range(3).selectExpr("id as frame_id", "0 as x0", "0 as y0", "cast(id as int) as x1", "2 as y1"))._jdf.queryExecution().toString()
+    assert "lambda" not in plan and "explode(sequence(" in plan
+
+
 def painted(canvas, boxes):
     out = canvas.astype(int).copy()
     for _, x0, x1, y0, y1, fill, color in sorted(boxes):
