@@ -42,11 +42,22 @@ def intervals(ticks: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     return joined.select(*ticks.columns, "gap_us")
 
 
+def _reach(window_us: int) -> Column:
+    """Of a bucketed tick with halo: its own time, or for one of the bucket before the last time whose window reaches back to it.
+
+    A window of a bucket's length is thus all own ticks up to its time and all others from its time on: running sums and extremes
+    from either end, which cost the same for any number of ticks to a window.
+    """
+    return F.col("ts_us") + F.when(F.col("_halo"), F.lit(window_us)).otherwise(F.lit(0))
+
+
 def rolling_fps(ticks: DataFrame, window_us: int = 10_000_000) -> DataFrame:
     """fps at each tick: ticks in (ts - window, ts] inclusive of the edge, over the elapsed time up to the window; null at a stream's first tick."""
-    cut = _bucketed(ticks, window_us, halo=True)
-    near = Window.partitionBy("stream", "_bucket").orderBy("ts_us").rangeBetween(-window_us, 0)
-    counted = cut.withColumn("_n", F.count("*").over(near)).where("not _halo")
+    cut = _bucketed(ticks, window_us, halo=True).withColumn("_at", _reach(window_us))
+    bucket = Window.partitionBy("stream", "_bucket")
+    until, own = bucket.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0), F.count_if(~F.col("_halo"))
+    since = bucket.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    counted = cut.withColumn("_n", own.over(until)).withColumn("_n", F.col("_n") + F.count_if("_halo").over(since)).where("not _halo")
     first = ticks.groupBy("stream").agg(F.min("ts_us").alias("_first"))  # a row per stream
     elapsed = F.least(F.lit(window_us), F.col("ts_us") - F.col("_first"))
     return counted.join(first, "stream").withColumn("fps", F.col("_n") / F.nullif(elapsed, F.lit(0)) * 1e6).select(*ticks.columns, "fps")
@@ -57,11 +68,17 @@ def fps_extremes(ticks: DataFrame, window_us: int = 10_000_000) -> DataFrame:
 
     A gap stands at the tick it begins at: those that begin inside the window, before its last time, end inside it too.
     """
-    w = Window.partitionBy("stream", "_bucket").orderBy("ts_us")
-    inside, peers = w.rangeBetween(-window_us, -1), w.rangeBetween(0, 0)
-    cut = _bucketed(ticks, window_us, halo=True).withColumn("_gap", F.lead("ts_us").over(w) - F.col("ts_us"))
-    tie = F.when(F.count("*").over(peers) > 1, F.lit(0))
-    seen = cut.withColumn("_longest", F.coalesce(F.max("_gap").over(inside), tie)).withColumn("_shortest", F.coalesce(tie, F.min("_gap").over(inside))).where("not _halo")
+    bucket = Window.partitionBy("stream", "_bucket")
+    by_time = bucket.orderBy("ts_us")
+    own = F.when(~F.col("_halo"), F.col("_gap"))
+    before = by_time.rangeBetween(Window.unboundedPreceding, -1)
+    cut = _bucketed(ticks, window_us, halo=True).withColumn("_gap", F.lead("ts_us").over(by_time) - F.col("ts_us")).withColumn("_tied", F.col("_gap").eqNullSafe(0) | F.lag("ts_us").over(by_time).eqNullSafe(F.col("ts_us")))
+    cut = cut.withColumn("_longest", F.max(own).over(before)).withColumn("_shortest", F.min(own).over(before)).withColumn("_at", _reach(window_us))
+    since = bucket.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    old = F.when(F.col("_halo"), F.col("_gap"))
+    tie = F.when(F.col("_tied"), F.lit(0))
+    longest, shortest = F.greatest("_longest", F.max(old).over(since)), F.least("_shortest", F.min(old).over(since))
+    seen = cut.withColumn("_longest", F.coalesce(longest, tie)).withColumn("_shortest", F.coalesce(tie, shortest)).where("not _halo")
     rate = lambda gap: F.coalesce(F.when(gap > 0, 1e6 / gap), F.lit(0.0))
     return seen.select(*ticks.columns, rate(F.col("_longest")).alias("fps_min"), rate(F.col("_shortest")).alias("fps_max"))
 

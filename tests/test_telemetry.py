@@ -156,6 +156,43 @@ def test_windows_over_buckets(spark):
     assert gaps == sorted(want_gaps)
 
 
+def test_crowded_windows_take_linear_time(spark):
+    """400,000 ticks of one stream, 100,000 to a window: what each sees is known, and no window is gone through again for each tick."""
+    import time
+
+    window = 1_000_000
+    ticks = spark.range(400_000).select(F.col("id").alias("event_id"), F.lit("s").alias("stream"), (F.col("id") * 10).alias("ts_us"))
+    began = time.time()
+    assert te.rolling_fps(ticks, window).where("ts_us >= 1000000").agg(F.min("fps"), F.max("fps")).first()[:] == (pytest.approx(100_001), pytest.approx(100_001))
+    slow = ticks.withColumn("ts_us", F.expr("ts_us + if(event_id >= 150000, 7, 0)"))
+    got = te.fps_extremes(slow, window).agg(F.count_if(F.abs(F.col("fps_min") - 1e6 / 17) < 1e-6), F.count_if(F.abs(F.col("fps_max") - 1e5) < 1e-6)).first()
+    assert got[:] == (99_999, 399_999)  # the longer gap begins at 1,499,990
+    assert time.time() - began < 60
+
+
+def test_gathering_takes_many_prefixes_at_once(spark):
+    """Two keys with nulls, a long prefix and many short ones: each is whole, and calls are far fewer than prefixes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pixelspark.functions import udf
+
+    df = spark.range(60_000).selectExpr("if(id < 30000, null, if(id % 3 = 0, 'a', 'b')) as stream", "id div 20 * cast(id >= 40000 as int) as run", "id").repartition(5)
+
+    def many(t: pa.Table, first: np.ndarray) -> pa.Table:
+        return pa.table({"stream": t.column("stream").take(pa.array(first)), "run": t.column("run").take(pa.array(first)), "n": pa.array(np.diff(np.append(first, t.num_rows))), "least": pa.array(np.minimum.reduceat(t.column("id").to_numpy(), first)), "call": pa.array(np.full(len(first), int(t.column("id")[0].as_py())))})
+
+    def one(t: pa.Table) -> pa.Table:
+        return pa.table({"stream": t.column("stream").slice(0, 1), "run": t.column("run").slice(0, 1), "n": pa.array([t.num_rows]), "least": pa.array([min(t.column("id").to_pylist())]), "call": pa.array([0])})
+
+    kind, keys = "stream string, run bigint, n bigint, least bigint, call bigint", ["stream", "run"]
+    want = sorted((tuple(r) for r in df.groupBy(*keys).agg(F.count("*"), F.min("id")).collect()), key=str)
+    got = udf.gathering(df, keys, many, kind).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == want
+    assert len(want) > 2000 and len({r["call"] for r in got}) <= 8
+    assert sorted((tuple(r)[:4] for r in udf.gathering(df, keys, udf.each(one), kind).collect()), key=str) == want
+
+
 def test_newest_rows_of_every_batch(spark):
     """The newest frames of each stream of every drained batch."""
     rows = [(i, f"s{i % 2}", "c", 1000 + i // 2) for i in range(40)]
