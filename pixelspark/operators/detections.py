@@ -75,14 +75,14 @@ def missing_parameters(streams: DataFrame, cameras: DataFrame) -> DataFrame:
 def match_detections(expected: DataFrame, got: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """(image, id, status): expected and got (image, id, corners) pair up where every coordinate differs by less than tolerance.
 
-    A grid join: the first point's cell, of the tolerance's size, is a key; an expected detection is asked for in the cells around its
-    own. Only whether a partner exists matters, so it is a semi join on distinct detections, and one aggregation of flags gives the
+    A grid join: the first point's cell, of four times the tolerance's size, is a key; an expected detection is asked for in the cells
+    that its tolerance reaches, mostly one or two, at most four. Only whether a partner exists matters, so it is a semi join on distinct detections, and one aggregation of flags gives the
     states. An id of an image that is on both sides without a pair is missed and extra.
     """
     sides = [df.select("image", "id", F.col("corners").cast("array<double>").alias("corners")).distinct() for df in (expected, got)]
-    cell = lambda i: F.coalesce(F.floor(F.get("corners", F.lit(i)) / tolerance), F.lit(0))
-    around = lambda c: F.sequence(c - 1, c + 1)
-    a = sides[0].withColumn("gx", F.explode(around(cell(0)))).withColumn("gy", F.explode(around(cell(1)))).withColumnRenamed("corners", "a")
+    cell = lambda i, shift=0.0: F.coalesce(F.floor((F.get("corners", F.lit(i)) + shift) / (4 * tolerance)), F.lit(0))
+    reached = lambda i: F.sequence(cell(i, -tolerance), cell(i, tolerance))
+    a = sides[0].withColumn("gx", F.explode(reached(0))).withColumn("gy", F.explode(reached(1))).withColumnRenamed("corners", "a")
     b = sides[1].select("image", "id", F.col("corners").alias("b"), cell(0).alias("gx"), cell(1).alias("gy"))
     near = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), lambda d: d < tolerance)
     keys = ["image", "id", "gx", "gy"]

@@ -95,3 +95,15 @@ def test_matches_of_one_crowded_id(spark):
     assert time.time() - began < 60
     one = spark.createDataFrame([("a", 1, [300.9, 0.9])], "image string, id int, corners array<double>")
     assert [tuple(r) for r in dt.match_detections(far, one).collect()] == [("a", 1, "matched")]
+
+
+def test_matches_meet_in_few_cells(spark):
+    """Random places and whole multiples of the tolerance, against all pairs; an expected detection stands in at most four cells."""
+    rng = np.random.default_rng(5)
+    sides = [[("a", int(i % 40), [float(v) for v in (rng.integers(-8, 9, 2) * 0.5 if i % 2 else rng.uniform(-4, 4, 2))]) for i in range(300)] for _ in range(2)]
+    frames = [spark.createDataFrame(s, "image string, id int, corners array<double>") for s in sides]
+    matched = {(i, k) for i, k, p in sides[0] for _, m, q in sides[1] if k == m and all(abs(x - y) < 0.5 for x, y in zip(p, q))}
+    out = dt.match_detections(*frames, 0.5)
+    assert {(r["image"], r["id"]) for r in out.where("status = 'matched'").collect()} == matched and 0 < len(matched) < 40
+    reached = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(sequence" in line)
+    assert "/ 2.0" in reached
