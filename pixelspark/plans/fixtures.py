@@ -23,11 +23,15 @@ def px_mask(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFra
 CAMERA_WIDTH, CAMERA_HEIGHT = 446, 295
 
 
+#: Camera frames and detections that a task gets, so that its memory does not grow with the table.
+FRAMES_PER_TASK, ROWS_PER_TASK = 4, 1 << 17
+
+
 def px_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera-size luma frames of all lineitem rows: a row is 8 pixels of one value, and a frame the rows of one hash value, about 446 x 295 pixels."""
     lines = table(spark, sf_dir, "lineitem")
     n_frames = max(1, -(-lines.count() * 8 // (CAMERA_WIDTH * CAMERA_HEIGHT)))
-    rows = lines.selectExpr(f"pmod(xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey), {n_frames}) as frame_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(pmod(l_partkey * 7 + l_suppkey * 13 + l_orderkey, 256) as int) as c0")
+    rows = lines.selectExpr(f"pmod(xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey), {n_frames}) as frame_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(pmod(l_partkey * 7 + l_suppkey * 13 + l_orderkey, 256) as int) as c0").repartition(-(-n_frames // FRAMES_PER_TASK), "frame_id")
     placed = rows.selectExpr("frame_id", "c0", "row_number() over (partition by frame_id order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 as place")
     return placed.selectExpr("frame_id", "c0", "explode(sequence(8 * place, 8 * place + 7)) as i").selectExpr("frame_id", f"cast(i div {CAMERA_WIDTH} as int) as y", f"cast(i % {CAMERA_WIDTH} as int) as x", "c0")
 
@@ -59,6 +63,7 @@ DETS_SQL = """select l_orderkey as run,
 
 def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // ROWS_PER_TASK)), "l_orderkey")
     return spark.sql(DETS_SQL.replace("from lineitem", "from {lineitem}"), lineitem=lines)
 
 

@@ -217,3 +217,35 @@ def test_png_files_share_folders(spark, tmp_path):
     images = fr.read_images(spark, str(tmp_path / "png"))
     again = fr.image_pixels(images, F.col("frame_id"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, px.select(*again.columns).collect()))
+
+
+def test_tasks_do_not_grow_with_the_table(spark, sf, monkeypatch):
+    """Camera frames and detections are dealt out by their number, so that the largest task has a few frames or some rows."""
+    from pyspark.sql import functions as F
+
+    from pixelspark.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "CAMERA_WIDTH", 40)
+    monkeypatch.setattr(fx, "CAMERA_HEIGHT", 30)
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 100)
+    sizes = lambda df: df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n, most = sizes(fx.px_camera(spark, sf))
+    assert n == spark.read.parquet(f"{sf}/lineitem.parquet").count() * 8 and most < 12 * 1200
+    n, most = sizes(fx.dets(spark, sf))
+    assert n * 8 == sizes(fx.px_camera(spark, sf))[0] and most < 250
+
+
+def test_orders_are_dealt_out_with_their_detections(spark, sf):
+    """Orders grow with the table, so they are joined where they lie, and no task holds all of them."""
+    from pixelspark.plans import telemetry_queries as tq
+
+    plan = tq.parts_of_orders(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_triggers_of_images_do_not_grow_with_frames(spark, tmp_path):
+    from pixelspark.plans import telemetry_queries as tq
+
+    for n, files in ((100, 250), (256_000, 250), (25_600_000, 25_000)):
+        spark.range(n - 1, n).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/{n}/events.parquet")
+        assert tq.files_per_trigger(spark, f"{tmp_path}/{n}") == files
