@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,18 +30,19 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def replay(events: DataFrame, order: str, parts: int = 4) -> DataFrame:
-    """events as a stream of that many slices in the order of a number column, so that state crosses micro-batches.
+    """events as a stream of that many slices in the order of a number, a column or an expression, so that state crosses micro-batches.
 
-    A slice is written side by side into the same number of files, a small one's number being made up by empty files, and is read in one trigger.
+    Where the number is the time, no slice brings rows that are late after the one before. A slice is written side by side into the same number of files, a small one's number being made up by empty files, and is read in one trigger.
     """
     spark = events.sparkSession
     path = f"{shared_dir(spark)}-replay"
-    low, high = events.agg(F.min(order), F.max(order)).first()  # two numbers
+    at = F.expr(order)
+    low, high = events.agg(F.min(at), F.max(at)).first()  # two numbers
     if low is None:
         slices = [events]
     else:
         step = (high - low) // parts + 1
-        slices = [events.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)) for k in range(parts)]
+        slices = [events.where(at.between(low + k * step, low + (k + 1) * step - 1)) for k in range(parts)]
     files = min(spark.sparkContext.defaultParallelism, 8)
     for k, part in enumerate(slices):
         part.repartition(files).write.mode("append").parquet(path)
@@ -141,23 +143,30 @@ def drain_appended(stream: DataFrame, each: Callable[[DataFrame, DataFrame | Non
 class InOrder(StatefulProcessor):
     """Rows of a key, held until the watermark has passed them and then given to `take` in order of (ts_us, the other fields).
 
-    State of a key: the rows that wait, appended batch by batch; one timer, at the first of them; what a subclass holds. `take` gets
-    the ripe rows and returns the rows to give out and the time (us) at which its own state can go, or None; `drop` removes that.
+    State of a key: the rows that wait, in blocks that are an Arrow value each, named by their first time and a number; one timer, at the
+    first of them; what a subclass holds. `take` gets ripe rows, many at a time, and a time (us): they are all that are left up to it. It
+    returns the rows to give out and the time at which its own state can go, or None; `drop` removes that.
     """
 
+    #: Rows of a block, and rows that are put in order at a time. Rows that come together are cut into blocks by time, so these overlap little.
+    block, at_once = 1 << 13, 1 << 17
+
     def __init__(self, fields: str, out: list[str]):
-        self.fields, self.out = fields, out
-        self.names = [f.split()[0] for f in fields.split(", ")]
+        self.out = out
+        kinds = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+        self.schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, fields.split(", "))])
+        self.names = self.schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.waiting = handle.getMapState("waiting", "first_us bigint, number bigint", "rows binary")
+        self.blocks = handle.getValueState("blocks", "number bigint")
         self.timer = handle.getValueState("timer", "at_ms bigint")
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def take(self, key: tuple, rows: pd.DataFrame, now_us: int) -> tuple[pd.DataFrame, int | None]:
+    def take(self, key: tuple, rows: pd.DataFrame, upto_us: int) -> tuple[pd.DataFrame, int | None]:
         raise NotImplementedError
 
     def drop(self) -> None: ...
@@ -173,14 +182,50 @@ class InOrder(StatefulProcessor):
             self.timer.update((at_ms,))
 
     def _put(self, rows: pd.DataFrame) -> None:
-        self.waiting.appendList(list(rows[self.names].astype(object).where(rows[self.names].notna(), None).itertuples(index=False, name=None)))
+        table = pa.Table.from_pandas(rows.sort_values("ts_us"), self.schema, preserve_index=False).replace_schema_metadata(None)
+        number = self.blocks.get()[0] if self.blocks.exists() else 0
+        for k in range(0, len(table), self.block):
+            part, sink = table.slice(k, self.block), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as writer:
+                writer.write_table(part)
+            self.waiting.updateValue((part.column("ts_us")[0].as_py(), number), (sink.getvalue().to_pybytes(),))
+            number += 1
+        self.blocks.update((number,))
+
+    def _ripe(self, now_us: int) -> Iterator[tuple[pd.DataFrame, int]]:
+        """Rows in order and the time up to which they are all that are left, at last now_us. Blocks are read and removed by their first times;
+        rows that later blocks may precede are held, at least as many given out as stay held. What is not ripe goes back."""
+        names = sorted(b for b in self.waiting.keys() if b[0] <= now_us)
+        held, n, enough = [self.schema.empty_table().to_pandas()], 0, self.at_once
+        for name, after in zip(names, [*names[1:], None]):
+            held.append(pa.ipc.open_stream(self.waiting.getValue(name)[0]).read_pandas())
+            self.waiting.removeKey(name)
+            n += len(held[-1])
+            if after is None or n < enough:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            early = rows["ts_us"] < after[0]
+            yield rows[early].sort_values(self.names, ignore_index=True), after[0] - 1
+            held, n = [rows[~early]], int((~early).sum())
+            enough = max(self.at_once, 2 * n)
+        rows = pd.concat(held, ignore_index=True)
+        early = rows["ts_us"] <= now_us
+        yield rows[early].sort_values(self.names, ignore_index=True), now_us
+        if not early.all():
+            self._put(rows[~early])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held, n = None, [], 0
         for pdf in rows:
             if len(pdf) and not all(map(pd.isna, key)):  # rows of the null key only move the watermark
-                self._put(pdf)
                 first = min(int(pdf["ts_us"].min()), first) if first is not None else int(pdf["ts_us"].min())
+                held.append(pdf[self.names])
+                n += len(pdf)
+                if n >= self.at_once:
+                    self._put(pd.concat(held))
+                    held, n = [], 0
+        if held:
+            self._put(pd.concat(held))
         if first is not None:
             at = -(-first // 1000)
             self._wake(min(at, self.timer.get()[0]) if self.timer.exists() else at)
@@ -189,26 +234,26 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.names)
-        ripe = held["ts_us"].astype("int64") <= now_us
-        out, until = self.take(key, held[ripe].sort_values(self.names, ignore_index=True), now_us)
-        rest = held[~ripe]
-        self.waiting.clear()
-        if len(rest):
-            self._put(rest)
-            self._wake(-(-int(rest["ts_us"].min()) // 1000))
-        elif until is not None and until > now_us:
+        until = None
+        for rows, upto_us in self._ripe(now_us):
+            out, until = self.take(key, rows, upto_us)
+            if len(out):
+                yield out[self.out]
+        first = min((b[0] for b in self.waiting.keys()), default=None)
+        if first is not None:
+            self._wake(-(-first // 1000))
+            return
+        self.blocks.clear()
+        if until is not None and until > now_us:
             self._wake(-(-until // 1000))
         else:
             self.drop()
-        if len(out):
-            yield out[self.out]
 
     def close(self) -> None: ...
 
 
 class RollingFps(InOrder):
-    """State: the stream's first tick, one number, and the ticks of one window before the last."""
+    """State: the stream's first tick, one number, and the ticks of one window before the last, one value."""
 
     def __init__(self, window_us: int):
         super().__init__("ts_us bigint, event_id bigint", ["event_id", "stream", "ts_us", "fps"])
@@ -216,22 +261,23 @@ class RollingFps(InOrder):
 
     def opened(self, handle) -> None:
         self.first = handle.getValueState("first", "ts_us bigint")
-        self.seen = handle.getListState("seen", "ts_us bigint")
+        self.seen = handle.getValueState("seen", "times binary")
 
-    def take(self, key, rows, now_us):
+    def take(self, key, rows, upto_us):
         now = rows["ts_us"].to_numpy("int64")
         if len(now) and not self.first.exists():
             self.first.update((int(now[0]),))
-        before = np.array([r[0] for r in self.seen.get()] if self.seen.exists() else [], "int64")
+        before = np.frombuffer(self.seen.get()[0] if self.seen.exists() else b"", "int64")
         times = np.concatenate([before, now])
         n = np.searchsorted(times, now, "right") - np.searchsorted(times, now - self.window_us, "left")
         elapsed = np.minimum(self.window_us, now - (self.first.get()[0] if self.first.exists() else 0))
         rate = np.where(elapsed > 0, n / np.maximum(elapsed, 1) * 1e6, np.nan)
-        self.seen.clear()
-        kept = times[times > now_us - self.window_us]
+        kept = times[times > upto_us - self.window_us]
         if len(kept):
-            self.seen.appendList([(int(t),) for t in kept])
-        out = pd.DataFrame({"event_id": rows["event_id"].astype("int64"), "stream": key[0], "ts_us": now, "fps": pd.Series(rate, dtype="object").where(elapsed > 0, None)})
+            self.seen.update((kept.tobytes(),))
+        else:
+            self.seen.clear()
+        out = pd.DataFrame({"event_id": rows["event_id"].astype("int64"), "stream": key[0], "ts_us": now, "fps": rate})
         return out, int(kept[-1]) + self.window_us if len(kept) else None
 
     def drop(self) -> None:
@@ -254,7 +300,7 @@ class Throttle(InOrder):
     def opened(self, handle) -> None:
         self.last = handle.getValueState("last", "ts_us bigint")
 
-    def take(self, key, rows, now_us):
+    def take(self, key, rows, upto_us):
         times = rows["ts_us"].to_numpy("int64")
         last = self.last.get()[0] if self.last.exists() else None
         kept, at = [], 0 if last is None else int(np.searchsorted(times, last + self.min_gap_us))
@@ -295,7 +341,7 @@ class StickyType(InOrder):
         for pdf in rows:
             yield pdf.loc[pdf["type"] == self.first.get()[0], self.out]
 
-    def take(self, key, rows, now_us):
+    def take(self, key, rows, upto_us):
         if not len(rows):
             return rows, None
         if not self.first.exists():

@@ -278,6 +278,84 @@ def test_state_goes_after_a_silence_and_late_rows_are_dropped(spark, few_partiti
         assert held.count() == most and q.lastProgress is not None
 
 
+class Memory:
+    """State of one key in a dictionary, as a handle and as its variables."""
+
+    def __init__(self):
+        self.of, self.timers = {}, set()
+
+    def getValueState(self, name, *schema):
+        return self.of.setdefault(name, Memory())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    deleteTimer = lambda self, at: self.timers.discard(at)
+    exists = lambda self: bool(self.of)
+    get = lambda self: self.of.get(None)
+    update = lambda self, value: self.of.update({None: value})
+    clear = lambda self: self.of.clear()
+    keys = lambda self: iter(list(self.of))
+    getValue = lambda self, k: self.of.get(k)
+    updateValue = lambda self, k, value: self.of.update({k: value})
+    removeKey = lambda self, k: self.of.pop(k)
+
+
+@pytest.mark.parametrize("block, at_once", [(1 << 13, 1 << 17), (16, 64)])
+def test_rows_wait_in_blocks(block, at_once):
+    """3,000 ticks in 10 triggers, out of order inside the watermark: they wait in blocks, are given out many at a time, and rates equal a plain count."""
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    times = np.arange(3000) // 2 * 500_000 + rng.integers(-4, 5, 3000) * 250_000 + 10_000_000
+    op, memory, window = st.RollingFps(6_000_000), Memory(), 6_000_000
+    op.block, op.at_once = block, at_once
+    op.init(memory)
+    got, most, mark = [], 0, 0
+    for k in range(0, 3300, 300):
+        part = pd.DataFrame({"ts_us": times[k : k + 300], "event_id": np.arange(k, min(k + 300, 3000))})
+        assert list(op.handleInputRows(("s",), iter([part[:150], part[150:]]), None)) == []
+        most = max(most, len(memory.of["waiting"].of))
+        assert len(memory.timers) == (1 if memory.of["waiting"].of else 0)
+        mark = times[: k + 300].max() - 3_000_000 if k < 3000 else times.max() + 1
+        memory.timers.clear()
+        got += list(op.handleExpiredTimer(("s",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: int(m // 1000)), None))
+    rows = pd.concat(got).set_index("event_id")["fps"]
+    assert len(rows) == 3000 and not memory.of["waiting"].of and not memory.of["blocks"].of
+    assert most <= 2 * (300 // block + 2) and max(map(len, got)) <= (3000 if block > 3000 else 3 * at_once)
+    want = [((times <= t) & (times >= t - window)).sum() / min(window, t - times.min()) * 1e6 if t > times.min() else None for t in times]
+    assert [None if np.isnan(v) else v for v in rows.sort_index()] == [None if v is None else pytest.approx(v) for v in want]
+
+
+def test_waiting_ticks_are_few_values_of_state(spark, few_partitions):
+    """3,000 ticks that the watermark has not passed are a block for each batch of their stream, not a value each."""
+    from pixelspark.session import shared_dir
+
+    out = f"{shared_dir(spark)}-waiting"
+    ticks = timed(spark, [(i, "s", i + 1) for i in range(3000)])
+    stream = st.rolling_fps_stream(st.replay(ticks, "event_id", 1), 1_000_000, "5 seconds")
+    st._started(stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").format("parquet").option("path", out), spark)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", True).load(f"{out}-state")
+    assert 1 <= state.count() <= 2
+
+
+def test_replayed_ticks_come_by_time(spark, few_partitions, sf, tmp_path):
+    """Events whose numbers do not follow their times: none is late, each has its rate."""
+    from pixelspark.plans.telemetry_queries import QUERIES
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    n = events.count()
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + n)).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = {name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) for name in ("t2_fps_stream", "w7_fps")}
+    assert len(rows["t2_fps_stream"]) == 2 * n and [r[:2] for r in rows["t2_fps_stream"]] == [r[:2] for r in rows["w7_fps"]]
+    assert [r[2] for r in rows["t2_fps_stream"]] == [r[2] if r[2] is None else pytest.approx(r[2]) for r in rows["w7_fps"]]
+
+
 def test_registry_over_batches(spark):
     """Ids of one batch and of four are the same when topics come in order, and ids once given never change when they do not."""
     rows = [(f"/t/{(i * 7) % 23 if i % 3 else i % 11}", 1000 + i, "int" if i % 5 else "double") for i in range(200)]
