@@ -322,6 +322,19 @@ def test_image_copies_defined_cases(spark):
     assert sorted((r["query"], r["image"]) for r in image_copies.copies(images, doubled).collect()) == [(i, i + k) for i in range(3) for k in (0, 100)]
 
 
+def test_image_joins_are_never_broadcast(spark, monkeypatch):
+    """Every side grows with the images or the queries, so none goes through the driver, however small its file is."""
+    plans = []
+    written = image_copies.written
+    monkeypatch.setattr(image_copies, "written", lambda df, name: plans.append(df) or written(df, name))
+    vectors = table(spark, "/root/testdata/sf0.001", "embeddings")
+    images = image_copies.frames_of_vectors(vectors)
+    queries = image_copies.frames_of_vectors(vectors.where("vec_id % 20 = 0"), edit_step=20)
+    plans += [image_copies.copies(queries, images), image_copies.copy_counts(queries, images)]
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert sum("SortMergeJoin" in t for t in texts) >= 4 and not any("Broadcast" in t for t in texts)
+
+
 # op9
 
 
