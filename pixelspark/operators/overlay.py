@@ -92,13 +92,15 @@ def point_lists(lines: DataFrame) -> DataFrame:
     """lines as rasterize_lines takes them to one row for each line with pixels: (frame_id, other columns, n, points).
 
     points lists the n pixels that rasterize_lines gives for the line as "x,y x,y ..", in order of x and y. Made from the line itself,
-    so no pixel becomes a row and nothing is grouped; lines with a null end have none.
+    so no pixel becomes a row and nothing is grouped; lines with a null end have none. A task puts lines of like ends together: their
+    lists share text, which files then hold once.
     """
     ends = ["x0", "y0", "x1", "y1"]
     rest = [c for c in lines.columns if c not in ends]
     whole = lines.select(*rest, *[F.col(c).cast("int").alias(c) for c in ends]).dropna(subset=ends)
+    near = sum((F.shiftleft(F.col(c).cast("long").bitwiseAND(0xFFFF), 48 - 16 * k) for k, c in enumerate(ends)), F.lit(0))  # one number, so that Spark sorts by radix
     kinds = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in rest)
-    return whole.mapInArrow(_listed(rest), f"{kinds}, n bigint, points string")
+    return whole.sortWithinPartitions(near).mapInArrow(_listed(rest), f"{kinds}, n bigint, points string")
 
 
 def draw_points(canvas: DataFrame, points: DataFrame, color: list[int], source: str | None = None, target: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden literals and properties of the frame operators."""
 
+import datetime
 import struct
 import zlib
 from functools import partial
@@ -235,6 +236,21 @@ def test_tasks_do_not_grow_with_the_table(spark, sf, monkeypatch):
     assert n * 8 == sizes(fx.px_camera(spark, sf))[0] and most < 250
 
 
+def test_detections_of_odd_rows(spark, tmp_path):
+    """Few bytes of a row travel, and detections are those of the whole rows: nulls, negative and large keys, zeros of either sign and ties included."""
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    day = [datetime.datetime(2000, 1, d) for d in (1, 2, 3)]
+    odd = [None, -1, 0, 7, 2**24 - 1, 2**24, 2**32 - 1, 2**32, 2**62, -(2**63)]
+    rows = [(1, p, s, n, 2.0, 300.0, day[0]) for p in odd for s in odd for n in (None, -1, 0, 127, 128, 2**31 - 1)]
+    rows += [(2, 5, 6, 1, q, p, d) for d in day for q in (None, 1.0, 0.0, -0.0, float("nan")) for p in (None, 9.5, -0.0, 0.0)] + [(None, 1, 1, 1, 1.0, 1.0, None)] * 2
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = spark.sql(fx.DETS_SQL.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{tmp_path}/lineitem.parquet").coalesce(1))
+    got = fx.dets(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and got.schema == whole.schema
+    sent = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].splitlines()[1]
+    assert "AS packed" in sent and "AS wide" in sent and sent.split("CASE WHEN")[0].count("#") == 3
+
+
 def test_orders_are_dealt_out_with_their_detections(spark, sf):
     """Orders grow with the table, so they are joined where they lie, and no task holds all of them."""
     from pixelspark.plans import telemetry_queries as tq
